@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, simhash_dedup
+from . import bpe, chat_format, decontaminate, exact_dedup, secret_scan, simhash_dedup
 
-_MODULES = (simhash_dedup, exact_dedup)
+_MODULES = (simhash_dedup, decontaminate, bpe, chat_format, secret_scan, exact_dedup)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
