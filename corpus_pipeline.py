@@ -8,10 +8,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ionweave.llm import exact_dedup, simhash_dedup
+from ionweave.llm import bpe, decontaminate, exact_dedup, quality, simhash_dedup
 from ionweave.llm.common import read_table, shared_path
 
 
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality.keep_good(docs, read_table(spark, sf_dir, "labels"))
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays."""
     return exact_dedup.exact_dedup(docs)
@@ -22,7 +27,17 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_dedup(docs)
 
 
-STAGES = [("exact_dedup", exact), ("near_dedup", near)]
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    return decontaminate.decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and the digest of the text they decode to."""
+    return bpe.tokenised(docs)
+
+
+STAGES = [("quality", good), ("exact_dedup", exact), ("near_dedup", near), ("decontaminate", clean), ("byte_bpe", tokens)]
 
 #: The classifier of the first stage is fitted iteratively, which SQL can't express.
 ORACLE_SQL = None

@@ -238,6 +238,19 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     )
 
 
+def tokenised(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """(doc_id, n_tokens, ids, decoded_sha256): the ids, with the digest of what they decode to."""
+    codec = docs.sparkSession.sparkContext.broadcast(load_codec(path))
+
+    def run(batches):
+        for batch in decode_batches(codec.value, encode_batches(codec.value, batches)):
+            counts = pa.array([len(x) for x in _lists(batch.column(1))], pa.int64())
+            digests = pa.array([hashlib.sha256(x).hexdigest() for x in batch.column(2).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), counts, batch.column(1), digests], ["doc_id", "n_tokens", "ids", "decoded_sha256"])
+
+    return _texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string")
+
+
 def op4_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(read_table(spark, sf_dir, "documents"))
 
