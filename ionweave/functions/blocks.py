@@ -74,9 +74,17 @@ def block_pairs(points: DataFrame, work, schema: str, n_points: int | None = Non
     blocks = max(1, math.ceil(n / BLOCK))
     own = F.pmod(F.xxhash64("obs_id"), F.lit(blocks)).cast("int")
     every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    left = points.select("*", own.alias("i"), F.explode(every).alias("j"))
-    right = points.select("*", own.alias("j"), F.explode(every).alias("i"))
-    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(work, schema)
+    # each row goes to the units of its block on the left and on the right, tagged by side
+    sides = points.select("*", own.alias("_own"), F.explode(every).alias("_other"))
+    unit = F.array(F.struct(F.col("_own").alias("i"), F.col("_other").alias("j"), F.lit(True).alias("left")), F.struct(F.col("_other").alias("i"), F.col("_own").alias("j"), F.lit(False).alias("left")))
+    dealt = sides.withColumn("_unit", F.explode(unit)).drop("_own", "_other")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        left = pdf["_unit"].map(lambda u: u["left"]).to_numpy(bool)
+        pdf = pdf.drop(columns="_unit")
+        return work(pdf[left], pdf[~left])
+
+    return dealt.groupBy("_unit.i", "_unit.j").applyInPandas(run, schema)
 
 
 def matrix(pdf: pd.DataFrame) -> np.ndarray:

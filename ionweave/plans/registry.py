@@ -1,6 +1,5 @@
 """All queries of the engine and the SQL that checks them."""
 
-from __future__ import annotations
+from .queries import ORACLE_SQL, QUERIES
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
