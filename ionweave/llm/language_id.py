@@ -88,6 +88,8 @@ class Ppm:
     def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
         self.names = sorted(counts)
         n = len(self.names)
+        if not n:
+            return
         levels = []  # per language: for orders 3..0 (keys, bits, contexts, escapes)
         for name in self.names:
             keys, seen = counts[name]

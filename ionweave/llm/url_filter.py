@@ -6,9 +6,9 @@ method:
 
 * Host labels are split at hyphens and digits into runs of letters, and each
   distinct run into words by a unigram Viterbi search.  Word counts come from
-  the visible text of all pages and from the runs themselves; each run gets the
-  counts of its own substrings by a join, so no dictionary is collected or
-  broadcast.
+  the visible text of all pages and from hyphenated host labels, which show
+  their own words; each run gets the counts of its own substrings by a join, so
+  no dictionary is collected or broadcast.
 * Multinomial naive Bayes over host words and path words (digits become one
   token).  Its training label is weak supervision: a page whose host words
   include one of ``SEEDS`` counts as blocked, any other as allowed; the words that
@@ -75,13 +75,17 @@ def segment(run: str, counts: dict[str, int], total: int) -> list[str]:
     return out[::-1]
 
 
-def unigrams(pages: DataFrame, runs: DataFrame) -> DataFrame:
-    """(word, n): words of all pages' visible text, and the runs of letters of their hosts."""
+def unigrams(pages: DataFrame, hosts: DataFrame) -> DataFrame:
+    """(word, n): words of all pages' visible text, the parts of hyphenated host labels, and the seeds.
+
+    A label without hyphens adds nothing: it would be its own best split.
+    """
     visible = F.regexp_replace(F.lower(F.coalesce("html", F.lit(""))), "<script.*?</script>|<style.*?</style>|<[^>]*>", " ")
     words = pages.select(F.explode(F.split(visible, "[^a-z]+")).alias("word"))
     words = words.where(F.length("word").between(2, WORD)).groupBy("word").agg(F.count("*").alias("n"))
     seeds = pages.sparkSession.createDataFrame([(w, 1) for w in SEEDS], "word string, n long")
-    own = runs.where(F.length("run").between(2, WORD)).select(F.col("run").alias("word"), "n")
+    joined = hosts.select(F.explode(F.regexp_extract_all("host", F.lit("[a-z]+(?:-[a-z]+)+"), F.lit(0))).alias("label"))
+    own = joined.select(F.explode(F.split("label", "-")).alias("word"), F.lit(1).cast("long").alias("n")).where(F.length("word").between(2, WORD))
     return words.union(own).union(seeds).groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -110,7 +114,7 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
 
     found = hosts.select("host", "n", F.explode(F.regexp_extract_all("host", F.lit("[a-z]+"), F.lit(0))).alias("run"))
     runs = cut(found.groupBy("run").agg(F.sum("n").alias("n")))
-    words = cut(unigrams(pages, runs))
+    words = cut(unigrams(pages, hosts))
     tokens = found.join(segment_runs(runs, words), "run").select("host", "n", F.explode("ws").alias("token"))
     host_tokens = cut(tokens)
 
