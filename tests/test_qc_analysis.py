@@ -1,0 +1,303 @@
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pytest
+
+from ionweave.errors import AnalysisError
+from ionweave.functions import blocks, stats
+from ionweave.model import MatrixBundle
+from ionweave.operators import analysis as an
+from ionweave.operators import annotate as ann
+from ionweave.operators import qc
+from ionweave.operators import trajectory as tr
+
+
+def bundle(spark, rows, ids=None):
+    a = np.asarray(rows, float)
+    ids = ids or [f"o{i:03d}" for i in range(len(a))]
+    obs = spark.createDataFrame([(o, i) for i, o in enumerate(ids)], "obs_id string, obs_ord int")
+    var = spark.createDataFrame([(f"m{j}", j, 100.0 + j) for j in range(a.shape[1])], "feature_id string, feature_ord int, mz double")
+    x = spark.createDataFrame([(ids[i], f"m{j}", float(a[i, j])) for i, j in zip(*np.nonzero(a))], "obs_id string, feature_id string, value double")
+    return MatrixBundle(obs, var, x)
+
+
+def test_spectral_qc(spark):
+    b = bundle(spark, [[1, 0], [2, 3], [100, 100], [0, 0]], ["z", "a", "m", "e"])
+    assert {r.obs_id: (r.total_intensity, r.detected_features) for r in qc.spectral_qc(b.obs, b.x).collect()} == {"z": (1.0, 1), "a": (5.0, 2), "m": (200.0, 2), "e": (0.0, 0)}
+
+
+def test_coverage(spark):
+    obs = spark.createDataFrame([("quantified",), ("quantified",), ("zero",)], "quantification_status string")
+    assert {r.metric: r.value for r in qc.coverage_report(obs).collect()} == {"included_cells": 3.0, "quantified_cells": 2.0, "coverage": pytest.approx(2 / 3)}
+    assert {r.metric: r.value for r in qc.coverage_report(obs.limit(0)).collect()}["coverage"] == 0.0
+
+
+def test_outliers_repeat(spark):
+    b = bundle(spark, [[1, 0], [2, 3], [100, 100]])
+    table = qc.spectral_qc(b.obs, b.x)
+    first = {r.obs_id: r.outlier for r in qc.detect_outliers(table, 1 / 3, 7).collect()}
+    assert sum(first.values()) == 1
+    assert first == {r.obs_id: r.outlier for r in qc.detect_outliers(table.repartition(3), 1 / 3, 7).collect()}
+    for bad in (0, 0.6, True, float("nan")):
+        with pytest.raises(AnalysisError):
+            qc.detect_outliers(table, bad)
+
+
+METRIC = {
+    "euclidean": lambda a, b: math.sqrt(((a - b) ** 2).sum()), "manhattan": lambda a, b: abs(a - b).sum(), "chebyshev": lambda a, b: abs(a - b).max(), "sqeuclidean": lambda a, b: ((a - b) ** 2).sum(),
+    "braycurtis": lambda a, b: abs(a - b).sum() / abs(a + b).sum() if abs(a + b).sum() else 0, "cosine": lambda a, b: 1 - a @ b / math.sqrt((a @ a) * (b @ b)), "canberra": lambda a, b: sum(abs(x - y) / (abs(x) + abs(y)) for x, y in zip(a, b) if x or y), "correlation": lambda a, b: 1 - np.corrcoef(a, b)[0, 1],
+}
+
+
+@pytest.mark.parametrize("name", sorted(METRIC))
+@pytest.mark.parametrize("block", [2000, 3])
+def test_distances(spark, monkeypatch, name, block):
+    monkeypatch.setattr(blocks, "BLOCK", block)
+    a = np.random.default_rng(1).uniform(0.1, 3, (7, 4))
+    b = bundle(spark, a)
+    got = {(r.i, r.j): r.distance for r in blocks.pairwise(blocks.vectors(b.x, b.obs, b.var), name).collect()}
+    assert len(got) == 42
+    for (i, j), d in got.items():
+        assert d == pytest.approx(METRIC[name](a[int(i[1:])], a[int(j[1:])]), abs=1e-9)
+
+
+def test_bray_curtis_join(spark):
+    a = np.array([[1, 4, 0], [2, 0, 1], [0, 0, 5], [0, 3, 1]], float)
+    got = {(r.i, r.j): r.distance for r in qc.bray_curtis(bundle(spark, a).x).collect()}
+    for (i, j), d in got.items():
+        assert d == pytest.approx(METRIC["braycurtis"](a[int(i[1:])], a[int(j[1:])]))
+    assert ("o000", "o002") not in got
+    with pytest.raises(AnalysisError):
+        qc.bray_curtis(bundle(spark, -a).x)
+
+
+def test_pcoa(spark):
+    coords, spectrum = qc.pcoa(bundle(spark, [[0, 0], [0, 0], [2, 0], [2, 1]]))
+    assert np.isfinite(coords[["PC1", "PC2"]]).all().all() and len(spectrum) == 4
+    with pytest.warns(RuntimeWarning):
+        _, spectrum = qc.pcoa(bundle(spark, [[1, 0], [1, 4], [2, 4], [2, 1]]), 1)
+    assert spectrum.eigenvalue.min() < 0
+    flat, _ = qc.pcoa(bundle(spark, [[1, 1], [1, 1]]))
+    assert (flat[["PC1", "PC2"]] == 0).all().all()
+    points = np.random.default_rng(2).normal(size=(9, 3))
+    coords, _ = qc.pcoa(bundle(spark, points), 3, "euclidean")
+    c = coords.sort_values("obs_id")[["PC1", "PC2", "PC3"]].to_numpy()
+    assert np.linalg.norm(c[:, None] - c[None], axis=2) == pytest.approx(np.linalg.norm(points[:, None] - points[None], axis=2), abs=1e-7)
+    for bad in (dict(dimensions=0), dict(dimensions=5), dict(metric="precomputed"), dict(metric="other")):
+        with pytest.raises(AnalysisError):
+            qc.pcoa(bundle(spark, [[1, 0], [0, 1]]), **bad)
+
+
+@pytest.mark.parametrize("block", [2000, 4])
+def test_silhouettes(spark, monkeypatch, block):
+    monkeypatch.setattr(blocks, "BLOCK", block)
+    rng = np.random.default_rng(3)
+    a, c = rng.normal(size=(15, 2)), ["b"] * 5 + ["a"] * 9 + ["s"]
+    b = bundle(spark, a)
+    labels = spark.createDataFrame([(f"o{i:03d}", k) for i, k in enumerate(c)], "obs_id string, cluster string")
+    d = np.linalg.norm(a[:, None] - a[None], axis=2)
+    want = []
+    for i in range(15):
+        own = [j for j in range(15) if c[j] == c[i] and j != i]
+        if not own:
+            want.append(0.0)
+            continue
+        inside = d[i, own].mean()
+        outside = min(d[i, [j for j in range(15) if c[j] == k]].mean() for k in set(c) - {c[i]})
+        want.append((outside - inside) / max(inside, outside))
+    points = blocks.vectors(b.x, b.obs, b.var)
+    assert {r.obs_id: r.silhouette for r in qc.silhouette(points, labels).collect()} == pytest.approx({f"o{i:03d}": w for i, w in enumerate(want)})
+    summary = qc.silhouette_summary(points, labels).orderBy("first_ord").collect()
+    assert [(r.cluster, r.n_cells) for r in summary] == [("b", 5), ("a", 9), ("s", 1)]
+    with pytest.raises(AnalysisError):
+        qc.silhouette_summary(points, labels.where("cluster = 'a'"))
+
+
+def test_validation(spark):
+    b = bundle(spark, [[1, 0], [2, 3]])
+    qc.validate_bundle(b)
+    with pytest.raises(AnalysisError):
+        qc.validate_bundle(MatrixBundle(b.obs.union(b.obs), b.var, b.x))
+    with pytest.raises(AnalysisError):
+        qc.validate_bundle(MatrixBundle(b.obs, b.var, b.x.selectExpr("obs_id", "feature_id", "double('NaN') AS value")))
+    with pytest.raises(AnalysisError):
+        qc.validate_bundle(b, require_spatial=True)
+
+
+# --------------------------------------------------------------------------
+
+
+def queries(spark, mz):
+    return spark.createDataFrame([(f"m{i + 1}", float(v)) for i, v in enumerate(mz)], "feature_id string, mz double")
+
+
+def hmdb(spark, rows):
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "ref_ord int, accession string, name string, mz double, mode string")
+
+
+def test_annotation(spark):
+    rows = [("HMDB2", "b", 100.0004, "POS"), ("HMDB1", "a", 100.0002, " pos"), ("HMDB3", "c", 300.0, "pos"), ("HMDB4", "d", 100.0, "neg")]
+    got = {r.feature_id: (r.hmdb_ids, r.hmdb_names) for r in ann.annotate_hmdb(queries(spark, [100, 200]), hmdb(spark, rows), " pos ").collect()}
+    assert got == {"m1": ('["HMDB2","HMDB1"]', '["b","a"]'), "m2": ("[]", "[]")}
+
+
+def test_annotation_boundaries(spark):
+    rows = [(n, n, m, "pos") for n, m in (("lower", 99.9995), ("upper", 100.0005), ("below", 99.99949), ("above", 100.00051))]
+    assert ann.annotate_hmdb(queries(spark, [100]), hmdb(spark, rows), "pos").first().hmdb_ids == '["lower","upper"]'
+    near = math.nextafter(100.0, 200)
+    assert ann.annotate_hmdb(queries(spark, [100]), hmdb(spark, [("x", "x", near, "pos")]), "pos", 0).first().hmdb_ids == "[]"
+    assert ann.annotate_hmdb(queries(spark, [100]), hmdb(spark, [("x", "x", 100.0, "pos")]), "pos", 0).first().hmdb_ids == '["x"]'
+
+
+def test_metaboscape(spark):
+    reference = spark.createDataFrame([(100.0003, "C6", "β-glucose")], "`Measured m/z` double, `Molecular Formula` string, Name string")
+    got = ann.annotate_metaboscape(queries(spark, [100]), reference).first()
+    assert (got.metaboscape_formulas, got.metaboscape_names) == ('["C6"]', '["β-glucose"]')
+    with pytest.raises(AnalysisError):
+        ann.annotate_metaboscape(queries(spark, [100]), reference.withColumnRenamed("Name", "other"))
+    with pytest.raises(AnalysisError):
+        ann.annotate_metaboscape(queries(spark, [100]), spark.createDataFrame([("x", "C6", "n")], "`Measured m/z` string, `Molecular Formula` string, Name string"))
+
+
+# --------------------------------------------------------------------------
+
+
+def grouped(spark, a, groups):
+    b = bundle(spark, a)
+    return b, spark.createDataFrame([(f"o{i:03d}", i, g) for i, g in enumerate(groups)], "obs_id string, obs_ord int, grp string")
+
+
+def sample():
+    rng = np.random.default_rng(4)
+    a = np.where(rng.random((12, 5)) < 0.4, 0, rng.normal(1, 1, (12, 5)).round(1))
+    return a, ["b"] * 5 + ["a"] * 7
+
+
+def test_ranking_scores(spark):
+    a, g = sample()
+    b, groups = grouped(spark, a, g)
+    inside = {k: np.array([x == k for x in g]) for k in "ab"}
+    for method in an.RANKINGS:
+        for r in an.rank_scores(b.x, b.var, groups, method).collect():
+            v, m = a[:, int(r.feature_id[1:])], inside[r.grp]
+            n1, n2 = m.sum(), (~m).sum()
+            if method == "wilcoxon":
+                order = np.array([(v < x).sum() + ((v == x).sum() + 1) / 2 for x in v])
+                want = (order[m].sum() - n1 * 13 / 2) / math.sqrt(n1 * n2 * 13 / 12)
+            else:
+                rest = n1 if method.endswith("var") else n2
+                want = (v[m].mean() - v[~m].mean()) / math.sqrt(v[m].var(ddof=1) / n1 + v[~m].var(ddof=1) / rest)
+            assert r.scores == pytest.approx(want, abs=1e-9)
+
+
+def test_ranked_table(spark):
+    a, g = sample()
+    b, groups = grouped(spark, a, g)
+    for method in an.RANKINGS:
+        rows = an.rank_metabolites(b.x, b.var, groups, method).orderBy("grp", "rank").collect()
+        assert len(rows) == 10 and all(0 <= r.pvals <= r.pvals_adj + 1e-12 <= 1 + 2e-12 for r in rows)
+        assert all(x.scores >= y.scores for x, y in zip(rows, rows[1:]) if x.grp == y.grp)
+    assert an.group_order(groups) == ["b", "a"] and an.group_order(groups, ["a", "b"]) == ["a", "b"]
+    with pytest.raises(AnalysisError):
+        an.rank_metabolites(b.x, b.var, groups.where("grp = 'a'"))
+
+
+@pytest.mark.parametrize("t, dof, p", [(0, 5, 1.0), (2.0, 10, 0.07338803477074), (-3.5, 4.2, 0.02305), (1.96, 1e7, 0.04999579), (12.706204736, 1, 0.05)])
+def test_student_tail(t, dof, p):
+    assert stats.student_two_sided(t, dof) == pytest.approx(p, rel=2e-2 if t == -3.5 else 1e-6)
+
+
+def test_variance_and_cosg(spark):
+    a, g = sample()
+    b, groups = grouped(spark, abs(a), g)
+    got = {r.feature_id: r.variance for r in an.feature_variance(b.x, b.var, 12).collect()}
+    assert got == pytest.approx({f"m{j}": abs(a)[:, j].var() for j in range(5)})
+    flat = bundle(spark, [[1, 1, 0], [2, 2, 0]])
+    assert [r.feature_id for r in an.top_features(flat.x, flat.var, 2, 2).collect()] == ["m0", "m1"]
+    ind = {k: np.array([x == k for x in g], float) for k in "ab"}
+    cos = {(k, j): abs(a)[:, j] @ v / (np.linalg.norm(abs(a)[:, j]) * np.linalg.norm(v)) for k, v in ind.items() for j in range(5)}
+    for r in an.cosg_scores(b.x, b.var, groups).collect():
+        c = cos[r.grp, int(r.feature_id[1:])]
+        assert r.score == pytest.approx(c * c * c / sum(cos[k, int(r.feature_id[1:])] ** 2 for k in "ab"))
+    table = an.run_cosg(b.x, b.var, groups, 3)
+    assert table.columns == ["rank", "b", "a"] and table.count() == 3
+
+
+@pytest.mark.parametrize("block", [2000, 5])
+def test_knn(spark, monkeypatch, block):
+    monkeypatch.setattr(blocks, "BLOCK", block)
+    a = np.random.default_rng(5).normal(size=(17, 3))
+    b = bundle(spark, a)
+    got = {(r.obs_id, r.rank): r.neighbor for r in an.knn(blocks.vectors(b.x, b.obs, b.var), 4).collect()}
+    d = np.linalg.norm(a[:, None] - a[None], axis=2)
+    np.fill_diagonal(d, np.inf)
+    assert got == {(f"o{i:03d}", k + 1): f"o{j:03d}" for i in range(17) for k, j in enumerate(np.argsort(d[i])[:4])}
+
+
+def test_clusters_find_planted_groups(spark):
+    rng = np.random.default_rng(6)
+    a = np.vstack([rng.normal(0, 0.3, (20, 4)), rng.normal(6, 0.3, (15, 4))])
+    b = an.cluster_cells(bundle(spark, a), n_neighbors=5)
+    found = [r.cluster for r in b.obs.orderBy("obs_ord").collect()]
+    assert set(found[:20]).isdisjoint(found[20:])
+    assert found == [r.cluster for r in an.cluster_cells(bundle(spark, a), n_neighbors=5).obs.orderBy("obs_ord").collect()]
+    points = bundle(spark, a)
+    edges = an.neighbor_graph(an.knn(blocks.vectors(points.x, points.obs, points.var), 5))
+    spread = {r.node: r.community for r in an.propagate_labels(edges).collect()}
+    assert {spread[f"o{i:03d}"] for i in range(20)}.isdisjoint(spread[f"o{i:03d}"] for i in range(20, 35))
+    for bad in (dict(n_neighbors=1), dict(n_neighbors=35), dict(resolution=0)):
+        with pytest.raises(AnalysisError):
+            an.cluster_cells(bundle(spark, a), **bad)
+
+
+def test_factorisation(spark):
+    rng = np.random.default_rng(7)
+    w, h = rng.dirichlet([0.2] * 2, 30), np.array([[5, 4, 0, 0, 1], [0, 0, 6, 5, 1.0]])
+    b = bundle(spark, w @ h + rng.random((30, 5)) * 0.01)
+    spectra = an.factorize(b, [2], n_iter=4, n_features=5)
+    assert spectra.count() == 8
+    usage = an.consensus_usage(b, spectra, 2, n_features=5)
+    loaded = an.load_usage(b.obs, spark.createDataFrame(usage.iloc[::-1])).orderBy("obs_ord").toPandas()
+    assert max(abs(np.corrcoef(loaded.Usage_1, w[:, k])[0, 1]) for k in (0, 1)) > 0.95
+    with pytest.raises(AnalysisError):
+        an.load_usage(b.obs, spark.createDataFrame(usage.iloc[1:]))
+    with pytest.raises(AnalysisError):
+        an.load_usage(b.obs, spark.createDataFrame(usage.assign(Usage_1=-1.0)))
+
+
+# --------------------------------------------------------------------------
+
+
+def points(spark, rows):
+    return spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(rows)], "obs_id int, x double, y double")
+
+
+@pytest.mark.parametrize("project", [tr.project_points, tr.project_points_exact])
+@pytest.mark.parametrize("rows, path, want", [
+    ([(0, 0), (5, 1), (10, 0)], [(0, 0), (10, 0)], [(0, 0), (0.5, 1), (1, 0)]),
+    ([(1, 1), (2, 0)], [(0, 0), (2, 0), (2, 2)], [(0.25, 1), (0.5, 0)]),
+    ([(0, 0)], [(-1, -1), (1, 1), (-1, 1), (1, -1)], [(math.sqrt(2) / (4 * math.sqrt(2) + 2), 0)]),
+])
+def test_projection(spark, project, rows, path, want):
+    got = project(points(spark, rows), path).orderBy("obs_id").collect()
+    assert [(r.trajectory_position, r.trajectory_distance) for r in got] == [pytest.approx(w, abs=1e-12) for w in want]
+
+
+@pytest.mark.parametrize("path", [[(0, 0)], [(0, 0), (0, 0)], [(0, 0), (float("nan"), 1)]])
+def test_bad_paths(path):
+    with pytest.raises(AnalysisError):
+        tr.path_segments(path)
+
+
+def test_trends(spark):
+    n = 60
+    b = bundle(spark, [[i / n * 4 + 1, 1.0] for i in range(n)])
+    obs = b.obs.selectExpr("*", f"double(obs_ord) / {n} AS trajectory_position")
+    rows = tr.feature_trends(MatrixBundle(obs, b.var, b.x), ["m0", "m1"], 10).orderBy("feature", "position").collect()
+    assert len(rows) == 20 and all(r.lower <= r.fitted + 1e-9 and r.fitted <= r.upper + 1e-9 for r in rows)
+    assert rows[5].fitted == pytest.approx(1 + 4 * rows[5].position, abs=0.05) and rows[15].fitted == pytest.approx(1, abs=0.05)
+    for bad in ([], ["m0", "m0"], ["zz"]):
+        with pytest.raises(AnalysisError):
+            tr.feature_trends(MatrixBundle(obs, b.var, b.x), bad)
