@@ -68,7 +68,7 @@ HOT_PART = 1000
 SALTS = 64
 
 
-def hot_join(rows: DataFrame, facts: DataFrame, counts: DataFrame, key: str, by: str) -> DataFrame:
+def hot_join(rows: DataFrame, facts: DataFrame, counts: DataFrame, key: str, by: list[str]) -> DataFrame:
     """``rows`` left-joined with ``facts`` (one line per ``key``), hot keys dealt over SALTS parts.
 
     ``counts(key, n)`` names the hot keys: at most HOT_PART of them, hence the
@@ -77,7 +77,7 @@ def hot_join(rows: DataFrame, facts: DataFrame, counts: DataFrame, key: str, by:
     total = counts.agg(F.sum("n")).first()[0] or 0
     hot = counts.where(F.col("n") * HOT_PART > total).select(key, F.lit(True).alias("_hot"))
     hot = F.broadcast(cut(hot))
-    left = rows.join(hot, key, "left").withColumn("_part", F.when(F.col("_hot"), F.pmod(F.xxhash64(by), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))).drop("_hot")
+    left = rows.join(hot, key, "left").withColumn("_part", F.when(F.col("_hot"), F.pmod(F.xxhash64(*by), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))).drop("_hot")
     every = F.sequence(F.lit(0).cast("long"), F.when(F.col("_hot"), F.lit(SALTS - 1)).otherwise(F.lit(0)).cast("long"))
     right = facts.join(hot, key, "left").withColumn("_part", F.explode(every)).drop("_hot")
     return left.join(right, [key, "_part"], "left").drop("_part")

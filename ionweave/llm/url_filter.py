@@ -134,8 +134,8 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     host_score = host_tokens.join(odds, "token").groupBy("host").agg(F.sum("odds").alias("host_odds"))
     shape_tokens = shapes.select("shape").distinct().select("shape", F.explode(path_tokens).alias("token"))
     shape_score = shape_tokens.join(odds, "token").groupBy("shape").agg(F.sum("odds").alias("path_odds"))
-    scored = hot_join(urls, host_score, hosts, "host", "path")
-    scored = hot_join(scored, shape_score, shapes.groupBy("shape").agg(F.sum("n").alias("n")), "shape", "path")
+    scored = hot_join(urls, host_score, hosts, "host", ["page_id", "path"])
+    scored = hot_join(scored, shape_score, shapes.groupBy("shape").agg(F.sum("n").alias("n")), "shape", ["page_id", "path"])
     total = F.coalesce("host_odds", F.lit(0.0)) + F.coalesce("path_odds", F.lit(0.0)) + F.lit(prior)
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     scored = scored.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"), F.when(total > 0, "block").otherwise("allow").alias("method"))
