@@ -112,37 +112,52 @@ class Codec:
         """Merge table by pairs of ids: every split of a token into two tokens."""
         ranks = {token: rank for rank, token in self.tokens.items()}
         self.byte = [ranks.get(bytes([b]), -1) for b in range(256)]
+        self.shift = max(ranks.values()).bit_length()
         self.pairs = {}
         for token, rank in ranks.items():
             for at in range(1, len(token)):
                 left, right = ranks.get(token[:at]), ranks.get(token[at:])
                 if left is not None and right is not None:
-                    self.pairs[left << 32 | right] = rank
+                    self.pairs[left << self.shift | right] = rank
         self.split = regex.compile(self.pattern).findall
         self.memo: dict[str, tuple[int, ...]] = {}
         self._ready = True
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
-        """Tier two: ids of one pre-token that is not in the vocabulary."""
-        pair, n = self.pairs.get, len(piece)
-        ids = [self.byte[b] for b in piece]
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(rank, i) for i in range(n - 1) if (rank := pair(ids[i] << 32 | ids[i + 1])) is not None]
+        """Tier two: ids of one pre-token that is not in the vocabulary.
+
+        Heap entries are rank * 2^32 + position; a removed byte has id -1.
+        """
+        pair, shift, n = self.pairs.get, self.shift, len(piece)
+        ids = [*map(self.byte.__getitem__, piece)]
+        ranks = [pair(a << shift | b, -1) for a, b in zip(ids, ids[1:])]  # of the pair that starts at each position
+        heap = [rank << 32 | i for i, rank in enumerate(ranks) if rank >= 0]
+        if not heap:
+            return tuple(ids)
+        ranks.append(-1)
         heapq.heapify(heap)
+        after, before, pop, push = [*range(1, n + 1)], [*range(-1, n - 1)], heapq.heappop, heapq.heappush
         while heap:
-            rank, i = heapq.heappop(heap)
-            if ids[i] < 0 or (j := after[i]) >= n or pair(ids[i] << 32 | ids[j]) != rank:
+            entry = pop(heap)
+            i = entry & 0xFFFFFFFF
+            if ranks[i] != entry >> 32:
                 continue  # one of the two was merged meanwhile
-            ids[i], ids[j] = rank, -1
+            j, rank = after[i], ranks[i]
+            ids[i], ids[j], ranks[j] = rank, -1, -1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                if (up := pair(rank << 32 | ids[k])) is not None:
-                    heapq.heappush(heap, (up, i))
+                up = ranks[i] = pair(rank << shift | ids[k], -1)
+                if up >= 0:
+                    push(heap, up << 32 | i)
+            else:
+                ranks[i] = -1
             h = before[i]
-            if h >= 0 and (up := pair(ids[h] << 32 | rank)) is not None:
-                heapq.heappush(heap, (up, h))
-        return tuple(x for x in ids if x >= 0)
+            if h >= 0:
+                up = ranks[h] = pair(ids[h] << shift | rank, -1)
+                if up >= 0:
+                    push(heap, up << 32 | h)
+        return tuple([x for x in ids if x >= 0])
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text, as int32 arrays."""
