@@ -81,7 +81,7 @@ def build_index(docs: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, D
     # the directory has 2**depth slots, at most 65,536
     slot_of = F.broadcast(spark.createDataFrame(slots, "slot int, bucket int"))
     owned = entries.withColumn("slot", _slot(depth) if depth else F.lit(0)).join(slot_of, "slot").drop("slot")
-    # spread("bucket") alone would put a bucket of equal hashes in one file; entries are distinct, so the range of h bounds it
+    # owner tasks take ranges of (bucket, h): a bucket that cannot split further still spreads over several
     owned.repartitionByRange("bucket", "h").write.parquet(f"{path}/index")
     return keys, spark.read.schema("h long, sha binary, low long, n long, bucket int").parquet(f"{path}/index")
 

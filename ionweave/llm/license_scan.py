@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import cut, read_table
 
 COSINE = 0.8
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|unlicense|notice|copyright)([-._].*)?$"
@@ -187,7 +187,7 @@ def inherit(matched: DataFrame) -> DataFrame:
 
 def scan(files: DataFrame, templates=TEMPLATES) -> DataFrame:
     """(path, license, score, line, inherited_from) of files(path, text)."""
-    return inherit(match_files(files, train(files, templates)))
+    return inherit(cut(match_files(files, train(files, templates))))
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
