@@ -309,8 +309,10 @@ def _nmf(m: np.ndarray, k: int, seed: int, iterations: int = 200) -> tuple[np.nd
     return w, h
 
 
-def factorize(bundle: MatrixBundle, components: list[int], n_iter: int = 10, seed: int = 14, n_features: int = 300) -> DataFrame:
-    """(k, replicate, component, spectrum): one NMF per (k, replicate), each in a task of its own.
+def factorize(bundle: MatrixBundle, components: list[int], n_iter: int = 10, seed: int = 14, n_features: int = 300, worker_index: int = 0, total_workers: int = 1) -> DataFrame:
+    """(k, replicate, component, spectrum, error): one NMF per (k, replicate), each in a task of its own.
+
+    Of several workers, each takes every ``total_workers``-th replicate of the grid.
 
     The matrix of the ``n_features`` most variable features is broadcast; its
     cells are limited, as every replicate holds it densely.
@@ -318,6 +320,8 @@ def factorize(bundle: MatrixBundle, components: list[int], n_iter: int = 10, see
     for k in components:
         whole("components", k, AnalysisError, low=2)
     whole("n_iter", n_iter, AnalysisError)
+    whole("total_workers", total_workers, AnalysisError)
+    whole("worker_index", worker_index, AnalysisError, low=0, high=total_workers - 1)
     whole("seed", seed, AnalysisError, low=0, high=2**32 - 1)
     check_rows(bundle.x, {"factorisation needs non-negative values": F.col("value") < 0}, AnalysisError)
     n = bundle.obs.count()
@@ -334,12 +338,52 @@ def factorize(bundle: MatrixBundle, components: list[int], n_iter: int = 10, see
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for k, r in zip(pdf.k, pdf.replicate):
-            _, h = _nmf(held.value, int(k), seed + 1000 * int(k) + int(r))
-            out += [(int(k), int(r), c, (row / max(np.linalg.norm(row), 1e-300)).tolist()) for c, row in enumerate(h)]
-        return pd.DataFrame(out, columns=["k", "replicate", "component", "spectrum"])
-
-    grid = spark.createDataFrame([(k, r) for k in components for r in range(n_iter)], "k int, replicate int")
-    return grid.groupBy("k", "replicate").applyInPandas(run, "k int, replicate int, component int, spectrum array<double>")
+            w, h = _nmf(held.value, int(k), seed + 1000 * int(k) + int(r))
+            error = float(((held.value - w @ h) ** 2).sum())
+            out += [(int(k), int(r), c, (row / max(np.linalg.norm(row), 1e-300)).tolist(), error) for c, row in enumerate(h)]
+        return pd.DataFrame(out, columns=["k", "replicate", "component", "spectrum", "error"])
+
+    cells = [(k, r) for k in components for r in range(n_iter)][worker_index::total_workers]
+    grid = spark.createDataFrame(cells, "k int, replicate int")
+    return grid.groupBy("k", "replicate").applyInPandas(run, "k int, replicate int, component int, spectrum array<double>, error double")
+
+
+def select_k(spectra: DataFrame) -> DataFrame:
+    """(k, stability, error): how well replicates' spectra of a k form k groups (mean silhouette), and the mean squared error."""
+
+    def judge(pdf: pd.DataFrame) -> pd.DataFrame:
+        k = int(pdf.k.iloc[0])
+        s = np.array(pdf.sort_values(["replicate", "component"]).spectrum.tolist())
+        own = _kmeans(s, k, 0)[1]
+        d = np.sqrt(np.maximum(2 - 2 * s @ s.T, 0))
+        values = []
+        for i in range(len(s)):
+            same = (own == own[i]) & (np.arange(len(s)) != i)
+            others = [d[i, own == c].mean() for c in set(own.tolist()) - {own[i]}]
+            if same.any() and others:
+                a, b = d[i, same].mean(), min(others)
+                values.append((b - a) / max(a, b, 1e-300))
+            else:
+                values.append(0.0)
+        return pd.DataFrame({"k": [k], "stability": [float(np.mean(values))], "error": [float(pdf.groupby("replicate").error.first().mean())]})
+
+    return spectra.groupBy("k").applyInPandas(judge, "k int, stability double, error double")
+
+
+def _kmeans(s: np.ndarray, k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Centres and labels; starts from the points farthest apart."""
+    rng = np.random.default_rng(seed)
+    centers = s[[0]]
+    while len(centers) < k:
+        far = np.min(((s[:, None] - centers[None]) ** 2).sum(2), axis=1)
+        centers = np.vstack([centers, s[int(far.argmax())]])
+    for _ in range(100):
+        own = ((s[:, None] - centers[None]) ** 2).sum(2).argmin(1)
+        new = np.stack([s[own == c].mean(0) if (own == c).any() else s[int(rng.integers(len(s)))] for c in range(k)])
+        if np.allclose(new, centers):
+            break
+        centers = new
+    return centers, own
 
 
 def consensus_usage(bundle: MatrixBundle, spectra: DataFrame, k: int, density_threshold: float = 0.5, n_features: int = 300, seed: int = 14) -> pd.DataFrame:
@@ -353,17 +397,7 @@ def consensus_usage(bundle: MatrixBundle, spectra: DataFrame, k: int, density_th
     s = s[np.sort(d, axis=1)[:, 1 : near + 1].mean(1) < density_threshold] if len(s) > k else s
     if len(s) < k:
         raise AnalysisError("the density threshold leaves too few spectra")
-    rng = np.random.default_rng(seed)
-    centers = s[[0]]
-    while len(centers) < k:  # farthest-first start
-        far = np.min(((s[:, None] - centers[None]) ** 2).sum(2), axis=1)
-        centers = np.vstack([centers, s[int(far.argmax())]])
-    for _ in range(100):
-        own = ((s[:, None] - centers[None]) ** 2).sum(2).argmin(1)
-        new = np.stack([s[own == c].mean(0) if (own == c).any() else s[int(rng.integers(len(s)))] for c in range(k)])
-        if np.allclose(new, centers):
-            break
-        centers = new
+    centers, own = _kmeans(s, k, seed)
     h = np.stack([np.median(s[own == c], axis=0) if (own == c).any() else centers[c] for c in range(k)])
     n = bundle.obs.count()
     keep = top_features(bundle.x, bundle.var, n, n_features).where("variance > 0")
@@ -379,6 +413,15 @@ def consensus_usage(bundle: MatrixBundle, spectra: DataFrame, k: int, density_th
     return pd.DataFrame(w[:, order], columns=[f"Usage_{i + 1}" for i in range(k)]).assign(obs_id=rows.obs_id.to_numpy())
 
 
+def run_cnmf(bundle: MatrixBundle, components: list[int], k: int, n_iter: int = 10, seed: int = 14, n_features: int = 300, density_threshold: float = 0.5) -> tuple[MatrixBundle, DataFrame]:
+    """(bundle whose obs carry the usage of ``k`` programmes, table of stability and error per k)."""
+    if k not in components:
+        raise AnalysisError("k must be among the components")
+    spectra = cut(factorize(bundle, components, n_iter, seed, n_features))
+    usage = bundle.obs.sparkSession.createDataFrame(consensus_usage(bundle, spectra, k, density_threshold, n_features, seed))
+    return MatrixBundle(load_usage(bundle.obs, usage), bundle.var, bundle.x, dict(bundle.layers), dict(bundle.meta)), select_k(spectra)
+
+
 def load_usage(obs: DataFrame, usage: DataFrame) -> DataFrame:
     """``obs`` with the usage columns, aligned by id; ids must match exactly, values be finite and >= 0."""
     columns = [c for c in usage.columns if c != "obs_id"]

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import blocks
 from ..functions.stats import benjamini_hochberg, tied_rank
 from ..model import MatrixBundle
-from ..operators import analysis, annotate, peaks, preprocess, qc, quantify, regions, registration, trajectory
+from ..operators import analysis, annotate, imaging, peaks, plots, preprocess, qc, quantify, regions, registration, trajectory
 
 PATH = [(0.0, 0.0), (100.0, 100.0), (250.0, 50.0), (500.0, 400.0)]
 EXACT = 8  # decimals that survive another order of summation
@@ -599,3 +599,60 @@ def feature_trends(spark, d):
 def feature_percentiles(spark, d):
     out = sparse(spark, d).groupBy("feature_id").agg(F.percentile("value", F.lit(0.01)).alias("p01"), F.percentile("value", F.lit(0.99)).alias("p99"), F.avg("value").alias("mean"))
     return rounded(out, "p01", "p99", "mean")
+
+
+@query("gallery_summary", f"WITH {_X}, d AS (SELECT p_partkey AS feature_id, coalesce(value, 0) AS v FROM part CROSS JOIN supplier LEFT JOIN x ON feature_id = p_partkey AND obs_id = s_suppkey), q AS (SELECT feature_id, quantile_cont(v, 0.01) AS lo, quantile_cont(v, 0.99) AS hi, min(v) AS mn, max(v) AS mx, avg(v) AS mean FROM d GROUP BY 1) SELECT feature_id, feature_id AS feature_ord, round(CASE WHEN hi <= lo THEN mn ELSE lo END, 6) AS low, round(CASE WHEN hi <= lo THEN mx + 1 ELSE hi END, 6) AS high, round(mean, 6) AS mean FROM q")
+def gallery_summary(spark, d):
+    return rounded(plots.gallery_summary(sparse_bundle(spark, d)), "low", "high", "mean", digits=6)
+
+
+@query("category_codes", "SELECT c_custkey AS obs_id, (dense_rank() OVER (ORDER BY c_mktsegment) - 1)::INTEGER AS code FROM customer")
+def category_codes(spark, d):
+    return plots.category_codes(table(spark, d, "customer").select(F.col("c_custkey").alias("obs_id"), "c_mktsegment"), "c_mktsegment")
+
+
+@query("contours", """WITH px AS (SELECT l_orderkey AS r, l_linenumber AS c, min(l_suppkey) % 5 AS label FROM lineitem GROUP BY ALL HAVING min(l_suppkey) % 5 <> 0),
+s AS (SELECT * FROM (VALUES (-1, 0), (1, 0), (0, -1), (0, 1)) t(dy, dx)), a AS (SELECT r + dy AS r, c + dx AS c, label AS f FROM px, s WHERE r + dy BETWEEN 0 AND 9999 AND c + dx BETWEEN 0 AND 7)
+SELECT DISTINCT a.r AS "row", a.c AS col FROM a LEFT JOIN px USING (r, c) WHERE px.label IS NULL OR px.label <> a.f""")
+def contours(spark, d):
+    px = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("row"), F.col("l_linenumber").alias("col")).agg((F.min("l_suppkey") % 5).alias("label"))
+    return plots.contour_plot(px, 10_000, 8)
+
+
+@query("spatial_feature", f"WITH {_X} SELECT s_suppkey AS obs_id, (s_suppkey % 10)::DOUBLE AS x, (s_suppkey // 10)::DOUBLE AS y, coalesce(value, 0)::DOUBLE AS value FROM supplier LEFT JOIN x ON obs_id = s_suppkey AND feature_id = 7")
+def spatial_feature(spark, d):
+    b = sparse_bundle(spark, d)
+    return plots.spatial_plot(MatrixBundle(b.obs, b.var.withColumn("feature_id", F.col("feature_id").cast("string")), b.x.withColumn("feature_id", F.col("feature_id").cast("string"))), "7")
+
+
+@query("region_table", f"WITH {_RASTER} SELECT cell AS label, count(*)::DOUBLE AS area, round(avg(\"row\"), 8) AS centroid_row, round(avg(col), 8) AS centroid_col FROM px GROUP BY 1")
+def region_table(spark, d):
+    return rounded(regions.region_table(rasters(spark, d)[0]), "centroid_row", "centroid_col")
+
+
+@query("simulate_marks")
+def simulate_marks(spark, d):
+    msi = spark.range(12).select((F.col("id") % 4).cast("double").alias("x"), F.floor(F.col("id") / 4).cast("double").alias("y"))
+    anchors = spark.createDataFrame([(r, 20.0 * r, c) for r in (1, 2, 3) for c in (10.0, 100.0)], "row_number int, centroid_row double, centroid_col double")
+    return regions.simulate_marks(msi, anchors, (90, 120), 6).labels
+
+
+@query("segment_images")
+def segment_images(spark, d):
+    """Two images with a mark per supplier nation, in one task each."""
+    spots = table(spark, d, "supplier").select((F.col("s_suppkey") % 2).cast("int").alias("image_id"), (15 + 30 * (F.col("s_nationkey") % 5)).alias("r"), (15 + 30 * F.floor(F.col("s_nationkey") / 5)).alias("c")).distinct()
+    grid = spark.range(165 * 165).select((F.col("id") % 165).cast("int").alias("row"), F.floor(F.col("id") / 165).cast("int").alias("col"))
+    near = spots.select("image_id", F.explode(regions.disk(F.col("r"), F.col("c"), 9, 165, 165)).alias("p")).select("image_id", F.col("p.row").cast("int").alias("row"), F.col("p.col").cast("int").alias("col"), F.lit(1.0).alias("value"))
+    images = spark.createDataFrame([(0,), (1,)], "image_id int")
+    full = grid.crossJoin(F.broadcast(images))  # two images
+    return imaging.segment_images(full.join(near, ["image_id", "row", "col"], "left").fillna(0.0, ["value"]), top_hat_radius=0, min_peak_distance=8)
+
+
+@query("select_k")
+def select_k(spark, d):
+    return analysis.select_k(analysis.factorize(sparse_bundle(spark, d), [2, 3], n_iter=3, n_features=50))
+
+
+@query("preprocess_bundle", f"WITH {_X}, k AS (SELECT feature_id FROM x WHERE value <> 0 GROUP BY 1 HAVING count(*)::DOUBLE / (SELECT count(*) FROM supplier) > 0.05::DOUBLE), y AS (SELECT x.* FROM x SEMI JOIN k USING (feature_id)), f AS (SELECT obs_id, sqrt(sum(value * value) / (SELECT count(*) FROM k JOIN part ON p_partkey = feature_id)) AS f FROM y GROUP BY 1) SELECT obs_id, feature_id, round(value / CASE WHEN f = 0 THEN 1 ELSE f END, 8) AS value FROM y JOIN f USING (obs_id)")
+def preprocess_bundle(spark, d):
+    return rounded(preprocess.preprocess(sparse_bundle(spark, d)).layers["normalized"], "value")

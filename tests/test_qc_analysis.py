@@ -301,3 +301,53 @@ def test_trends(spark):
     for bad in ([], ["m0", "m0"], ["zz"]):
         with pytest.raises(AnalysisError):
             tr.feature_trends(MatrixBundle(obs, b.var, b.x), bad)
+
+
+def test_cnmf_selection_and_workers(spark):
+    rng = np.random.default_rng(7)
+    w, h = rng.dirichlet([0.2] * 2, 30), np.array([[5, 4, 0, 0, 1], [0, 0, 6, 5, 1.0]])
+    b = bundle(spark, w @ h + rng.random((30, 5)) * 0.01)
+    whole, table = an.run_cnmf(b, [2, 3], 2, n_iter=3, n_features=5)
+    rows = {r.k: r for r in table.collect()}
+    assert {"Usage_1", "Usage_2"} <= set(whole.obs.columns) and rows[2].stability > 0.5 and rows[3].error < rows[2].error * 1.5
+    parts = [an.factorize(b, [2], n_iter=3, n_features=5, worker_index=i, total_workers=2) for i in (0, 1)]
+    assert sorted({r.replicate for r in parts[0].collect()}) == [0, 2] and {r.replicate for r in parts[1].collect()} == {1}
+    with pytest.raises(AnalysisError):
+        an.run_cnmf(b, [2], 3)
+    with pytest.raises(AnalysisError):
+        an.factorize(b, [2], worker_index=2, total_workers=2)
+
+
+def test_plot_tables(spark):
+    from pyspark.sql import functions as F
+
+    from ionweave.operators import plots as pl
+
+    raster = [[0, 0, 0, 0, 0], [0, 1, 1, 2, 0], [0, 1, 1, 2, 0], [0, 0, 0, 0, 0]]
+    px = spark.createDataFrame([(r, c, v) for r, row in enumerate(raster) for c, v in enumerate(row)], "row int, col int, label long")
+    outer = {(r.row, r.col) for r in pl.contour_plot(px, 4, 5).collect()}
+    want = set()
+    for r in range(4):
+        for c in range(5):
+            near = [raster[y][x] for y, x in ((r - 1, c), (r + 1, c), (r, c - 1), (r, c + 1)) if 0 <= y < 4 and 0 <= x < 5]
+            if any(v and v != raster[r][c] for v in near):
+                want.add((r, c))
+    assert outer == want
+    b = bundle(spark, [[1, 0, 5], [2, 0, 5], [3, 4, 5]])
+    obs = b.obs.withColumns({"x": F.lit(1.0), "y": F.col("obs_ord").cast("double"), "kind": F.when(F.col("obs_ord") == 1, "a").otherwise("b")})
+    b = MatrixBundle(obs, b.var, b.x)
+    assert {r.obs_id: r.value for r in pl.spatial_plot(b, "m1").collect()} == {"o000": 0.0, "o001": 0.0, "o002": 4.0}
+    assert {r.obs_id: r.value for r in pl.spatial_plot(b, "kind").collect()} == {"o000": 1.0, "o001": 0.0, "o002": 1.0}
+    assert {r.obs_id: r.code for r in pl.category_codes(obs, "kind", ["b", "a"]).collect()} == {"o000": 0, "o001": 1, "o002": 0}
+    with pytest.raises(AnalysisError):
+        pl.spatial_plot(b, "nothing")
+    rows = {r.feature_id: r for r in pl.gallery_summary(b).collect()}
+    a = np.array([[1, 0, 5], [2, 0, 5], [3, 4, 5.0]])
+    for j in (0, 1):
+        assert (rows[f"m{j}"].low, rows[f"m{j}"].high, rows[f"m{j}"].mean) == pytest.approx((*np.percentile(a[:, j], [1, 99]), a[:, j].mean()))
+    assert (rows["m2"].low, rows["m2"].high) == (5.0, 6.0)
+    assert [r.feature_id for r in pl.contact_sheet(pl.gallery_summary(b), ["m2", "zz"], 2).collect()] == ["m2", "m0"]
+    trends = spark.createDataFrame([("f", 0.0, 1.0, 2.0, 0.0)], "feature string, position double, fitted double, lower double, upper double")
+    with pytest.raises(AnalysisError):
+        pl.trajectory_plot(trends)
+    assert pl.usage_plot(MatrixBundle(obs.withColumn("Usage_1", F.lit(0.5)), b.var, b.x), "Usage_1").count() == 3
