@@ -19,7 +19,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import public_tokenizers
@@ -34,7 +34,9 @@ from .common import read_table
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pre-tokens kept by a worker before its memo starts anew.
 MEMO = 300_000
-_DOCS = 256
+#: Characters encoded together, and pieces of a longer text taken at a time.
+_CHARS = 1 << 21
+_PIECES = 1 << 16
 _MASK = (1 << 64) - 1
 _MIX = (0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD)
 
@@ -119,7 +121,7 @@ class Codec:
                 left, right = ranks.get(token[:at]), ranks.get(token[at:])
                 if left is not None and right is not None:
                     self.pairs[left << self.shift | right] = rank
-        self.split = regex.compile(self.pattern).findall
+        self.split, self.pieces = regex.compile(self.pattern).findall, regex.compile(self.pattern).finditer
         self.memo: dict[str, tuple[int, ...]] = {}
         self._ready = True
 
@@ -159,20 +161,44 @@ class Codec:
                     push(heap, up << 32 | h)
         return tuple([x for x in ids if x >= 0])
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """The ids of each text, as int32 arrays."""
-        if not self._ready:
-            self._prepare()
-        split = [self.split(text) if text else [] for text in texts]
+    def _resolve(self, pieces) -> None:
+        """Put the ids of all ``pieces`` into the memo."""
         if len(self.memo) > MEMO:
             self.memo.clear()
         memo = self.memo
-        new = list(set(chain.from_iterable(split)).difference(memo))
+        new = list(set(pieces).difference(memo))
         if new:
             raw = [piece.encode() for piece in new]
             for piece, data, rank in zip(new, raw, self.hash.candidates(raw).tolist()):
                 memo[piece] = (rank,) if self.tokens[rank] == data else self.merge(data)
-        return [np.fromiter(chain.from_iterable(map(memo.__getitem__, pieces)), np.int32) for pieces in split]
+
+    def _ids(self, pieces) -> np.ndarray:
+        return np.fromiter(chain.from_iterable(map(self.memo.__getitem__, pieces)), np.int32)
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text, as int32 arrays; a long text is taken some pieces at a time."""
+        if not self._ready:
+            self._prepare()
+        out: list[np.ndarray] = []
+        at = 0
+        while at < len(texts):
+            if len(texts[at] or "") > _CHARS:
+                found = (m[0] for m in self.pieces(texts[at]))
+                parts = []
+                while pieces := list(islice(found, _PIECES)):
+                    self._resolve(pieces)
+                    parts.append(self._ids(pieces))
+                out.append(np.concatenate(parts))
+                at += 1
+                continue
+            split, size = [], 0
+            while at < len(texts) and size <= _CHARS and len(texts[at] or "") <= _CHARS:
+                split.append(self.split(texts[at]) if texts[at] else [])
+                size += len(texts[at] or "")
+                at += 1
+            self._resolve(chain.from_iterable(split))
+            out += map(self._ids, split)
+        return out
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids.tolist()))
@@ -190,8 +216,8 @@ def _ids_array(ids: list[np.ndarray]) -> pa.ListArray:
 def encode_batches(codec: Codec, batches):
     """(doc_id, text) batches to (doc_id, ids) batches."""
     for batch in batches:
-        for at in range(0, batch.num_rows, _DOCS):
-            part = batch.slice(at, _DOCS)
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
             yield pa.RecordBatch.from_arrays([part.column(0), _ids_array(codec.encode(part.column(1).to_pylist()))], ["doc_id", "ids"])
 
 

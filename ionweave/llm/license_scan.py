@@ -115,9 +115,8 @@ class Matcher:
     def _vector(self, counts: Counter) -> dict[str, float]:
         return {t: (1 + math.log(n)) * self.idf.get(t, self.most) for t, n in counts.items()}
 
-    def best(self, unit: str) -> tuple[float, str | None]:
-        """(cosine, name) of the best template, (0, None) below the threshold."""
-        counts = Counter(terms(unit))
+    def best(self, counts: Counter) -> tuple[float, str | None]:
+        """(cosine, name) of the best template for a unit's terms, (0, None) below the threshold."""
         rivals = {i for t in self.postings.keys() & counts.keys() for i in self.postings[t]}
         if not rivals:
             return 0.0, None
@@ -129,12 +128,16 @@ class Matcher:
 
     def scan(self, text: str | None) -> tuple[str | None, float, int | None]:
         """(name, cosine, line) of the best unit; line 0 is the whole text, None is no match."""
-        if not text or self.any_anchor.isdisjoint(terms(text)):
+        lines = (text or "").split("\n")
+        hits = [(n, found) for n, line in enumerate(lines, 1) if not self.any_anchor.isdisjoint(found := terms(line))]
+        if not hits:
             return None, 0.0, None
-        lines = text.split("\n")
-        units = [(self.best(line), n) for n, line in enumerate(lines, 1)]
+        units = [(self.best(Counter(found)), n) for n, found in hits]
         if len(lines) > 1:
-            units.append((self.best(text), 0))
+            whole: Counter = Counter()
+            for line in lines:
+                whole.update(terms(line))
+            units.append((self.best(whole), 0))
         (score, name), line = max(units, key=lambda u: (u[0][0], -u[1]))
         return (name, score, line) if name else (None, 0.0, None)
 

@@ -22,6 +22,7 @@ empty result.
 
 from __future__ import annotations
 
+import re
 from operator import eq
 
 import numpy as np
@@ -42,6 +43,21 @@ WIDTH = BIAS + 1
 SAMPLE = 3000
 THRESHOLD = 0.3
 _CHUNK = 1 << 20
+_GAP = re.compile(rb"\s")
+
+
+def _word_lists(text: bytes):
+    """The words of a text, a bounded piece at a time."""
+    at = 0
+    while at < len(text):
+        end = at + _CHUNK
+        if end < len(text) and (more := _GAP.search(text, end)):
+            end = more.start()
+        elif end < len(text):
+            end = len(text)
+        if words := text[at:end].split():
+            yield words
+        at = end
 
 
 class Indicators:
@@ -62,10 +78,13 @@ class Indicators:
             found = np.concatenate([found, key[self.stamp[key] == place].astype(np.int64)])
         if len(data) > _CHUNK:
             found = np.unique(found)
-        words = (text or b"").split()
-        if len(words) > 1:
-            echo = sum(map(eq, words, words[1:])) / (len(words) - 1)
-            again = 1 - len(set(words)) / len(words)
+        count, same, seen, last = 0, 0, set(), []
+        for words in _word_lists(text or b""):
+            same += sum(map(eq, last + words, words if last else words[1:]))
+            seen.update(words)
+            count, last = count + len(words), words[-1:]
+        if count > 1:
+            echo, again = same / (count - 1), 1 - len(seen) / count
             bins = [HASHED + i for i, x in enumerate(ECHO) if echo > x]
             bins += [HASHED + len(ECHO) + i for i, x in enumerate(AGAIN) if again > x]
             found = np.concatenate([found, np.array(bins, np.int64)])

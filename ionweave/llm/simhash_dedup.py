@@ -44,18 +44,28 @@ _CHUNK = 1 << 16
 _PAIRS = 1 << 22
 
 
+def _words(text: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """Words joined by one space each, and where each begins and ends in that string."""
+    data = np.frombuffer(text.lower(), np.uint8)  # bytes: lowers A-Z only
+    gap = (data == 32) | ((data >= 9) & (data <= 13))
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], gap, [True]]).view(np.int8)))
+    starts, ends = edge[::2], edge[1::2]
+    keep, data = ~gap, data.copy()
+    data[ends[:-1]], keep[ends[:-1]] = 32, True
+    size = ends - starts
+    ends = np.cumsum(size + 1) - 1
+    return data[keep].tobytes(), ends - size, ends
+
+
 def fingerprint(text: bytes | None) -> int:
     """Unsigned 64-bit SimHash of UTF-8 bytes; zero without words."""
-    words = (text or b"").lower().split()  # bytes: lowers A-Z only, splits at \x20 and \x09-\x0D only
-    if not words:
+    joined, starts, ends = _words(text or b"")
+    if not len(starts):
         return 0
-    joined = b" ".join(words)
     hash64 = xxhash.xxh64_intdigest
-    if len(words) < WORDS:
+    if len(starts) < WORDS:
         return hash64(joined, SEED)
-    gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
-    starts = np.concatenate([[0], gaps + 1])[: len(words) - WORDS + 1]
-    ends = np.concatenate([gaps, [len(joined)]])[WORDS - 1 :]
+    starts, ends = starts[: len(starts) - WORDS + 1], ends[WORDS - 1 :]
     counts = np.zeros(64, np.int64)
     for at in range(0, len(starts), _CHUNK):
         spans = zip(starts[at : at + _CHUNK].tolist(), ends[at : at + _CHUNK].tolist())

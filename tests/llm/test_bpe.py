@@ -37,6 +37,13 @@ def test_ids_equal_the_public_library(codec, encoding):
         assert codec.decode(ids) == (text or "").encode()
 
 
+def test_long_texts_in_pieces(codec, encoding, monkeypatch):
+    monkeypatch.setattr(bpe, "_CHARS", 50)
+    monkeypatch.setattr(bpe, "_PIECES", 7)
+    texts = odd_texts()[:400]
+    assert [i.tolist() for i in codec.encode(texts)] == [encoding.encode_ordinary(t or "") for t in texts]
+
+
 def test_perfect_hash_is_minimal_and_total():
     ranks = bpe.read_ranks(public_tokenizers.path(bpe.VOCABULARY))
     table = bpe.PerfectHash(ranks)

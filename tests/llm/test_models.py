@@ -86,6 +86,14 @@ def test_indicators_match_a_plain_set():
         assert {int(x) for x in got if x < q.HASHED} == want and len(set(got.tolist())) == len(got)
 
 
+def test_repetition_is_counted_across_pieces(monkeypatch):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["a", "b", "cc", "ddd"]) for _ in range(n)).replace("b a", "b \n\x0ba").encode() for n in (1, 2, 3, 50, 400)] + [b" ", b"x" * 300]
+    whole = [sorted(x for x in q.Indicators()(t).tolist() if x >= q.HASHED) for t in texts]
+    monkeypatch.setattr(q, "_CHUNK", 5)
+    assert [sorted(x for x in q.Indicators()(t).tolist() if x >= q.HASHED) for t in texts] == whole
+
+
 # --------------------------------------------------------------------------
 
 

@@ -108,7 +108,7 @@ def test_prefilter_loses_no_match():
         vector = matcher._vector(counts)
         norm = math.sqrt(sum(x * x for x in vector.values())) or 1.0
         every = max(sum(x * vector.get(t, 0.0) for t, x in v.items()) / norm for v in matcher.vectors)
-        score, name = matcher.best(unit)
+        score, name = matcher.best(counts)
         assert (name is not None) == (every >= ls.COSINE - 1e-12)
         if name:
             assert score == pytest.approx(every)
