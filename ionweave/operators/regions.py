@@ -83,7 +83,7 @@ def _number_columns(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 def check_row_count(rows: DataFrame, expected_rows: int) -> None:
     found = rows.agg(F.coalesce(F.max("row_number"), F.lit(0)).alias("n")).first().n
     if found != expected_rows:
-        raise RegionError(f"Detected {found} rows; expected {expected_rows}")
+        raise RegionError(f"found {found} rows instead of {expected_rows}")
 
 
 def exclude_regions(regions: DataFrame, min_row: float | None = None, max_row: float | None = None, min_column: float | None = None, max_column: float | None = None) -> DataFrame:

@@ -74,12 +74,12 @@ def _complaint(pixels: DataFrame, regions: DataFrame, orientation: str, edge_pol
     marks = [(r.row_number, r["count"]) for r in active.groupBy("row_number").count().orderBy("row_number").collect()]
     rows = [(r.y, r["count"]) for r in orient(pixels, orientation).groupBy("y").count().orderBy("y").collect()]
     if len(rows) != len(marks):
-        return f"Orientation {orientation!r} gives {len(rows)} MSI rows and {len(marks)} laser rows"
+        return f"orientation {orientation}: the grid has {len(rows)} rows, the marks form {len(marks)}"
     for (_, n), (row, m) in zip(rows, marks):
         if m > n:
-            return f"Laser row {row} has {m - n} more marks than its MSI row has pixels"
+            return f"row {row}: {m} marks for {n} pixels"
         if n > m and edge_policy == "error":
-            return f"Laser row {row} leaves {n - m} pixels unmatched; choose an edge policy"
+            return f"row {row}: {n - m} pixels stay without a mark; an edge policy is needed"
     return None
 
 
@@ -96,9 +96,9 @@ def register(bundle: MatrixBundle, regions: DataFrame, orientation: str = "auto"
     if orientation == "auto":
         fits = [o for o in ORIENTATIONS if _complaint(bundle.obs, regions, o, edge_policy) is None]
         if not fits:
-            raise RegistrationError("Automatic orientation found no valid candidate")
+            raise RegistrationError("no orientation fits the marks")
         if len(fits) > 1:
-            raise RegistrationError(f"Automatic orientation is ambiguous; valid candidates: {fits}")
+            raise RegistrationError(f"several orientations fit the marks: {fits}")
         orientation = fits[0]
     elif problem := _complaint(bundle.obs, regions, orientation, edge_policy):
         raise RegistrationError(problem)
@@ -106,7 +106,7 @@ def register(bundle: MatrixBundle, regions: DataFrame, orientation: str = "auto"
     metadata = [c for c in mapping.columns if c not in ("pixel_id", "label", "truncated")]
     clash = sorted(set(metadata) & set(bundle.obs.columns))
     if clash:
-        raise RegistrationError(f"Laser metadata columns overlap the observations: {clash}")
+        raise RegistrationError(f"mark columns already exist among the observations: {clash}")
     obs = bundle.obs.drop("x", "y").join(mapping.select(F.col("pixel_id").alias("obs_id"), *metadata), "obs_id")
     obs = obs.withColumns({"x": F.col("centroid_col"), "y": F.col("centroid_row")})
     x = bundle.x.join(mapping.select(F.col("pixel_id").alias("obs_id")), "obs_id", "left_semi")

@@ -59,7 +59,7 @@ def _refuse(what: str):
 
 PATH = "path"  # resolved against the folder of the YAML file
 
-#: Section -> field -> (check, default), as the reference's YAML files name them.
+#: Section -> field -> (check, default), in the order of run files.
 SPEC: dict = {
     "project": {"name": (_text, REQUIRED), "output_dir": (PATH, REQUIRED), "random_seed": (_int(0), 0)},
     "input": {"imzml": (PATH, None), "h5ad": (PATH, None), "bundle": (PATH, None), "laser_image": (PATH, None), "cell_segmentation": (PATH, None), "trusted_pickle": (_flag, False)},

@@ -532,7 +532,7 @@ def cosg_scores(spark, d):
 @query("cosg_table")
 def cosg_table(spark, d):
     b = sparse_bundle(spark, d)
-    groups = table(spark, d, "supplier").select(F.col("s_suppkey").alias("obs_id"), F.col("s_suppkey").alias("obs_ord"), (F.col("s_nationkey") % 4).cast("string").alias("grp"))
+    groups = table(spark, d, "supplier").select(F.col("s_suppkey").alias("obs_id"), F.col("s_suppkey").alias("obs_ord"), (F.col("s_suppkey") % 2).cast("string").alias("grp"))
     return analysis.run_cosg(b.x, b.var, groups)
 
 
