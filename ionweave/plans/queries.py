@@ -251,10 +251,10 @@ def normalize_tic(spark, d):
     return rounded(preprocess.normalised(sparse(spark, d), "tic"), "value")
 
 
-@query("matrix_removal_reference", "SELECT p_partkey AS feature_id, p_retailprice AS mz, 'reference_match' AS reason FROM part p WHERE EXISTS (SELECT 1 FROM part r WHERE r.p_partkey % 97 = 0 AND abs(r.p_retailprice - p.p_retailprice) <= p.p_retailprice * 50.0::DOUBLE / 1e6::DOUBLE)")
+@query("matrix_removal_reference", "SELECT p_partkey AS feature_id, p_retailprice AS mz, 'reference_match' AS reason FROM part p WHERE EXISTS (SELECT 1 FROM customer r WHERE r.c_acctbal > 0 AND abs(r.c_acctbal - p.p_retailprice) <= p.p_retailprice * 50.0::DOUBLE / 1e6::DOUBLE)")
 def matrix_removal_reference(spark, d):
     b = sparse_bundle(spark, d)
-    reference = b.var.where("feature_id % 97 = 0").select("mz")
+    reference = table(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_acctbal").alias("mz"))  # masses are positive
     return preprocess.remove_matrix_peaks(b, "reference", reference=reference, tolerance=50)[1]
 
 
@@ -287,11 +287,11 @@ def profile_axis(spark, d):
     return peaks.bin_profiles(_peaks(spark, d), 2.5)[0]
 
 
-@query("nearest_projection", """WITH axis AS (SELECT row_number() OVER (ORDER BY mz) - 1 AS col_ord, mz FROM (SELECT DISTINCT p_retailprice AS mz FROM part WHERE p_partkey % 7 = 0)),
+@query("nearest_projection", """WITH axis AS (SELECT row_number() OVER (ORDER BY mz) - 1 AS col_ord, mz FROM (SELECT DISTINCT floor(p_retailprice) AS mz FROM part)),
 c AS (SELECT p_partkey, p_size, col_ord, row_number() OVER (PARTITION BY p_partkey ORDER BY abs(mz - p_retailprice), col_ord) AS k FROM part JOIN axis ON abs(mz - p_retailprice) <= p_retailprice * 300.0::DOUBLE / 1e6::DOUBLE)
 SELECT (p_partkey % 50)::INTEGER AS pixel_ord, col_ord::INTEGER AS col_ord, sum(p_size)::DOUBLE AS value FROM c WHERE k = 1 GROUP BY ALL""")
 def nearest_projection(spark, d):
-    axis = table(spark, d, "part").where("p_partkey % 7 = 0").select(F.col("p_retailprice").alias("mz")).distinct()
+    axis = table(spark, d, "part").select(F.floor("p_retailprice").cast("double").alias("mz")).distinct()
     axis = axis.withColumn("col_ord", (F.row_number().over(Window.orderBy("mz")) - 1).cast("int"))  # the axis is the query's small side
     return peaks.project(_peaks(spark, d), axis, 300)
 
@@ -323,11 +323,11 @@ def align_peaks(spark, d):
 
 def _reference(spark, d):
     p = table(spark, d, "part")
-    return p.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("ref_ord"), F.concat(F.lit("H"), F.col("p_partkey").cast("string")).alias("accession"), F.col("p_retailprice").alias("ref_mz"))
+    return p.select(F.col("p_partkey").alias("ref_ord"), F.concat(F.lit("H"), F.col("p_partkey").cast("string")).alias("accession"), F.col("p_retailprice").alias("ref_mz"))
 
 
 _ANNOTATE = """SELECT p.p_partkey AS feature_id, coalesce('[' || string_agg('"H' || r.p_partkey || '"', ',' ORDER BY r.p_partkey) || ']', '[]') AS hits
-FROM part p LEFT JOIN (SELECT * FROM part WHERE p_partkey % 3 = 0) r ON {on} GROUP BY 1"""
+FROM part p LEFT JOIN part r ON {on} GROUP BY 1"""
 
 
 @query("annotate_ppm", _ANNOTATE.format(on="abs(r.p_retailprice - p.p_retailprice) <= p.p_retailprice * 75.0::DOUBLE / 1e6::DOUBLE + 1e-12::DOUBLE"))
@@ -457,11 +457,10 @@ _PAIR_SQL = {
 }
 for _name, _sql in _PAIR_SQL.items():
 
-    @query(f"distance_{_name}", f"WITH {_DENSE} SELECT a.obs_id AS i, b.obs_id AS j, round({_sql}, 6) AS distance FROM e a JOIN e b USING (feature_id) WHERE a.obs_id <> b.obs_id AND a.grp = '0' AND b.grp = '0' GROUP BY ALL")
+    @query(f"distance_{_name}", f"WITH {_DENSE} SELECT a.obs_id AS i, b.obs_id AS j, round({_sql}, 6) AS distance FROM e a JOIN e b USING (feature_id) WHERE a.obs_id <> b.obs_id GROUP BY ALL")
     def _distance(spark, d, name=_name):
-        """All pairs of one group: the pairs are the result."""
-        points, _, groups = dense(spark, d)
-        return rounded(blocks.pairwise(points.join(groups.where("grp = '0'").select("obs_id"), "obs_id"), name), "distance", digits=6)
+        """The distance matrix: all pairs are the result."""
+        return rounded(blocks.pairwise(dense(spark, d)[0], name), "distance", digits=6)
 
 
 @query("silhouette_summary", f"""WITH {_DENSE}, p AS (SELECT a.obs_id, any_value(a.grp) AS g, b.grp AS o, b.obs_id AS other, sqrt(sum((a.value - b.value) ** 2)) AS dist FROM e a JOIN e b USING (feature_id) WHERE a.obs_id <> b.obs_id GROUP BY a.obs_id, b.obs_id, b.grp),
@@ -612,11 +611,11 @@ def category_codes(spark, d):
 
 
 @query("contours", """WITH px AS (SELECT l_orderkey AS r, l_linenumber AS c, min(l_suppkey) % 5 AS label FROM lineitem GROUP BY ALL HAVING min(l_suppkey) % 5 <> 0),
-s AS (SELECT * FROM (VALUES (-1, 0), (1, 0), (0, -1), (0, 1)) t(dy, dx)), a AS (SELECT r + dy AS r, c + dx AS c, label AS f FROM px, s WHERE r + dy BETWEEN 0 AND 9999 AND c + dx BETWEEN 0 AND 7)
+s AS (SELECT * FROM (VALUES (-1, 0), (1, 0), (0, -1), (0, 1)) t(dy, dx)), a AS (SELECT r + dy AS r, c + dx AS c, label AS f FROM px, s WHERE r + dy BETWEEN 0 AND 999999999 AND c + dx BETWEEN 0 AND 7)
 SELECT DISTINCT a.r AS "row", a.c AS col FROM a LEFT JOIN px USING (r, c) WHERE px.label IS NULL OR px.label <> a.f""")
 def contours(spark, d):
     px = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("row"), F.col("l_linenumber").alias("col")).agg((F.min("l_suppkey") % 5).alias("label"))
-    return plots.contour_plot(px, 10_000, 8)
+    return plots.contour_plot(px, 1_000_000_000, 8)
 
 
 @query("spatial_feature", f"WITH {_X} SELECT s_suppkey AS obs_id, (s_suppkey % 10)::DOUBLE AS x, (s_suppkey // 10)::DOUBLE AS y, coalesce(value, 0)::DOUBLE AS value FROM supplier LEFT JOIN x ON obs_id = s_suppkey AND feature_id = 7")
