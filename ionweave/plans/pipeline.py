@@ -71,7 +71,7 @@ class Pipeline:
             if c["bundle"]:
                 bundle = tables.read_bundle(self.spark, c["bundle"])
             elif c["h5ad"]:
-                bundle = tables.read_h5ad(c["h5ad"])
+                bundle = tables.read_h5ad(self.spark, c["h5ad"])
             else:
                 bundle = imzml.read_imzml(self.spark, c["imzml"], self.config["project"]["name"], p["peak_tolerance"], p["tolerance_unit"], p["profile_bin_size"])
             m = p["matrix_removal"]

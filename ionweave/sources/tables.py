@@ -128,13 +128,50 @@ def read_bundle(spark: SparkSession, path: str) -> MatrixBundle:
         raise SourceError(f"cannot read bundle {path!r}: {e}") from e
 
 
-def read_h5ad(path: str):
-    """h5ad needs h5py, which is optional."""
+def _h5_frame(group, what: str) -> dict[str, np.ndarray]:
+    """The index and the plain columns of an annotation table; nested (categorical) columns are decoded."""
+    name = group.attrs["_index"]
+    out = {what: np.array([v.decode() if isinstance(v, bytes) else str(v) for v in group[name][()]], object)}
+    for key in group:
+        if key == name:
+            continue
+        column = group[key]
+        if hasattr(column, "keys"):
+            if {"codes", "categories"} <= set(column.keys()):
+                names = [v.decode() if isinstance(v, bytes) else str(v) for v in column["categories"][()]]
+                out[key] = np.array([names[c] if c >= 0 else None for c in column["codes"][()]], object)
+            continue
+        values = column[()]
+        out[key] = np.array([v.decode() if isinstance(v, bytes) else v for v in values], object) if values.dtype.kind in "OS" else values
+    return out
+
+
+def read_h5ad(spark: SparkSession, path: str) -> MatrixBundle:
+    """Bundle of an .h5ad file's X, obs, var and spatial coordinates; needs the optional package h5py."""
     try:
-        import h5py  # noqa: F401
+        import h5py
     except ImportError as e:
         raise SourceError("reading h5ad needs the optional package h5py; convert the file to a bundle") from e
-    raise SourceError("h5ad conversion is available through the command line of a machine with h5py")
+    try:
+        with h5py.File(path, "r") as f:
+            obs, var = _h5_frame(f["obs"], "obs_id"), _h5_frame(f["var"], "feature_id")
+            x = f["X"]
+            if hasattr(x, "keys"):
+                rows = np.repeat(np.arange(len(x["indptr"][()]) - 1), np.diff(x["indptr"][()]))
+                cols, values = x["indices"][()], x["data"][()]
+            else:
+                dense = x[()]
+                rows, cols = np.nonzero(dense)
+                values = dense[rows, cols]
+            if "obsm" in f and "spatial" in f["obsm"]:
+                spatial = np.asarray(f["obsm"]["spatial"][()], float)
+                obs |= {"x": spatial[:, 0], "y": spatial[:, 1]}
+    except Exception as e:
+        raise SourceError(f"cannot read h5ad {path!r}: {e}") from e
+    obs["obs_ord"], var["feature_ord"] = np.arange(len(obs["obs_id"])), np.arange(len(var["feature_id"]))
+    kept = values != 0
+    x = {"obs_id": obs["obs_id"][rows[kept]], "feature_id": var["feature_id"][cols[kept]], "value": values[kept].astype(float)}
+    return MatrixBundle(*[spark.createDataFrame(pa.table({k: pa.array(v) for k, v in t.items()})) for t in (obs, var, x)])
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:

@@ -163,7 +163,46 @@ def test_atomic_and_csv(spark, tmp_path):
     with pytest.raises(SourceError):
         external.run_external(spark, "s.R", "in", str(tmp_path / "o"), "d", rscript="no-such-program")
     with pytest.raises(SourceError):
-        tables.read_h5ad("x.h5ad")
+        tables.read_h5ad(spark, "x.h5ad")
+
+
+class FakeGroup(dict):
+    """What an open HDF5 group offers: keys, members, attributes."""
+
+    attrs = {"_index": "_index"}
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        return False
+
+
+class FakeArray:
+    def __init__(self, values):
+        self.values = np.array(values)
+
+    def __getitem__(self, _):
+        return self.values
+
+
+@pytest.mark.parametrize("sparse", [True, False])
+def test_h5ad_layout(spark, monkeypatch, sparse):
+    """The package is absent here, so its file object is imitated."""
+    import sys
+    import types
+
+    dense = [[1.0, 0.0], [0.0, 2.5], [0.0, 0.0]]
+    x = FakeGroup(data=FakeArray([1.0, 2.5]), indices=FakeArray([0, 1]), indptr=FakeArray([0, 1, 2, 2])) if sparse else FakeArray(dense)
+    kind = FakeGroup(codes=FakeArray([0, 1, -1]), categories=FakeArray([b"a", b"b"]))
+    obs = FakeGroup(_index=FakeArray([b"p1", b"p2", b"p3"]), dataset=kind, area=FakeArray([1.0, 2.0, 3.0]))
+    var = FakeGroup(_index=FakeArray(["m1", "m2"]), mz=FakeArray([100.0, 200.0]))
+    file = FakeGroup(X=x, obs=obs, var=var, obsm=FakeGroup(spatial=FakeArray([[1, 2], [3, 4], [5, 6]])))
+    monkeypatch.setitem(sys.modules, "h5py", types.SimpleNamespace(File=lambda path, mode: file))
+    b = tables.read_h5ad(spark, "x.h5ad")
+    assert {(r.obs_id, r.feature_id): r.value for r in b.x.collect()} == {("p1", "m1"): 1.0, ("p2", "m2"): 2.5}
+    assert [(r.obs_id, r.dataset, r.area, r.x, r.y, r.obs_ord) for r in b.obs.orderBy("obs_ord").collect()] == [("p1", "a", 1.0, 1.0, 2.0, 0), ("p2", "b", 2.0, 3.0, 4.0, 1), ("p3", None, 3.0, 5.0, 6.0, 2)]
+    assert [r.mz for r in b.var.orderBy("feature_ord").collect()] == [100.0, 200.0]
 
 
 def test_streaming_projection(spark, tmp_path):
