@@ -97,9 +97,12 @@ def contained(docs: DataFrame, items: DataFrame) -> DataFrame:
         kept = hashed.select("doc_id", F.size("hs").alias("n"), F.explode(F.filter("hs", lambda h: h <= F.col("top"))).alias("h"))
         hits = kept.join(marks.where(F.col("width") == width), "h").where(F.col("n") >= _need(F.col("q"))).select("doc_id", "item_id")
         found = hits if found is None else found.union(hits)
+    # the narrow pairs meet the items first; texts are dealt by document, so a passage in many of them stays spread
     pairs, _ = sized(found.distinct())
-    checked = texts.join(pairs, "doc_id").join(sketches.select("item_id", "shingles"), "item_id")
-    checked = checked.select("doc_id", "item_id", "shingles", F.concat(F.lit(" "), F.array_join("ws", " "), F.lit(" ")).alias("plain"))
+    hit, _ = sized(pairs.select("doc_id").distinct())
+    plain = texts.join(hit, "doc_id", "left_semi").select("doc_id", F.concat(F.lit(" "), F.array_join("ws", " "), F.lit(" ")).alias("plain"))
+    wanted = pairs.join(sketches.select("item_id", "shingles"), "item_id")
+    checked = plain.join(wanted, "doc_id")
     n_found = F.size(F.filter("shingles", lambda s: F.contains("plain", F.concat(F.lit(" "), s, F.lit(" ")))))
     scored = checked.select("doc_id", "item_id", F.size("shingles").alias("n_shingles"), n_found.alias("n_found"))
     scored = scored.where(F.col("n_found") * OF >= F.col("n_shingles") * PART)
