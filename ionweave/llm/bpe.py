@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, slices
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pre-tokens kept by a worker before its memo starts anew.
@@ -122,7 +122,11 @@ class Codec:
                 if left is not None and right is not None:
                     self.pairs[left << self.shift | right] = rank
         self.split, self.pieces = regex.compile(self.pattern).findall, regex.compile(self.pattern).finditer
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self._forget()
+        top = max(self.tokens) + 1
+        self.spelled_size = np.array([len(self.tokens.get(r, b"")) for r in range(top)], np.int64)
+        self.spelled_at = np.cumsum(self.spelled_size) - self.spelled_size
+        self.spelled = np.frombuffer(b"".join(self.tokens.get(r, b"") for r in range(top)), np.uint8)
         self._ready = True
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
@@ -162,18 +166,30 @@ class Codec:
         return tuple([x for x in ids if x >= 0])
 
     def _resolve(self, pieces) -> None:
-        """Put the ids of all ``pieces`` into the memo."""
+        """Give every piece a place in the memo: its index, and its ids in one flat array."""
         if len(self.memo) > MEMO:
-            self.memo.clear()
-        memo = self.memo
-        new = list(set(pieces).difference(memo))
-        if new:
-            raw = [piece.encode() for piece in new]
-            for piece, data, rank in zip(new, raw, self.hash.candidates(raw).tolist()):
-                memo[piece] = (rank,) if self.tokens[rank] == data else self.merge(data)
-
-    def _ids(self, pieces) -> np.ndarray:
-        return np.fromiter(chain.from_iterable(map(self.memo.__getitem__, pieces)), np.int32)
+            self._forget()
+        new = list(set(pieces).difference(self.memo))
+        if not new:
+            return
+        raw = [piece.encode() for piece in new]
+        ids = [(rank,) if self.tokens[rank] == data else self.merge(data) for data, rank in zip(raw, self.hash.candidates(raw).tolist())]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum()))])
+        self.memo.update(zip(new, range(len(self.memo), len(self.memo) + len(new))))
+
+    def _forget(self) -> None:
+        self.memo: dict[str, int] = {}
+        self.begin, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def _ids(self, split: list[list[str]]) -> list[np.ndarray]:
+        """The ids of resolved pieces, one array per list of them."""
+        counts = np.fromiter(map(len, split), np.int64, len(split))
+        at = np.fromiter(map(self.memo.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
+        ends = np.concatenate([[0], np.cumsum(self.size[at])])[np.cumsum(counts)]
+        return np.split(_ragged(self.flat, self.begin[at], self.size[at]), ends[:-1])
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text, as int32 arrays; a long text is taken some pieces at a time."""
@@ -187,7 +203,7 @@ class Codec:
                 parts = []
                 while pieces := list(islice(found, _PIECES)):
                     self._resolve(pieces)
-                    parts.append(self._ids(pieces))
+                    parts += self._ids([pieces])
                 out.append(np.concatenate(parts))
                 at += 1
                 continue
@@ -197,11 +213,19 @@ class Codec:
                 size += len(texts[at] or "")
                 at += 1
             self._resolve(chain.from_iterable(split))
-            out += map(self._ids, split)
+            out += self._ids(split)
         return out
 
     def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
+        if not self._ready:
+            self._prepare()
+        return _ragged(self.spelled, self.spelled_at[ids], self.spelled_size[ids]).tobytes()
+
+
+def _ragged(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """flat[begin:begin + size] of every pair, joined."""
+    total = np.cumsum(size)
+    return flat[np.repeat(begin - total + size, size) + np.arange(total[-1] if len(total) else 0)]
 
 
 def load_codec(path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> Codec:
@@ -215,10 +239,8 @@ def _ids_array(ids: list[np.ndarray]) -> pa.ListArray:
 
 def encode_batches(codec: Codec, batches):
     """(doc_id, text) batches to (doc_id, ids) batches."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            yield pa.RecordBatch.from_arrays([part.column(0), _ids_array(codec.encode(part.column(1).to_pylist()))], ["doc_id", "ids"])
+    for part in slices(batches, 256):
+        yield pa.RecordBatch.from_arrays([part.column(0), _ids_array(codec.encode(part.column(1).to_pylist()))], ["doc_id", "ids"])
 
 
 def _lists(column: pa.ListArray) -> list[np.ndarray]:

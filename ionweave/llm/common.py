@@ -10,13 +10,14 @@ Rules that hold for all of them:
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut, shared_dir
+
 #: Largest number of rows that is broadcast, always counted first.
 BROADCAST_ROWS = 200_000
 
@@ -25,27 +26,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``.
-
-    Only where that setting is absent (tests in local mode) a temporary folder
-    is made; a cluster always names one.
-    """
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if named is None:
-        named = tempfile.mkdtemp(prefix="ionweave-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named)
-    return named
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -83,6 +63,13 @@ def hot_join(rows: DataFrame, facts: DataFrame, counts: DataFrame, key: str, by:
     return left.join(right, [key, "_part"], "left").drop("_part")
 
 
+def slices(batches, rows: int = 1024):
+    """Arrow batches in smaller parts, so that Python objects exist for one part at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def in_training(doc_id: Column) -> Column:
     """True for the rows a model may learn from: crc32(doc_id as text) mod 5 is not 0."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 != 0

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read_table
+from .common import cut, read_table, slices
 
 COSINE = 0.8
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|unlicense|notice|copyright)([-._].*)?$"
@@ -148,7 +148,7 @@ def train(files: DataFrame, templates=TEMPLATES) -> Matcher:
 
     def count(batches):
         total: Counter = Counter()
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 total[""] += 1
                 if text:
@@ -165,7 +165,7 @@ def match_files(files: DataFrame, matcher: Matcher) -> DataFrame:
     held = files.sparkSession.sparkContext.broadcast(matcher)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = [held.value.scan(t) for t in batch.column(1).to_pylist()]
             columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.int32()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["path", "license", "score", "line"])

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_training, read_table, sized
+from .common import in_training, read_table, sized, slices
 
 BITS = 17
 HASHED = 1 << BITS
@@ -184,7 +184,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     def features(batches):
         ids_of = Indicators()
-        for batch in batches:
+        for batch in slices(batches):
             ids = pa.array([ids_of(x).astype("<i4").tobytes() for x in batch.column(2).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ids], ["doc_id", "quality", "ids"])
 
@@ -200,7 +200,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         ids_of = Indicators()
-        for batch in batches:
+        for batch in slices(batches):
             scores = pa.array([held.value.score(ids_of(x)) for x in batch.column(1).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(0), scores], ["doc_id", "score"])
 
@@ -214,7 +214,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
 
     def run(batches):
         ids_of = Indicators()
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(at).cast(pa.binary()).to_pylist()
             yield batch.filter(pa.array([held.value.score(ids_of(x)) >= threshold for x in texts], pa.bool_()))
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, drop_ids, forest, read_table, sized
+from .common import components, cut, drop_ids, forest, read_table, sized, slices
 
 WORDS = 4
 SEED = 42
@@ -76,7 +76,7 @@ def fingerprint(text: bytes | None) -> int:
 
 
 def _fingerprint_batches(batches):
-    for batch in batches:
+    for batch in slices(batches):
         found = np.array([fingerprint(x) for x in batch.column(1).to_pylist()], np.uint64)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
