@@ -43,21 +43,23 @@ def annotate(var: DataFrame, reference: DataFrame, fields: dict[str, Column], pp
 
 
 def annotate_hmdb(var: DataFrame, reference: DataFrame, mode: str, ppm: float = 5) -> DataFrame:
-    """hmdb_ids and hmdb_names; rows of the reference whose mode equals ``mode`` but for case and blanks."""
+    """hmdb_accessions and hmdb_names; rows of the reference whose mode equals ``mode`` but for case and blanks."""
     number("ppm", ppm, AnalysisError, low=0)
     if not isinstance(mode, str) or not mode.strip():
         raise AnalysisError("mode must be a non-empty string")
     has_order = "ref_ord" in reference.columns
     typed = _checked(reference.drop("ref_ord"), HMDB, "mz")
+    check_rows(typed, {"accession and name must not be missing": F.col("accession").isNull() | F.col("name").isNull()}, AnalysisError)
     order = reference.select("accession", F.col("ref_ord")) if has_order else None
     typed = typed.join(order, "accession") if has_order else typed.withColumn("ref_ord", F.monotonically_increasing_id())
     wanted = typed.where(F.lower(F.trim("mode")) == mode.strip().lower()).withColumnRenamed("mz", "ref_mz")
-    return annotate(var, wanted, {"hmdb_ids": F.col("accession"), "hmdb_names": F.col("name")}, ppm)
+    return annotate(var, wanted, {"hmdb_accessions": F.col("accession"), "hmdb_names": F.col("name")}, ppm)
 
 
 def annotate_metaboscape(var: DataFrame, reference: DataFrame, ppm: float = 3) -> DataFrame:
     """metaboscape_formulas and metaboscape_names."""
     number("ppm", ppm, AnalysisError, low=0)
     typed = _checked(reference, METABOSCAPE, "Measured m/z").withColumn("ref_ord", F.monotonically_increasing_id())
+    check_rows(typed, {"formula and name must not be missing": F.col("`Molecular Formula`").isNull() | F.col("Name").isNull()}, AnalysisError)
     named = typed.select("ref_ord", F.col("`Measured m/z`").alias("ref_mz"), F.col("`Molecular Formula`").alias("formula"), "Name")
     return annotate(var, named, {"metaboscape_formulas": F.col("formula"), "metaboscape_names": F.col("Name")}, ppm)

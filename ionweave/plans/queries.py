@@ -434,7 +434,7 @@ def spectral_qc(spark, d):
 
 
 @query("coverage_report", f"""WITH {_RASTER}, q AS (SELECT count(*)::DOUBLE AS inc, (SELECT count(DISTINCT cell_id) FROM s WHERE rejection_reason IS NULL)::DOUBLE AS quant FROM cells)
-SELECT 'included_cells' AS metric, inc AS value FROM q UNION ALL SELECT 'quantified_cells', quant FROM q UNION ALL SELECT 'coverage', CASE WHEN inc = 0 THEN 0 ELSE quant / inc END FROM q""")
+SELECT 'included_cells' AS metric, inc AS value FROM q UNION ALL SELECT 'quantified_cells', quant FROM q UNION ALL SELECT 'coverage_fraction', CASE WHEN inc = 0 THEN 0 ELSE quant / inc END FROM q""")
 def coverage_report(spark, d):
     return qc.coverage_report(mapping_text(spark, d))
 

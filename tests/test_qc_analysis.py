@@ -30,8 +30,14 @@ def test_spectral_qc(spark):
 
 def test_coverage(spark):
     obs = spark.createDataFrame([("quantified",), ("quantified",), ("zero",)], "quantification_status string")
-    assert {r.metric: r.value for r in qc.coverage_report(obs).collect()} == {"included_cells": 3.0, "quantified_cells": 2.0, "coverage": pytest.approx(2 / 3)}
-    assert {r.metric: r.value for r in qc.coverage_report(obs.limit(0)).collect()}["coverage"] == 0.0
+    assert {r.metric: r.value for r in qc.coverage_report(obs).collect()} == {"included_cells": 3.0, "quantified_cells": 2.0, "coverage_fraction": pytest.approx(2 / 3)}
+    assert {r.metric: r.value for r in qc.coverage_report(obs.limit(0)).collect()}["coverage_fraction"] == 0.0
+
+
+def test_registration_report(spark):
+    report = spark.createDataFrame([(1, 3, 1), (2, 3, 0)], "row_number int, registered_pixels long, truncated_pixels long")
+    assert {r.metric: r.value for r in qc.registration_report(report).collect()} == {"registered_pixels": 6.0, "truncated_pixels": 1.0}
+    assert {r.metric: r.value for r in qc.registration_report(report, {"orientation": "flip_x"}).collect()} == {"registered_pixels": "6", "truncated_pixels": "1", "transform_orientation": "flip_x"}
 
 
 def test_outliers_repeat(spark):
@@ -139,16 +145,16 @@ def hmdb(spark, rows):
 
 def test_annotation(spark):
     rows = [("HMDB2", "b", 100.0004, "POS"), ("HMDB1", "a", 100.0002, " pos"), ("HMDB3", "c", 300.0, "pos"), ("HMDB4", "d", 100.0, "neg")]
-    got = {r.feature_id: (r.hmdb_ids, r.hmdb_names) for r in ann.annotate_hmdb(queries(spark, [100, 200]), hmdb(spark, rows), " pos ").collect()}
+    got = {r.feature_id: (r.hmdb_accessions, r.hmdb_names) for r in ann.annotate_hmdb(queries(spark, [100, 200]), hmdb(spark, rows), " pos ").collect()}
     assert got == {"m1": ('["HMDB2","HMDB1"]', '["b","a"]'), "m2": ("[]", "[]")}
 
 
 def test_annotation_boundaries(spark):
     rows = [(n, n, m, "pos") for n, m in (("lower", 99.9995), ("upper", 100.0005), ("below", 99.99949), ("above", 100.00051))]
-    assert ann.annotate_hmdb(queries(spark, [100]), hmdb(spark, rows), "pos").first().hmdb_ids == '["lower","upper"]'
+    assert ann.annotate_hmdb(queries(spark, [100]), hmdb(spark, rows), "pos").first().hmdb_accessions == '["lower","upper"]'
     near = math.nextafter(100.0, 200)
-    assert ann.annotate_hmdb(queries(spark, [100]), hmdb(spark, [("x", "x", near, "pos")]), "pos", 0).first().hmdb_ids == "[]"
-    assert ann.annotate_hmdb(queries(spark, [100]), hmdb(spark, [("x", "x", 100.0, "pos")]), "pos", 0).first().hmdb_ids == '["x"]'
+    assert ann.annotate_hmdb(queries(spark, [100]), hmdb(spark, [("x", "x", near, "pos")]), "pos", 0).first().hmdb_accessions == "[]"
+    assert ann.annotate_hmdb(queries(spark, [100]), hmdb(spark, [("x", "x", 100.0, "pos")]), "pos", 0).first().hmdb_accessions == '["x"]'
 
 
 def test_metaboscape(spark):

@@ -306,7 +306,7 @@ def test_full_run_resumes(spark, run_folder):
     obs = frames["obs"].toPandas()
     assert len(obs) == 6 and {"cluster", "outlier", "trajectory_position", "laser_labels"} <= set(obs.columns) and (obs.quantification_status == "quantified").all()
     assert frames["trends"].count() == 5
-    assert [r.hmdb_ids for r in frames["var"].orderBy("feature_ord").collect()] == ['["H1"]', "[]", "[]"]
+    assert [r.hmdb_accessions for r in frames["var"].orderBy("feature_ord").collect()] == ['["H1"]', "[]", "[]"]
     before = {k: v["finished"] for k, v in pipeline.store.manifest()["stages"].items()}
     Pipeline(spark, config).run()
     assert before == {k: v["finished"] for k, v in pipeline.store.manifest()["stages"].items()}
