@@ -387,9 +387,9 @@ def _nation_rows(spark, d):
 act AS (SELECT s_suppkey::VARCHAR AS seg_label, 'intact' AS morphology, s_nationkey + 1 AS rn, s_suppkey::DOUBLE AS c, 1.0::DOUBLE AS area FROM supplier WHERE s_suppkey NOT IN (SELECT a FROM e UNION ALL SELECT b FROM e)
   UNION ALL SELECT a || '_' || b, 'combined', k + 1, (a + b) / 2.0::DOUBLE, 2.0::DOUBLE FROM e)
 SELECT seg_label, morphology, rn::INTEGER AS row_number, row_number() OVER (PARTITION BY rn ORDER BY c, seg_label)::INTEGER AS column_number, area FROM act
-UNION ALL SELECT s_suppkey::VARCHAR, 'spoilt', (s_nationkey + 1)::INTEGER, NULL, 1.0::DOUBLE FROM supplier WHERE s_suppkey IN (SELECT a FROM e UNION ALL SELECT b FROM e)""")
+UNION ALL SELECT s_suppkey::VARCHAR, 'spoilt', (s_nationkey + 1)::INTEGER, 0, 1.0::DOUBLE FROM supplier WHERE s_suppkey IN (SELECT a FROM e UNION ALL SELECT b FROM e)""")
 def merge_regions(spark, d):
-    return regions.merge_regions(*_nation_rows(spark, d)).select("seg_label", "morphology", "row_number", "column_number", "area")
+    return regions.merge_regions(*_nation_rows(spark, d)).select("seg_label", "morphology", "row_number", F.coalesce("column_number", F.lit(0)).alias("column_number"), "area")
 
 
 @query("register_rank_zip", f"WITH {_GRID} SELECT obs_id AS pixel_id, kr::INTEGER AS row_number, j::INTEGER AS column_number FROM pr")
