@@ -86,13 +86,17 @@ def spans(text: Column, kind: str) -> Column:
 
 
 def _near(parts: DataFrame, kinds: tuple[str, ...], wanted: DataFrame) -> DataFrame:
-    """``wanted`` spans with a part of one of ``kinds`` within SCOPE (interval join by bins)."""
+    """``wanted`` spans with a part of one of ``kinds`` within SCOPE (interval join by bins).
+
+    A span stands in every bin it touches and a part in every bin within SCOPE
+    of it, so near pairs share a bin; a span found in several bins counts once.
+    """
     others = parts.where(F.col("rank").isin([KINDS.index(k) for k in kinds]))
     reach = F.sequence(F.floor((F.col("start") - SCOPE) / SCOPE), F.floor((F.col("end") + SCOPE) / SCOPE))
     others = others.select(F.col("doc").alias("d"), F.explode(reach).alias("bin"), F.col("start").alias("s"), F.col("end").alias("e"))
-    mine = wanted.withColumn("bin", F.floor(F.col("start") / SCOPE))
+    mine = wanted.withColumn("bin", F.explode(F.sequence(F.floor(F.col("start") / SCOPE), F.floor(F.col("end") / SCOPE))))
     near = (mine.doc == others.d) & (mine.bin == others.bin) & (others.s - mine.end <= SCOPE) & (mine.start - others.e <= SCOPE)
-    return mine.join(others, near, "left_semi").drop("bin")
+    return mine.join(others, near, "left_semi").drop("bin").distinct()
 
 
 def scan(docs: DataFrame) -> DataFrame:

@@ -73,3 +73,18 @@ def test_prefix_sums(spark):
         values = [(7 * i) % 11 for i in range(n)]
         df = spark.createDataFrame([(values,)], "v array<long>")
         assert df.select(prefix_sums(F.col("v"))).first()[0] == [sum(values[: i + 1]) for i in range(n)]
+
+
+def test_links_do_not_depend_on_the_offset(spark):
+    """Every offset over two bins, both directions, short and long spans, at the last linked gap and beyond it."""
+    ident, opaque, long = "login: bob", "Zx81kQ02mPq7Rt5vYw3B", "login: " + "z" * 700
+    texts, expected = [], []
+    for offset in range(2 * s.SCOPE):
+        for left, right in ((ident, opaque), (opaque, ident), (long, opaque), (opaque, long)):
+            for gap in (s.SCOPE, s.SCOPE + 1):
+                texts.append("." * offset + left + "," * gap + right)
+                starts = {left: offset, right: offset + len(left) + gap}
+                own = [("opaque" if x == opaque else "ident", at, at + len(x)) for x, at in starts.items()]
+                expected.append(sorted(own, key=lambda x: x[1]) if gap == s.SCOPE else [])
+    got = scanned(spark, texts)
+    assert [i for i, e in enumerate(expected) if got[i][1] != e] == []
