@@ -3,13 +3,15 @@
 A file is compared with each template line by line (headers and notices) and
 as a whole (licence files).  Terms are lower-cased words; weights are
 log-frequency times inverse document frequency, and the document frequencies
-of the templates' terms are counted over all files (other terms count as occurring in
-one).  A cosine of ``COSINE`` or more is a match; the best template wins, ties
+of all terms are counted over all files.  A cosine of ``COSINE`` or more is a match; the best template wins, ties
 go to the first by name.
 
 Exact prefilter: a template is only compared with texts that hold one of its
 anchors, its heaviest terms in order until the rest weighs less than ``COSINE``
-of its norm - without an anchor no cosine can reach the threshold.
+of its norm - without an anchor no cosine can reach the threshold.  Nor can it
+in a file whose terms make up less than ``COSINE`` of the norm of each template.
+The few files left get the frequencies of their terms by a join; the templates'
+own terms are all that is broadcast.
 
 A file named like a licence (LICENSE, COPYING, ...) that matches licenses its
 directory.  A file without a match of its own takes the license of its nearest
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read_table, slices
+from .common import cut, hot_join, read_table, slices
 
 COSINE = 0.8
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|unlicense|notice|copyright)([-._].*)?$"
@@ -73,6 +75,8 @@ TEMPLATES = {
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"),
 }
 _TERM = re.compile(r"[^\W_]+")
+#: Terms counted in a task before they are handed on.
+_HELD = 100_000
 
 
 def terms(text: str) -> list[str]:
@@ -84,15 +88,16 @@ def _template_rows(templates) -> list[tuple[str, Counter]]:
 
 
 class Matcher:
-    """Templates as unit TF-IDF vectors with their anchors."""
+    """Templates as unit TF-IDF vectors with their anchors; ``frequency`` has the templates' terms."""
 
     def __init__(self, templates, frequency: dict[str, int], files: int):
-        self.most = math.log(1 + files)
+        self.files = files
         self.idf = {}
         rows = _template_rows(templates)
         for _, counts in rows:
             for t in counts:
-                self.idf[t] = math.log((1 + files) / (1 + frequency.get(t, 0))) + 1e-9
+                self.idf[t] = self.weight(frequency.get(t, 0))
+        self.once = self.weight(1)
         self.names, self.vectors, self.anchors, anchors = [], [], [], set()
         self.postings: dict[str, list[int]] = {}
         for name, counts in rows:
@@ -112,39 +117,60 @@ class Matcher:
             self.vectors.append(vector)
         self.any_anchor = frozenset(anchors)
 
-    def _vector(self, counts: Counter) -> dict[str, float]:
-        return {t: (1 + math.log(n)) * self.idf.get(t, self.most) for t, n in counts.items()}
+    def weight(self, n: int) -> float:
+        """Inverse document frequency of a term that ``n`` files hold."""
+        return math.log((1 + self.files) / (1 + n)) + 1e-9
 
-    def best(self, counts: Counter) -> tuple[float, str | None]:
+    def _vector(self, counts: Counter, idf: dict[str, float] | None = None) -> dict[str, float]:
+        """``idf`` has the terms besides the templates' that more than one file holds."""
+        other = idf or {}
+        return {t: (1 + math.log(n)) * (self.idf[t] if t in self.idf else other.get(t, self.once)) for t, n in counts.items()}
+
+    def _possible(self, seen: set[str]) -> list[int]:
+        """Templates that some unit with terms of ``seen`` may match: a cosine is at most the norm of the shared part."""
+        rivals = {i for t in self.postings.keys() & seen for i in self.postings[t]}
+        return [i for i in sorted(rivals) if sum(x * x for t, x in self.vectors[i].items() if t in seen) >= COSINE * COSINE - 1e-9]
+
+    def open_terms(self, text: str | None) -> list[str] | None:
+        """The terms whose frequencies ``scan`` needs besides the templates', None if nothing can match."""
+        seen = set(terms(text or ""))
+        return sorted(seen - self.idf.keys()) if self._possible(seen) else None
+
+    def best(self, counts: Counter, idf: dict[str, float] | None = None) -> tuple[float, str | None]:
         """(cosine, name) of the best template for a unit's terms, (0, None) below the threshold."""
         rivals = {i for t in self.postings.keys() & counts.keys() for i in self.postings[t]}
         if not rivals:
             return 0.0, None
-        vector = self._vector(counts)
+        vector = self._vector(counts, idf)
         norm = math.sqrt(sum(x * x for x in vector.values())) or 1.0
         found = [(sum(x * vector.get(t, 0.0) for t, x in self.vectors[i].items()) / norm, i) for i in sorted(rivals)]
         score, i = max(found, key=lambda x: (round(x[0], 12), -x[1]))
         return (score, self.names[i]) if score >= COSINE - 1e-12 else (0.0, None)
 
-    def scan(self, text: str | None) -> tuple[str | None, float, int | None]:
+    def scan(self, text: str | None, idf: dict[str, float] | None = None) -> tuple[str | None, float, int | None]:
         """(name, cosine, line) of the best unit; line 0 is the whole text, None is no match."""
         lines = (text or "").split("\n")
         hits = [(n, found) for n, line in enumerate(lines, 1) if not self.any_anchor.isdisjoint(found := terms(line))]
         if not hits:
             return None, 0.0, None
-        units = [(self.best(Counter(found)), n) for n, found in hits]
+        units = [(self.best(Counter(found), idf), n) for n, found in hits]
         if len(lines) > 1:
             whole: Counter = Counter()
             for line in lines:
                 whole.update(terms(line))
-            units.append((self.best(whole), 0))
+            units.append((self.best(whole, idf), 0))
         (score, name), line = max(units, key=lambda u: (u[0][0], -u[1]))
         return (name, score, line) if name else (None, 0.0, None)
 
 
-def train(files: DataFrame, templates=TEMPLATES) -> Matcher:
-    """Count the templates' terms over all files."""
-    vocabulary = frozenset(t for _, counts in _template_rows(templates) for t in counts)
+def count_terms(files: DataFrame, templates=TEMPLATES) -> DataFrame:
+    """(term, n): how many files hold each term; the term "" stands for all files.
+
+    Terms of one file are left out, except the templates': a file's term that is not listed is held by that file alone.
+    """
+
+    def rows(total: Counter):
+        return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["term", "n"])
 
     def count(batches):
         total: Counter = Counter()
@@ -152,25 +178,53 @@ def train(files: DataFrame, templates=TEMPLATES) -> Matcher:
             for text in batch.column(0).to_pylist():
                 total[""] += 1
                 if text:
-                    total.update(vocabulary.intersection(terms(text)))
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["term", "n"])
+                    total.update(set(terms(text)))
+                if len(total) >= _HELD:
+                    yield rows(total)
+                    total.clear()
+        yield rows(total)
 
+    listed = ["", *sorted({t for _, counts in _template_rows(templates) for t in counts})]
     counted = files.select(F.col("text").cast("string")).mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    frequency = {r.term: r.n for r in counted.collect()}  # at most one row per template term
+    return cut(counted.where((F.col("n") > 1) | F.col("term").isin(listed)))
+
+
+def train(counted: DataFrame, templates=TEMPLATES) -> Matcher:
+    """Templates weighted by the counts of all files."""
+    listed = ["", *sorted({t for _, counts in _template_rows(templates) for t in counts})]
+    frequency = {r.term: r.n for r in counted.where(F.col("term").isin(listed)).collect()}  # at most one row per template term
     return Matcher(templates, frequency, frequency.pop("", 0))
 
 
-def match_files(files: DataFrame, matcher: Matcher) -> DataFrame:
+def match_files(files: DataFrame, matcher: Matcher, counted: DataFrame) -> DataFrame:
     """(path, license, score, line) of every row of files(path, text)."""
     held = files.sparkSession.sparkContext.broadcast(matcher)
 
-    def run(batches):
+    def open_files(batches):
         for batch in slices(batches):
-            found = [held.value.scan(t) for t in batch.column(1).to_pylist()]
+            texts = batch.column(1).to_pylist()
+            found = [held.value.open_terms(t) for t in texts]
+            kept = [t if f is not None else None for t, f in zip(texts, found)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string()), pa.array(found, pa.list_(pa.string()))], ["path", "text", "terms"])
+
+    def run(batches):
+        for batch in slices(batches, 64):
+            found = []
+            for text, own, counts in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+                found.append(held.value.scan(text, {t: held.value.weight(n) for t, n in zip(own or [], counts or [])}))
             columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.int32()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["path", "license", "score", "line"])
 
-    return files.select(F.col("path").cast("string"), F.col("text").cast("string")).mapInArrow(run, "path string, license string, score double, line int")
+    rows = files.select(F.col("path").cast("string"), F.col("text").cast("string")).mapInArrow(open_files, "path string, text string, terms array<string>")
+    rows = cut(rows.withColumn("id", F.monotonically_increasing_id()))  # the ids stay as the lineage ends here
+    few = rows.where(F.col("terms").isNotNull())
+    words = few.select("id", F.explode("terms").alias("term"))
+    priced = hot_join(words, counted, words.groupBy("term").agg(F.count("*").alias("n")), "term", ["id"]).where(F.col("n").isNotNull())
+    priced = priced.groupBy("id").agg(F.collect_list(F.struct("term", "n")).alias("priced"))
+    ready = few.join(priced, "id", "left").select("path", "text", F.col("priced.term").alias("own"), F.col("priced.n").alias("counts"))
+    shape = "path string, license string, score double, line int"
+    rest = rows.where(F.col("terms").isNull()).select("path", F.lit(None).cast("string").alias("license"), F.lit(0.0).alias("score"), F.lit(None).cast("int").alias("line"))
+    return rest.union(ready.mapInArrow(run, shape))
 
 
 def inherit(matched: DataFrame) -> DataFrame:
@@ -190,7 +244,8 @@ def inherit(matched: DataFrame) -> DataFrame:
 
 def scan(files: DataFrame, templates=TEMPLATES) -> DataFrame:
     """(path, license, score, line, inherited_from) of files(path, text)."""
-    return inherit(cut(match_files(files, train(files, templates))))
+    counted = count_terms(files, templates)
+    return inherit(cut(match_files(files, train(counted, templates), counted)))
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

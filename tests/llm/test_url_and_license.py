@@ -118,3 +118,17 @@ def test_license_empty_and_repeats(spark):
     files = spark.createDataFrame(FILES, "path string, text string")
     assert ls.scan(files.limit(0)).collect() == []
     assert ls.scan(files.union(files)).count() == 2 * len(FILES)
+
+
+def test_every_term_has_its_document_frequency(spark):
+    """A term that most files hold weighs little, whether a template has it or not."""
+    files = [("a/n.py", "Released under the MIT License. weiter oben")] + [(f"b/{i}.py", f"weiter oben steht {i}") for i in range(400)]
+    frame = spark.createDataFrame(files, "path string, text string")
+    got = {r.path: r for r in ls.scan(frame).collect()}
+    n = len(files)
+    idf = lambda held: math.log((1 + n) / (1 + held)) + 1e-9
+    own, common = 5 * idf(1) ** 2, 2 * idf(n) ** 2
+    assert got["a/n.py"].license == "MIT" and got["a/n.py"].score == pytest.approx(math.sqrt(own / (own + common)))
+    assert [p for p, r in got.items() if r.license] == ["a/n.py"]
+    counted = {r.term: r.n for r in ls.count_terms(frame).collect()}
+    assert counted[""] == n and counted["weiter"] == n and counted["steht"] == 400 and "7" not in counted
