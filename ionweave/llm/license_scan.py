@@ -1,7 +1,12 @@
 """License scans: sparse TF-IDF cosine to templates, then nearest-ancestor inheritance.
 
-A file is compared with each template line by line (headers and notices) and
-as a whole (licence files).  Terms are lower-cased words; weights are
+A file is compared with each template line by line (headers and notices), as a
+whole (licence files), and by windows of as many terms as the template has
+(notices wrapped over lines or inside a long one): every window that holds an
+anchor is scored, the best of each run of overlapping ones is a unit, and its
+line is where it starts.  A window yields to a longer match of another license
+that covers more than half of it (BSD-2-Clause is the beginning of BSD-3-Clause).
+Terms are lower-cased words; weights are
 log-frequency times inverse document frequency, and the document frequencies
 of all terms are counted over all files.  A cosine of ``COSINE`` or more is a match; the best template wins, ties
 go to the first by name.
@@ -28,7 +33,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -98,7 +105,7 @@ class Matcher:
             for t in counts:
                 self.idf[t] = self.weight(frequency.get(t, 0))
         self.once = self.weight(1)
-        self.names, self.vectors, self.anchors, anchors = [], [], [], set()
+        self.names, self.vectors, self.own, self.sizes, anchors = [], [], [], [], set()
         self.postings: dict[str, list[int]] = {}
         for name, counts in rows:
             vector = self._vector(counts)
@@ -113,6 +120,8 @@ class Matcher:
             anchors |= own
             for t in own:
                 self.postings.setdefault(t, []).append(len(self.names))
+            self.own.append(frozenset(own))
+            self.sizes.append(counts.total())
             self.names.append(name)
             self.vectors.append(vector)
         self.any_anchor = frozenset(anchors)
@@ -147,20 +156,75 @@ class Matcher:
         score, i = max(found, key=lambda x: (round(x[0], 12), -x[1]))
         return (score, self.names[i]) if score >= COSINE - 1e-12 else (0.0, None)
 
+    def _slide(self, words: list[str], i: int, low: int, high: int, idf: dict[str, float]) -> int:
+        """Start, from ``low`` to ``high``, of the window most like template i; the first of equals."""
+        size, template = self.sizes[i], self.vectors[i]
+        best, at = -1.0, low
+        fresh = True
+        for start in range(low, high + 1):
+            if not fresh:
+                for t, step in ((words[start - 1], -1), (words[start + size - 1], 1)):
+                    n = counts[t]
+                    old = (1 + math.log(n)) * weight[t] if n else 0.0
+                    weight[t] = weight.get(t) or self._vector({t: 1}, idf)[t]
+                    counts[t] = n + step
+                    new = (1 + math.log(n + step)) * weight[t] if n + step else 0.0
+                    dot += (new - old) * template.get(t, 0.0)
+                    square += new * new - old * old
+            if fresh or square < 1e-6:  # too small for differences
+                counts = Counter(words[start : start + size])
+                weight = self._vector(dict.fromkeys(counts, 1), idf)
+                vector = self._vector(counts, idf)
+                dot = sum(x * template.get(t, 0.0) for t, x in vector.items())
+                square = sum(x * x for x in vector.values())
+                fresh = False
+            score = round(dot / (math.sqrt(square) or 1.0), 9)
+            if score > best:
+                best, at = score, start
+        return at
+
+    def _windows(self, words: list[str], idf: dict[str, float]) -> list[tuple[int, int]]:
+        """(begin, end) in ``words`` of the best window of each run of windows that hold an anchor, for every template."""
+        out = set()
+        for i in self._possible(set(words)):
+            size, last = self.sizes[i], len(words) - self.sizes[i]
+            if last <= 0:
+                continue
+            runs: list[list[int]] = []
+            for p, t in enumerate(words):
+                if t in self.own[i]:
+                    low, high = max(0, p - size + 1), min(p, last)
+                    if runs and low <= runs[-1][1] + 1:
+                        runs[-1][1] = high
+                    else:
+                        runs.append([low, high])
+            for low, high in runs:
+                at = self._slide(words, i, low, high, idf)
+                out.add((at, at + size))
+        return sorted(out)
+
     def scan(self, text: str | None, idf: dict[str, float] | None = None) -> tuple[str | None, float, int | None]:
         """(name, cosine, line) of the best unit; line 0 is the whole text, None is no match."""
-        lines = (text or "").split("\n")
-        hits = [(n, found) for n, line in enumerate(lines, 1) if not self.any_anchor.isdisjoint(found := terms(line))]
-        if not hits:
+        lines = [terms(line) for line in (text or "").split("\n")]
+        words = [t for line in lines for t in line]
+        if self.any_anchor.isdisjoint(words):
             return None, 0.0, None
-        units = [(self.best(Counter(found), idf), n) for n, found in hits]
+        ends = list(accumulate(map(len, lines)))
+        units = [(n, end - len(line), end, False) for n, (line, end) in enumerate(zip(lines, ends), 1) if not self.any_anchor.isdisjoint(line)]
         if len(lines) > 1:
-            whole: Counter = Counter()
-            for line in lines:
-                whole.update(terms(line))
-            units.append((self.best(whole, idf), 0))
-        (score, name), line = max(units, key=lambda u: (u[0][0], -u[1]))
-        return (name, score, line) if name else (None, 0.0, None)
+            units.append((0, 0, len(words), False))
+        units += [(bisect_right(ends, begin) + 1, begin, end, True) for begin, end in self._windows(words, idf or {})]
+        found = [(*self.best(Counter(words[begin:end]), idf), line, begin, end, window) for line, begin, end, window in units]
+        found = [u for u in found if u[1]]
+        longest = [u for u in found if not (u[5] and any(self._yields(u, v) for v in found))]
+        # of equals the first line counts, then the longest unit
+        score, name, line, *_ = max(longest, key=lambda u: (round(u[0], 12), -u[2], u[4] - u[3]), default=(0.0, None, None))
+        return name, score, line
+
+    @staticmethod
+    def _yields(unit: tuple, other: tuple) -> bool:
+        (name, _, begin, end), (rival, _, b, e) = unit[1:5], other[1:5]
+        return name != rival and e - b > end - begin and 2 * (min(e, end) - max(b, begin)) > end - begin
 
 
 def count_terms(files: DataFrame, templates=TEMPLATES) -> DataFrame:

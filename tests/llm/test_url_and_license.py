@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 import random
 import re
+import textwrap
 from itertools import product
 
 import pytest
@@ -132,3 +133,46 @@ def test_every_term_has_its_document_frequency(spark):
     assert [p for p, r in got.items() if r.license] == ["a/n.py"]
     counted = {r.term: r.n for r in ls.count_terms(frame).collect()}
     assert counted[""] == n and counted["weiter"] == n and counted["steht"] == 400 and "7" not in counted
+
+
+def test_notices_wrapped_or_inside_a_long_line(spark):
+    rng = random.Random(4)
+    code = [f"value_{i} = other_{rng.randint(0, 99)} + call_{i % 7}(row, {i})" for i in range(60)]
+    notices = {
+        "MIT": ls.TEMPLATES["MIT"][3], "GPL-3.0": ls.TEMPLATES["GPL-3.0"][2], "ISC": ls.TEMPLATES["ISC"][0], "Apache-2.0": ls.TEMPLATES["Apache-2.0"][2],
+        "BSD-2-Clause": ls.TEMPLATES["BSD-2-Clause"][0], "BSD-3-Clause": ls.TEMPLATES["BSD-3-Clause"][0].replace("the copyright holder nor", "Example Corporation nor"),
+    }
+    files, expected = [], {}
+    for name, notice in notices.items():
+        for mark in ("# ", " * ", "// "):
+            path = f"{len(files)}.py"
+            header = [mark + x for x in textwrap.wrap(notice, 72)]
+            files.append((path, "\n".join(code[:20] + header + code[20:])))
+            expected[path] = (name, 21)
+        path = f"{len(files)}.py"
+        files.append((path, "\n".join(["first", " ".join(code[:30]) + " " + notice + " " + " ".join(code[30:])])))
+        expected[path] = (name, 2)
+    files += [(f"p/{i}.py", "\n".join(code[i:])) for i in range(60)]
+    got = {r.path: r for r in ls.scan(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert {p: (r.license, r.line) for p, r in got.items() if r.license} == expected
+
+
+def test_windows_are_the_best_of_all():
+    """The sliding sums find the same best window as scoring each window anew."""
+    rng = random.Random(6)
+    matcher = ls.Matcher(ls.TEMPLATES, {"the": 900, "license": 3, "licensed": 4, "of": 800, "a": 700}, 1000)
+    idf = {"alpha": matcher.weight(500), "beta": matcher.weight(90)}
+    for _ in range(40):
+        i = rng.randrange(len(matcher.names))
+        notice = ls.terms(rng.choice(ls.TEMPLATES[matcher.names[i]]))
+        words = [rng.choice(["alpha", "beta", "the", "of", "gamma"]) for _ in range(60)]
+        words[30:30] = [t for t in notice if rng.random() < 0.9]
+        last = len(words) - matcher.sizes[i]
+        if last < 0:
+            continue
+
+        def like(at):
+            vector = matcher._vector(ls.Counter(words[at : at + matcher.sizes[i]]), idf)
+            return sum(x * matcher.vectors[i].get(t, 0.0) for t, x in vector.items()) / math.sqrt(sum(x * x for x in vector.values()))
+
+        assert like(matcher._slide(words, i, 0, last, idf)) == pytest.approx(max(map(like, range(last + 1))), abs=1e-8)
