@@ -7,11 +7,11 @@ Base kinds, always reported:
 * ``hex``     24 or more lower-case hex digits.
 
 Weak kinds, reported only when complementary parts lie within ``SCOPE``
-code points of them in the same text:
+code points of them in the same text, and no two of the parts overlap:
 
 * ``ident``     a named login, account or client id - beside a secret
   (``assign``, ``hex`` or ``opaque``);
-* ``opaque``    16 to 128 characters of mixed case and digits - beside an
+* ``opaque``    16 or more characters of mixed case and digits - beside an
   identifier (``access`` or ``ident``);
 * ``endpoint``  a URL or host and port - beside an identifier and a secret.
 
@@ -19,7 +19,9 @@ Positions come from splitting the text at the pattern and summing the lengths
 of what lies between and in the matches, all in code points.  Linking is an
 interval join: parts of documents that have both sides are dealt into bins of
 ``SCOPE`` code points and semi-joined on (document, bin) with the exact distance
-as condition, so no pairs leave the join.
+as condition, so no pairs leave the join.  An endpoint needs two parts that do not
+overlap each other either; there the pairs (few, as parts of a kind near a span
+stand side by side) are merged at once into first ends and last starts.
 
 Cases: null text counts as empty and has no spans; documents are told apart by
 (doc_id, text hash), so null and repeated ids are scanned like others;
@@ -44,7 +46,7 @@ BASE = {"assign": (ASSIGN, 2, 6), "access": (r"AKIA[A-Z0-9]+", 0, 20), "hex": (r
 _SCAN = {"hex": r"[0-9a-f]{24,}", "access": r"AKIA[A-Z0-9]{16,}"}
 WEAK = {
     "ident": (r"""(?i)(?<![A-Za-z0-9])(?:client_?id|access_?key_?id|account(?:_?id)?|user_?(?:name|id)?|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,}""", 0, 0),
-    "opaque": (r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*[0-9])(?=[A-Z0-9+/_-]*[a-z])(?=[a-z0-9+/_-]*[A-Z])[A-Za-z0-9+/_-]{16,128}={0,2}(?![A-Za-z0-9+/_=-])", 0, 0),
+    "opaque": (r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*[0-9])(?=[A-Z0-9+/_-]*[a-z])(?=[a-z0-9+/_-]*[A-Z])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])", 0, 0),
     "endpoint": (r"(?i)https?://[A-Za-z0-9.-]+(?::[0-9]{1,5})?|(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}:[0-9]{2,5}(?![0-9])", 0, 0),
 }
 KINDS = [*BASE, *WEAK]
@@ -85,20 +87,38 @@ def spans(text: Column, kind: str) -> Column:
     return F.when(_GATE[kind](text), rows).otherwise(F.array().cast(_SPAN)).cast(_SPAN)
 
 
-def _near(parts: DataFrame, kinds: tuple[str, ...], wanted: DataFrame) -> DataFrame:
-    """``wanted`` spans with a part of one of ``kinds`` within SCOPE (interval join by bins).
+def _pairs(parts: DataFrame, kinds: tuple[str, ...], wanted: DataFrame) -> tuple[DataFrame, DataFrame, Column]:
+    """``wanted`` spans, parts of ``kinds`` and the condition that they are near but disjoint (interval join by bins).
 
     A span stands in every bin it touches and a part in every bin within SCOPE
-    of it, so near pairs share a bin; a span found in several bins counts once.
+    of it, so near pairs share a bin.
     """
     others = parts.where(F.col("rank").isin([KINDS.index(k) for k in kinds]))
     reach = F.sequence(F.floor((F.col("start") - SCOPE) / SCOPE), F.floor((F.col("end") + SCOPE) / SCOPE))
     others = others.select(F.col("doc").alias("d"), F.explode(reach).alias("bin"), F.col("start").alias("s"), F.col("end").alias("e"))
     mine = wanted.withColumn("bin", F.explode(F.sequence(F.floor(F.col("start") / SCOPE), F.floor(F.col("end") / SCOPE))))
     near = (mine.doc == others.d) & (mine.bin == others.bin) & (others.s - mine.end <= SCOPE) & (mine.start - others.e <= SCOPE)
+    return mine, others, near & ((others.s >= mine.end) | (others.e <= mine.start))
+
+
+def _near(parts: DataFrame, kinds: tuple[str, ...], wanted: DataFrame) -> DataFrame:
+    """``wanted`` spans with a disjoint part of one of ``kinds`` within SCOPE; one found in several bins counts once."""
+    mine, others, near = _pairs(parts, kinds, wanted)
     return mine.join(others, near, "left_semi").drop("bin").distinct()
 
 
+def _near_both(parts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` spans with an identifier and a secret within SCOPE, all three disjoint."""
+
+    def sides(kinds: tuple[str, ...], name: str) -> DataFrame:
+        mine, others, near = _pairs(parts, kinds, wanted)
+        return mine.join(others, near).groupBy("doc", "start", "rank", "end").agg(F.min("e").alias(f"{name}_end"), F.max("s").alias(f"{name}_start"))
+
+    a, b = sides(IDENTIFIER, "i"), sides(SECRET, "s").withColumnsRenamed({"doc": "d", "start": "first", "rank": "r", "end": "last"})
+    both = a.join(b, (F.col("doc") == F.col("d")) & (F.col("start") == F.col("first")) & (F.col("end") == F.col("last")))
+    return both.where("i_end <= s_start or s_end <= i_start").select("doc", "start", "rank", "end")
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, base, added): sorted span arrays (start, rank, end) of every document."""
     text = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("t"))
@@ -119,7 +139,7 @@ def scan(docs: DataFrame) -> DataFrame:
     added = (
         _near(parts, SECRET, kind["ident"])
         .union(_near(parts, IDENTIFIER, kind["opaque"]))
-        .union(_near(parts, SECRET, _near(parts, IDENTIFIER, kind["endpoint"])))
+        .union(_near_both(parts, kind["endpoint"]))
     )
     added = added.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "end"))).alias("added"))
     out = scanned.join(added.withColumnRenamed("doc", "d"), F.col("doc").eqNullSafe(F.col("d")), "left")
