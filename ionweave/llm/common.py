@@ -75,6 +75,19 @@ def in_training(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 != 0
 
 
+#: Hashes of ``sample_hash`` are at most this.
+MOST_HASH = (1 << 63) - 1
+
+
+def sample_hash(key: Column) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(key), 1)
+
+
+def sample_limit(n: int, sample: int) -> int:
+    """About ``sample`` of ``n`` rows have a ``sample_hash`` of at most this, all if they are no more; above 0 for every n."""
+    return MOST_HASH if n <= sample else max(1, sample * MOST_HASH // n)
+
+
 def let(value: Column, body) -> Column:
     """Bind ``value`` once for the lambda ``body`` (a higher-order ``let``)."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

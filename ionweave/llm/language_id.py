@@ -9,10 +9,11 @@ bits per language for every four-byte string seen in training, and for the rest
 escape and the tables of the shorter contexts.  A text's score is its exact
 total code length, and the language with the shortest code wins.
 
-Training uses a bounded sample: about ``SAMPLE`` documents of each of the
-``LANGUAGES`` most frequent languages, chosen by a hash of doc_id among the rows
-with crc32(doc_id as text) mod 5 not 0.  The trees are counted on the executors;
-their size is that of the sample's four-byte strings.
+Training uses a bounded sample of every language: about ``SAMPLE`` documents,
+chosen by a hash of doc_id among the rows with crc32(doc_id as text) mod 5 not 0.
+The trees are counted on the executors; the tables hold the sample's four-byte
+strings times the languages, so beyond ``LANGUAGES`` languages each gets fewer
+documents, down to one, by the square of their number.
 
 Cases: null texts and texts without a letter are ``und`` with score 0; ties go
 to the first language by name; texts of any length are coded whole, in blocks;
@@ -27,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_training, read_table, slices
+from .common import BROADCAST_ROWS, in_training, read_table, sample_hash, sample_limit, slices
 
 ORDER = 3
 SAMPLE = 1500
 LANGUAGES = 200
 _BLOCK = 1 << 19
+#: Bytes times languages that are coded at once.
+_CELLS = 1 << 26
 
 
 def _grams(data: np.ndarray) -> np.ndarray:
@@ -137,14 +140,15 @@ class Ppm:
         """Total bits of each text in each language; texts share blocks, long ones span several."""
         out = np.zeros((len(texts), len(self.names)))
         starts, grams, size = [], [], 0
+        block = max(1, min(_BLOCK, _CELLS // max(1, len(self.names))))
         for i, text in enumerate(texts):
             data = np.frombuffer(b"\0\0\0" + text, np.uint8)
-            for at in range(0, len(data) - 3, _BLOCK):
-                part = _grams(data[at : at + _BLOCK + 3])
+            for at in range(0, len(data) - 3, block):
+                part = _grams(data[at : at + block + 3])
                 starts.append((i, size))
                 grams.append(part)
                 size += len(part)
-                if size >= _BLOCK:
+                if size >= block:
                     self._add(out, starts, grams)
                     starts, grams, size = [], [], 0
         self._add(out, starts, grams)
@@ -169,11 +173,14 @@ class Ppm:
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Ppm:
-    """Context trees from about ``sample`` training documents of each language."""
+    """Context trees from about ``sample`` training documents of each language (fewer beyond LANGUAGES)."""
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & in_training(F.col("doc_id")))
-    per_language = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    rates = docs.sparkSession.createDataFrame([(r.lang, min(1_000_000, sample * 1_000_000 // r.n)) for r in per_language], "lang string, rate int")
-    chosen = known.join(F.broadcast(rates), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("rate"))
+    per_language = known.groupBy("lang").agg(F.count("*").alias("n")).collect()
+    if len(per_language) > LANGUAGES:
+        sample = max(1, sample * LANGUAGES**2 // len(per_language) ** 2)
+    limits = docs.sparkSession.createDataFrame([(r.lang, sample_limit(r.n, sample)) for r in per_language], "lang string, most long")
+    limits = F.broadcast(limits) if len(per_language) <= BROADCAST_ROWS else limits
+    chosen = known.join(limits, "lang").where(sample_hash(F.col("doc_id")) <= F.col("most"))
 
     def count(batches):
         for batch in batches:
@@ -187,8 +194,13 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Ppm:
 
     grams = chosen.select(F.col("lang").cast("string"), F.col("text").cast("binary")).mapInArrow(count, "lang string, gram long, n long")
     table = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
-    lang, gram, n = (table.column(c).to_numpy() for c in ("lang", "gram", "n"))
-    return Ppm({name: (gram[lang == name].astype(np.uint32), n[lang == name].astype(float)) for name in sorted(set(lang))})
+    gram, n = (table.column(c).to_numpy() for c in ("gram", "n"))
+    lang = table.column("lang").combine_chunks().dictionary_encode()
+    at = lang.indices.to_numpy()
+    order = np.argsort(at, kind="stable")
+    bounds = np.searchsorted(at[order], np.arange(len(lang.dictionary) + 1))
+    own = {name: order[a:b] for name, a, b in zip(lang.dictionary.to_pylist(), bounds, bounds[1:])}
+    return Ppm({name: (gram[rows].astype(np.uint32), n[rows].astype(float)) for name, rows in own.items()})
 
 
 def identify(docs: DataFrame, model: Ppm) -> DataFrame:

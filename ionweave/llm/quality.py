@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_training, read_table, sized, slices
+from .common import in_training, read_table, sample_hash, sample_limit, sized, slices
 
 BITS = 17
 HASHED = 1 << BITS
@@ -177,10 +177,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     counts = {r.quality: r.n for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     total = sum(counts.values())
     share = counts.get(1, 0) / total if total else 0.5
-    rate = F.lit(0)
+    limit = F.lit(0).cast("long")
     for label, n in counts.items():
-        rate = F.when(F.col("quality") == label, F.lit(min(1_000_000, sample * 1_000_000 // n))).otherwise(rate)
-    chosen, _ = sized(known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < rate))
+        limit = F.when(F.col("quality") == label, F.lit(sample_limit(n, sample)).cast("long")).otherwise(limit)
+    chosen, _ = sized(known.where(sample_hash(F.col("doc_id")) <= limit))
 
     def features(batches):
         ids_of = Indicators()

@@ -175,3 +175,27 @@ def test_slots_find_keys():
     assert slots.find(keys).tolist() == list(range(len(keys)))
     others = np.setdiff1d(np.arange(100_000, dtype=np.uint32), keys)
     assert (slots.find(others) == -1).all()
+
+
+def test_classes_of_any_size_are_learned(spark):
+    """Over a million rows for each one wanted, as at billions of rows with the full sample."""
+    from pyspark.sql import functions as F
+
+    many = spark.range(4_000_000).select(F.col("id").alias("doc_id"), F.lit("lala lulu").alias("text"), F.lit("aa").alias("lang"))
+    few = spark.range(5_000_000, 5_000_040).select(F.col("id").alias("doc_id"), F.lit("xyz zyx").alias("text"), F.lit("bb").alias("lang"))
+    docs = many.union(few)
+    assert li.train(docs, sample=3).names == ["aa", "bb"]
+    labels = docs.select("doc_id", F.when(F.col("lang") == "aa", 1).otherwise(0).alias("quality"))
+    assert q.train(docs, labels, sample=3).weights is not None
+    for n in (10, 10**10, 10**18):
+        assert 0 < q.sample_limit(n, 3000) <= (1 << 63) - 1 and q.sample_limit(n, 3000) / (1 << 63) == pytest.approx(min(1, 3000 / n))
+
+
+def test_every_language_is_learned(spark):
+    names = [f"l{i:03}" for i in range(230)]
+    texts = {name: " ".join(chr(0x4E00 + 40 * i + j) for j in range(30)) for i, name in enumerate(names)}
+    rows = [(len(names) * k + i, texts[name], name) for k in range(6) for i, name in enumerate(names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = li.train(docs)
+    assert model.names == names
+    assert {r.doc_id: r.lang_pred for r in li.identify(docs, model).collect()} == {i: name for i, _, name in rows}
