@@ -22,8 +22,6 @@ from ..model import MatrixBundle, check_rows, choice, number, require, whole
 from ..session import cut
 
 RANKINGS = ("t-test", "t-test_overestim_var", "wilcoxon")
-#: Observations up to which modularity is optimised on the driver; beyond it labels propagate in DataFrames.
-DRIVER_NODES = 200_000
 
 
 def feature_variance(x: DataFrame, var: DataFrame, n_obs: int) -> DataFrame:
@@ -97,21 +95,24 @@ def modularity_communities(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray,
     while True:
         size = labels.max() + 1
         ends, back = labels[a], labels[b]
-        near: list[dict[int, float]] = [{} for _ in range(size)]
         strength = np.zeros(size)
         np.add.at(strength, ends, w)
         np.add.at(strength, back, w)
-        for i, j, x in zip(ends.tolist(), back.tolist(), w.tolist()):
-            if i != j:
-                near[i][j] = near[i].get(j, 0.0) + x
-                near[j][i] = near[j].get(i, 0.0) + x
+        # the sums of equal pairs, by node and then in order of appearance
+        pair = np.stack([ends * size + back, back * size + ends], 1)[ends != back].ravel()
+        pair, first, at = np.unique(pair, return_index=True, return_inverse=True)
+        sums = np.bincount(at, np.repeat(w[ends != back], 2), len(pair))
+        order = np.lexsort((first, pair // size))
+        from_ = np.searchsorted(pair, np.arange(size + 1) * size)
+        others, sums = (pair % size)[order], sums[order]
         total = max(strength.sum(), 1e-300)
         own, volume, moved = np.arange(size), strength.copy(), False
         for _ in range(50):
             changed = 0
             for i in rng.permutation(size).tolist():
                 links: dict[int, float] = {}
-                for j, x in near[i].items():
+                part = slice(from_[i], from_[i + 1])
+                for j, x in zip(others[part].tolist(), sums[part].tolist()):
                     links[own[j]] = links.get(own[j], 0.0) + x
                 here = own[i]
                 volume[here] -= strength[i]
@@ -131,7 +132,7 @@ def modularity_communities(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray,
 
 
 def propagate_labels(edges: DataFrame, rounds: int = 20) -> DataFrame:
-    """(node, community): weighted label propagation in DataFrames, for graphs beyond the driver."""
+    """(node, community): weighted label propagation in DataFrames, without resolution, at most ``rounds`` rounds."""
     both = cut(edges.select("a", "b", "weight").union(edges.select(F.col("b"), F.col("a"), "weight")))
     labels = cut(both.select(F.col("a").alias("node")).distinct().withColumn("community", F.col("node")))
     for _ in range(rounds):
@@ -145,7 +146,10 @@ def propagate_labels(edges: DataFrame, rounds: int = 20) -> DataFrame:
 
 
 def cluster_cells(bundle: MatrixBundle, n_neighbors: int = 15, resolution: float = 0.6, seed: int = 0, key: str = "cluster", n_features: int | None = None) -> MatrixBundle:
-    """PCA, exact neighbours, modularity communities; ``obs`` gains ``key``.  Cluster names follow size, then first member."""
+    """PCA, exact neighbours, modularity communities; ``obs`` gains ``key``.  Cluster names follow size, then first member.
+
+    At every size the driver holds the graph, at most n * n_neighbors edges as numbers.
+    """
     whole("n_neighbors", n_neighbors, AnalysisError, low=2)
     number("resolution", resolution, AnalysisError, above=0)
     whole("seed", seed, AnalysisError, low=0, high=2**32 - 1)
@@ -161,16 +165,16 @@ def cluster_cells(bundle: MatrixBundle, n_neighbors: int = 15, resolution: float
         x = x.join(var, "feature_id", "left_semi")
     points = principal_components(blocks.vectors(x, bundle.obs, var), var.count())
     edges = neighbor_graph(knn(points, n_neighbors))
-    if n <= DRIVER_NODES:
-        pdf = edges.orderBy("a", "b").toPandas()
-        ids = [r.obs_id for r in bundle.obs.orderBy("obs_ord").select("obs_id").collect()]
-        place = {o: i for i, o in enumerate(ids)}
-        found = modularity_communities(n, pdf.a.map(place).to_numpy(), pdf.b.map(place).to_numpy(), pdf.weight.to_numpy(), resolution, seed)
-        order = sorted(set(found), key=lambda c: (-(found == c).sum(), np.flatnonzero(found == c)[0]))
-        names = {c: str(i) for i, c in enumerate(order)}
-        labels = bundle.obs.sparkSession.createDataFrame(pd.DataFrame({"obs_id": ids, key: [names[c] for c in found]}))
-    else:
-        labels = propagate_labels(edges).select(F.col("node").alias("obs_id"), F.col("community").cast("string").alias(key))
+    ends = bundle.obs.select("obs_id", "obs_ord")
+    numbered = edges.join(ends.toDF("a", "i"), "a").join(ends.toDF("b", "j"), "b").orderBy("a", "b").select("i", "j", "weight").toArrow()
+    rows = ends.orderBy("obs_ord").toArrow()
+    ordinals = rows.column("obs_ord").to_numpy()
+    i, j = (np.searchsorted(ordinals, numbered.column(c).to_numpy()) for c in "ij")
+    found = modularity_communities(n, i, j, numbered.column("weight").to_numpy(), resolution, seed)
+    _, first, label, size = np.unique(found, return_index=True, return_inverse=True, return_counts=True)
+    name = np.empty(len(size), np.int64)
+    name[np.lexsort((first, -size))] = np.arange(len(size))
+    labels = bundle.obs.sparkSession.createDataFrame(pd.DataFrame({"obs_id": rows.column("obs_id").to_pylist(), key: name[label].astype(str).astype(object)}))
     meta = {**bundle.meta, "clustering": {"n_neighbors": n_neighbors, "resolution": resolution, "seed": seed, "key": key}}
     return MatrixBundle(bundle.obs.join(labels, "obs_id", "left"), bundle.var, bundle.x, dict(bundle.layers), meta)
 

@@ -357,3 +357,22 @@ def test_plot_tables(spark):
     with pytest.raises(AnalysisError):
         pl.trajectory_plot(trends)
     assert pl.usage_plot(MatrixBundle(obs.withColumn("Usage_1", F.lit(0.5)), b.var, b.x), "Usage_1").count() == 3
+
+
+def test_clusters_are_the_same_rule_at_every_size(spark, monkeypatch):
+    monkeypatch.setattr(an, "DRIVER_NODES", 10, raising=False)  # once the size at which the algorithm changed
+    rng = np.random.default_rng(6)
+    a = np.vstack([rng.normal(0, 0.3, (15, 4)), rng.normal(6, 0.3, (20, 4))])
+
+    def found(**more):
+        return [r.cluster for r in an.cluster_cells(bundle(spark, a), n_neighbors=5, **more).obs.orderBy("obs_ord").collect()]
+
+    assert found(resolution=0.1) == ["1"] * 15 + ["0"] * 20
+    assert len(set(found(resolution=4))) > 2
+
+
+def test_communities_of_repeated_and_looped_edges():
+    """Pairs given twice or in both directions add up; self-loops only add strength."""
+    a, b = np.array([0, 1, 1, 2, 3, 4, 3, 2, 2]), np.array([1, 0, 2, 0, 4, 5, 5, 3, 2])
+    found = an.modularity_communities(6, a, b, np.array([1, 1, 1, 1, 1, 1, 1, 0.1, 0.5]), 1.0, 0)
+    assert found.tolist() == [found[0]] * 3 + [found[3]] * 3 and found[0] != found[3]
