@@ -13,9 +13,10 @@ one space.  The steps:
    directory's.  The driver sees only the histogram over the first ``MAX_DEPTH``
    bits (at most 65,536 rows).  A bucket still over capacity at ``MAX_DEPTH``
    keeps its rows as overflow pages: its owner's aggregation spills.
-4. Owner tasks: index entries go to their bucket's file; entries of more than
-   one row are checked by the bytes of the text, collisions chained: texts
-   with equal hash and digest but other bytes form groups of their own.
+4. Owner tasks: index entries go to their bucket's file.
+5. Groups: the index only selects candidates, the hashes of entries with more
+   than one row; buckets are not read here.  The candidates' texts are grouped
+   by hash and bytes: texts with equal hash but other bytes form groups of their own.
 
 Cases: null text counts as empty; rows without doc_id belong to their group,
 count in its size and are not kept unless no row of the group has an id;
