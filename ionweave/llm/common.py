@@ -43,6 +43,57 @@ def drop_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.join(ids, key, "left_anti").select(docs.columns) if rows else docs
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def fingerprint128(*values: Column) -> Column:
+    """128 bits of ``values`` as a struct, nulls told apart from absent values."""
+    told = [*values, *[v.isNull() for v in values]]
+    return F.struct(F.xxhash64(*told).alias("a"), F.xxhash64(F.lit(1), *told).alias("b"))
+
+
+def row_key(docs: DataFrame) -> Column:
+    """Key of a row's content: rows share it only when all their columns are equal."""
+    plain = [F.col(f"`{f.name}`") if "map<" not in f.dataType.simpleString() else F.to_json(F.struct(F.col(f"`{f.name}`"))) for f in docs.schema]
+    return fingerprint128(*plain)
+
+
+def without(docs: DataFrame, key: Column, gone: DataFrame, how: str = "left_anti") -> DataFrame:
+    """``docs`` without the rows whose ``key`` is in ``gone(key)``; with only those for ``left_semi``."""
+    name = free_name(docs, "_key")
+    return docs.withColumn(name, key).join(gone.select(F.col("key").alias(name)), name, how).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def keep_one(docs: DataFrame, tagged: DataFrame) -> DataFrame:
+    """``docs`` with exactly one row of every group of ``tagged(id, key, group)``.
+
+    ``tagged`` has a line for each row that shares its group with others, with
+    the row's ``row_key``.  The smallest id stays, rows without one last, then
+    the smallest key; of rows equal in every column any one.  Keys are narrow:
+    texts are read again only where a row's fate is applied.
+    """
+    best = tagged.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("best"), F.count("*").alias("n"))
+    best = cut(best)
+    lines = look_up(tagged, best.select("group", "best"), best.select("group", "n"), "group", ["key"])
+    fates = lines.groupBy("key").agg(F.max(F.col("key") == F.col("best.key")).alias("wins"), F.count("*").alias("n"))
+    fates = cut(fates.where("not wins or n > 1"))
+    gone, rows = sized(fates.select("key"))
+    if not rows:
+        return docs
+    out = without(docs, row_key(docs), gone)
+    again, rows = sized(fates.where("wins").select("key"))
+    if rows:
+        same = without(docs, row_key(docs), again, "left_semi")
+        name = free_name(docs, "_key")
+        out = out.union(same.withColumn(name, row_key(docs)).dropDuplicates([name]).drop(name))
+    return out
+
+
 #: A key is hot above one part in HOT_PART of all rows, so at most HOT_PART keys are; each gets SALTS parts.
 HOT_PART = 1000
 SALTS = 64
@@ -63,6 +114,13 @@ def hot_join(rows: DataFrame, facts: DataFrame, counts: DataFrame, key: str, by:
     return left.join(right, [key, "_part"], "left").drop("_part")
 
 
+def look_up(rows: DataFrame, facts: DataFrame, counts: DataFrame, key: str, by: list[str]) -> DataFrame:
+    """``hot_join``, or a broadcast where the materialised ``facts`` are few and narrow."""
+    if facts.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(facts), key, "left")
+    return hot_join(rows, facts, counts, key, by)
+
+
 def slices(batches, rows: int = 1024):
     """Arrow batches in smaller parts, so that Python objects exist for one part at a time."""
     for batch in batches:

@@ -13,15 +13,23 @@ one space.  The steps:
    directory's.  The driver sees only the histogram over the first ``MAX_DEPTH``
    bits (at most 65,536 rows).  A bucket still over capacity at ``MAX_DEPTH``
    keeps its rows as overflow pages: its owner's aggregation spills.
-4. Owner tasks: index entries go to their bucket's file.
-5. Groups: the index only selects candidates, the hashes of entries with more
-   than one row; buckets are not read here.  The candidates' texts are grouped
-   by hash and bytes: texts with equal hash but other bytes form groups of their own.
+4. Bucket files: index entries go to their bucket's owner, a task per range of
+   (bucket, hash), which writes them to the shared folder.
+5. Chains: owners read their bucket files and sum the rows of each hash.  Texts
+   of hashes with several rows are routed through the directory to (bucket,
+   hash) and chained there by their bytes: equal hashes with other bytes are
+   further links of the chain, with groups of their own.
+6. Look-up: every key is routed through the directory to its chain and takes the
+   link with its digest.
+
+The stage ``exact_dedup`` judges rows, not ids: of each group exactly one row
+stays, the smallest doc_id's, also where ids are null or repeated.
 
 Cases: null text counts as empty; rows without doc_id belong to their group,
 count in its size and are not kept unless no row of the group has an id;
-repeated rows (same doc_id and text) share keep_id and kept; an empty table
-gives an empty result.
+repeated rows (same doc_id and text) share keep_id and kept in the listing, and
+one of them stays in the stage; an empty table gives an empty result; texts of
+any length are compared whole.
 """
 
 from __future__ import annotations
@@ -29,7 +37,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_ids, read_table, shared_path, sized
+from .common import cut, keep_one, look_up, read_table, row_key, shared_path, sized
 
 MAX_DEPTH = 16
 #: Index entries per bucket before it splits.
@@ -63,50 +71,67 @@ def _slot(bits: int = MAX_DEPTH) -> Column:
     return F.shiftrightunsigned("h", 64 - bits).cast("int")
 
 
-def build_index(docs: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, DataFrame]:
-    """Write the key file and the bucketed index; both are returned as read back.
+class Index:
+    """Extendible-hash index of a table's texts, on shared files.
 
-    keys(doc_id, h, sha), index(bucket, h, sha, low, n).
+    ``keys(doc_id, h, sha, key)`` has a line per row, ``entries(bucket, h, sha, n)``
+    are the bucket files, read back.
     """
-    spark = docs.sparkSession
-    path = shared_path(spark, "exact-index")
-    norm = docs.select(F.col("doc_id").cast("long"), normalised(F.col("text")).alias("norm"))
-    norm.select("doc_id", F.xxhash64("norm").alias("h"), F.unhex(F.sha2("norm", 256)).alias("sha")).write.parquet(f"{path}/keys")
-    keys = spark.read.schema("doc_id long, h long, sha binary").parquet(f"{path}/keys")
-    entries = keys.groupBy("h", "sha").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"))
-    entries.write.parquet(f"{path}/entries")
-    entries = spark.read.schema("h long, sha binary, low long, n long").parquet(f"{path}/entries")
-    histogram = {r.slot: r.n for r in entries.groupBy(_slot().alias("slot")).agg(F.count("*").alias("n")).collect()}
-    depth, buckets = directory(histogram, capacity)
-    slots = [(s, i) for i, (prefix, local) in enumerate(buckets) for s in range(prefix << (depth - local), (prefix + 1) << (depth - local))]
-    # the directory has 2**depth slots, at most 65,536
-    slot_of = F.broadcast(spark.createDataFrame(slots, "slot int, bucket int"))
-    owned = entries.withColumn("slot", _slot(depth) if depth else F.lit(0)).join(slot_of, "slot").drop("slot")
-    # owner tasks take ranges of (bucket, h): a bucket that cannot split further still spreads over several
-    owned.repartitionByRange("bucket", "h").write.parquet(f"{path}/index")
-    return keys, spark.read.schema("h long, sha binary, low long, n long, bucket int").parquet(f"{path}/index")
+
+    def __init__(self, docs: DataFrame, capacity: int = CAPACITY, key: Column | None = None):
+        spark = docs.sparkSession
+        path = shared_path(spark, "exact-index")
+        key = F.lit(None).cast("struct<a: bigint, b: bigint>") if key is None else key
+        norm = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), normalised(F.col("text")).alias("norm"))
+        norm = norm.select("doc_id", F.xxhash64("norm").alias("h"), F.unhex(F.sha2("norm", 256)).alias("sha"), "key")
+        norm.write.parquet(f"{path}/keys")
+        self.keys = spark.read.schema("doc_id long, h long, sha binary, key struct<a: bigint, b: bigint>").parquet(f"{path}/keys")
+        entries = self.keys.groupBy("h", "sha").agg(F.count("*").alias("n"))
+        entries.write.parquet(f"{path}/entries")
+        entries = spark.read.schema("h long, sha binary, n long").parquet(f"{path}/entries")
+        histogram = {r.slot: r.n for r in entries.groupBy(_slot().alias("slot")).agg(F.count("*").alias("n")).collect()}
+        self.depth, buckets = directory(histogram, capacity)
+        slots = [(s, i) for i, (prefix, local) in enumerate(buckets) for s in range(prefix << (self.depth - local), (prefix + 1) << (self.depth - local))]
+        # the directory has 2**depth slots, at most 65,536
+        self.slots = F.broadcast(spark.createDataFrame(slots, "slot int, bucket int"))
+        # a bucket that cannot split further still spreads over several owners
+        self.routed(entries).repartitionByRange("bucket", "h").write.parquet(f"{path}/buckets")
+        self.entries = spark.read.schema("h long, sha binary, n long, bucket int").parquet(f"{path}/buckets")
+
+    def routed(self, rows: DataFrame) -> DataFrame:
+        """``rows(h, ...)`` with the bucket that the directory names."""
+        return rows.withColumn("slot", _slot(self.depth) if self.depth else F.lit(0)).join(self.slots, "slot").drop("slot")
+
+    def chains(self, docs: DataFrame) -> DataFrame:
+        """(bucket, h, sha, low, n): the links with several rows, by comparing bytes."""
+        wanted, _ = sized(self.entries.groupBy("bucket", "h").agg(F.sum("n").alias("n")).where("n > 1").select("bucket", "h"))
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text")).alias("norm")).withColumn("h", F.xxhash64("norm"))
+        texts = self.routed(texts).join(wanted, ["bucket", "h"], "left_semi")
+        # the text is part of the key, and copies combine before the shuffle
+        links = texts.groupBy("bucket", "h", "norm").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")).where("n > 1")
+        return cut(links.select("bucket", "h", F.unhex(F.sha2("norm", 256)).alias("sha"), "low", "n"))
+
+    def looked_up(self, chains: DataFrame) -> DataFrame:
+        """``keys`` with their link's low and n, null where a row is alone."""
+        place, keys = F.struct("bucket", "h", "sha").alias("place"), self.routed(self.keys)
+        keys, chains = keys.select("doc_id", "sha", "key", place), chains.select(place, "low", "n")
+        return look_up(keys, chains, chains.select("place", "n"), "place", ["doc_id", "key"])
 
 
 def duplicate_groups(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, sha): one row per row of ``docs``, sha binary."""
-    keys, index = build_index(docs, capacity)
-    several, rows = sized(index.where("n > 1").select("h").distinct())
-    if not rows:
-        return keys.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
-    norm = docs.select(F.col("doc_id").cast("long"), normalised(F.col("text")).alias("norm")).withColumn("h", F.xxhash64("norm"))
-    # the grouping key is the text: equal hashes with other bytes stay apart, and copies combine before the shuffle
-    chains = norm.join(several, "h", "left_semi").groupBy("h", "norm").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"))
-    chains = chains.select("h", F.unhex(F.sha2("norm", 256)).alias("sha"), "low", "n")
-    chains, _ = sized(chains.where("n > 1"))
-    out = keys.join(chains, ["h", "sha"], "left")
+    index = Index(docs, capacity)
+    out = index.looked_up(index.chains(docs))
     keep = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("low"))
     out = out.select("doc_id", keep.alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), "sha")
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "sha")
 
 
-def exact_dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document, the smallest doc_id, of each group of equal texts."""
-    return drop_ids(docs, duplicate_groups(docs).where("not kept"))
+def exact_dedup(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """``docs`` with one row of each group of equal texts."""
+    index = Index(docs, capacity, row_key(docs))
+    shared = index.looked_up(index.chains(docs)).where("n is not null")
+    return keep_one(docs, cut(shared.select(F.col("doc_id").alias("id"), "key", F.col("place").alias("group"))))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,6 +48,34 @@ def test_stage_keeps_the_smallest(spark):
     assert sorted(r.doc_id for r in e.exact_dedup(docs).collect()) == [10, 11, 13]
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_stage_leaves_one_row_of_each_group(spark, seed):
+    """Ids that repeat, with equal and other texts, and missing ids: rows are judged, not ids."""
+    rng = random.Random(seed)
+    texts = ["x", "x ", "x\t", "y  z", "y z", None, "", "unique", "long " * 30_000]
+    rows = [(1, "x"), (1, "x"), (None, "x"), (None, "x"), (5, "x"), (5, "unique"), (None, "only"), (None, "twice"), (None, "twice")]
+    rows += [(rng.choice([None, 1, 2, 3, 4]), rng.choice(texts)) for _ in range(40)]
+    docs = spark.createDataFrame([(i, t, rng.randint(0, 1), "c") for i, t in rows], "doc_id long, text string, n int, key string").repartition(4)
+    stay = [(r.doc_id, r.text) for r in e.exact_dedup(docs, 3).collect()]
+    norm = [re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for _, t in rows]
+    assert sorted(re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for _, t in stay) == sorted(set(norm))
+    for i, t in stay:
+        own = [j for (j, _), m in zip(rows, norm) if m == re.sub(r"[\x20\x09-\x0D]+", " ", t or "")]
+        assert i == min((j for j in own if j is not None), default=None)
+    assert e.exact_dedup(docs.limit(0)).collect() == []
+
+
+def test_owners_decide_by_their_buckets(spark):
+    """Every entry lies in the bucket that the directory names, and look-ups go there."""
+    docs = h.documents(spark, [f"t{n % 40}" for n in range(60)])
+    index = e.Index(docs, 4)
+    entries = index.entries.collect()
+    assert len(entries) == 40 and sum(r.n for r in entries) == 60 and len({r.bucket for r in entries}) > 5
+    assert {(r.h, r.bucket) for r in index.routed(index.keys.select("h")).collect()} == {(r.h, r.bucket) for r in entries}
+    assert index.chains(docs).count() == 20
+    assert index.looked_up(index.chains(docs).limit(0)).where("n is not null").count() == 0
+
+
 def test_directory_doubles_and_covers_all_slots():
     rng = random.Random(3)
     histogram = {}
