@@ -22,7 +22,7 @@ def test_fingerprint_equals_brute_force():
 
 
 def _expected(rows):
-    known = {i: f for i, f in rows if i is not None}
+    known = dict(rows)
     first = {}
     for i, f in sorted(known.items()):
         first.setdefault(f, i)
@@ -49,17 +49,27 @@ def fingerprints_with_clusters(rng, clusters=6, size=25, loose=60):
     return out
 
 
+def signed(f):
+    return f - (1 << 64) if f >> 63 else f
+
+
+@pytest.mark.parametrize("segments", s.LAYOUTS)
 @pytest.mark.parametrize("hot", [s.HOT, 3])
-def test_links_span_the_components(spark, hot):
+def test_links_span_the_components(spark, hot, segments):
     """With ``hot`` 3 nearly every bucket of a cluster is split into blocks."""
     rng = random.Random(hot)
     prints = fingerprints_with_clusters(rng)
-    rows = [(i, f) for i, f in enumerate(prints)]
-    nodes = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f, i) for i, f in {f: i for i, f in reversed(rows)}.items() for f, i in [(i, f)]], "fp long, rep long")
-    got = {r.node: r.component for r in components(s.links(nodes, hot)).collect()}
-    want = _expected(rows)
-    reps = {r.rep for r in nodes.collect()}
-    assert {i: got.get(i, i) for i in reps} == {i: want[i] for i in reps}
+    want = h.components({signed(f) for f in prints}, lambda a, b: h.hamming(a & MASK, b & MASK) <= 4)
+    nodes = spark.createDataFrame([(f,) for f in want], "fp long")
+    got = {r.node: r.component for r in components(s.links(nodes, hot, segments)).collect()}
+    assert {f: got.get(f, f) for f in want} == want
+
+
+def test_layout_follows_the_count_and_covers_the_distance():
+    assert s.layout(10**6) == s.LAYOUTS[0] and s.layout(10**12) == s.LAYOUTS[1]
+    for segments in s.LAYOUTS:
+        assert sum(r + 1 for _, _, r in segments) > s.DISTANCE and sum(w for _, w, _ in segments) == 64
+    assert len(s.masks(32, 2)) == 32 + 496 and sorted(s.masks(3, 1)) == [1, 2, 4]
 
 
 def test_distances_at_the_limit(spark):
@@ -70,9 +80,8 @@ def test_distances_at_the_limit(spark):
             near ^= 1 << b
         far = near ^ (1 << 50)
         for other, expected in ((near, 1), (far, 0)):
-            other = other - (1 << 64) if other >> 63 else other
-            nodes = spark.createDataFrame([(base, 1), (other, 2)], "fp long, rep long")
-            assert min(1, s.links(nodes).count()) == expected
+            nodes = spark.createDataFrame([(base,), (signed(other),)], "fp long")
+            assert [min(1, s.links(nodes, segments=x).count()) for x in s.LAYOUTS] == [expected] * 2
 
 
 def test_documents(spark):
@@ -91,10 +100,28 @@ def test_documents(spark):
 
 
 def test_null_ids_repeats_and_empty(spark):
-    docs = spark.createDataFrame([(None, "a b c d e"), (5, "a b c d e"), (5, "a b c d e"), (9, "a b c d e")], "doc_id long, text string")
-    assert sorted((r.doc_id or -1, r.component_id) for r in s.near_duplicates(docs).collect() if r.doc_id) == [(5, 5), (5, 5), (9, 5)]
-    assert [r.component_id for r in s.near_duplicates(docs).where("doc_id is null").collect()] == [None]
-    assert s.near_duplicates(docs.limit(0)).collect() == []
+    docs = spark.createDataFrame([(None, "a b c d e"), (5, "a b c d e"), (5, "a b c d e"), (9, "a b c d e"), (None, "alone here")], "doc_id long, text string")
+    got = sorted((r.doc_id or -1, r.component_id or -1) for r in s.near_duplicates(docs).collect())
+    assert got == [(-1, -1), (-1, 5), (5, 5), (5, 5), (9, 5)]
+    assert s.near_duplicates(docs.limit(0)).collect() == [] and s.near_dedup(docs.limit(0)).collect() == []
+
+
+def test_stage_leaves_one_row_of_each_component(spark):
+    """Ids that repeat, with equal and other texts, and missing ids: rows are judged, not ids."""
+    rng = random.Random(11)
+    body = h.prose(rng, 300)
+    near = body.replace(body.split()[100], "changed", 1)
+    other, third = h.prose(rng, 200), h.prose(rng, 200)
+    rows = [(1, body), (5, near), (5, other), (None, body), (1, body), (None, third), (None, third), (7, None), (3, ""), (5, other.upper())]
+    docs = spark.createDataFrame([(i, t, n % 2) for n, (i, t) in enumerate(rows)], "doc_id long, text string, group int").repartition(4)
+    prints = [h.simhash(t) for _, t in rows]
+    groups = h.components(range(len(rows)), lambda a, b: h.hamming(prints[a], prints[b]) <= 4)
+    stay = [(r.doc_id, r.text) for r in s.near_dedup(docs, 2).collect()]
+    assert len(stay) == len(set(groups.values()))
+    for root in set(groups.values()):
+        own = [rows[n] for n in groups if groups[n] == root]
+        kept = [r for r in own if r in stay]
+        assert len(set(kept)) == 1 and kept[0][0] == min((i for i, _ in own if i is not None), default=None)
 
 
 def test_components_on_random_graphs(spark):
