@@ -37,12 +37,6 @@ def sized(df: DataFrame, most: int = BROADCAST_ROWS) -> tuple[DataFrame, int]:
     return (F.broadcast(kept) if rows <= most else kept), rows
 
 
-def drop_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``docs`` without the rows whose ``key`` is in ``ids`` (null keys stay)."""
-    ids, rows = sized(ids.select(key).where(F.col(key).isNotNull()).distinct())
-    return docs.join(ids, key, "left_anti").select(docs.columns) if rows else docs
-
-
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores added until no column of ``df`` is called so."""
     taken = {c.lower() for c in df.columns}

@@ -52,7 +52,34 @@ def test_contained_equals_brute_force(spark):
     assert got == brute(docs, items)
     assert any(i == 902 for i, *_ in got)
     left = {r.doc_id for r in d.decontaminate(docs_df, items_df).collect()}
-    assert left == {i for i, _ in docs} - {i for i, *_ in got}
+    assert left == {i for i, _ in docs if i is not None} - {i for i, *_ in got}
+
+
+def test_stage_judges_rows(spark):
+    """Ids that repeat, with clean and contaminated texts, and missing ids."""
+    item = "one two three four five six seven"
+    rows = [(5, f"x {item}"), (5, "clean"), (None, item), (None, "clean too"), (5, "clean"), (6, None), (7, item), (7, item)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    left = sorted(((r.doc_id, r.text) for r in d.decontaminate(docs, items).collect()), key=str)
+    assert left == sorted([(5, "clean"), (None, "clean too"), (5, "clean"), (6, None)], key=str)
+    assert sorted(tuple(r) for r in d.contained(docs, items).collect()) == [(5, 1, 3, 3), (7, 1, 3, 3)]
+    assert d.decontaminate(docs.limit(0), items).collect() == [] and d.decontaminate(docs, items.limit(0)).count() == 8
+
+
+def test_candidates_keep_every_containment(spark):
+    """Items of every size with as many shingles lost as the threshold allows: the estimate's recall is 1."""
+    rng = random.Random(3)
+    docs, items = [], []
+    for n in range(5, 60):
+        ws = [f"w{n}x{k}" for k in range(n)]
+        items.append((n, " ".join(ws)))
+        lost = (n - 4) - -(-(n - 4) * 4 // 5)
+        docs.append((n, " ".join(ws[: n - lost])))
+        docs.append((100 + n, " ".join(ws[rng.randint(0, lost) :])))
+    docs_df = spark.createDataFrame(docs, "doc_id long, text string")
+    items_df = spark.createDataFrame(items, "item_id long, text string")
+    assert {tuple(r) for r in d.contained(docs_df, items_df).collect()} == brute(docs, items)
 
 
 def test_repeats_clashes_and_empty(spark):
