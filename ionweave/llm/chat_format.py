@@ -13,10 +13,11 @@ entry per assistant turn.
 A conversation becomes one string, so its turns meet in one row by definition;
 2 GB bound that row, as for any Spark string.
 
-Cases: null text or role counts as empty; turns sort by (turn, role, text) with
-null turns first, so ties and repeated rows have one order; rows without
-conv_id form one conversation of their own; an empty table gives an empty
-result; further columns are ignored.
+Cases: null text or role counts as empty; turns sort by (turn, role, text), as
+they stand before escaping, with null turns first, so ties and repeated rows have
+one order; a row without conv_id is a conversation of its own, so such rows never
+meet in one task; an empty table gives an empty result; further columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -43,12 +44,10 @@ def unescape(text: Column) -> Column:
 
 def format_conversations(rows: DataFrame) -> DataFrame:
     """(conv_id, formatted, loss_mask array<struct<start, len>>) of rows (conv_id, turn, role, text)."""
-    turn = F.struct(
-        F.col("turn"),
-        escape(F.coalesce("role", F.lit(""))).alias("role"),
-        escape(F.coalesce("text", F.lit(""))).alias("text"),
-    )
-    turns = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("ts"))
+    turn = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    turns = rows.where("conv_id is not null").groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("ts"))
+    turns = turns.union(rows.where("conv_id is null").select("conv_id", F.array(turn).alias("ts")))
+    turns = turns.withColumn("ts", F.transform("ts", lambda t: F.struct(escape(t["role"]).alias("role"), escape(t["text"]).alias("text"))))
     starts = F.filter(
         F.sequence(F.lit(0), F.size("ts") - 1),
         lambda i: (i == 0) | (F.get("ts", i)["role"] != F.get("ts", F.greatest(i - 1, F.lit(0)))["role"]),
@@ -127,13 +126,13 @@ QUERIES = {"op5_chat_formatting": op5_chat_formatting}
 ORACLE_SQL = {
     "op5_chat_formatting": r"""
 WITH c AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
-  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+  SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, NULL, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, NULL, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), e AS (
   SELECT *, regexp_replace(regexp_replace(regexp_replace(text, '&((?:amp|lt|lsqb);)', '&amp;\1', 'g'),
               '<(/?s>|sep>)', '&lt;\1', 'g'), '\[(/?INST\])', '&lsqb;\1', 'g') AS etext,
-         lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS before
+         lag(role) OVER (PARTITION BY conv_id, alone ORDER BY turn NULLS FIRST, role, text) AS before
   FROM c
 )
 SELECT conv_id, count(*) AS n_turns,
@@ -141,6 +140,6 @@ SELECT conv_id, count(*) AS n_turns,
   sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
   sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, role, text)) AS loss_sha256,
   sum(length(etext) + CASE WHEN before IS NULL OR before <> role THEN length('<s>[INST][/INST]</s>') + length(role) ELSE length('<sep>') END)::BIGINT AS formatted_chars
-FROM e GROUP BY conv_id
+FROM e GROUP BY conv_id, alone
 """
 }

@@ -19,6 +19,7 @@ def check(spark, rows):
     plain = formatted(table)
     want: dict = {}
     for conv, turn, role, text in rows:
+        assert conv is not None
         want.setdefault(conv, []).append((turn is not None, turn or 0, role or "", text or ""))
     assert set(back) == set(want)
     for conv, turns in want.items():
@@ -51,11 +52,23 @@ def test_adjacent_turns_merge_and_stay_apart(spark):
 
 
 def test_nulls_ties_repeats_and_long(spark):
-    rows = [(1, None, None, None), (1, 2, "user", "x"), (1, 2, "user", "x"), (1, 2, "assistant", "y"), (None, 0, "assistant", "z"), (2, 0, "assistant", "long " * 100_000)]
+    rows = [(1, None, None, None), (1, 2, "user", "x"), (1, 2, "user", "x"), (1, 2, "assistant", "y"), (2, 0, "assistant", "long " * 100_000)]
     check(spark, rows)
     check(spark, [(3, i, "user" if i % 3 else "assistant", f"t{i}") for i in range(3000)])
 
 
+def test_ties_sort_by_the_text_before_escaping(spark):
+    rows = [(1, 0, "user", t) for t in ("<s>", "1", "&lt;", "[INST]", "A", "<", "=", "&amp;lt;", "</s>")]
+    check(spark, rows + [(1, 0, "<s>", "x"), (1, 0, "=", "y")])
+
+
+def test_rows_without_conv_id_stand_alone(spark):
+    rows = [(None, 0, "assistant", "z"), (None, 1, "assistant", None), (None, 1, "user", "q"), (1, 0, "user", "x")]
+    table = c.format_conversations(spark.createDataFrame(rows, SCHEMA))
+    got = sorted((r.conv_id or 0, [(t.role, t.text) for t in r.turns], r.loss_text) for r in c.read_back(table).collect())
+    assert got == [(0, [("assistant", "")], ""), (0, [("assistant", "z")], "z"), (0, [("user", "q")], ""), (1, [("user", "x")], "")]
+
+
 def test_empty_and_clashes(spark):
     from pyspark.sql import functions as F
 
