@@ -7,6 +7,7 @@ import textwrap
 from itertools import product
 
 import pytest
+from pyspark.sql import functions as F
 
 from ionweave.llm import license_scan as ls
 from ionweave.llm import url_filter as u
@@ -43,25 +44,61 @@ def test_hosts_paths_and_rules(spark):
 
 def test_segmentation_is_the_best_split():
     rng = random.Random(1)
-    counts = {"cheap": 50, "pills": 40, "che": 5, "ap": 3, "pill": 20, "s": 100, "win": 30, "in": 80}
-    total = sum(counts.values())
+    shares = {"cheap": 0.05, "pills": 0.04, "che": 0.005, "ap": 0.003, "pill": 0.02, "s": 0.1, "win": 0.03, "in": 0.08}
 
     def cost(word):
-        return math.log(counts[word] / total) if word in counts else -math.log(total) - len(word) * math.log(10)
+        return math.log(shares[word]) if word in shares else math.log(u.UNKNOWN) - (len(word) - 1) * math.log(10)
 
     for run in ["cheappills", "win", "", "zzwin", *("".join(rng.choice("cheapwins") for _ in range(8)) for _ in range(20))]:
-        best = max((sum(map(cost, parts)) for cut in product([0, 1], repeat=max(0, len(run) - 1)) for parts in [re.sub("|", "", " ".join("".join((" " if i and cut[i - 1] else "") + c for i, c in enumerate(run)).split())).split()]), default=0.0)
-        found = u.segment(run, counts, total)
+        best = max((sum(map(cost, parts)) for cut in product([0, 1], repeat=max(0, len(run) - 1)) for parts in ["".join((" " if i and cut[i - 1] else "") + c for i, c in enumerate(run)).split()]), default=0.0)
+        found = u.segment(run, shares)
         assert "".join(found) == run and sum(map(cost, found)) == pytest.approx(best)
-    assert u.segment("cheappills", counts, total) == ["cheap", "pills"]
+    assert u.segment("cheappills", shares) == ["cheap", "pills"]
+
+
+def test_bayes_equals_brute_force():
+    names = {"block": [["bad", "shop"], ["bad", "bad"]], "allow": [["good", "shop"], ["shop"], ["x"]]}
+    model = u.Bayes(names)
+    for w in ("bad", "shop", "good", "x"):
+        p = {}
+        for c, ns in names.items():
+            flat = [t for n in ns for t in n]
+            p[c] = (flat.count(w) + 1) / (len(flat) + 4)
+        assert model.odds[w] == pytest.approx(math.log(p["block"] / p["allow"]))
+    assert model.prior == pytest.approx(math.log(3 / 4)) and model.words == ["bad", "good", "shop", "x"]
+
+
+def test_judged_by_segments_and_bayes_alone(spark):
+    """Names that no example has, run together, in hosts and in paths; single words do not decide."""
+    want = {
+        "http://cheapcasinoslots.example.org/": "block", "http://m.onlinebettingbonus.example.org/x": "block", "http://libraryads.example.org/": "block",
+        "http://plainhost.example.org/freeviagrapills/7": "block", "http://casino.museumhistorytrack.example.org/": "allow", "http://libraryresearch.example.org/": "allow",
+        "http://freesoftwaremaps.example.org/": "allow", "http://trackfarm.example.org/": "allow", "http://win.example.org/": "allow", "http://spamfarm.example.org/libraryresearchguide": "allow",
+        "http://spamfarm.example.org/": "block", "http://zzqqzz.example.org/en/1": "allow",
+    }
+    pages = spark.createDataFrame([(i, x, "plain host words") for i, x in enumerate(want)], PAGES)
+    got = {r.page_id: r for r in u.judge(pages, rules=()).collect()}
+    assert {x: got[i].verdict for i, x in enumerate(want)} == want
+    listed = {w for names in u.examples().values() for n in names for w in n}
+    assert not {re.split("[/.]", x.split("://")[1])[0] for x in want} & listed - {"win", "casino", "m"}
+
+
+def test_names_held_out_of_training():
+    """Five folds over the labelled names, run together: how many are judged as labelled."""
+    names, right, n = u.examples(), {"block": 0, "allow": 0}, {"block": 0, "allow": 0}
+    for fold in range(5):
+        model = u.Bayes({c: [x for i, x in enumerate(ns) if i % 5 != fold] for c, ns in names.items()})
+        for c, ns in names.items():
+            for words in ns[fold::5]:
+                found = u.segment("".join(words), dict.fromkeys(model.words, u.LEXICON))
+                right[c] += (model.prior + sum(model.odds.get(w, 0.0) for w in found) > 0) == (c == "block")
+                n[c] += 1
+    assert right["block"] >= 0.7 * n["block"] and right["allow"] >= 0.93 * n["allow"]
 
 
-def test_companions_of_seeds_are_blocked_elsewhere(spark):
-    rows = [(i, f"http://casinojackpot{i % 3}.example.org/en/{i}", None) for i in range(30)]
-    rows += [(100 + i, f"http://quietgarden.example.org/en/{i}", "casino jackpot quiet garden") for i in range(30)]
-    rows += [(200, "http://jackpot.example.org/en/1", "jackpot"), (201, "http://garden.example.org/en/1", None), (None, None, None)]
-    got = {r.page_id: r.verdict for r in u.judge(spark.createDataFrame(rows, PAGES)).collect()}
-    assert got[0] == "block" and got[100] == "allow" and got[200] == "block" and got[201] == "allow"
+def test_examples_do_not_overlap():
+    names = {c: {"-".join(n) for n in ns} for c, ns in u.examples().items()}
+    assert not names["block"] & names["allow"] and sum(map(len, names.values())) <= 200
 
 
 def test_url_edges(spark):
@@ -70,6 +107,9 @@ def test_url_edges(spark):
     long = "http://" + "ab" * 3000 + ".example.org/" + "p/" * 5000
     twice = spark.createDataFrame([(1, long, "ab"), (1, long, "ab")], PAGES)
     assert len(u.judge(twice).collect()) == 2
+    run = "zq" * 4000 + "casinoslots" + "qz" * 2000
+    clash = spark.createDataFrame([(1, f"http://{run}.example.org/", None)], PAGES).withColumns({c: F.lit("x") for c in ("host", "path", "n", "id", "word", "run", "name", "shape", "odds", "method", "score")})
+    assert [(r.verdict, len(r.host)) for r in u.judge(clash).collect()] == [("block", len(run) + 12)]
 
 
 # --------------------------------------------------------------------------
