@@ -20,6 +20,8 @@ from ..session import cut, shared_dir
 
 #: Largest number of rows that is broadcast, always counted first.
 BROADCAST_ROWS = 200_000
+#: Largest size of rows with values of open length that are broadcast.
+BROADCAST_BYTES = 1 << 25
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +32,21 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def fits(df: DataFrame) -> bool:
+    """Whether a materialised ``df`` may be broadcast: its rows and the bytes of its values are counted."""
+    if df.count() > BROADCAST_ROWS:
+        return False
+    size = F.lit(0).cast("long")
+    for f in df.schema:
+        kind = f.dataType.simpleString()
+        value = F.col(f"`{f.name}`")
+        if kind in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(value), F.lit(0))
+        elif any(x in kind for x in ("string", "binary", "array", "map")):
+            size = size + F.coalesce(F.octet_length(F.to_json(F.struct(value))), F.lit(0))
+    return (df.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES
+
+
 def sized(df: DataFrame, most: int = BROADCAST_ROWS) -> tuple[DataFrame, int]:
     """Materialise a narrow ``df`` and hint a broadcast only if its row count allows."""
     kept = cut(df)
@@ -109,8 +126,8 @@ def hot_join(rows: DataFrame, facts: DataFrame, counts: DataFrame, key: str, by:
 
 
 def look_up(rows: DataFrame, facts: DataFrame, counts: DataFrame, key: str, by: list[str]) -> DataFrame:
-    """``hot_join``, or a broadcast where the materialised ``facts`` are few and narrow."""
-    if facts.count() <= BROADCAST_ROWS:
+    """``hot_join``, or a broadcast where the materialised ``facts`` are few and small."""
+    if fits(facts):
         return rows.join(F.broadcast(facts), key, "left")
     return hot_join(rows, facts, counts, key, by)
 

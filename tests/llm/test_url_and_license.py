@@ -4,6 +4,7 @@ import math
 import random
 import re
 import textwrap
+from collections import Counter
 from itertools import product
 
 import pytest
@@ -136,6 +137,93 @@ def test_licenses_and_inheritance(spark):
     assert got["a/b/z.py"].line == 2 and got["a/LICENSE.txt"].line == 0
 
 
+def test_names_of_similar_licenses_are_told_apart():
+    """Every template finds its own license, in other words too; unknown relatives get no name."""
+    matcher = ls.Matcher(ls.TEMPLATES, {"the": 900, "license": 30, "licensed": 40, "of": 800, "a": 700}, 1000)
+    for name, texts in ls.TEMPLATES.items():
+        for text in texts:
+            assert matcher.scan(text)[0] == name, text
+    notice = ls.TEMPLATES["GPL-3.0"][2]
+    cases = {
+        notice.replace("General Public", "Lesser General Public"): "LGPL-3.0", notice.replace("General Public", "Affero General Public"): "AGPL-3.0",
+        notice.replace("version 3", "version 2"): "GPL-2.0", notice.replace("version 3", "version 4"): None, "SPDX-License-Identifier: AGPL-3.0": "AGPL-3.0",
+        "SPDX-License-Identifier: LGPL-2.1": "LGPL-2.1", "SPDX-License-Identifier: GPL-3.0-or-later": "GPL-3.0", "SPDX-License-Identifier: OSL-3.0": None,
+        "Licensed under CC BY-NC-SA 4.0.": None, "Licensed under CC BY 3.0.": None, "Released under the WTF License.": None,
+        "Licensed under the Apache License, Version 1.1.": None, "SPDX-License-Identifier: BSD-4-Clause": None,
+    }
+    assert {x: matcher.scan(x)[0] for x in cases} == cases
+
+
+def test_scan_equals_brute_force(spark):
+    """Every unit against every template without anchors or gates, over real document frequencies; then inheritance by walking up."""
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(40)]
+    files = []
+    for i in range(60):
+        lines = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 12))) for _ in range(rng.randint(1, 6))]
+        if rng.random() < 0.5:
+            words = rng.choice([t for texts in ls.TEMPLATES.values() for t in texts if len(t) < 120]).split()
+            lines.insert(rng.randint(0, len(lines)), " ".join(w for w in words if rng.random() < 0.93))
+        folder = "/".join(rng.choice("ab") for _ in range(rng.randint(0, 3)))
+        name = rng.choice(["LICENSE", "x.py", "y.py", "z.py"]) + ("" if rng.random() < 0.5 else f".{i}")
+        files.append((i if i % 7 else None, f"{folder}/{name}".lstrip("/"), "\n".join(lines)))
+    frame = spark.createDataFrame(files, "doc_id long, path string, text string").withColumns({c: F.lit("x") for c in ("id", "dir", "license", "n", "term", "near", "above")})
+    frequency = Counter(t for _, _, text in files for t in set(ls.terms(text)))
+    matcher = ls.Matcher(ls.TEMPLATES, frequency, len(files))
+    idf = {t: matcher.weight(n) for t, n in frequency.items()}
+
+    def cosine(words):
+        counts = Counter(words)
+        line = f" {' '.join(words)} "
+        vector = {t: (1 + math.log(n)) * (matcher.idf.get(t) or idf[t]) for t, n in counts.items()}
+        norm = math.sqrt(sum(x * x for x in vector.values())) or 1.0
+        best = (0.0, None)
+        for name, v, (needs, qualifiers, version) in zip(matcher.names, matcher.vectors, matcher.needs):
+            score = sum(x * vector.get(t, 0.0) for t, x in v.items()) / norm
+            if score >= ls.COSINE - 1e-12 and f" {' '.join(version)}".rstrip() + " " in line and needs <= counts.keys() and {t for t in counts if t in ls.QUALIFIERS} == qualifiers and score > best[0] + 1e-12:
+                best = (score, name)
+        return best
+
+    own = []
+    for _, path, text in files:
+        words = ls.terms(text)
+        units = [ls.terms(line) for line in text.split("\n")] + [words]
+        units += [words[at : at + size] for size in set(matcher.sizes) for at in range(len(words) - size + 1)]
+        own.append(max((cosine(w) for w in units), key=lambda x: round(x[0], 9)))
+    got = {(r.doc_id, r.path): r for r in ls.scan(frame).collect()}
+    assert any(name for _, name in own) and any(r.inherited_from for r in got.values())
+    licensed: dict = {}
+    for (score, name), (_, path, _) in sorted(zip(own, files), key=lambda x: (-round(x[0][0], 9), x[1][1])):
+        folder, _, base = path.rpartition("/")
+        if name and re.match(ls.LICENCE_FILE, base):
+            licensed.setdefault(folder, (path, name))
+    for (score, name), (doc, path, _) in zip(own, files):
+        r = got[doc, path] if (doc, path) in got else None
+        given = None
+        folder = path.rpartition("/")[0]
+        while name is None:
+            if folder in licensed:
+                given, name = licensed[folder]
+                break
+            if not folder:
+                break
+            folder = folder.rpartition("/")[0]
+        assert (r.license, r.inherited_from) == (name, given) and r.score == pytest.approx(score), path
+
+
+def test_null_ids_and_root(spark):
+    rows = [(None, "LICENSE", "Released under the MIT License."), (None, "a", None), (3, "b/c", ""), (3, "b/c", ""), (None, None, "x")]
+    got = sorted((r.doc_id or 0, r.path or "", r.license, r.inherited_from) for r in ls.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect())
+    assert got == [(0, "", None, None), (0, "LICENSE", "MIT", None), (0, "a", "MIT", "LICENSE"), (3, "b/c", "MIT", "LICENSE"), (3, "b/c", "MIT", "LICENSE")]
+
+
+def test_query_takes_null_ids(spark, tmp_path):
+    rows = [(None, "Released under the MIT License.", "s"), (1, "text", None), (2, None, "s"), (7, "Released under the ISC License.", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.license, r.inherited_from) for r in ls.op8_license_scan(spark, str(tmp_path)).collect()}
+    assert got == {None: ("MIT", None), 1: (None, None), 2: ("ISC", "s/0/0/LICENSE-7"), 7: ("ISC", None)}
+
+
 def test_prefilter_loses_no_match():
     """Comparing with every template, anchors or not, finds the same."""
     rng = random.Random(2)
@@ -148,8 +236,10 @@ def test_prefilter_loses_no_match():
         counts = ls.Counter(ls.terms(unit))
         vector = matcher._vector(counts)
         norm = math.sqrt(sum(x * x for x in vector.values())) or 1.0
-        every = max(sum(x * vector.get(t, 0.0) for t, x in v.items()) / norm for v in matcher.vectors)
-        score, name = matcher.best(counts)
+        plain = f" {' '.join(ls.terms(unit))} "
+        fit = [v for v, (needs, qualifiers, version) in zip(matcher.vectors, matcher.needs) if needs <= counts.keys() and qualifiers == ls.QUALIFIERS & counts.keys() and f" {' '.join(version)}".rstrip() + " " in plain]
+        every = max((sum(x * vector.get(t, 0.0) for t, x in v.items()) / norm for v in fit), default=0.0)
+        score, name = matcher.best(ls.terms(unit))
         assert (name is not None) == (every >= ls.COSINE - 1e-12)
         if name:
             assert score == pytest.approx(every)
