@@ -11,13 +11,16 @@ total code length, and the language with the shortest code wins.
 
 Training uses a bounded sample of every language: about ``SAMPLE`` documents,
 chosen by a hash of doc_id among the rows with crc32(doc_id as text) mod 5 not 0.
-The trees are counted on the executors; the tables hold the sample's four-byte
-strings times the languages, so beyond ``LANGUAGES`` languages each gets fewer
-documents, down to one, by the square of their number.
+The trees are counted on the executors.  The driver takes the most frequent
+four-byte strings of each language, ``GRAMS`` over all languages but at least
+``LEAST`` each.  Tables are dense over the strings of ``GROUP`` languages at a time, so
+the model takes at most about GRAMS x GROUP x 8 bytes (LEAST times the languages, if
+that is more), however many languages there are.
 
 Cases: null texts and texts without a letter are ``und`` with score 0; ties go
 to the first language by name; texts of any length are coded whole, in blocks;
-rows without doc_id are predicted (held_out null) but not learned from; without
+rows without doc_id are predicted (held_out null) but not learned from; repeated
+rows count and are predicted like others; further columns are ignored; without
 training rows everything is ``und``; an empty table gives an empty result.
 """
 
@@ -25,17 +28,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, in_training, read_table, sample_hash, sample_limit, slices
 
 ORDER = 3
 SAMPLE = 1500
-LANGUAGES = 200
+#: Four-byte strings of all languages that are learned, and least of one language.
+GRAMS, LEAST = 1 << 22, 1024
+#: Languages whose tables are dense together.
+GROUP = 8
 _BLOCK = 1 << 19
-#: Bytes times languages that are coded at once.
-_CELLS = 1 << 26
 
 
 def _grams(data: np.ndarray) -> np.ndarray:
@@ -85,8 +89,8 @@ def _level(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.log2((total + distinct)[at] / counts), context, np.log2((total + distinct) / distinct), at
 
 
-class Ppm:
-    """Compiled context trees of several languages."""
+class Tables:
+    """Compiled context trees of a group of languages."""
 
     def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
         self.names = sorted(counts)
@@ -118,13 +122,13 @@ class Ppm:
             for i, (low, own_bits, context, esc) in enumerate(own):
                 escape[self.contexts[order].find(context), i] = esc
             self.escape[order] = escape
-            shorter = self._cost(order - 1, keys & np.uint32((1 << 8 * order) - 1)) if order else np.full((256, n), 8.0)
+            shorter = self.cost(order - 1, keys & np.uint32((1 << 8 * order) - 1)) if order else np.full((256, n), 8.0)
             bits[:] = escape[self.contexts[order].find(keys >> np.uint32(8))] + shorter
             for i, (low, own_bits, _, _) in enumerate(own):
                 bits[self.keys[order].find(low), i] = own_bits
             self.bits[order] = bits
 
-    def _cost(self, order: int, keys: np.ndarray) -> np.ndarray:
+    def cost(self, order: int, keys: np.ndarray) -> np.ndarray:
         """Bits per language of (context, byte) keys of ``order`` context bytes."""
         found = self.keys[order].find(keys)
         out = self.bits[order][found]
@@ -133,14 +137,23 @@ class Ppm:
             rest = keys[missing]
             at = self.contexts[order].find(rest >> np.uint32(8))
             escape = np.where((at >= 0)[:, None], self.escape[order][at], 0) if len(self.escape[order]) else 0
-            out[missing] = escape + self._cost(order - 1, rest & np.uint32((1 << 8 * order) - 1))
+            out[missing] = escape + self.cost(order - 1, rest & np.uint32((1 << 8 * order) - 1))
         return out
 
+
+class Ppm:
+    """Context trees of several languages, compiled group by group."""
+
+    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
+        self.names = sorted(counts)
+        groups = [self.names[i : i + GROUP] for i in range(0, len(self.names), GROUP)]
+        self.groups = [Tables({n: counts[n] for n in group}) for group in groups]
+
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
         """Total bits of each text in each language; texts share blocks, long ones span several."""
         out = np.zeros((len(texts), len(self.names)))
         starts, grams, size = [], [], 0
-        block = max(1, min(_BLOCK, _CELLS // max(1, len(self.names))))
+        block = _BLOCK
         for i, text in enumerate(texts):
             data = np.frombuffer(b"\0\0\0" + text, np.uint8)
             for at in range(0, len(data) - 3, block):
@@ -156,9 +169,11 @@ class Ppm:
 
     def _add(self, out: np.ndarray, starts: list[tuple[int, int]], grams: list[np.ndarray]) -> None:
         if starts:
-            bits = self._cost(ORDER, np.concatenate(grams))
-            # a text begins at most one run per call, so its sums add up over calls
-            np.add.at(out, [i for i, _ in starts], np.add.reduceat(bits, [s for _, s in starts], axis=0, dtype=np.float64))
+            keys, texts, at = np.concatenate(grams), [i for i, _ in starts], [s for _, s in starts]
+            for n, group in enumerate(self.groups):
+                # a text begins at most one run per call, so its sums add up over calls
+                sums = np.add.reduceat(group.cost(ORDER, keys), at, axis=0, dtype=np.float64)
+                np.add.at(out[:, n * GROUP : (n + 1) * GROUP], texts, sums)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         names, scores = ["und"] * len(texts), np.zeros(len(texts))
@@ -173,17 +188,15 @@ class Ppm:
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Ppm:
-    """Context trees from about ``sample`` training documents of each language (fewer beyond LANGUAGES)."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & in_training(F.col("doc_id")))
+    """Context trees from about ``sample`` training documents of each language."""
+    known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & in_training(F.col("doc_id")))
     per_language = known.groupBy("lang").agg(F.count("*").alias("n")).collect()
-    if len(per_language) > LANGUAGES:
-        sample = max(1, sample * LANGUAGES**2 // len(per_language) ** 2)
     limits = docs.sparkSession.createDataFrame([(r.lang, sample_limit(r.n, sample)) for r in per_language], "lang string, most long")
     limits = F.broadcast(limits) if len(per_language) <= BROADCAST_ROWS else limits
     chosen = known.join(limits, "lang").where(sample_hash(F.col("doc_id")) <= F.col("most"))
 
     def count(batches):
-        for batch in batches:
+        for batch in slices(batches):
             seen: dict[str, list[bytes]] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 seen.setdefault(lang, []).append(b"\0\0\0" + text)
@@ -193,7 +206,11 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Ppm:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
     grams = chosen.select(F.col("lang").cast("string"), F.col("text").cast("binary")).mapInArrow(count, "lang string, gram long, n long")
-    table = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    table = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    # a language's strings come from its sample, whatever the size of the corpus
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    most = max(LEAST, GRAMS // max(1, len(per_language)))
+    table = table.withColumn("rank", rank).where(F.col("rank") <= most).select("lang", "gram", "n").toArrow()
     gram, n = (table.column(c).to_numpy() for c in ("gram", "n"))
     lang = table.column("lang").combine_chunks().dictionary_encode()
     at = lang.indices.to_numpy()

@@ -15,7 +15,8 @@ shuffle; the model is 2^17 floats.
 Cases: null and empty texts have no trigrams and score by the intercept and
 repetition bins; rows without doc_id are scored (held_out is null); labels that
 are null or other than 0 and 1, or of absent documents, are skipped, and the
-smallest of several labels of a document counts; without labels of both classes
+smallest of several labels of a document counts; repeated documents are learned
+from and scored each; further columns are ignored; without labels of both classes
 every score is the share of label 1 (0.5 without any); an empty table gives an
 empty result.
 """

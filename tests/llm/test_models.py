@@ -6,9 +6,11 @@ import math
 import random
 import zlib
 from collections import Counter
+from itertools import product
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ionweave.llm import language_id as li
 from ionweave.llm import quality as q
@@ -78,6 +80,57 @@ def test_dual_descent_solves_the_hinge_problem():
     assert (np.sign(margin) == y).mean() > 0.97
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_dual_descent_equals_an_exact_solver(seed):
+    """Every dual variable is 0, its cost or free: all 3^n cases are solved, and the one that meets all conditions is the optimum."""
+    rng = np.random.default_rng(seed)
+    rows = [np.unique(rng.integers(0, 12, rng.integers(1, 7))) for _ in range(7)]
+    y = np.where(rng.random(7) < 0.5, -1, 1)
+    scale = np.zeros(q.WIDTH)
+    scale[:12] = rng.normal(size=12)
+    cost = np.where(y > 0, 0.7, 2.0)
+    x = np.zeros((7, 13))
+    for i, r in enumerate(rows):
+        x[i, r], x[i, 12] = scale[r] / np.sqrt(len(r)), 1.0
+    gram = (x @ x.T) * np.outer(y, y)
+    best, value = None, -np.inf
+    for case in product((0, 1, 2), repeat=7):
+        free = np.flatnonzero(np.array(case) == 2)
+        alpha = np.where(np.array(case) == 1, cost, 0.0)
+        if len(free):
+            alpha[free] = np.linalg.lstsq(gram[np.ix_(free, free)], 1 - gram[free] @ alpha, rcond=None)[0]
+        if (alpha < -1e-9).any() or (alpha > cost + 1e-9).any():
+            continue
+        dual = alpha.sum() - alpha @ gram @ alpha / 2
+        if dual > value:
+            best, value = alpha, dual
+    want = (best * y) @ x
+    w = q.dual_descent(rows, y, scale, cost, epochs=5000)
+    got = np.append(w[:12], w[q.BIAS])
+
+    def primal(v):
+        return v @ v / 2 + (cost * np.maximum(0, 1 - y * (x @ v))).sum()
+
+    assert primal(want) == pytest.approx(value, abs=1e-6)  # no gap: the optimum
+    assert primal(got) == pytest.approx(value, abs=5e-3) and got == pytest.approx(want, abs=2e-2)
+
+
+def test_repeats_and_clashes_of_the_models(spark):
+    """Repeated documents count and are judged each; further columns with names used inside change nothing."""
+    texts, labels = corpus(80)
+    docs = h.documents(spark, texts)
+    twice = docs.union(docs)
+    clash = docs.withColumns({c: F.lit("x") for c in ("score", "ids", "quality", "held_out", "predicted", "lang_pred", "gram", "n", "most", "rank")})
+    plain, extra = (q.score(d, q.train(d, labelled(spark, labels))) for d in (docs, clash))
+    assert {r.doc_id: r.score for r in extra.collect()} == pytest.approx({r.doc_id: r.score for r in plain.collect()})
+    again = q.score(twice, q.train(twice, labelled(spark, labels))).collect()
+    assert len(again) == 160 and len({(r.doc_id, r.score) for r in again}) == 80
+    mixed = clash.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "aa").otherwise("bb"))
+    model = li.train(mixed)
+    assert model.names == ["aa", "bb"] and li.identify(mixed, model).count() == 80
+    assert sorted(map(tuple, li.identify(mixed.union(mixed), model).collect())) == sorted(tuple(r) for r in li.identify(mixed, model).collect() for _ in range(2))
+
+
 def test_indicators_match_a_plain_set():
     ids = q.Indicators()
     for text in (b"", b"ab", b"abcabc", b"hello hello hello", bytes(range(256)) * 9000):
@@ -130,7 +183,8 @@ def plain_bits(train: dict[str, list[bytes]], text: bytes) -> dict[str, float]:
     return out
 
 
-def test_code_lengths_equal_plain_ppm(monkeypatch):
+@pytest.mark.parametrize("group", [8, 1])
+def test_code_lengths_equal_plain_ppm(monkeypatch, group):
     rng = random.Random(4)
     train = {"a": [h.prose(rng, 60, "abcde").encode() for _ in range(4)], "b": [h.prose(rng, 60, "cdefé").encode() for _ in range(4)]}
     counts = {}
@@ -140,7 +194,9 @@ def test_code_lengths_equal_plain_ppm(monkeypatch):
             keys, n = li.count_grams(t)
             total.update(dict(zip(keys.tolist(), n.tolist())))
         counts[lang] = (np.array(list(total), np.uint32), np.array(list(total.values()), float))
+    monkeypatch.setattr(li, "GROUP", group)
     model = li.Ppm(counts)
+    assert len(model.groups) == -(-2 // group)
     texts = [b"", b"a", b"\0\0", "zzé".encode(), h.prose(rng, 50, "abcdefé").encode(), bytes(range(256)), b"cde cde"]
     for block in (1 << 19, 7):
         monkeypatch.setattr(li, "_BLOCK", block)
@@ -169,6 +225,17 @@ def test_language_held_out(spark):
     assert {r.lang_pred for r in li.identify(docs, li.train(empty)).collect()} == {"und"}
 
 
+def test_strings_per_language_are_bounded(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [(i, h.prose(rng, 30, "abcdefgh" if i % 2 else "ijklmnop"), "x" if i % 2 else "y") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(li, "GRAMS", 100)
+    monkeypatch.setattr(li, "LEAST", 40)
+    model = li.train(docs)
+    assert len(model.groups[0].keys[3].keys) == 100  # fifty each
+    assert {r.doc_id: r.lang_pred for r in li.identify(docs, model).collect()} == {i: lang for i, _, lang in rows}
+
+
 def test_slots_find_keys():
     keys = np.unique(np.random.default_rng(1).integers(0, 1 << 32, 5000, dtype=np.uint64)).astype(np.uint32)
     slots = li.Slots(keys)
@@ -179,8 +246,6 @@ def test_slots_find_keys():
 
 def test_classes_of_any_size_are_learned(spark):
     """Over a million rows for each one wanted, as at billions of rows with the full sample."""
-    from pyspark.sql import functions as F
-
     many = spark.range(4_000_000).select(F.col("id").alias("doc_id"), F.lit("lala lulu").alias("text"), F.lit("aa").alias("lang"))
     few = spark.range(5_000_000, 5_000_040).select(F.col("id").alias("doc_id"), F.lit("xyz zyx").alias("text"), F.lit("bb").alias("lang"))
     docs = many.union(few)
