@@ -32,6 +32,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate folder that nothing reads any more."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def fits(df: DataFrame) -> bool:
     """Whether a materialised ``df`` may be broadcast: its rows and the bytes of its values are counted."""
     if df.count() > BROADCAST_ROWS:

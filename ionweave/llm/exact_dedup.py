@@ -29,7 +29,8 @@ Cases: null text counts as empty; rows without doc_id belong to their group,
 count in its size and are not kept unless no row of the group has an id;
 repeated rows (same doc_id and text) share keep_id and kept in the listing, and
 one of them stays in the stage; an empty table gives an empty result; texts of
-any length are compared whole.
+any length are compared whole.  The stage deletes its index; the listing's is read
+when the listing is, so its folder stays.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, keep_one, look_up, read_table, row_key, shared_path, sized
+from .common import cut, discard, keep_one, look_up, read_table, row_key, shared_path, sized
 
 MAX_DEPTH = 16
 #: Index entries per bucket before it splits.
@@ -80,7 +81,7 @@ class Index:
 
     def __init__(self, docs: DataFrame, capacity: int = CAPACITY, key: Column | None = None):
         spark = docs.sparkSession
-        path = shared_path(spark, "exact-index")
+        self.path = path = shared_path(spark, "exact-index")
         key = F.lit(None).cast("struct<a: bigint, b: bigint>") if key is None else key
         norm = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), normalised(F.col("text")).alias("norm"))
         norm = norm.select("doc_id", F.xxhash64("norm").alias("h"), F.unhex(F.sha2("norm", 256)).alias("sha"), "key")
@@ -96,6 +97,7 @@ class Index:
         self.slots = F.broadcast(spark.createDataFrame(slots, "slot int, bucket int"))
         # a bucket that cannot split further still spreads over several owners
         self.routed(entries).repartitionByRange("bucket", "h").write.parquet(f"{path}/buckets")
+        discard(spark, f"{path}/entries")
         self.entries = spark.read.schema("h long, sha binary, n long, bucket int").parquet(f"{path}/buckets")
 
     def routed(self, rows: DataFrame) -> DataFrame:
@@ -131,7 +133,9 @@ def exact_dedup(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``docs`` with one row of each group of equal texts."""
     index = Index(docs, capacity, row_key(docs))
     shared = index.looked_up(index.chains(docs)).where("n is not null")
-    return keep_one(docs, cut(shared.select(F.col("doc_id").alias("id"), "key", F.col("place").alias("group"))))
+    shared = cut(shared.select(F.col("doc_id").alias("id"), "key", F.col("place").alias("group")))
+    discard(docs.sparkSession, index.path)
+    return keep_one(docs, shared)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
