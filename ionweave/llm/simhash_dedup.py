@@ -228,8 +228,9 @@ def near_dedup(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """``docs`` with one row of each component."""
     prints = cut(fingerprints(docs, row_key(docs)))
     nodes = _grouped(prints, hot)
-    several = nodes.groupBy("group").agg(F.sum("n").alias("all")).where("all > 1")
-    nodes = cut(nodes.join(several, "group", "left_semi").select("fp", "n", "group"))
+    several = cut(nodes.groupBy("group").agg(F.sum("n").alias("all")).where("all > 1"))
+    nodes = look_up(nodes, several, several.select("group", F.col("all").alias("n")), "group", ["fp"]).where("all is not null")
+    nodes = cut(nodes.select("fp", "n", "group"))
     tagged = look_up(prints, nodes.select("fp", "group"), nodes.select("fp", "n"), "fp", ["key"]).where("group is not null")
     return keep_one(docs, cut(tagged.select(F.col("doc_id").alias("id"), "key", "group")))
 
