@@ -1,4 +1,4 @@
-"""Command line: ``python -m ionweave.cli COMMAND --config FILE [--overwrite]``."""
+"""Command line: ``python -m ionweave.cli COMMAND --config FILE [--resume] [--overwrite]``."""
 
 from __future__ import annotations
 
@@ -19,7 +19,8 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="ionweave", description="Spatial mass spectrometry on Spark")
     p.add_argument("command", choices=COMMANDS, help="run executes all stages; a stage's name executes what it needs and itself")
     p.add_argument("--config", required=True)
-    p.add_argument("--overwrite", action="store_true")
+    p.add_argument("--resume", action="store_true", help="reuse complete stages; what a stage needs is always reused")
+    p.add_argument("--overwrite", action="store_true", help="replace stages that exist")
     p.add_argument("--master")
     return p
 
@@ -32,7 +33,7 @@ def main(argv: list[str] | None = None) -> int:
         out.mkdir(parents=True, exist_ok=True)
         logging.basicConfig(level=logging.INFO, handlers=[logging.StreamHandler(), logging.FileHandler(out / "run.log")], format="%(asctime)s %(levelname)s %(message)s")
         write_resolved(config, str(out / "config.resolved.yaml"))
-        pipeline = Pipeline(build_session(master=args.master), config, args.overwrite)
+        pipeline = Pipeline(build_session(master=args.master), config, args.overwrite, args.resume)
         if args.command == "run":
             pipeline.run()
             pipeline.finalize()

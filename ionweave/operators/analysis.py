@@ -259,18 +259,35 @@ def rank_scores(x: DataFrame, var: DataFrame, groups: DataFrame, method: str = "
     return scored.select("feature_id", "feature_ord", "grp", "scores", fold.alias("logfoldchanges"), "_dof")
 
 
-def rank_metabolites(x: DataFrame, var: DataFrame, groups: DataFrame, method: str = "wilcoxon") -> DataFrame:
-    """(grp, rank, names, scores, logfoldchanges, pvals, pvals_adj), best first; ties in feature order.
+def chosen_groups(groups: DataFrame, categories: list[str] | None = None, only: list[str] | None = None) -> tuple[DataFrame, list[str]]:
+    """``groups`` reduced to ``only`` those named, and their order: that of ``categories``, else first seen."""
+    require(groups, ["obs_id", "obs_ord", "grp"], AnalysisError, "groups")
+    if only is not None:
+        if len(set(only)) != len(only):
+            raise AnalysisError("groups are named twice")
+        groups = groups.where(F.col("grp").isin(only))
+    order = group_order(groups, categories)
+    if only is not None and set(order) != set(only):
+        raise AnalysisError(f"unknown groups: {sorted(set(only) - set(order))}")
+    if categories is not None:
+        groups = groups.where(F.col("grp").isin(order))
+    return groups, order
+
+
+def rank_metabolites(x: DataFrame, var: DataFrame, groups: DataFrame, method: str = "wilcoxon", categories: list[str] | None = None) -> DataFrame:
+    """(grp, group_ord, rank, names, scores, logfoldchanges, pvals, pvals_adj), best first; ties in feature order.
 
     ``groups(obs_id, obs_ord, grp)``; observations without a group take no part.
+    group_ord counts the groups from 0 in the order of ``categories``, else as first seen.
+    ``x`` is any matrix of a bundle, ``bundle.matrix(layer)`` for a layer.
     """
-    require(groups, ["obs_id", "obs_ord", "grp"], AnalysisError, "groups")
-    group_order(groups)
+    groups, order = chosen_groups(groups, categories)
     scored = rank_scores(x, var, groups, method)
     p = normal_two_sided("scores") if method == "wilcoxon" else student_p("scores", "_dof")
     adjusted = benjamini_hochberg(scored.withColumn("pvals", F.when(F.isnan(p), 1.0).otherwise(p)), ["grp"], "pvals", "pvals_adj")
     rank = F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("scores"), "feature_ord"))
-    return adjusted.select("grp", rank.alias("rank"), F.col("feature_id").alias("names"), "scores", "logfoldchanges", "pvals", "pvals_adj")
+    at = F.array_position(F.lit(order), F.col("grp")).cast("int") - 1
+    return adjusted.select("grp", at.alias("group_ord"), rank.alias("rank"), F.col("feature_id").alias("names"), "scores", "logfoldchanges", "pvals", "pvals_adj")
 
 
 def cosg_scores(x: DataFrame, var: DataFrame, groups: DataFrame, mu: float = 1.0, expressed_pct: float = 0.1, remove_lowly_expressed: bool = False) -> DataFrame:
@@ -289,11 +306,16 @@ def cosg_scores(x: DataFrame, var: DataFrame, groups: DataFrame, mu: float = 1.0
     return scored.select("grp", "feature_id", score.alias("score"))
 
 
-def run_cosg(x: DataFrame, var: DataFrame, groups: DataFrame, n_genes: int = 20, mu: float = 1.0) -> DataFrame:
-    """(rank, one column of marker names per group)."""
+def run_cosg(x: DataFrame, var: DataFrame, groups: DataFrame, n_genes: int = 20, mu: float = 1.0, expressed_pct: float = 0.1, remove_lowly_expressed: bool = False, only: list[str] | None = None, categories: list[str] | None = None) -> DataFrame:
+    """(rank, one column of marker names per group, in the order of ``categories``, else as first seen).
+
+    ``only`` names the groups to compare; ``x`` is any matrix of a bundle, ``bundle.matrix(layer)`` for a layer.
+    """
     whole("n_genes", n_genes, AnalysisError)
-    order = group_order(groups)
-    scored = cosg_scores(x, var, groups, mu).join(var.select("feature_id", "feature_ord"), "feature_id")
+    number("mu", mu, AnalysisError, low=0)
+    number("expressed_pct", expressed_pct, AnalysisError, low=0, high=1)
+    groups, order = chosen_groups(groups, categories, only)
+    scored = cosg_scores(x, var, groups, mu, expressed_pct, remove_lowly_expressed).join(var.select("feature_id", "feature_ord"), "feature_id")
     rank = F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("score"), "feature_ord"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= n_genes).groupBy("rank").pivot("grp", order).agg(F.first("feature_id"))
 

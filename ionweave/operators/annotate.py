@@ -14,11 +14,13 @@ METABOSCAPE = ("Measured m/z", "Molecular Formula", "Name")
 
 
 def _checked(reference: DataFrame, columns: tuple[str, ...], mz: str) -> DataFrame:
-    if tuple(reference.columns) != columns and set(reference.columns) != set(columns):
-        raise AnalysisError(f"reference columns must be exactly {list(columns)}")
+    if sorted(c for c in reference.columns if c != "ref_ord") != sorted(columns):
+        raise AnalysisError(f"reference columns must be exactly {list(columns)}, with or without ref_ord")
     if dict(reference.dtypes)[mz] == "boolean":
         raise AnalysisError(f"{mz} must be numeric")
     typed = reference.withColumn(mz, F.col(f"`{mz}`").try_cast("double"))
+    if "ref_ord" not in reference.columns:
+        typed = typed.withColumn("ref_ord", F.monotonically_increasing_id())
     check_rows(typed, {f"{mz} must be numeric, finite and positive": not_finite(F.col(f"`{mz}`")) | (F.col(f"`{mz}`") <= 0)}, AnalysisError)
     return typed
 
@@ -33,7 +35,10 @@ def matches(var: DataFrame, reference: DataFrame, ppm: float) -> DataFrame:
 
 
 def annotate(var: DataFrame, reference: DataFrame, fields: dict[str, Column], ppm: float) -> DataFrame:
-    """``var`` with one JSON list per field: all matches in reference order, ``[]`` without any."""
+    """``var`` with one JSON list per field: all matches in reference order, ``[]`` without any.
+
+    The order is ``ref_ord``, of any type that sorts; tables from files carry it.
+    """
     found = matches(var, reference, ppm)
     row = F.struct("ref_ord", *[c.alias(n) for n, c in fields.items()])
     lists = found.groupBy("feature_id").agg(F.array_sort(F.collect_list(row)).alias("_m"))
@@ -47,11 +52,8 @@ def annotate_hmdb(var: DataFrame, reference: DataFrame, mode: str, ppm: float =
     number("ppm", ppm, AnalysisError, low=0)
     if not isinstance(mode, str) or not mode.strip():
         raise AnalysisError("mode must be a non-empty string")
-    has_order = "ref_ord" in reference.columns
-    typed = _checked(reference.drop("ref_ord"), HMDB, "mz")
+    typed = _checked(reference, HMDB, "mz")
     check_rows(typed, {"accession and name must not be missing": F.col("accession").isNull() | F.col("name").isNull()}, AnalysisError)
-    order = reference.select("accession", F.col("ref_ord")) if has_order else None
-    typed = typed.join(order, "accession") if has_order else typed.withColumn("ref_ord", F.monotonically_increasing_id())
     wanted = typed.where(F.lower(F.trim("mode")) == mode.strip().lower()).withColumnRenamed("mz", "ref_mz")
     return annotate(var, wanted, {"hmdb_accessions": F.col("accession"), "hmdb_names": F.col("name")}, ppm)
 
@@ -59,7 +61,7 @@ def annotate_hmdb(var: DataFrame, reference: DataFrame, mode: str, ppm: float =
 def annotate_metaboscape(var: DataFrame, reference: DataFrame, ppm: float = 3) -> DataFrame:
     """metaboscape_formulas and metaboscape_names."""
     number("ppm", ppm, AnalysisError, low=0)
-    typed = _checked(reference, METABOSCAPE, "Measured m/z").withColumn("ref_ord", F.monotonically_increasing_id())
+    typed = _checked(reference, METABOSCAPE, "Measured m/z")
     check_rows(typed, {"formula and name must not be missing": F.col("`Molecular Formula`").isNull() | F.col("Name").isNull()}, AnalysisError)
     named = typed.select("ref_ord", F.col("`Measured m/z`").alias("ref_mz"), F.col("`Molecular Formula`").alias("formula"), "Name")
     return annotate(var, named, {"metaboscape_formulas": F.col("formula"), "metaboscape_names": F.col("Name")}, ppm)

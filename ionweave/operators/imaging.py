@@ -34,14 +34,27 @@ def _square(k: int) -> list[tuple[int, int]]:
     return [(y, x) for y in range(low, low + k) for x in range(low, low + k)]
 
 
+def _fold(best, a: np.ndarray, offsets) -> np.ndarray:
+    """``best`` (np.minimum or np.maximum) of ``a`` and its shifts; one array is kept, whatever the footprint.
+
+    Outside the image counts as what ``best`` ignores, so only the parts that overlap are compared.
+    """
+    h, w = a.shape
+    blank = (best is np.minimum) if a.dtype == bool else (np.inf if best is np.minimum else -np.inf)
+    out = np.full_like(a, blank)
+    for dr, dc in offsets:
+        if abs(dr) < h and abs(dc) < w:
+            here = out[max(0, -dr) : h - max(0, dr), max(0, -dc) : w - max(0, dc)]
+            best(here, a[max(0, dr) : h - max(0, -dr), max(0, dc) : w - max(0, -dc)], out=here)
+    return out
+
+
 def erode(a: np.ndarray, offsets) -> np.ndarray:
-    top = True if a.dtype == bool else np.inf
-    return np.minimum.reduce([_shifted(a, y, x, top) for y, x in offsets])
+    return _fold(np.minimum, a, offsets)
 
 
 def dilate(a: np.ndarray, offsets) -> np.ndarray:
-    low = False if a.dtype == bool else -np.inf
-    return np.maximum.reduce([_shifted(a, -y, -x, low) for y, x in offsets])
+    return _fold(np.maximum, a, [(-y, -x) for y, x in offsets])
 
 
 def opening(a, offsets):
@@ -90,6 +103,17 @@ def label(mask: np.ndarray, connectivity: int = 2) -> np.ndarray:
     return out.reshape(mask.shape)
 
 
+def boxes(parts: np.ndarray) -> list[tuple[slice, slice]]:
+    """The bounding box of every label 1, 2, ..., from one pass over the foreground."""
+    rows, cols = np.nonzero(parts)
+    at, n = parts[rows, cols] - 1, int(parts.max(initial=0))
+    low, high = np.full((2, n), max(parts.shape)), np.zeros((2, n), int)
+    for axis, place in enumerate((rows, cols)):
+        np.minimum.at(low[axis], at, place)
+        np.maximum.at(high[axis], at, place + 1)
+    return [(slice(a, b), slice(c, d)) for a, b, c, d in zip(low[0].tolist(), high[0].tolist(), low[1].tolist(), high[1].tolist())]
+
+
 def clear_border(mask: np.ndarray) -> np.ndarray:
     parts = label(mask)
     edge = np.unique(np.concatenate([parts[0], parts[-1], parts[:, 0], parts[:, -1]]))
@@ -120,14 +144,9 @@ def distance(mask: np.ndarray) -> np.ndarray:
 
 def local_maxima(height: np.ndarray, within: np.ndarray, min_distance: int) -> np.ndarray:
     """Peaks at least ``min_distance`` apart, higher first, earlier among equals."""
-    window = _square(2 * min_distance + 1) if min_distance <= 3 else None
-    if window:
-        peak = (height == dilate(height, window)) & within & (height > 0)
-    else:  # separable maximum
-        line = height
-        for axis in (0, 1):
-            line = np.maximum.reduce([_shifted(line, d if axis == 0 else 0, d if axis else 0, -np.inf) for d in range(-min_distance, min_distance + 1)])
-        peak = (height == line) & within & (height > 0)
+    reach = range(-min_distance, min_distance + 1)
+    highest = dilate(dilate(height, [(d, 0) for d in reach]), [(0, d) for d in reach])
+    peak = (height == highest) & within & (height > 0)
     rows, cols = np.nonzero(peak)
     order = np.lexsort((cols, rows, -height[rows, cols]))
     kept: list[tuple[int, int]] = []
@@ -159,7 +178,7 @@ def watershed(height: np.ndarray, markers: np.ndarray, mask: np.ndarray) -> np.n
     return out
 
 
-PARAMETERS = dict(cutoff=0.2, top_hat_radius=10, top_hat_mode="enhance", closing_size=5, post_closing_size=1, opening_size=3, min_peak_distance=25, peak_mode="per_component", marker_connectivity=2, min_size=30, threshold="otsu")
+PARAMETERS = dict(intensity_cutoff=0.2, top_hat_radius=10, top_hat_mode="enhance", closing_size=5, post_closing_size=1, opening_size=3, min_peak_distance=25, peak_detection_mode="per_component", marker_connectivity=2, min_size=30, threshold="otsu")
 
 
 def check_parameters(**parameters) -> dict:
@@ -167,13 +186,13 @@ def check_parameters(**parameters) -> dict:
     if unknown:
         raise RegionError(f"unknown parameters: {unknown}")
     p = {**PARAMETERS, **parameters}
-    number("cutoff", p["cutoff"], RegionError)
+    number("intensity_cutoff", p["intensity_cutoff"], RegionError)
     whole("top_hat_radius", p["top_hat_radius"], RegionError, low=0)
     for name in ("closing_size", "post_closing_size", "opening_size", "min_peak_distance", "min_size"):
         whole(name, p[name], RegionError)
     whole("marker_connectivity", p["marker_connectivity"], RegionError, high=2)
-    if p["top_hat_mode"] not in ("enhance", "legacy_opening") or p["peak_mode"] not in ("per_component", "legacy_global"):
-        raise RegionError("top_hat_mode or peak_mode is unknown")
+    if p["top_hat_mode"] not in ("enhance", "legacy_opening") or p["peak_detection_mode"] not in ("per_component", "legacy_global"):
+        raise RegionError("top_hat_mode or peak_detection_mode is unknown")
     if p["threshold"] != "otsu":
         number("threshold", p["threshold"], RegionError)
     return p
@@ -188,7 +207,7 @@ def segment_image(image: np.ndarray, mask: np.ndarray | None = None, **parameter
     mask = np.ones(image.shape, bool) if mask is None else np.asarray(mask, bool)
     if mask.shape != image.shape:
         raise RegionError("image and mask must have one shape")
-    work = np.where(mask & (image >= p["cutoff"]), image, 0.0)
+    work = np.where(mask & (image >= p["intensity_cutoff"]), image, 0.0)
     if p["top_hat_radius"]:
         opened = opening(work, _disk(p["top_hat_radius"]))
         work = work - opened if p["top_hat_mode"] == "enhance" else opened
@@ -201,15 +220,13 @@ def segment_image(image: np.ndarray, mask: np.ndarray | None = None, **parameter
     height = distance(found)
     parts = label(found)
     markers = np.zeros(image.shape, bool)
-    if p["peak_mode"] == "per_component":
-        for k in range(1, parts.max() + 1):
-            rows, cols = np.nonzero(parts == k)
-            box = np.s_[rows.min() : rows.max() + 1, cols.min() : cols.max() + 1]
+    if p["peak_detection_mode"] == "per_component":
+        for k, box in enumerate(boxes(parts), 1):
             own = parts[box] == k
             peaks = local_maxima(np.where(own, height[box], 0), own, p["min_peak_distance"])
             if not len(peaks):
                 peaks = np.array([np.unravel_index(np.where(own, height[box], -1).argmax(), own.shape)])
-            markers[peaks[:, 0] + rows.min(), peaks[:, 1] + cols.min()] = True
+            markers[peaks[:, 0] + box[0].start, peaks[:, 1] + box[1].start] = True
     else:
         peaks = local_maxima(height, found, p["min_peak_distance"])
         markers[peaks[:, 0], peaks[:, 1]] = True

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import QuantifyError
 from ..model import MatrixBundle, QuantificationResult, check_rows, choice, not_finite, number, require
+from ..session import cut
 
 METHODS = ("specificity_filtered", "legacy_proportional")
 
@@ -23,9 +27,10 @@ def mark_labels(marks: DataFrame) -> DataFrame:
 
 def check_marks(marks: DataFrame) -> None:
     """Raise unless every label is a positive integer that belongs to one observation."""
-    labels = mark_labels(marks)
-    check_rows(labels, {"seg_label must consist of positive integers joined by '_'": F.col("laser_label").isNull() | (F.col("laser_label") <= 0)}, QuantifyError)
-    check_rows(labels.groupBy("laser_label").count(), {"a raster label maps to more than one observation": F.col("count") > 1}, QuantifyError)
+    check_rows(mark_labels(marks).groupBy("laser_label").count(), {
+        "seg_label must consist of positive integers joined by '_'": F.col("laser_label").isNull() | (F.col("laser_label") <= 0),
+        "a raster label maps to more than one observation": F.col("count") > 1,
+    }, QuantifyError)
 
 
 def group_pixels(pixels: DataFrame) -> DataFrame:
@@ -141,7 +146,9 @@ def partition_difference(overlaps: DataFrame, accepted: DataFrame, rejected: Dat
 def quantify_cells(bundle: MatrixBundle, cell_pixels: DataFrame, laser_pixels: DataFrame, method: str = "specificity_filtered", boundary_margin: float = 20.0, unique_min: float = 0.10, dominant_min: float = 0.60, secondary_max: float = 0.15, layer: str | None = None) -> QuantificationResult:
     """Abundances of every cell inside the boundary; ``bundle.obs`` carries seg_label and centroids."""
     choice("method", method, METHODS, QuantifyError)
+    check_marks(bundle.obs)
     overlaps, cells = overlap_table(cell_pixels, laser_pixels, bundle.obs, boundary_margin)
+    overlaps, cells = cut(overlaps), cut(cells)  # every table of the result reads them
     judged = select_specific(overlaps, unique_min, dominant_min, secondary_max)
     if method == "specificity_filtered":
         accepted = judged.where("rejection_reason IS NULL").drop("rejection_reason")
@@ -160,6 +167,33 @@ def quantify_cells(bundle: MatrixBundle, cell_pixels: DataFrame, laser_pixels: D
     return QuantificationResult(MatrixBundle(obs, bundle.var, x, meta={"quantification_method": method}), overlaps, accepted, rejected, report)
 
 
+OVERLAP = ("cell_id", "cell_label", "laser_label", "laser_obs_id", "occupied_pixels", "laser_area", "occupied_ratio")
+
+
+def check_accepted(cells: MatrixBundle, marks: MatrixBundle, accepted: DataFrame) -> None:
+    """Raise unless ``accepted`` fits the cells, the marks and itself, and both bundles have the same features."""
+    require(accepted, OVERLAP, QuantifyError, "accepted overlaps")
+    named = accepted.select(*OVERLAP)
+    known = cells.obs.select(F.col("obs_id").alias("cell_id"), *([F.col("label").alias("_cell")] if "label" in cells.obs.columns else []), F.lit(True).alias("_known"))
+    owner = mark_labels(marks.obs).select("laser_label", F.col("laser_obs_id").alias("_owner"))
+    joined = named.join(known, "cell_id", "left").join(owner, "laser_label", "left")
+    ratio = F.col("occupied_pixels") / F.col("laser_area")
+    rules = {
+        "an accepted overlap has missing values": reduce(or_, [F.col(c).isNull() for c in OVERLAP]),
+        "labels and areas must be positive, pixels not negative": (F.col("cell_label") <= 0) | (F.col("laser_label") <= 0) | (F.col("laser_area") <= 0) | (F.col("occupied_pixels") < 0),
+        "occupied_pixels exceeds laser_area": F.col("occupied_pixels") > F.col("laser_area"),
+        "occupied_ratio differs from occupied_pixels / laser_area": F.abs(F.col("occupied_ratio") - ratio) > 1e-12 * ratio,
+        "an accepted overlap names an unknown cell": F.col("_known").isNull(),
+        "laser_label does not belong to laser_obs_id": ~F.col("_owner").eqNullSafe(F.col("laser_obs_id")),
+    }
+    if "_cell" in known.columns:
+        rules["cell_label does not belong to cell_id"] = F.col("_known").isNotNull() & ~F.col("_cell").cast("decimal(20,0)").eqNullSafe(F.col("cell_label").cast("decimal(20,0)"))
+    check_rows(joined, rules, QuantifyError)
+    check_rows(named.groupBy("cell_id", "laser_label").count(), {"a cell and a mark are mapped twice": F.col("count") > 1}, QuantifyError)
+    ours, theirs = (b.var.select("feature_id", "feature_ord", "mz") for b in (cells, marks))
+    check_rows(ours.exceptAll(theirs).unionByName(theirs.exceptAll(ours)), {"cells and marks must have the same features in the same order": F.lit(True)}, QuantifyError)
+
+
 def residual_marks(marks: DataFrame, accepted: DataFrame, min_residual_fraction: float = 0.2) -> DataFrame:
     """Marks whose uncovered share is at least the threshold, with ``residual_fraction``.
 
@@ -183,6 +217,7 @@ def residual_marks(marks: DataFrame, accepted: DataFrame, min_residual_fraction:
 def mixed_bundle(cells: MatrixBundle, marks: MatrixBundle, accepted: DataFrame, min_residual_fraction: float = 0.2) -> MatrixBundle:
     """Cells and residual marks in one bundle; annotations that one side lacks are null."""
     check_rows(marks.obs, {"area must be positive and finite": not_finite(F.col("area")) | (F.col("area") <= 0)}, QuantifyError)
+    check_accepted(cells, marks, accepted)
     residual = residual_marks(marks.obs, accepted, min_residual_fraction)
     new_id = F.concat(F.lit("laser_residual_"), F.col("obs_id"))
     x = marks.x.join(residual.select("obs_id", "residual_fraction"), "obs_id")

@@ -115,7 +115,8 @@ def parse_rules(rules: DataFrame) -> DataFrame:
 
 
 def merge_regions(rows: DataFrame, rules: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Sources become ``spoilt``; each rule adds a ``combined`` region; active rows are renumbered.
+    """Sources become ``spoilt`` and keep their numbers; each rule adds a ``combined`` region with its first
+    source's other columns; active rows are renumbered.
 
     The rules apply at once, which equals applying them in turn as long as no
     label of a row is named by two rules; that is checked.
@@ -125,13 +126,19 @@ def merge_regions(rows: DataFrame, rules: DataFrame, keys: tuple[str, ...] = ())
     intact = rows.where("morphology = 'intact'")
     matched = sources.join(intact.select("row_number", F.col("seg_label").alias("source"), "area", "centroid_row", "centroid_col", *keys), ["row_number", "source"], "left")
     check_rows(matched.groupBy("rule_ord", "row_number", "source").agg(F.count("area").alias("n")), {"a merge source must match exactly one intact region": F.col("n") != 1}, RegionError)
-    combined = matched.groupBy(*keys, "rule_ord", "row_number", "combined").agg(F.avg("centroid_row").alias("centroid_row"), F.avg("centroid_col").alias("centroid_col"), F.sum("area").alias("area"))
+    # whatever else the first source carries goes to the combined region
+    own = [c for c in rows.columns if c not in {"row_number", "seg_label", "area", "centroid_row", "centroid_col", "morphology", "column_number", "right_to_left", *keys}]
+    first = rows.where("morphology = 'intact'").select(F.col("seg_label").alias("source"), "row_number", *keys, F.struct("centroid_col", "centroid_row", "seg_label").alias("_place"), F.struct(*own).alias("_own") if own else F.lit(None).alias("_own"))
+    matched = matched.join(first, ["row_number", "source", *keys])
+    combined = matched.groupBy(*keys, "rule_ord", "row_number", "combined").agg(F.avg("centroid_row").alias("centroid_row"), F.avg("centroid_col").alias("centroid_col"), F.sum("area").alias("area"), F.min_by("_own", "_place").alias("_own"))
     spoilt = rows.join(sources.select("row_number", F.col("source").alias("seg_label"), F.lit(True).alias("_hit")), ["row_number", "seg_label"], "left")
     spoilt = spoilt.withColumn("morphology", F.when(F.col("_hit") & (F.col("morphology") == "intact"), "spoilt").otherwise(F.col("morphology"))).drop("_hit")
-    added = combined.select(*keys, F.lit(None).cast("long").alias("label"), F.col("combined").alias("seg_label"), F.lit("combined").alias("morphology"), "row_number", "centroid_row", "centroid_col", "area")
+    added = combined.select(*keys, *[F.col(f"_own.`{c}`").alias(c) for c in own], F.col("combined").alias("seg_label"), F.lit("combined").alias("morphology"), "row_number", "centroid_row", "centroid_col", "area")
     everything = spoilt.unionByName(added, allowMissingColumns=True)
     active = _number_columns(everything.where("morphology <> 'spoilt'"), keys)
-    rest = everything.where("morphology = 'spoilt'").withColumn("column_number", F.lit(None).cast("int")).withColumn("right_to_left", F.lit(None).cast("int"))
+    rest = everything.where("morphology = 'spoilt'")
+    for c in ("column_number", "right_to_left"):
+        rest = rest.withColumn(c, F.col(c).cast("int") if c in rows.columns else F.lit(None).cast("int"))
     return active.unionByName(rest)
 
 

@@ -66,7 +66,7 @@ SPEC: dict = {
     "preprocessing": {
         "backend": (_one_of("python", "cardinal"), "python"), "normalization": (_one_of("rms", "tic", "none"), "rms"), "normalized_layer": (_text, "normalized"),
         "min_occurrence": (_real(0, 1), 0.05), "peak_tolerance": (_real(0, None, True), 10.0), "tolerance_unit": (_one_of("ppm", "da"), "ppm"),
-        "profile_bin_size": (_optional(_real(0, None, True)), None), "cardinal_snr": (_real(0, None, True), 3.0),
+        "profile_bin_size": (_optional(_real(0, None, True)), None), "cardinal_snr": (_real(0, None, True), 3.0), "cardinal_script": (PATH, None),
         "matrix_removal": {
             "enabled": (_flag, False), "method": (_one_of("reference", "blank", "denovo"), "denovo"), "reference_file": (PATH, None), "blank_datasets": (_list(_text), []),
             "matrix_frequency": (_real(0, 1), 0.8), "tolerance": (_real(0, None, True), 10.0), "unit": (_one_of("ppm", "da"), "ppm"),
@@ -138,6 +138,8 @@ def resolve(tree: dict, base: str | Path = ".") -> dict:
     sources = [k for k in ("imzml", "h5ad", "bundle") if config["input"][k]]
     if len(sources) != 1:
         raise ConfigError("input needs exactly one of imzml, h5ad and bundle")
+    if config["preprocessing"]["backend"] == "cardinal" and not (config["preprocessing"]["cardinal_script"] and config["input"]["imzml"]):
+        raise ConfigError("the cardinal backend needs input.imzml and preprocessing.cardinal_script, the R script to run")
     cnmf = config["analysis"]["cnmf"]
     if cnmf["enabled"] and cnmf["selected_k"] not in cnmf["components"]:
         raise ConfigError("analysis.cnmf.selected_k must be among the components")

@@ -7,16 +7,19 @@ Each stage reads its predecessor's tables back from Parquet, which cuts lineage.
 from __future__ import annotations
 
 import dataclasses
+import json
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.errors import PythonException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..errors import StageError
-
+from ..errors import RegionError, StageError
 from ..model import MatrixBundle
 from ..operators import analysis, annotate, imaging, preprocess, qc, quantify, regions, registration, trajectory
-from ..sources import imzml, sinks, tables
+from ..session import cut
+from ..sources import external, imzml, sinks, tables
 from .store import StageStore, file_signature, stage_signature
 
 STAGES = ("preprocess", "segment", "register", "quantify", "qc", "annotate", "analyze", "trajectory")
@@ -31,9 +34,44 @@ def table_bundle(frames: dict[str, DataFrame], meta: dict) -> MatrixBundle:
     return MatrixBundle(frames["obs"], frames["var"], frames["x"], layers, meta)
 
 
+#: Label pixels that a segmenting task hands on at once.
+_PIXELS = 1 << 20
+
+
+def segment_file(spark: SparkSession, path: str, rectangle: list[int] | None, parameters: dict) -> tuple[DataFrame, dict]:
+    """(row, col, label) of an image file's marks and facts, segmented in a task of its own; ``rectangle`` is (row0, col0, row1, col1), ends included."""
+    imaging.check_parameters(**parameters)
+    if rectangle is not None and (len(rectangle) != 4 or not all(isinstance(x, int) for x in rectangle)):
+        raise RegionError("include_rectangle must have four integers")
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_dict("records"):
+                image = tables.gray_image(row)
+                mask = np.ones(image.shape, bool)
+                if rectangle is not None:
+                    r0, c0, r1, c1 = rectangle
+                    mask[:] = False
+                    mask[r0 : r1 + 1, c0 : c1 + 1] = True
+                labels, facts = imaging.segment_image(image, mask, **parameters)
+                yield pd.DataFrame({"row": [-1], "col": [-1], "label": [0], "facts": [json.dumps({**facts, "image_shape": image.shape})]})
+                rows, cols = np.nonzero(labels)
+                for at in range(0, len(rows), _PIXELS):
+                    r, c = rows[at : at + _PIXELS], cols[at : at + _PIXELS]
+                    yield pd.DataFrame({"row": r, "col": c, "label": labels[r, c], "facts": None})
+
+    try:
+        found = cut(tables.image_rows(spark, path).mapInPandas(run, "row int, col int, label long, facts string"))
+    except PythonException as e:
+        raise RegionError(f"cannot segment {path!r}: {str(e).strip().splitlines()[-1]}") from e
+    return found.where("facts IS NULL").drop("facts"), json.loads(found.where("facts IS NOT NULL").first().facts)
+
+
 class Pipeline:
-    def __init__(self, spark: SparkSession, config: dict, overwrite: bool = False):
-        self.spark, self.config = spark, config
+    """Stages of one configuration.  Complete stages are reused; without ``resume`` the ones asked for must not exist yet, unless ``overwrite`` replaces them."""
+
+    def __init__(self, spark: SparkSession, config: dict, overwrite: bool = False, resume: bool = True):
+        self.spark, self.config, self.resume = spark, config, resume
         self.store = StageStore(spark, config["project"]["output_dir"], overwrite)
 
     def enabled(self) -> list[str]:
@@ -49,6 +87,7 @@ class Pipeline:
                 raise StageError(f"stage {until!r} is unknown or disabled")
             order = order[: order.index(until) + 1]
         for name in order:
+            self.store.resume = self.resume or (until is not None and name != until)
             out = getattr(self, name)()
         return out
 
@@ -68,7 +107,10 @@ class Pipeline:
         c, p = self.config["input"], self.config["preprocessing"]
 
         def produce():
-            if c["bundle"]:
+            if p["backend"] == "cardinal":
+                folder = f"{self.config['project']['output_dir']}/cardinal"
+                bundle = external.run_external(self.spark, p["cardinal_script"], c["imzml"], folder, self.config["project"]["name"], tolerance=p["peak_tolerance"], unit=p["tolerance_unit"], snr=p["cardinal_snr"], overwrite=True)
+            elif c["bundle"]:
                 bundle = tables.read_bundle(self.spark, c["bundle"])
             elif c["h5ad"]:
                 bundle = tables.read_h5ad(self.spark, c["h5ad"])
@@ -93,24 +135,26 @@ class Pipeline:
         c, s = self.config["input"], self.config["laser_segmentation"]
 
         def produce():
-            if s["method"] == "simulated":
-                extra = dict(s["parameters"])
-                anchors = self.spark.createDataFrame([(int(r), float(y), float(x)) for r, y, x in extra.pop("anchors")], "row_number int, centroid_row double, centroid_col double")
-                found = regions.simulate_marks(self._bundle("preprocess").obs, anchors, tuple(extra.pop("image_shape")), s["radius"])
-                return {"labels": found.labels, "regions": found.regions}, found.diagnostics
             extra = dict(s["parameters"])
-            rectangle, bounds = extra.pop("rectangle", None), extra.pop("exclude", {})
-            image = np.load(c["laser_image"], allow_pickle=False)
-            mask = np.ones(image.shape, bool)
-            if rectangle:
-                mask[:] = False
-                mask[rectangle[0] : rectangle[1] + 1, rectangle[2] : rectangle[3] + 1] = True
-            labels, facts = imaging.segment_image(image, mask, **extra)
-            px = tables.raster_pixels(self.spark, labels)
-            rows = regions.detect_rows(regions.region_table(px), s["expected_rows"])
-            if s["expected_rows"]:
-                regions.check_row_count(rows, s["expected_rows"])
-            rows = regions.exclude_regions(rows, **bounds)
+            shape, anchors = extra.pop("image_shape", None), extra.pop("anchors", None)
+            rectangle, by, bounds = extra.pop("include_rectangle", None), extra.pop("row_detection", {}), extra.pop("exclusion", {})
+            facts: dict = {}
+            if anchors is not None:
+                rows = self.spark.createDataFrame([(int(r), float(y), float(x)) for r, y, x in anchors], "row_number int, centroid_row double, centroid_col double")
+            else:
+                if not c["laser_image"]:
+                    raise StageError("input.laser_image is required for segmentation")
+                px, facts = segment_file(self.spark, c["laser_image"], rectangle, extra)
+                shape = facts["image_shape"]
+                rows = regions.detect_rows(regions.region_table(px), s["expected_rows"], **by)
+                if s["expected_rows"]:
+                    regions.check_row_count(rows, s["expected_rows"])
+                rows = regions.exclude_regions(rows, **bounds)
+            if s["method"] == "simulated":
+                # rows that the bounds leave are numbered anew; there are thousands at most
+                ends = rows.withColumn("row_number", F.dense_rank().over(Window.orderBy("row_number")))
+                found = regions.simulate_marks(self._bundle("preprocess").obs, ends, tuple(shape), s["radius"])
+                return {"labels": found.labels, "regions": found.regions}, {**facts, **found.diagnostics}
             if s["merge_rules"]:
                 rows = regions.merge_regions(rows, tables.load_merge_rules(self.spark, s["merge_rules"]))
             return {"labels": px, "regions": rows}, facts

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import blocks
 from ..functions.stats import benjamini_hochberg, tied_rank
+from ..session import cut
 from ..model import MatrixBundle
 from ..operators import analysis, annotate, imaging, peaks, plots, preprocess, qc, quantify, regions, registration, trajectory
 
@@ -214,7 +215,10 @@ SELECT cell_id AS obs_id, feature_id, round(sum(value * occupied_ratio), 6) AS v
 UNION ALL SELECT 'laser_residual_' || obs_id, feature_id, round(value * f, 6) FROM res JOIN mx USING (obs_id) WHERE value * f <> 0""")
 def mixed_spectra(spark, d):
     cells, laser, marks = rasters(spark, d)
-    bundle = MatrixBundle(marks, marks, mark_spectra(spark, d))
+    features = table(spark, d, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("feature_id")).distinct()
+    order = F.row_number().over(Window.orderBy("feature_id"))  # a handful
+    var = features.withColumn("feature_ord", order).withColumn("mz", 100.0 + F.col("feature_ord"))
+    bundle = MatrixBundle(marks, cut(var), mark_spectra(spark, d))
     found = quantify.quantify_cells(bundle, cells, laser, method="legacy_proportional")
     return rounded(quantify.mixed_bundle(found.bundle, bundle, found.accepted).x, "value", digits=6)
 
@@ -379,6 +383,7 @@ def exclude_regions(spark, d):
 def _nation_rows(spark, d):
     s = table(spark, d, "supplier")
     base = s.select(F.col("s_suppkey").alias("label"), F.lit(1.0).alias("area"), F.col("s_nationkey").cast("double").alias("centroid_row"), F.col("s_suppkey").cast("double").alias("centroid_col"), (F.col("s_nationkey") + 1).cast("int").alias("row_number"), F.col("s_suppkey").cast("string").alias("seg_label"), F.lit("intact").alias("morphology"))
+    base = base.withColumn("column_number", F.row_number().over(Window.partitionBy("row_number").orderBy("label")))
     rules = s.groupBy((F.col("s_nationkey") + 1).cast("int").alias("row_number")).agg(F.min("s_suppkey").alias("a"), F.max("s_suppkey").alias("b")).where("a < b")
     return base, rules.select("row_number", F.concat_ws(",", F.col("a").cast("string"), F.col("b").cast("string")).alias("source_labels"))
 
@@ -387,9 +392,10 @@ def _nation_rows(spark, d):
 act AS (SELECT s_suppkey::VARCHAR AS seg_label, 'intact' AS morphology, s_nationkey + 1 AS rn, s_suppkey::DOUBLE AS c, 1.0::DOUBLE AS area FROM supplier WHERE s_suppkey NOT IN (SELECT a FROM e UNION ALL SELECT b FROM e)
   UNION ALL SELECT a || '_' || b, 'combined', k + 1, (a + b) / 2.0::DOUBLE, 2.0::DOUBLE FROM e)
 SELECT seg_label, morphology, rn::INTEGER AS row_number, row_number() OVER (PARTITION BY rn ORDER BY c, seg_label)::INTEGER AS column_number, area FROM act
-UNION ALL SELECT s_suppkey::VARCHAR, 'spoilt', (s_nationkey + 1)::INTEGER, 0, 1.0::DOUBLE FROM supplier WHERE s_suppkey IN (SELECT a FROM e UNION ALL SELECT b FROM e)""")
+UNION ALL SELECT s_suppkey::VARCHAR, 'spoilt', (s_nationkey + 1)::INTEGER, old, 1.0::DOUBLE
+FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey)::INTEGER AS old FROM supplier) WHERE s_suppkey IN (SELECT a FROM e UNION ALL SELECT b FROM e)""")
 def merge_regions(spark, d):
-    return regions.merge_regions(*_nation_rows(spark, d)).select("seg_label", "morphology", "row_number", F.coalesce("column_number", F.lit(0)).alias("column_number"), "area")
+    return regions.merge_regions(*_nation_rows(spark, d)).select("seg_label", "morphology", "row_number", "column_number", "area")
 
 
 @query("register_rank_zip", f"WITH {_GRID} SELECT obs_id AS pixel_id, kr::INTEGER AS row_number, j::INTEGER AS column_number FROM pr")
@@ -515,10 +521,14 @@ def rank_wilcoxon(spark, d):
     return rounded(analysis.rank_scores(x, dense_var(spark, d), groups, "wilcoxon").select("feature_id", "grp", "scores"), "scores", digits=6)
 
 
-@query("rank_metabolites")
+@query("rank_metabolites", f"""WITH {_MOMENTS}, sc AS (SELECT grp, feature_id, (m - mr) / sqrt(v / n + vr / nr) AS t, (exp(m) - 1 + 1e-9) / (exp(mr) - 1 + 1e-9) AS f FROM vv),
+o AS (SELECT grp, row_number() OVER (ORDER BY min(obs_id)) - 1 AS group_ord FROM e GROUP BY grp)
+SELECT grp, group_ord::INTEGER AS group_ord, row_number() OVER (PARTITION BY grp ORDER BY t DESC, feature_id)::INTEGER AS rank, feature_id::INTEGER AS names, round(t, 6) AS scores, CASE WHEN f > 0 THEN round(log2(f), 4) END AS logfoldchanges FROM sc JOIN o USING (grp)""")
 def rank_metabolites(spark, d):
+    """Without the p-values, whose distribution SQL does not have; tests compare those with quadrature."""
     _, x, groups = dense(spark, d)
-    return analysis.rank_metabolites(x, dense_var(spark, d), groups, "t-test")
+    ranked = analysis.rank_metabolites(x, dense_var(spark, d), groups, "t-test").select("grp", "group_ord", "rank", "names", "scores", "logfoldchanges")
+    return rounded(rounded(ranked, "scores", digits=6), "logfoldchanges", digits=4)
 
 
 @query("cosg_scores", f"WITH {_X}, gg AS (SELECT s_suppkey AS obs_id, s_nationkey % 4 AS grp FROM supplier), z AS (SELECT grp, count(*) AS n FROM gg GROUP BY 1), c AS (SELECT feature_id, grp, sum(value) AS s, sum(value * value) AS q FROM x JOIN gg USING (obs_id) GROUP BY ALL), c1 AS (SELECT feature_id, c.grp, s / (sqrt(sum(q) OVER (PARTITION BY feature_id)) * sqrt(n)) AS c FROM c JOIN z ON z.grp = c.grp) SELECT grp::VARCHAR AS grp, feature_id, round(c * (c * c / sum(c * c) OVER (PARTITION BY feature_id)), 8) AS score FROM c1")
@@ -571,19 +581,22 @@ def cnmf_spectra(spark, d):
 _SEG = "SELECT * FROM (VALUES (0, 0.0::DOUBLE, 0.0::DOUBLE, 100.0::DOUBLE, 100.0::DOUBLE), (1, 100.0, 100.0, 250.0, 50.0), (2, 250.0, 50.0, 500.0, 400.0)) t(k, x0, y0, x1, y1)"
 
 
-@query("polyline_projection", f"""WITH g0 AS ({_SEG}), g AS (SELECT *, x1 - x0 AS dx, y1 - y0 AS dy, sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2) AS len FROM g0), g1 AS (SELECT *, sum(len) OVER (ORDER BY k) - len AS start, sum(len) OVER () AS total FROM g),
+_PROJECTED = f"""WITH g0 AS ({_SEG}), g AS (SELECT *, x1 - x0 AS dx, y1 - y0 AS dy, sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2) AS len FROM g0), g1 AS (SELECT *, sum(len) OVER (ORDER BY k) - len AS start, sum(len) OVER () AS total FROM g),
 c AS (SELECT event_id, k, dx, dy, len, start, total, x0, y0, value AS x, user_id::DOUBLE AS y, greatest(0, least(1, ((value - x0) * dx + (user_id - y0) * dy) / (len * len))) AS t FROM events, g1),
 m AS (SELECT *, sqrt((x - (x0 + t * dx)) ** 2 + (y - (y0 + t * dy)) ** 2) AS dist FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY dist, k) AS n FROM m)
-SELECT event_id, round((start + t * len) / total, 6) AS trajectory_position, round(dist, 6) AS trajectory_distance FROM r WHERE n = 1""")
+SELECT event_id, round((start + t * len) / total, 6) AS trajectory_position, round(dist, 6) AS trajectory_distance FROM r WHERE n = 1"""
+
+
+@query("polyline_projection", _PROJECTED)
 def polyline_projection(spark, d):
     points = table(spark, d, "events").select("event_id", F.col("value").alias("x"), F.col("user_id").cast("double").alias("y"))
     return rounded(trajectory.project_points(points, PATH).drop("x", "y"), "trajectory_position", "trajectory_distance", digits=6)
 
 
-@query("polyline_projection_exact")
+@query("polyline_projection_exact", _PROJECTED)
 def polyline_projection_exact(spark, d):
     points = table(spark, d, "events").select("event_id", F.col("value").alias("x"), F.col("user_id").cast("double").alias("y"))
-    return trajectory.project_points_exact(points, PATH)
+    return rounded(trajectory.project_points_exact(points, PATH).drop("x", "y"), "trajectory_position", "trajectory_distance", digits=6)
 
 
 @query("feature_trends")
@@ -629,11 +642,13 @@ def region_table(spark, d):
     return rounded(regions.region_table(rasters(spark, d)[0]), "centroid_row", "centroid_col")
 
 
-@query("simulate_marks")
+@query("simulate_marks", """WITH px AS (SELECT unnest(range(-6, 7)) AS dr), pc AS (SELECT unnest(range(-6, 7)) AS dc)
+SELECT (20 * (n_nationkey // 5 + 1) + dr)::INTEGER AS "row", (10 + 30 * (n_nationkey % 5) + dc)::INTEGER AS col, (n_nationkey + 1)::BIGINT AS label FROM nation, px, pc WHERE dr * dr + dc * dc < 36""")
 def simulate_marks(spark, d):
-    msi = spark.range(12).select((F.col("id") % 4).cast("double").alias("x"), F.floor(F.col("id") / 4).cast("double").alias("y"))
-    anchors = spark.createDataFrame([(r, 20.0 * r, c) for r in (1, 2, 3) for c in (10.0, 100.0)], "row_number int, centroid_row double, centroid_col double")
-    return regions.simulate_marks(msi, anchors, (90, 120), 6).labels
+    """A grid of nations, five a row, between anchors at the regions."""
+    msi = table(spark, d, "nation").select((F.col("n_nationkey") % 5).cast("double").alias("x"), F.floor(F.col("n_nationkey") / 5).cast("double").alias("y"))
+    anchors = table(spark, d, "region").select((F.col("r_regionkey") + 1).cast("int").alias("row_number"), (20.0 * (F.col("r_regionkey") + 1)).alias("centroid_row"), F.explode(F.array(F.lit(10.0), F.lit(130.0))).alias("centroid_col"))
+    return regions.simulate_marks(msi, anchors, (130, 150), 6).labels
 
 
 @query("segment_images")

@@ -53,19 +53,21 @@ def stage_signature(config: object, inputs: dict[str, object]) -> str:
 
 
 class StageStore:
-    """Stages under ``root/stages/<name>``; tables are Parquet, facts are JSON in the manifest."""
+    """Tables under ``root/stages/<name>/<version>`` as Parquet, facts and versions in the manifest.
 
-    def __init__(self, spark: SparkSession, root: str, overwrite: bool = False):
-        self.spark, self.root, self.overwrite = spark, Path(root), overwrite
+    A version is written under a name of its own and counts from the moment the
+    manifest names it, which is replaced atomically; a run that ends before leaves
+    the old version in force.  Versions without a record are removed at the start.
+    ``root`` must be a folder that driver and executors share.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, overwrite: bool = False, resume: bool = True):
+        self.spark, self.root, self.overwrite, self.resume = spark, Path(root), overwrite, resume
         self.root.mkdir(parents=True, exist_ok=True)
-        for left in self.root.glob("stages/.*-partial-*"):  # interrupted runs never committed these
-            shutil.rmtree(left, ignore_errors=True)
-        for old in self.root.glob("stages/.*-old-*"):  # a swap was interrupted: the old stage goes back unless the new one stands
-            name = old.name[1:].split("-old-")[0]
-            if (self.root / "stages" / name).exists():
-                shutil.rmtree(old, ignore_errors=True)
-            else:
-                os.replace(old, self.root / "stages" / name)
+        known = {(name, r.get("version")) for name, r in self.manifest()["stages"].items()}
+        for left in self.root.glob("stages/*/*"):
+            if (left.parent.name, left.name) not in known:
+                shutil.rmtree(left, ignore_errors=True)
 
     @property
     def manifest_path(self) -> Path:
@@ -80,7 +82,11 @@ class StageStore:
         write_json(self.manifest_path, manifest)
 
     def tables(self, name: str) -> dict[str, DataFrame]:
-        return {t: self.spark.read.parquet(str(self.root / "stages" / name / t)) for t in self.manifest()["stages"][name]["tables"]}
+        record = self.manifest()["stages"][name]
+        return {t: self.spark.read.parquet(str(self.folder(name, record["version"]) / t)) for t in record["tables"]}
+
+    def folder(self, name: str, version: str) -> Path:
+        return self.root / "stages" / name / version
 
     def _intact(self, name: str, record: dict) -> bool:
         try:
@@ -92,32 +98,34 @@ class StageStore:
         return stage_signature(None, self.manifest()["stages"][name]["tables"])
 
     def run(self, name: str, signature: str, producer: Callable[[], tuple[dict[str, DataFrame], dict]]) -> tuple[dict[str, DataFrame], dict]:
-        """(tables, facts) of the stage, reused when possible; refuses to replace a differing one without overwrite."""
+        """(tables, facts) of the stage.
+
+        A complete one with the wanted signature and content is reused under ``resume``;
+        one that exists is else replaced under ``overwrite`` and refused without.
+        """
         record = self.manifest()["stages"].get(name)
-        final = self.root / "stages" / name
-        if record and record["status"] == "complete":
-            if record["signature"] == signature and self._intact(name, record):
+        complete = record is not None and record["status"] == "complete"
+        if complete:
+            if self.resume and record["signature"] == signature and self._intact(name, record):
                 log.info("stage %s: reused", name)
                 return self.tables(name), record["facts"]
             if not self.overwrite:
-                raise StageError(f"stage {name!r} exists with other inputs or content; pass overwrite")
-        partial = final.parent / f".{name}-partial-{uuid.uuid4().hex}"
+                raise StageError(f"stage {name!r} exists" + (" with other inputs or content; pass overwrite" if self.resume else "; pass resume or overwrite"))
+        version = uuid.uuid4().hex
+        folder = self.folder(name, version)
         try:
             frames, facts = producer()
             digests = {}
             for table, df in frames.items():
-                df.write.parquet(str(partial / table))
-                digests[table] = content_digest(self.spark.read.parquet(str(partial / table)))
-            old = final.parent / f".{name}-old-{uuid.uuid4().hex}"
-            if final.exists():
-                os.replace(final, old)
-            os.replace(partial, final)
-            self._record(name, {"status": "complete", "signature": signature, "tables": digests, "facts": facts, "finished": datetime.now(UTC).isoformat()})
-            shutil.rmtree(old, ignore_errors=True)
+                df.write.parquet(str(folder / table))
+                digests[table] = content_digest(self.spark.read.parquet(str(folder / table)))
+            self._record(name, {"status": "complete", "signature": signature, "version": version, "tables": digests, "facts": facts, "finished": datetime.now(UTC).isoformat()})
         except BaseException as e:
-            shutil.rmtree(partial, ignore_errors=True)
-            if not record or record["status"] != "complete":
+            shutil.rmtree(folder, ignore_errors=True)
+            if not complete:
                 self._record(name, {"status": "failed", "signature": signature, "error": str(e)[:500]})
             raise
+        if complete:
+            shutil.rmtree(self.folder(name, record["version"]), ignore_errors=True)
         log.info("stage %s: complete", name)
         return self.tables(name), facts

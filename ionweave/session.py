@@ -6,6 +6,8 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .errors import IonweaveError
+
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -20,10 +22,12 @@ def build_session(app: str = "ionweave", master: str | None = None, **conf: str)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, shared by all executors; a temporary folder only where it is unset (local tests)."""
+    """``spark.checkpoint.dir``, shared by all executors; a temporary folder only where it is unset and the master is local."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if named is None:
+        if not sc.master.startswith("local"):
+            raise IonweaveError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="ionweave-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import os
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,15 +55,45 @@ def read_segmentation(spark: SparkSession, path: str, trusted_pickle: bool = Fal
     return raster_pixels(spark, load_labels(path, trusted_pickle))
 
 
-def read_image(spark: SparkSession, path: str, rectangle: tuple[int, int, int, int] | None = None) -> DataFrame:
-    """(row, col, value, inside) of a gray .npy image; ``rectangle`` (row0, row1, col0, col1) includes its ends."""
-    image = np.load(path, allow_pickle=False)
+#: Shares of red, green and blue in gray.
+GRAY = (0.2125, 0.7154, 0.0721)
+
+
+def image_rows(spark: SparkSession, path: str) -> DataFrame:
+    """One row with the content of an image file, .npy or what Java decodes (JPEG, PNG, ...)."""
+    if path.lower().endswith(".npy"):
+        return spark.read.format("binaryFile").load(path).select("content")
+    return spark.read.format("image").load(path).select("image.height", "image.width", "image.nChannels", "image.data")
+
+
+def gray_image(row) -> np.ndarray:
+    """A row of ``image_rows`` as a gray array: colours weighted into 0 to 1, arrays and gray files as stored."""
+    if "content" in row:
+        image = np.load(io.BytesIO(row["content"]), allow_pickle=False)
+    else:
+        image = np.frombuffer(row["data"], np.uint8).reshape(row["height"], row["width"], row["nChannels"])
+        image = image[:, :, 0] if image.shape[2] == 1 else image[:, :, 2::-1] / 255.0 @ np.array(GRAY)  # stored blue first
     if image.ndim != 2:
         raise SourceError("an image must be two-dimensional")
-    px = raster_pixels(spark, image.astype(float), "value")
+    return image.astype(float)
+
+
+def read_image(spark: SparkSession, path: str, rectangle: tuple[int, int, int, int] | None = None, stripe: int = 256) -> DataFrame:
+    """(row, col, value, inside) of a gray image, decoded on an executor; ``rectangle`` (row0, col0, row1, col1) includes its ends."""
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_dict("records"):
+                image = gray_image(row)
+                for at in range(0, image.shape[0], stripe):
+                    part = image[at : at + stripe]
+                    rows, cols = np.indices(part.shape)
+                    yield pd.DataFrame({"row": rows.ravel() + at, "col": cols.ravel(), "value": part.ravel()})
+
+    px = image_rows(spark, path).mapInPandas(run, "row int, col int, value double")
     if rectangle is None:
         return px.withColumn("inside", F.lit(True))
-    r0, r1, c0, c1 = rectangle
+    r0, c0, r1, c1 = rectangle
     return px.withColumn("inside", F.col("row").between(r0, r1) & F.col("col").between(c0, c1))
 
 
@@ -92,8 +124,14 @@ def load_reference_mz(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_annotation_table(spark: SparkSession, path: str) -> DataFrame:
-    """Comma for .csv, tab for anything else; all columns text."""
-    return spark.read.csv(path, header=True, sep="," if path.lower().endswith(".csv") else "\t")
+    """Comma for .csv, tab for anything else; all columns text, and ``ref_ord``, the place in the file.
+
+    Splits of a file are not read in order, so the place is the split's start and
+    the row within the task that reads it.
+    """
+    raw = spark.read.csv(path, header=True, sep="," if path.lower().endswith(".csv") else "\t")
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return raw.select("*", place.alias("ref_ord"))
 
 
 def load_path(spark: SparkSession, path: str) -> list[tuple[float, float]]:

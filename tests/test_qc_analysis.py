@@ -149,6 +149,14 @@ def test_annotation(spark):
     assert got == {"m1": ('["HMDB2","HMDB1"]', '["b","a"]'), "m2": ("[]", "[]")}
 
 
+def test_one_accession_for_several_modes(spark):
+    rows = [("A", "a", 100.0, "pos"), ("A", "a", 100.0, "neg"), ("A", "a", 100.0001, "neg"), ("B", "b", 100.0, "pos")]
+    for reference in (hmdb(spark, rows), hmdb(spark, rows).drop("ref_ord")):
+        assert ann.annotate_hmdb(queries(spark, [100]), reference, "pos").first().hmdb_accessions == '["A","B"]'
+    with pytest.raises(AnalysisError):
+        ann.annotate_hmdb(queries(spark, [100]), hmdb(spark, rows).drop("name"), "pos")
+
+
 def test_annotation_boundaries(spark):
     rows = [(n, n, m, "pos") for n, m in (("lower", 99.9995), ("upper", 100.0005), ("below", 99.99949), ("above", 100.00051))]
     assert ann.annotate_hmdb(queries(spark, [100]), hmdb(spark, rows), "pos").first().hmdb_accessions == '["lower","upper"]'
@@ -205,6 +213,9 @@ def test_ranked_table(spark):
         rows = an.rank_metabolites(b.x, b.var, groups, method).orderBy("grp", "rank").collect()
         assert len(rows) == 10 and all(0 <= r.pvals <= r.pvals_adj + 1e-12 <= 1 + 2e-12 for r in rows)
         assert all(x.scores >= y.scores for x, y in zip(rows, rows[1:]) if x.grp == y.grp)
+    ranked = an.rank_metabolites(b.x, b.var, groups)
+    assert {(r.grp, r.group_ord) for r in ranked.collect()} == {("b", 0), ("a", 1)}
+    assert {(r.grp, r.group_ord) for r in an.rank_metabolites(b.x, b.var, groups, categories=["a", "none", "b"]).collect()} == {("a", 0), ("b", 1)}
     assert an.group_order(groups) == ["b", "a"] and an.group_order(groups, ["a", "b"]) == ["a", "b"]
     with pytest.raises(AnalysisError):
         an.rank_metabolites(b.x, b.var, groups.where("grp = 'a'"))
@@ -229,6 +240,11 @@ def test_variance_and_cosg(spark):
         assert r.score == pytest.approx(c * c * c / sum(cos[k, int(r.feature_id[1:])] ** 2 for k in "ab"))
     table = an.run_cosg(b.x, b.var, groups, 3)
     assert table.columns == ["rank", "b", "a"] and table.count() == 3
+    assert an.run_cosg(b.x, b.var, groups, 3, categories=["a", "b"]).columns == ["rank", "a", "b"]
+    with pytest.raises(AnalysisError):
+        an.run_cosg(b.x, b.var, groups, 3, only=["a", "c"])
+    low = an.run_cosg(b.x.where("feature_id <> 'm0' OR value > 1e9"), b.var, groups, 5, expressed_pct=1.0, remove_lowly_expressed=True)
+    assert low.count() <= 5
 
 
 @pytest.mark.parametrize("block", [2000, 5])

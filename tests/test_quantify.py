@@ -3,29 +3,31 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from ionweave.errors import QuantifyError
 from ionweave.model import MatrixBundle
 from ionweave.operators import quantify as q
 
-LASER = [[1, 1, 2, 2], [1, 1, 2, 2], [0, 0, 0, 0]]
-CELLS = [[1, 1, 1, 2], [1, 1, 2, 2], [0, 0, 0, 0]]
+# mark 5 has six pixels, mark 9 eight; cell 2 lies over both, cell 3 partly over 9
+LASER = [[5, 5, 5, 0, 9, 9, 9, 9], [5, 5, 5, 0, 9, 9, 9, 9]]
+CELLS = [[1, 1, 2, 2, 2, 2, 3, 3], [1, 1, 2, 2, 2, 2, 3, 0]]
 
 
 def pixels(spark, raster):
     return spark.createDataFrame([(r, c, v) for r, row in enumerate(raster) for c, v in enumerate(row)], "row int, col int, label long")
 
 
-def marks(spark, rows=(("p1", "1", 4.0, 0.5, 0.5), ("p2", "2", 4.0, 0.5, 2.5))):
+def marks(spark, rows=(("s1", "5", 6.0, 0.5, 1.0), ("s2", "9", 8.0, 0.5, 5.5))):
     return spark.createDataFrame(list(rows), "obs_id string, seg_label string, area double, centroid_row double, centroid_col double")
 
 
 def spectra(spark):
-    return spark.createDataFrame([("p1", "m1", 10.0), ("p1", "m2", 20.0), ("p2", "m1", 30.0), ("p2", "m2", 40.0)], "obs_id string, feature_id string, value double")
+    return spark.createDataFrame([("s1", "m1", 6.0), ("s1", "m2", 18.0), ("s2", "m1", 16.0), ("s2", "m2", 24.0)], "obs_id string, feature_id string, value double")
 
 
 def var(spark):
-    return spark.createDataFrame([("m1", 0, 100.0), ("m2", 1, 200.0)], "feature_id string, feature_ord int, mz double")
+    return spark.createDataFrame([("m1", 0, 121.5), ("m2", 1, 340.25)], "feature_id string, feature_ord int, mz double")
 
 
 def bundle(spark):
@@ -38,8 +40,8 @@ def overlaps(spark, rows):
 
 def test_overlap_table(spark):
     found, cells = q.overlap_table(pixels(spark, CELLS), pixels(spark, LASER), marks(spark), 10)
-    assert sorted((r.cell_id, r.laser_label, r.occupied_ratio) for r in found.collect()) == [("c1", 1, 1.0), ("c1", 2, 0.25), ("c2", 2, 0.75)]
-    assert {r.cell_id: r.area for r in cells.collect()} == {"c1": 5, "c2": 3}
+    assert sorted((r.cell_id, r.laser_label, r.occupied_ratio) for r in found.collect()) == [("c1", 5, 4 / 6), ("c2", 5, 2 / 6), ("c2", 9, 4 / 8), ("c3", 9, 3 / 8)]
+    assert {r.cell_id: r.area for r in cells.collect()} == {"c1": 4, "c2": 8, "c3": 3}
 
 
 def test_boundary_is_strict(spark):
@@ -77,7 +79,7 @@ def test_selection_is_strict(spark, ratios):
 
 def test_legacy_and_specificity_abundance(spark):
     legacy = q.quantify_cells(bundle(spark), pixels(spark, CELLS), pixels(spark, LASER), "legacy_proportional", 10)
-    assert {(r.obs_id, r.feature_id): r.value for r in legacy.bundle.x.collect()} == {("c1", "m1"): 17.5, ("c1", "m2"): 30.0, ("c2", "m1"): 22.5, ("c2", "m2"): 30.0}
+    assert {(r.obs_id, r.feature_id): r.value for r in legacy.bundle.x.collect()} == pytest.approx({("c1", "m1"): 4.0, ("c1", "m2"): 12.0, ("c2", "m1"): 10.0, ("c2", "m2"): 18.0, ("c3", "m1"): 6.0, ("c3", "m2"): 9.0})
     table = spark.createDataFrame([("c1", 1, 2, "b", 8, 10, 0.8), ("c2", 2, 2, "b", 1, 10, 0.1), ("c1", 1, 1, "a", 1, 2, 0.5)], "cell_id string, cell_label long, laser_label long, laser_obs_id string, occupied_pixels long, laser_area long, occupied_ratio double")
     x = spark.createDataFrame([("a", "m", 100.0), ("b", "m", 50.0)], "obs_id string, feature_id string, value double")
     judged = q.select_specific(table)
@@ -89,12 +91,11 @@ def test_legacy_and_specificity_abundance(spark):
 
 
 def test_cells_without_marks_stay(spark):
-    cells = [row[:] for row in CELLS]
-    cells[2][0] = 3
+    cells = [*CELLS, [7] + [0] * 7]
     found = q.quantify_cells(bundle(spark), pixels(spark, cells), pixels(spark, LASER), "legacy_proportional", 10)
     rows = {r.obs_id: (r.laser_labels, r.laser_coverage, r.quantification_status) for r in found.bundle.obs.collect()}
-    assert rows == {"c1": ("1_2", "4_1", "quantified"), "c2": ("2", "3", "quantified"), "c3": ("0", "0", "zero")}
-    assert found.report.first().asDict() == {"included_cells": 3, "quantified_cells": 2, "accepted_overlaps": 3, "rejected_overlaps": 0}
+    assert rows == {"c1": ("5", "4", "quantified"), "c2": ("5_9", "2_4", "quantified"), "c3": ("9", "3", "quantified"), "c7": ("0", "0", "zero")}
+    assert found.report.first().asDict() == {"included_cells": 4, "quantified_cells": 3, "accepted_overlaps": 4, "rejected_overlaps": 0}
 
 
 @pytest.mark.parametrize("area, occupied, threshold, kept", [(10.0, 8, 0.2, True), (2e15, 1_600_000_000_000_001, 0.2, False), (4.0, 5, 0.2, False), (4.0, 5, 0.0, True), (4.0, 0, 1.0, True)])
@@ -110,12 +111,35 @@ def test_mixed_bundle_with_combined_mark(spark):
     m = marks(spark, [("p", "2_3", 20.0, 0.5, 2.5)])
     x = spark.createDataFrame([("p", "m1", 30.0), ("p", "m2", 40.0)], "obs_id string, feature_id string, value double")
     cells = MatrixBundle(spark.createDataFrame([("c1", 5.0)], "obs_id string, area double"), var(spark), x.limit(0))
-    accepted = spark.createDataFrame([("p", 3), ("p", 7)], "laser_obs_id string, occupied_pixels long")
+    accepted = spark.createDataFrame([("c1", 1, 2, "p", 3, 10, 0.3), ("c1", 1, 3, "p", 7, 10, 0.7)], OVERLAP)
     found = q.mixed_bundle(cells, MatrixBundle(m, var(spark), x), accepted)
     assert {r.feature_id: r.value for r in found.x.collect()} == {"m1": 15.0, "m2": 20.0}
     assert {r.obs_id: (r.data_type, r.residual_fraction) for r in found.obs.collect()} == {"c1": ("cell", None), "laser_residual_p": ("laser_residual", 0.5)}
 
 
+OVERLAP = "cell_id string, cell_label long, laser_label long, laser_obs_id string, occupied_pixels long, laser_area long, occupied_ratio double"
+
+
+@pytest.mark.parametrize("change, message", [
+    (dict(cell_id="c9"), "unknown cell"), (dict(laser_obs_id="s2"), "does not belong to laser_obs_id"), (dict(cell_label=4), "does not belong to cell_id"), (dict(occupied_ratio=0.5), "differs"),
+    (dict(occupied_pixels=9), "exceeds"), (dict(laser_area=None), "missing"), (dict(laser_label=77), "does not belong to laser_obs_id"), (dict(occupied_pixels=-1, occupied_ratio=-1 / 6), "positive"),
+])
+def test_accepted_overlaps_must_fit(spark, change, message):
+    row = dict(cell_id="c1", cell_label=1, laser_label=5, laser_obs_id="s1", occupied_pixels=4, laser_area=6, occupied_ratio=4 / 6)
+    cells = MatrixBundle(spark.createDataFrame([("c1", 1), ("c2", 2)], "obs_id string, label long"), var(spark), spectra(spark).limit(0))
+
+    def table(*rows):
+        return spark.createDataFrame([tuple(r.values()) for r in rows], OVERLAP)
+
+    q.check_accepted(cells, bundle(spark), table(row))
+    with pytest.raises(QuantifyError, match=message):
+        q.check_accepted(cells, bundle(spark), table(row | change))
+    with pytest.raises(QuantifyError, match="twice"):
+        q.check_accepted(cells, bundle(spark), table(row, row))
+    with pytest.raises(QuantifyError, match="same features"):
+        q.check_accepted(MatrixBundle(cells.obs, var(spark).withColumn("mz", F.col("mz") + 1e-9), cells.x), bundle(spark), table(row))
+
+
 @pytest.mark.parametrize("labels", [["1", "1"], ["1_1"], ["a"], ["-1"], [""]])
 def test_bad_labels(spark, labels):
     with pytest.raises(QuantifyError):

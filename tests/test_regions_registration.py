@@ -66,6 +66,9 @@ def test_merge_literal(spark):
     assert merged["3_4"].area == 12 and merged["3_4"].morphology == "combined" and merged["3_4"].centroid_row == 40.25
     assert {k for k, r in merged.items() if r.morphology == "spoilt"} == {"3", "4"}
     assert (merged["3_4"].column_number, merged["3_4"].right_to_left) == (1, -1)
+    before = {r.seg_label: r for r in rows.collect()}
+    assert all((merged[k].column_number, merged[k].right_to_left) == (before[k].column_number, before[k].right_to_left) for k in "34")  # spoilt ones keep theirs
+    assert merged["3_4"].label == before["3"].label
 
 
 def test_merge_two_rules_in_a_row(spark):

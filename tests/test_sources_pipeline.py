@@ -46,7 +46,7 @@ def test_mask_small_objects_and_border():
     mask = np.zeros(image.shape, bool)
     with pytest.raises(RegionError):
         im.segment_image(image, mask)
-    for bad in (dict(min_size=0), dict(marker_connectivity=3), dict(unknown=1), dict(top_hat_mode="x"), dict(cutoff=True)):
+    for bad in (dict(min_size=0), dict(marker_connectivity=3), dict(unknown=1), dict(top_hat_mode="x"), dict(intensity_cutoff=True)):
         with pytest.raises(RegionError):
             im.segment_image(image, **bad)
 
@@ -145,7 +145,7 @@ def test_tables(spark, tmp_path):
     (tmp_path / "usage.tsv").write_text("id\tUsage_1\n007\t0.5\n")
     assert tables.load_usage_table(spark, str(tmp_path / "usage.tsv")).first().obs_id == "007"
     (tmp_path / "ref.txt").write_text("a\tb\n1\t2\n")
-    assert tables.load_annotation_table(spark, str(tmp_path / "ref.txt")).columns == ["a", "b"]
+    assert tables.load_annotation_table(spark, str(tmp_path / "ref.txt")).columns == ["a", "b", "ref_ord"]
     assert tables.file_digests(spark, str(tmp_path / "mz.csv")).first().size == 9
 
 
@@ -260,7 +260,8 @@ def test_store(spark, tmp_path):
         store.run("s", "other", produce)
     StageStore(spark, str(tmp_path), overwrite=True).run("s", "other", lambda: produce(5))
     assert calls == [1, 5] and sorted(r.i for r in store.tables("s")["t"].collect()) == [5, 6]
-    spark.createDataFrame([(9, "z")], "i int, s string").write.mode("overwrite").parquet(str(tmp_path / "stages/s/t"))
+    version = store.manifest()["stages"]["s"]["version"]
+    spark.createDataFrame([(9, "z")], "i int, s string").write.mode("overwrite").parquet(str(tmp_path / "stages/s" / version / "t"))
     with pytest.raises(StageError):  # the content changed behind the manifest
         store.run("s", "other", produce)
 
@@ -269,12 +270,27 @@ def test_store(spark, tmp_path):
 
     with pytest.raises(RuntimeError):
         store.run("f", "sig", fail)
-    assert store.manifest()["stages"]["f"]["status"] == "failed" and not list(tmp_path.glob("stages/.*"))
+    assert store.manifest()["stages"]["f"]["status"] == "failed" and not list(tmp_path.glob("stages/f/*"))
     store.run("f", "sig", produce)
     assert store.manifest()["stages"]["f"]["status"] == "complete"
-    (tmp_path / "stages/.g-partial-1").mkdir()
+    (tmp_path / "stages/f/orphan").mkdir()  # a run that ended before its record
     StageStore(spark, str(tmp_path))
-    assert not (tmp_path / "stages/.g-partial-1").exists()
+    assert not (tmp_path / "stages/f/orphan").exists() and store.tables("f")["t"].count() == 2
+    with pytest.raises(StageError):
+        StageStore(spark, str(tmp_path), resume=False).run("f", "sig", produce)
+
+
+def test_a_crash_before_the_record_leaves_the_old_version(spark, tmp_path, monkeypatch):
+    store = StageStore(spark, str(tmp_path), overwrite=True)
+    store.run("s", "one", lambda: ({"t": spark.range(3).toDF("i")}, {}))
+    monkeypatch.setattr(store, "_record", lambda *a: (_ for _ in ()).throw(KeyboardInterrupt()))
+    with pytest.raises(KeyboardInterrupt):
+        store.run("s", "two", lambda: ({"t": spark.range(9).toDF("i")}, {}))
+    again, _ = StageStore(spark, str(tmp_path)).run("s", "one", None)
+    assert again["t"].count() == 3
+
+
+def test_signatures():
     assert stage_signature({"a": 1, "b": 2}, {}) == stage_signature({"b": 2, "a": 1}, {}) != stage_signature({"a": 1, "b": 3}, {})
 
 
@@ -321,7 +337,100 @@ def test_full_run_resumes(spark, run_folder):
 def test_command_line(spark, run_folder, capsys):
     assert cli.main(["quantify", "--config", str(run_folder / "c.yaml")]) == 0
     assert set(json.loads((run_folder / "out/manifest.json").read_text())["stages"]) == {"preprocess", "segment", "register", "quantify"}
-    assert cli.main(["run", "--config", str(run_folder / "c.yaml")]) == 0
+    assert cli.main(["run", "--config", str(run_folder / "c.yaml")]) == 1 and "resume or overwrite" in capsys.readouterr().err
+    assert cli.main(["run", "--resume", "--config", str(run_folder / "c.yaml")]) == 0
     assert tables.read_bundle(spark, str(run_folder / "out/final")).obs.count() == 6
     assert (run_folder / "out/config.resolved.yaml").exists() and (run_folder / "out/run.log").exists()
     assert cli.main(["run", "--config", str(run_folder / "none.yaml")]) == 1 and "error:" in capsys.readouterr().err
+
+
+def test_run_with_a_gray_image_and_all_segmentation_parameters(spark, tmp_path):
+    """Real and simulated marks of one image, with rectangle, row detection by variance, exclusion and merge rules."""
+    rng = np.random.default_rng(2)
+    image = np.zeros((120, 200))
+    yy, xx = np.mgrid[:120, :200]
+    for r in (30, 80):
+        for c in (30, 70, 110, 150):
+            image[(yy - r) ** 2 + (xx - c) ** 2 < 100] = 0.9
+    image[5:15, 5:15] = 0.9  # outside the rectangle
+    np.save(tmp_path / "white.npy", image)
+    cells = np.zeros(image.shape, int)
+    for k, (r, c) in enumerate([(r, c) for r in (30, 80) for c in (70, 110, 150)], 1):
+        cells[r - 4 : r + 5, c - 4 : c + 5] = k
+    np.savez(tmp_path / "cells.npz", labels=cells)
+    imzml.write_imzml(str(tmp_path / "a.imzML"), [(x, y, [100.0, 200.0], [float(v) for v in rng.uniform(1, 9, 2)]) for y in (1, 2) for x in (1, 2, 3)])
+    (tmp_path / "merges.csv").write_text("row_number,source_labels,note\n1,\"2,3\",x\n")
+    parameters = {
+        "include_rectangle": [18, 18, 110, 190], "intensity_cutoff": 0.2, "top_hat_mode": "legacy_opening", "top_hat_radius": 1, "closing_size": 5, "post_closing_size": 1, "opening_size": 3,
+        "min_peak_distance": 10, "peak_detection_mode": "legacy_global", "marker_connectivity": 2, "min_size": 30,
+        "row_detection": {"method": "rolling_variance", "window_size": 2, "variance_threshold": 50.0, "thinning": 1}, "exclusion": {"min_column": 40},
+    }
+    tree = {
+        "project": {"name": "d", "output_dir": "real"}, "input": {"imzml": "a.imzML", "laser_image": "white.npy", "cell_segmentation": "cells.npz"},
+        "preprocessing": {"backend": "python", "normalization": "none", "min_occurrence": 0.0},
+        "laser_segmentation": {"method": "real", "expected_rows": 2, "parameters": parameters}, "registration": {"orientation": "identity", "edge_policy": "error"},
+        "quantification": {"method": "legacy_proportional", "boundary_margin": 50}, "clustering": {"enabled": False}, "qc": {"enabled": False},
+    }
+    pipeline = Pipeline(spark, cfg.resolve(tree, tmp_path))
+    frames, _ = pipeline.run()
+    assert frames["obs"].count() == 6 and (frames["obs"].toPandas().quantification_status == "quantified").all()
+    marks = pipeline.store.tables("segment")["regions"].orderBy("row_number", "column_number").collect()
+    assert [(r.row_number, r.column_number) for r in marks] == [(r, c) for r in (1, 2) for c in (2, 3, 4)]
+    assert pipeline.store.manifest()["stages"]["segment"]["facts"]["object_count"] == 8
+    tree["project"]["output_dir"], tree["laser_segmentation"] = "simulated", {**tree["laser_segmentation"], "method": "simulated", "radius": 6}
+    simulated = Pipeline(spark, cfg.resolve(tree, tmp_path))
+    assert simulated.run()[0]["obs"].count() == 6
+    assert {round(r.centroid_col) for r in simulated.store.tables("segment")["regions"].collect()} == {70, 110, 150}
+    tree["project"]["output_dir"] = "merged"
+    tree["laser_segmentation"] = {**tree["laser_segmentation"], "method": "real", "merge_rules": "merges.csv"}
+    merged = Pipeline(spark, cfg.resolve(tree, tmp_path))
+    with pytest.raises(Exception, match="row"):  # two marks a row are too few for three pixels
+        merged.run()
+    assert "2_3" in {r.seg_label for r in merged.store.tables("segment")["regions"].collect()}
+
+
+def test_images_of_files(spark, tmp_path):
+    import struct
+    import zlib
+
+    rng = np.random.default_rng(3)
+
+    def png(path, data, kind):
+        def chunk(name, body):
+            return struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
+
+        lines = b"".join(b"\0" + row.tobytes() for row in data)
+        head = struct.pack(">IIBBBBB", data.shape[1], data.shape[0], 8, kind, 0, 0, 0)
+        path.write_bytes(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b""))
+
+    colour, gray = rng.integers(0, 256, (7, 9, 3), dtype=np.uint8), rng.integers(0, 256, (7, 9), dtype=np.uint8)
+    png(tmp_path / "c.png", colour, 2)
+    png(tmp_path / "g.png", gray, 0)
+    np.save(tmp_path / "a.npy", gray / 7.0)
+    for name, want in (("c.png", colour / 255.0 @ np.array(tables.GRAY)), ("g.png", gray.astype(float)), ("a.npy", gray / 7.0)):
+        got = np.zeros((7, 9))
+        for r in tables.read_image(spark, str(tmp_path / name), (1, 2, 5, 6), stripe=3).collect():
+            got[r.row, r.col] = r.value
+            assert r.inside == (1 <= r.row <= 5 and 2 <= r.col <= 6)
+        assert got == pytest.approx(want)
+
+
+def test_cardinal_backend_is_dispatched(spark, tmp_path):
+    tree = {"project": {"name": "d", "output_dir": "out"}, "input": {"imzml": "a.imzML"}, "preprocessing": {"backend": "cardinal"}}
+    with pytest.raises(ConfigError, match="cardinal_script"):
+        cfg.resolve(tree, tmp_path)
+    (tmp_path / "a.imzML").write_text("x")
+    tree["preprocessing"]["cardinal_script"] = "run.R"
+    with pytest.raises(SourceError, match="Rscript|not installed|failed"):
+        Pipeline(spark, cfg.resolve(tree, tmp_path)).run(until="preprocess")
+
+
+def test_top_hat_keeps_one_array_in_memory():
+    import tracemalloc
+
+    image = np.random.default_rng(5).random((400, 400))
+    tracemalloc.start()
+    im.opening(image, im._disk(10))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5 * image.nbytes
