@@ -167,6 +167,7 @@ def quantify_cells(bundle: MatrixBundle, cell_pixels: DataFrame, laser_pixels: D
     return QuantificationResult(MatrixBundle(obs, bundle.var, x, meta={"quantification_method": method}), overlaps, accepted, rejected, report)
 
 
+RESIDUAL = "laser_residual_"
 OVERLAP = ("cell_id", "cell_label", "laser_label", "laser_obs_id", "occupied_pixels", "laser_area", "occupied_ratio")
 
 
@@ -219,12 +220,14 @@ def mixed_bundle(cells: MatrixBundle, marks: MatrixBundle, accepted: DataFrame,
     check_rows(marks.obs, {"area must be positive and finite": not_finite(F.col("area")) | (F.col("area") <= 0)}, QuantifyError)
     check_accepted(cells, marks, accepted)
     residual = residual_marks(marks.obs, accepted, min_residual_fraction)
-    new_id = F.concat(F.lit("laser_residual_"), F.col("obs_id"))
+    new_id = F.concat(F.lit(RESIDUAL), F.col("obs_id"))
     x = marks.x.join(residual.select("obs_id", "residual_fraction"), "obs_id")
     x = x.select(new_id.alias("obs_id"), "feature_id", (F.col("value") * F.col("residual_fraction")).alias("value"))
     residual_obs = residual.withColumn("obs_id", new_id).withColumn("data_type", F.lit("laser_residual"))
-    clash = cells.obs.join(residual_obs.select("obs_id"), "obs_id", "left_semi")
-    check_rows(clash, {"residual identifiers collide with cell identifiers": F.lit(True)}, QuantifyError)
+    alike = cells.obs.where(F.startswith("obs_id", F.lit(RESIDUAL)))
+    if not alike.isEmpty():  # other identifiers cannot collide
+        clash = alike.join(residual_obs.select("obs_id"), "obs_id", "left_semi")
+        check_rows(clash, {"residual identifiers collide with cell identifiers": F.lit(True)}, QuantifyError)
     shared = [c for c in residual_obs.columns if c in cells.obs.columns]
     for c in shared:  # one type per column
         residual_obs = residual_obs.withColumn(c, F.col(c).cast(cells.obs.schema[c].dataType))

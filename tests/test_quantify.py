@@ -120,6 +120,13 @@ def test_mixed_bundle_with_combined_mark(spark):
 OVERLAP = "cell_id string, cell_label long, laser_label long, laser_obs_id string, occupied_pixels long, laser_area long, occupied_ratio double"
 
 
+def test_residual_names_must_not_be_taken(spark):
+    cells = MatrixBundle(spark.createDataFrame([("laser_residual_s1", 1)], "obs_id string, label long"), var(spark), spectra(spark).limit(0))
+    accepted = spark.createDataFrame([("laser_residual_s1", 1, 5, "s1", 1, 6, 1 / 6)], OVERLAP)
+    with pytest.raises(QuantifyError, match="collide"):
+        q.mixed_bundle(cells, bundle(spark), accepted)
+
+
 @pytest.mark.parametrize("change, message", [
     (dict(cell_id="c9"), "unknown cell"), (dict(laser_obs_id="s2"), "does not belong to laser_obs_id"), (dict(cell_label=4), "does not belong to cell_id"), (dict(occupied_ratio=0.5), "differs"),
     (dict(occupied_pixels=9), "exceeds"), (dict(laser_area=None), "missing"), (dict(laser_label=77), "does not belong to laser_obs_id"), (dict(occupied_pixels=-1, occupied_ratio=-1 / 6), "positive"),
