@@ -68,16 +68,21 @@ def vectors(x: DataFrame, obs: DataFrame, var: DataFrame) -> DataFrame:
     return obs.select("obs_id", "obs_ord").join(row, "obs_id", "left").select("obs_id", "obs_ord", dense("cells").alias("vec"))
 
 
-def block_pairs(points: DataFrame, work, schema: str, n_points: int | None = None) -> DataFrame:
-    """``work(left, right)`` on pandas frames of every ordered pair of blocks.  Columns ``obs_id`` and ``vec`` are required."""
+def block_pairs(points: DataFrame, work, schema: str, n_points: int | None = None, once: bool = False, least: int = 1) -> DataFrame:
+    """``work(left, right)`` on pandas frames of every ordered pair of blocks, ``once`` only one way round.
+
+    Blocks are dealt by ``obs_id``; there are ``least`` of them at least.
+    """
     n = points.count() if n_points is None else n_points
-    blocks = max(1, math.ceil(n / BLOCK))
+    blocks = max(least, math.ceil(n / BLOCK))
     own = F.pmod(F.xxhash64("obs_id"), F.lit(blocks)).cast("int")
     every = F.sequence(F.lit(0), F.lit(blocks - 1))
     # each row goes to the units of its block on the left and on the right, tagged by side
     sides = points.select("*", own.alias("_own"), F.explode(every).alias("_other"))
     unit = F.array(F.struct(F.col("_own").alias("i"), F.col("_other").alias("j"), F.lit(True).alias("left")), F.struct(F.col("_other").alias("i"), F.col("_own").alias("j"), F.lit(False).alias("left")))
     dealt = sides.withColumn("_unit", F.explode(unit)).drop("_own", "_other")
+    if once:
+        dealt = dealt.where("_unit.i <= _unit.j")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         left = pdf["_unit"].map(lambda u: u["left"]).to_numpy(bool)

@@ -35,7 +35,8 @@ def consensus_groups(values: DataFrame, tolerance: float = 10, unit: str = "ppm"
     mean, and the value joins if it and the group's first member are both within their own limits of it.
     Where a gap exceeds the sum of both neighbours' limits no group can cross,
     so the sorted values are cut into islands there and folded independently.
-    Distinct values with their multiplicity go through the fold, one island at a time.
+    Distinct values with their multiplicity go through the fold, one island at a time;
+    repeats are taken at once wherever that equals taking them in turn.
     """
     number("tolerance", tolerance, PreprocessError, low=0)
     choice("unit", unit, UNITS, PreprocessError)
@@ -48,19 +49,25 @@ def consensus_groups(values: DataFrame, tolerance: float = 10, unit: str = "ppm"
         span = (lambda v: tolerance) if unit == "da" else (lambda v: v * tolerance / 1e6)
         group, first, total, count, out = -1, 0.0, 0.0, 0, []
         for mz, n in zip(pdf.mz, pdf.n):
-            for _ in range(int(n)):
+            left = int(n)
+            while left:
                 center = (total + mz) / (count + 1)
                 if group < 0 or abs(first - center) > span(first) or abs(mz - center) > span(mz):
                     group, first, total, count = group + 1, mz, 0.0, 0
-                total, count = total + mz, count + 1
-                out.append((mz, group))
-        table = pd.DataFrame(out, columns=["mz", "local"])
-        table["center"] = table.groupby("local").mz.transform("mean")
+                # each repeat draws the centre nearer to mz: all join if the first value bears even that
+                take = left if mz - first <= span(first) * (1 - 1e-9) else 1
+                total, count, left = total + take * mz, count + take, left - take
+                if out and out[-1][:2] == (mz, group):
+                    take += out.pop()[2]
+                out.append((mz, group, take))
+        table = pd.DataFrame(out, columns=["mz", "local", "n"])
+        weighed = (table.mz * table.n).groupby(table.local).transform("sum")
+        table["center"] = weighed / table.n.groupby(table.local).transform("sum")
         table["island"] = int(pdf.island.iloc[0])
         return table
 
-    folded = marked.select("mz", "n", "island").groupBy("island").applyInPandas(fold, "mz double, local int, center double, island long")
-    groups = cut(folded.groupBy("mz", "island", "local", "center").agg(F.count("*").alias("n")))
+    folded = marked.select("mz", "n", "island").groupBy("island").applyInPandas(fold, "mz double, local int, n long, center double, island long")
+    groups = cut(folded)
     axis = groups.select("island", "local", "center").distinct()
     axis = global_row_number(axis, ["center"], "group_id").withColumn("group_id", F.col("group_id").cast("int"))
     return groups.join(axis.drop("center"), ["island", "local"]).select("mz", "n", "group_id", "center")
