@@ -108,7 +108,7 @@ def pairwise(points: DataFrame, name: str = "euclidean") -> DataFrame:
 
     def work(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"i": [], "j": [], "distance": []})
+            return pd.DataFrame({"i": [], "j": [], "distance": []}, dtype=object)
         d = f(matrix(left), matrix(right))
         ids = np.repeat(left.obs_id.to_numpy(), len(right)), np.tile(right.obs_id.to_numpy(), len(left))
         out = pd.DataFrame({"i": ids[0], "j": ids[1], "distance": d.ravel()})

@@ -67,7 +67,7 @@ def knn(points: DataFrame, k: int, metric: str = "euclidean") -> DataFrame:
 
     def work(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"obs_id": [], "neighbor": [], "distance": []})
+            return pd.DataFrame({"obs_id": [], "neighbor": [], "distance": []}, dtype=object)
         right = right.sort_values("obs_id")
         d = f(blocks.matrix(left), blocks.matrix(right))
         d[left.obs_id.to_numpy()[:, None] == right.obs_id.to_numpy()[None, :]] = np.inf

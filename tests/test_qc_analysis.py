@@ -79,6 +79,17 @@ def test_bray_curtis_join(spark):
         qc.bray_curtis(bundle(spark, -a).x)
 
 
+def test_bray_curtis_blocks(spark, monkeypatch):
+    """Sparse rows over several blocks, few pairs at a time, against every pair; empty blocks included."""
+    monkeypatch.setattr(qc, "PAIRS", 50)
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 40):
+        a = rng.poisson(0.4, (n, 12)).astype(float)
+        got = {(r.i, r.j): r.distance for r in qc.bray_curtis(bundle(spark, a).x).collect()}
+        want = {(f"o{i:03d}", f"o{j:03d}"): METRIC["braycurtis"](a[i], a[j]) for i in range(n) for j in range(i + 1, n) if np.minimum(a[i], a[j]).any()}
+        assert got == pytest.approx(want)
+
+
 def test_pcoa(spark):
     coords, spectrum = qc.pcoa(bundle(spark, [[0, 0], [0, 0], [2, 0], [2, 1]]))
     assert np.isfinite(coords[["PC1", "PC2"]]).all().all() and len(spectrum) == 4
