@@ -14,12 +14,12 @@ of its rows.
 
 Cases: null or empty text is the end id alone; any id, null or repeated too, is
 carried along and rows with it are packed one by one; equal lengths are packed in
-order of their hash; texts of any length are tokenised in parts cut at spaces,
-which changes no id; further columns are ignored; an empty table gives no piece.
+order of their hash; texts of any length are tokenised whole; further columns are ignored; an empty table gives no piece.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from itertools import chain
@@ -27,12 +27,14 @@ from itertools import chain
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, slices
+from .bpe import _ragged
+from .common import read_table
 
 VOCABULARY = "word_bpe_49k.json"
 LENGTH = 4096
@@ -40,91 +42,135 @@ END = 2
 #: Documents and bytes of text that a group holds on average.
 GROUP_ROWS = 2048
 GROUP_BYTES = 1 << 24
-#: Words kept by a worker before its memo starts anew, and characters tokenised together.
-MEMO = 500_000
-_CHARS = 1 << 20
-#: Pieces in one Arrow batch.
+#: Words kept by a worker in each of two memos.
+MEMO = 450_000
+#: Bytes of text cut together, new words that go to the library together, and pieces in one Arrow batch.
+_BYTES = 1 << 24
+_WORDS = 8192
 _PIECES = 1024
 
 
+class _Memo(dict):
+    """Gives every word not met before the next number and notes it in ``new``."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        self.new.append(word)
+        return number
+
+
 class WordIds:
-    """Ids of whole texts by the library, which sees every word between spaces once.
+    """Ids of whole texts by the library, which sees every word once.
 
     The vocabulary's normaliser and splitter never join what ASCII white space
-    parts, so a text's ids are those of its words, one after the other.  New words
-    of ASCII letters, with marks before or after them, go to the library as one
-    text: each is as many runs of letters or marks as its pattern has groups, and
-    the last token of a run is known by its suffix.
+    parts, so a text's ids are those of its words, one after the other.  A text of
+    ASCII and Latin letters only is normalised by lower-casing it, and ``SPLIT``
+    cuts its words as the vocabulary's own pattern does; new ones of these pieces go
+    to the library as one text, where the suffix of a piece's last token parts them.
+    Arrow finds repeats, so the memo is asked once for each distinct word of a batch.
+    Texts with other characters or special tokens are cut at white space only.
+    A vocabulary that splits otherwise gets whole texts.
+
+    Two generations of words are kept: a full memo becomes the old one, from which
+    words still in use are copied.
     """
 
-    PLAIN = re.compile(r'(["(\[]*)[A-Za-z]+([.,;:!?")\]]*)').fullmatch
+    SIMPLE = r"^[\t\n\r -~À-ÖØ-öø-ÿ]*\z"
+    SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-zß-öø-ÿ0-9]+").findall
+    #: How the vocabulary normalises and splits.
+    NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+    PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as lines:
+            form = json.load(lines)
+        splits = ((form.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+        self.known = (form.get("normalizer") or {}).get("normalizers") == self.NORMALIZER and splits.get("pattern") == {"Regex": self.PATTERN} and form["model"].get("end_of_word_suffix") == "</w>"
+        self.special = [t["content"] for t in form.get("added_tokens", [])]
         self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.last[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
-        self._forget()
-
-    def _forget(self) -> None:
-        self.memo = {"": 0}
-        self.begin, self.size, self.flat = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
-
-    def _learn(self, words) -> None:
-        if len(self.memo) > MEMO:
-            self._forget()
-        runs, plain, odd = [], [], []
-        for word in set(words).difference(self.memo):
-            if found := self.PLAIN(word):
-                plain.append(word)
-                runs.append(1 + bool(found[1]) + bool(found[2]))
-            else:
-                odd.append(word)
-        if plain:
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.flatnonzero(self.last[ids])[np.cumsum(runs) - 1] + 1
-            self._keep(plain, ids, np.diff(ends, prepend=0))
-        if odd:
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)]
-            size = np.fromiter(map(len, ids), np.int64, len(ids))
-            self._keep(odd, np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum())), size)
-
-    def _keep(self, words: list[str], ids: np.ndarray, size: np.ndarray) -> None:
-        self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
-        self.flat = np.concatenate([self.flat, ids])
-        self.memo.update(zip(words, range(len(self.memo), len(self.memo) + len(words))))
-
-    def _words(self, text: str) -> list[str]:
-        for space in "\t\n\r\x0b\x0c":
-            text = text.replace(space, " ")
-        return text.split(" ")
-
-    def _ids(self, words: list[str]) -> np.ndarray:
-        at = np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
-        begin, size = self.begin[at], self.size[at]
-        ends = np.cumsum(size)
-        return self.flat[np.repeat(begin - ends + size, size) + np.arange(ends[-1])]
-
-    def _long(self, text: str) -> np.ndarray:
-        """Ids of a long text, some words at a time."""
-        parts, at = [], 0
-        while at < len(text):
-            space = text.find(" ", at + _CHARS)
-            words = self._words(text[at : space if space >= 0 else len(text)])
-            self._learn(words)
-            parts.append(self._ids(words))
-            at = space + 1 if space >= 0 else len(text)
-        return np.concatenate(parts)
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        self.memo = _Memo()
+        self._turn()
+
+    def _turn(self) -> None:
+        """Start an empty memo and keep the last one as the old."""
+        self.old = (self.memo, self.begin, self.size, self.flat) if self.memo else (self.memo, *[np.zeros(0, np.int64)] * 3)
+        self.memo = _Memo()
+        self.begin, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        """The numbers of words; those met for the first time wait in ``memo.new``."""
+        return np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
+
+    def _put(self, at: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
+        """Note the ids of the words numbered ``at``, one after the other."""
+        more = np.zeros(len(self.memo) - len(self.size), np.int64)
+        self.begin, self.size = np.concatenate([self.begin, more]), np.concatenate([self.size, more])
+        self.begin[at], self.size[at] = len(self.flat) + np.cumsum(size) - size, size
+        self.flat = np.concatenate([self.flat, ids.astype(np.uint32)])
+
+    def _learn(self, cut: bool) -> None:
+        """Get the ids of the words that wait; ``cut`` says that they are lower-cased words of simple texts, for SPLIT."""
+        new, self.memo.new = self.memo.new, []
+        old, *arrays = self.old
+        at = np.fromiter((old.get(w, -1) for w in new), np.int64, len(new))
+        numbers, again = self._numbers(new), at >= 0
+        self._put(numbers[again], arrays[1][at[again]], _ragged(arrays[2], arrays[0][at[again]], arrays[1][at[again]]))
+        fresh = [w for w, k in zip(new, again.tolist()) if not k]
+        if not cut:
+            parted = (fresh[i : i + _WORDS] for i in range(0, len(fresh), _WORDS))
+            found = [np.array(e.ids, np.uint32) for words in parted for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+            self._put(numbers[~again], np.fromiter(map(len, found), np.int64, len(found)), np.concatenate([*found, self.flat[:0]]))
+            return
+        pieces = list(map(self.SPLIT, fresh))
+        several = [p for p in pieces if len(p) != 1]
+        parts = self._numbers(list(chain.from_iterable(several)))  # which may be new themselves, and are then whole
+        single = [p[0] for p in pieces if len(p) == 1] + self.memo.new
+        single, self.memo.new = list(dict.fromkeys(single)), []
+        single = [w for w in single if not self._known(w)]
+        if single:
+            parted = (" ".join(single[i : i + _WORDS]) for i in range(0, len(single), _WORDS))
+            ids = np.concatenate([np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32) for text in parted])
+            self._put(self._numbers(single), np.diff(np.flatnonzero(self.last[ids]) + 1, prepend=0), ids)
+        if several:
+            sizes = np.r_[0, np.cumsum(self.size[parts])]
+            ends = np.cumsum(np.fromiter(map(len, several), np.int64, len(several)))
+            whole = self._numbers([w for w, p in zip(fresh, pieces) if len(p) != 1])
+            self._put(whole, np.diff(sizes[ends], prepend=0), _ragged(self.flat, self.begin[parts], self.size[parts]))
+
+    def _known(self, word: str) -> bool:
+        number = self.memo[word]
+        return number < len(self.size) and self.size[number] > 0
+
+    def encode(self, texts: list[str | None] | pa.Array) -> list[np.ndarray]:
         """uint32 ids of whole texts, without special tokens."""
-        split = [self._words(text) if text and len(text) <= _CHARS else [""] for text in texts]
-        self._learn(chain.from_iterable(split))
-        ids = [self._ids(words) for words in split]
-        return [self._long(text) if text and len(text) > _CHARS else i for text, i in zip(texts, ids)]
+        texts = (pa.array(texts, pa.string()) if isinstance(texts, list) else texts).fill_null("")
+        if not self.known:
+            return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+        if len(self.memo) > MEMO:
+            self._turn()
+        simple = pc.match_substring_regex(texts, self.SIMPLE)
+        for token in self.special:
+            simple = pc.and_not(simple, pc.match_substring(texts, token))
+        out: list = [None] * len(texts)
+        for kind, rows in ((True, simple), (False, pc.invert(simple))):
+            found = texts.filter(rows)
+            words = pc.ascii_split_whitespace(pc.utf8_lower(found) if kind else found)
+            coded = words.flatten().dictionary_encode()
+            numbers = self._numbers(coded.dictionary.to_pylist())
+            self._learn(kind)
+            at = numbers[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else numbers
+            ends = np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False))
+            for i, part in zip(np.flatnonzero(rows.to_numpy(zero_copy_only=False)).tolist(), np.split(at, ends)):
+                out[i] = _ragged(self.flat, self.begin[part], self.size[part])
+        return out
 
 
 def first_fit(sizes: list[int], room: int) -> list[int]:
@@ -192,6 +238,17 @@ def pack_sizes(sizes: list[int], room: int) -> list[tuple[int, int, int, int, in
     return out
 
 
+def _bounded(batches, most: int):
+    """(doc_id, text) batches of at most ``most`` bytes of text or one row."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def _cut_batches(batches, path: str, groups: int, room: int, end: int):
     """(doc_id, text) batches to pieces of at most ``room`` ids with their group."""
     words, part = WordIds(path), TaskContext.get().partitionId()
@@ -203,10 +260,10 @@ def _cut_batches(batches, path: str, groups: int, room: int, end: int):
         arrays = [batch.column(0).take(pa.array(rows, pa.int64())), *[pa.array(v, k) for v, k in zip(rest, kinds)]]
         return pa.RecordBatch.from_arrays(arrays, ["doc_id", "grp", "key", "start", "length", "doc_tokens", "ids"])
 
-    for batch in slices(batches, 128):
+    for batch in _bounded(batches, _BYTES):
         columns: list[list] = [[] for _ in range(7)]
         texts = batch.column(1).to_pylist()
-        for row, (doc_id, text, ids) in enumerate(zip(batch.column(0).to_pylist(), texts, words.encode(texts))):
+        for row, (doc_id, text, ids) in enumerate(zip(batch.column(0).to_pylist(), texts, words.encode(batch.column(1)))):
             content = xxhash.xxh64_intdigest(f"{doc_id}\n{text}".encode())
             times = seen[content] = seen.get(content, 0) + 1
             ids = np.append(ids, np.uint32(end)).astype("<u4")

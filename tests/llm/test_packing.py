@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -36,10 +37,22 @@ def test_ids_equal_the_library(tokenizer, monkeypatch):
     texts = odd_texts()
     want = [library(tokenizer, t) for t in texts]
     assert [i.tolist() for i in p.WordIds(PATH).encode(texts)] == want
-    monkeypatch.setattr(p, "_CHARS", 20)
     monkeypatch.setattr(p, "MEMO", 10)
     words = p.WordIds(PATH)
     assert [i.tolist() for t in texts for i in words.encode([t])] == want
+    assert [i.tolist() for i in words.encode(texts)] == want
+    words.known = False
+    assert [i.tolist() for i in words.encode(texts)] == want
+
+
+def test_simple_texts_are_cut_as_the_library_does(tokenizer):
+    rng = random.Random(5)
+    simple = [chr(c) for c in [9, 10, 13, *range(32, 127), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)]]
+    letters = simple * 2 + list("\'\'\'sStTmMdDlLvVrReE") * 8 + [" "] * 40
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 80))) for _ in range(4000)]
+    words = p.WordIds(PATH)
+    assert words.known and all(re.match(words.SIMPLE.replace("z", "Z"), t) for t in texts)
+    assert [i.tolist() for i in words.encode(texts)] == [library(tokenizer, t) for t in texts]
 
 
 def naive_first_fit(sizes, room):
@@ -101,6 +114,15 @@ def check(rows, docs, tokenizer, room):
     assert not any(left.values())
 
 
+def test_batches_are_bounded_by_bytes():
+    import pyarrow as pa
+
+    texts = ["a" * 10, None, "b" * 50, "", "c" * 9, "d" * 9, "e" * 100]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts)], ["doc_id", "text"])
+    parts = [b.column(0).to_pylist() for b in p._bounded([batch, batch.slice(0, 0)], 20)]
+    assert sum(parts, []) == list(range(7)) and all(len(x) == 1 or sum(len(texts[i] or "") for i in x) <= 20 for x in parts)
+
+
 @pytest.mark.parametrize("room,group_rows", [(64, 2048), (64, 40), (4096, 100)])
 def test_pack(spark, tokenizer, room, group_rows):
     rng = random.Random(room)
