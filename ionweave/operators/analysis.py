@@ -17,9 +17,12 @@ from pyspark.sql import functions as F
 
 from ..errors import AnalysisError
 from ..functions import blocks
+from ..functions.descent import neighbors
+from ..functions.ordering import global_row_number
 from ..functions.stats import benjamini_hochberg, normal_two_sided, student_p
 from ..model import MatrixBundle, check_rows, choice, number, require, whole
 from ..session import cut
+from .communities import leiden
 
 RANKINGS = ("t-test", "t-test_overestim_var", "wilcoxon")
 
@@ -88,67 +91,10 @@ def neighbor_graph(neighbors: DataFrame) -> DataFrame:
     return edge.groupBy("a", "b").agg(F.sum("w").alias("weight"))
 
 
-def modularity_communities(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, resolution: float, seed: int) -> np.ndarray:
-    """Seeded local moving and aggregation until modularity stops rising."""
-    rng = np.random.default_rng(seed)
-    labels = np.arange(n)
-    while True:
-        size = labels.max() + 1
-        ends, back = labels[a], labels[b]
-        strength = np.zeros(size)
-        np.add.at(strength, ends, w)
-        np.add.at(strength, back, w)
-        # the sums of equal pairs, by node and then in order of appearance
-        pair = np.stack([ends * size + back, back * size + ends], 1)[ends != back].ravel()
-        pair, first, at = np.unique(pair, return_index=True, return_inverse=True)
-        sums = np.bincount(at, np.repeat(w[ends != back], 2), len(pair))
-        order = np.lexsort((first, pair // size))
-        from_ = np.searchsorted(pair, np.arange(size + 1) * size)
-        others, sums = (pair % size)[order], sums[order]
-        total = max(strength.sum(), 1e-300)
-        own, volume, moved = np.arange(size), strength.copy(), False
-        for _ in range(50):
-            changed = 0
-            for i in rng.permutation(size).tolist():
-                links: dict[int, float] = {}
-                part = slice(from_[i], from_[i + 1])
-                for j, x in zip(others[part].tolist(), sums[part].tolist()):
-                    links[own[j]] = links.get(own[j], 0.0) + x
-                here = own[i]
-                volume[here] -= strength[i]
-                gain = {c: x - resolution * strength[i] * volume[c] / total for c, x in links.items()}
-                stay = gain.get(here, -resolution * strength[i] * volume[here] / total)
-                best = max(sorted(gain), key=lambda c: gain[c], default=here)
-                if best != here and gain[best] > stay + 1e-12:
-                    own[i], changed = best, changed + 1
-                volume[own[i]] += strength[i]
-            moved |= bool(changed)
-            if not changed:
-                break
-        if not moved:
-            return labels
-        _, own = np.unique(own, return_inverse=True)
-        labels = own[labels]
-
-
-def propagate_labels(edges: DataFrame, rounds: int = 20) -> DataFrame:
-    """(node, community): weighted label propagation in DataFrames, without resolution, at most ``rounds`` rounds."""
-    both = cut(edges.select("a", "b", "weight").union(edges.select(F.col("b"), F.col("a"), "weight")))
-    labels = cut(both.select(F.col("a").alias("node")).distinct().withColumn("community", F.col("node")))
-    for _ in range(rounds):
-        votes = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node"), "community").agg(F.sum("weight").alias("v"))
-        best = votes.groupBy("node").agg(F.max_by("community", F.struct("v", F.col("community"))).alias("next"))
-        new = cut(labels.join(best, "node").select("node", F.col("next").alias("community"), (F.col("next") != F.col("community")).alias("moved")))
-        labels = new.select("node", "community")
-        if not new.where("moved").limit(1).count():
-            break
-    return labels
-
-
 def cluster_cells(bundle: MatrixBundle, n_neighbors: int = 15, resolution: float = 0.6, seed: int = 0, key: str = "cluster", n_features: int | None = None) -> MatrixBundle:
-    """PCA, exact neighbours, modularity communities; ``obs`` gains ``key``.  Cluster names follow size, then first member.
+    """PCA, neighbour descent, Leiden communities; ``obs`` gains ``key``.  Cluster names follow size, then first member.
 
-    At every size the driver holds the graph, at most n * n_neighbors edges as numbers.
+    Neighbours are exact up to ``descent.BUCKET`` observations and approximate above.
     """
     whole("n_neighbors", n_neighbors, AnalysisError, low=2)
     number("resolution", resolution, AnalysisError, above=0)
@@ -164,17 +110,12 @@ def cluster_cells(bundle: MatrixBundle, n_neighbors: int = 15, resolution: float
         var = keep.select("feature_id", (F.row_number().over(Window.orderBy("feature_ord")) - 1).alias("feature_ord"))  # n_features rows
         x = x.join(var, "feature_id", "left_semi")
     points = principal_components(blocks.vectors(x, bundle.obs, var), var.count())
-    edges = neighbor_graph(knn(points, n_neighbors))
-    ends = bundle.obs.select("obs_id", "obs_ord")
-    numbered = edges.join(ends.toDF("a", "i"), "a").join(ends.toDF("b", "j"), "b").orderBy("a", "b").select("i", "j", "weight").toArrow()
-    rows = ends.orderBy("obs_ord").toArrow()
-    ordinals = rows.column("obs_ord").to_numpy()
-    i, j = (np.searchsorted(ordinals, numbered.column(c).to_numpy()) for c in "ij")
-    found = modularity_communities(n, i, j, numbered.column("weight").to_numpy(), resolution, seed)
-    _, first, label, size = np.unique(found, return_index=True, return_inverse=True, return_counts=True)
-    name = np.empty(len(size), np.int64)
-    name[np.lexsort((first, -size))] = np.arange(len(size))
-    labels = bundle.obs.sparkSession.createDataFrame(pd.DataFrame({"obs_id": rows.column("obs_id").to_pylist(), key: name[label].astype(str).astype(object)}))
+    pairs, near = neighbors(points, n_neighbors, seed)
+    edges = neighbor_graph(pairs.toDF("obs_id", "rank", "neighbor", "distance"))
+    found = cut(leiden(edges, near, resolution, seed))
+    sizes = found.groupBy("community").agg((-F.count("*")).alias("less"), F.min("node").alias("first"))
+    names = global_row_number(sizes, ["less", "first"], "_name").select("community", F.col("_name").cast("string").alias(key))
+    labels = found.join(names, "community").join(bundle.obs.select("obs_id", F.col("obs_ord").cast("long").alias("node")), "node").select("obs_id", key)
     meta = {**bundle.meta, "clustering": {"n_neighbors": n_neighbors, "resolution": resolution, "seed": seed, "key": key}}
     return MatrixBundle(bundle.obs.join(labels, "obs_id", "left"), bundle.var, bundle.x, dict(bundle.layers), meta)
 

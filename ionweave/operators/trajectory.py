@@ -96,47 +96,97 @@ def _basis(x: np.ndarray, knots: np.ndarray, degree: int = 3) -> np.ndarray:
     return b
 
 
-def smooth_trend(position: np.ndarray, value: np.ndarray, grid: np.ndarray, inner: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Penalised cubic spline, smoothing chosen by generalised cross-validation; fit and 95 % prediction band on ``grid``."""
-    knots = np.concatenate([[0] * 3, np.linspace(0, 1, inner), [1] * 3])
-    b, g = _basis(position, knots), _basis(grid, knots)
-    penalty = np.diff(np.eye(b.shape[1]), 2, axis=0)
+#: Inner knots of a trend, and the smoothing parameters tried.
+INNER, SMOOTHING = 8, np.logspace(-4, 4, 17)
+
+
+def _knots(inner: int = INNER) -> np.ndarray:
+    return np.concatenate([[0] * 3, np.linspace(0, 1, inner), [1] * 3])
+
+
+def fit_sums(bb: np.ndarray, by: np.ndarray, yy: float, n: int, grid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Penalised cubic spline from B'B, B'y and y'y; smoothing chosen by generalised cross-validation.
+
+    Fit and 95 % prediction band on ``grid``.  The effective degrees of freedom are
+    the trace of (B'B + lP)^-1 B'B, so nothing has the length of the data.
+    """
+    penalty = np.diff(np.eye(len(by)), 2, axis=0)
     penalty = penalty.T @ penalty
-    n, best = len(value), None
-    for lam in np.logspace(-4, 4, 17):
-        inverse = np.linalg.pinv(b.T @ b + lam * penalty)
-        beta = inverse @ b.T @ value
-        free = n - np.trace(b @ inverse @ b.T)
-        rss = float(((value - b @ beta) ** 2).sum())
-        score = n * rss / max(free, 1e-6) ** 2
+    best = None
+    for lam in SMOOTHING:
+        inverse = np.linalg.pinv(bb + lam * penalty)
+        beta = inverse @ by
+        free = max(n - np.trace(inverse @ bb), 1e-6)
+        rss = max(float(yy - 2 * beta @ by + beta @ bb @ beta), 0.0)
+        score = n * rss / free**2
         if best is None or score < best[0]:
-            best = (score, beta, inverse, rss / max(free, 1e-6))
+            best = (score, beta, inverse, rss / free)
     _, beta, inverse, sigma2 = best
+    g = _basis(grid, _knots())
     fitted = g @ beta
     half = 1.959963984540054 * np.sqrt(np.maximum(sigma2 * (1 + np.einsum("ij,jk,ik->i", g, inverse, g)), 0))
     return fitted, fitted - half, fitted + half
 
 
-def feature_trends(bundle: MatrixBundle, features: list[str], points: int = 100) -> DataFrame:
-    """(feature, position, fitted, lower, upper) on an even grid, one task per feature."""
+def smooth_trend(position: np.ndarray, value: np.ndarray, grid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``fit_sums`` of data in memory."""
+    b = _basis(position, _knots())
+    return fit_sums(b.T @ b, b.T @ value, float(value @ value), len(value), grid)
+
+
+def trend_sums(obs: DataFrame, x: DataFrame) -> tuple[np.ndarray, int, DataFrame]:
+    """(B'B, observations, (feature_id, by array, yy)): all that the trends of ``x`` need.
+
+    B'B is the same for every feature.  Zeros add nothing to B'y and y'y, so only
+    the values stored are joined, and their products are summed before the shuffle.
+    """
+    knots = _knots()
+    size = len(knots) - 4
+
+    @F.pandas_udf("array<double>")
+    def basis(position: pd.Series) -> pd.Series:
+        return pd.Series(list(_basis(position.to_numpy(float), knots)))
+
+    spread = obs.select("obs_id", basis(F.col("trajectory_position").cast("double")).alias("_b"))
+    pairs = [(i, j) for i in range(size) for j in range(i + 1)]
+    row = spread.agg(F.count("*").alias("n"), *[F.sum(F.get("_b", F.lit(i)) * F.get("_b", F.lit(j))).alias(f"_{i}_{j}") for i, j in pairs]).first()
+    bb = np.zeros((size, size))
+    for i, j in pairs:
+        bb[i, j] = bb[j, i] = row[f"_{i}_{j}"] or 0.0
+    sums = x.join(spread, "obs_id").groupBy("feature_id").agg(
+        F.array(*[F.sum(F.col("value") * F.get("_b", F.lit(i))) for i in range(size)]).alias("by"), F.sum(F.col("value") * F.col("value")).alias("yy")
+    )
+    return bb, row.n, sums
+
+
+def feature_trends(bundle: MatrixBundle, features: list[str] | None = None, points: int = 100, layer: str | None = None) -> DataFrame:
+    """(feature, position, fitted, lower, upper) on an even grid, of ``bundle.matrix(layer)``; all features or those named.
+
+    A feature without values has the trend 0.  What is fitted per feature is a few
+    sums, whatever the number of observations.
+    """
     whole("points", points, AnalysisError, low=2)
-    if not features or len(set(features)) != len(features):
-        raise AnalysisError("features must be given and distinct")
     require(bundle.obs, ["trajectory_position"], AnalysisError, "obs")
-    known = {r.feature_id for r in bundle.var.where(F.col("feature_id").isin(features)).select("feature_id").collect()}
-    if missing := [f for f in features if f not in known]:
-        raise AnalysisError(f"unknown features: {missing}")
-    row = bundle.obs.agg(F.count_distinct("trajectory_position").alias("n"), F.count_if(~F.col("trajectory_position").between(0, 1)).alias("bad")).first()
+    wanted = F.lit(True) if features is None else F.col("feature_id").isin(features)
+    if features is not None:
+        if not features or len(set(features)) != len(features):
+            raise AnalysisError("features must be given and distinct")
+        known = {r.feature_id for r in bundle.var.where(wanted).select("feature_id").collect()}  # the features named by the caller
+        if missing := [f for f in features if f not in known]:
+            raise AnalysisError(f"unknown features: {missing}")
+    placed = F.coalesce(F.col("trajectory_position").between(0, 1), F.lit(False))
+    row = bundle.obs.agg(F.count_distinct("trajectory_position").alias("n"), F.count_if(~placed).alias("bad")).first()
     if row.n < 2 or row.bad:
         raise AnalysisError("trends need at least two distinct positions within [0, 1]")
-    spark = bundle.obs.sparkSession
-    wanted = spark.createDataFrame([(f,) for f in features], "feature_id string")
-    grid = bundle.obs.select("obs_id", "trajectory_position").crossJoin(F.broadcast(wanted))  # the features named by the caller
-    values = grid.join(bundle.x, ["obs_id", "feature_id"], "left").fillna(0.0, ["value"])
+    bb, n, sums = trend_sums(bundle.obs, bundle.matrix(layer).where(wanted))
+    every = bundle.var.where(wanted).select("feature_id").join(sums, "feature_id", "left")
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fit(parts):
         at = np.linspace(0, 1, points)
-        fitted, low, high = smooth_trend(pdf.trajectory_position.to_numpy(float), pdf.value.to_numpy(float), at)
-        return pd.DataFrame({"feature": pdf.feature_id.iloc[0], "position": at, "fitted": fitted, "lower": low, "upper": high})
+        for pdf in parts:
+            for feature, by, yy in zip(pdf.feature_id, pdf.by, pdf.yy):
+                none = by is None
+                fitted, low, high = fit_sums(bb, np.zeros(len(bb)) if none else np.asarray(by, float), 0.0 if none else yy, n, at)
+                yield pd.DataFrame({"feature": str(feature), "position": at, "fitted": fitted, "lower": low, "upper": high})
 
-    return values.groupBy("feature_id").applyInPandas(fit, "feature string, position double, fitted double, lower double, upper double")
+    return every.mapInPandas(fit, "feature string, position double, fitted double, lower double, upper double")

@@ -602,9 +602,9 @@ def polyline_projection_exact(spark, d):
 @query("feature_trends")
 def feature_trends(spark, d):
     b = sparse_bundle(spark, d)
-    obs = b.obs.withColumn("trajectory_position", F.col("obs_ord") / (F.max("obs_ord").over(Window.partitionBy(F.lit(1))) + 1))
-    var = b.var.withColumn("feature_id", F.col("feature_id").cast("string"))
-    return trajectory.feature_trends(MatrixBundle(obs, var, b.x.withColumn("feature_id", F.col("feature_id").cast("string"))), ["1", "2", "3"], 20)
+    last = b.obs.agg(F.max("obs_ord").alias("_last"))
+    obs = b.obs.crossJoin(F.broadcast(last)).withColumn("trajectory_position", F.col("obs_ord") / (F.col("_last") + 1)).drop("_last")  # one row
+    return trajectory.feature_trends(MatrixBundle(obs, b.var, b.x), points=20)
 
 
 @query("feature_percentiles", f"WITH {_X} SELECT feature_id, round(quantile_cont(value, 0.01), 8) AS p01, round(quantile_cont(value, 0.99), 8) AS p99, round(avg(value), 8) AS mean FROM x GROUP BY 1")

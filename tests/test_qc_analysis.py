@@ -5,7 +5,9 @@ import math
 import numpy as np
 import pytest
 
-from ionweave.errors import AnalysisError
+from pyspark.sql import functions as F
+
+from ionweave.errors import AnalysisError, IonweaveError
 from ionweave.functions import blocks, stats
 from ionweave.model import MatrixBundle
 from ionweave.operators import analysis as an
@@ -276,10 +278,6 @@ def test_clusters_find_planted_groups(spark):
     found = [r.cluster for r in b.obs.orderBy("obs_ord").collect()]
     assert set(found[:20]).isdisjoint(found[20:])
     assert found == [r.cluster for r in an.cluster_cells(bundle(spark, a), n_neighbors=5).obs.orderBy("obs_ord").collect()]
-    points = bundle(spark, a)
-    edges = an.neighbor_graph(an.knn(blocks.vectors(points.x, points.obs, points.var), 5))
-    spread = {r.node: r.community for r in an.propagate_labels(edges).collect()}
-    assert {spread[f"o{i:03d}"] for i in range(20)}.isdisjoint(spread[f"o{i:03d}"] for i in range(20, 35))
     for bad in (dict(n_neighbors=1), dict(n_neighbors=35), dict(resolution=0)):
         with pytest.raises(AnalysisError):
             an.cluster_cells(bundle(spark, a), **bad)
@@ -324,6 +322,42 @@ def test_bad_paths(path):
         tr.path_segments(path)
 
 
+def dense_trend(position, value, grid):
+    """The same spline with every observation's row in memory, degrees of freedom from the whole hat matrix."""
+    b, g = tr._basis(position, tr._knots()), tr._basis(grid, tr._knots())
+    p = np.diff(np.eye(b.shape[1]), 2, axis=0)
+    fits = []
+    for lam in tr.SMOOTHING:
+        inverse = np.linalg.pinv(b.T @ b + lam * p.T @ p)
+        free = len(value) - np.trace(b @ inverse @ b.T)
+        left = value - b @ (inverse @ b.T @ value)
+        fits.append((len(value) * (left @ left) / free**2, g @ inverse @ b.T @ value, np.sqrt(left @ left / free * (1 + np.diag(g @ inverse @ g.T)))))
+    _, fitted, spread = min(fits, key=lambda f: f[0])
+    return fitted, 1.959963984540054 * spread
+
+
+def test_trends_from_sums_equal_the_dense_fit(spark):
+    rng = np.random.default_rng(8)
+    n, at = 400, np.linspace(0, 1, 12)
+    position = rng.uniform(0, 1, n)
+    a = np.stack([np.sin(5 * position) + rng.normal(0, 0.2, n), np.where(rng.uniform(size=n) < 0.7, 0, rng.exponential(2, n)), np.zeros(n)], 1)
+    b = bundle(spark, a)
+    where = spark.createDataFrame([(i, float(p)) for i, p in enumerate(position)], "obs_ord long, trajectory_position double")
+    whole = MatrixBundle(b.obs.join(where, "obs_ord"), b.var, b.x.where("1 = 0"), {"scaled": b.x})
+    rows = {(r.feature, round(r.position, 9)): r for r in tr.feature_trends(whole, points=12, layer="scaled").collect()}
+    assert len(rows) == 36
+    for j in range(3):
+        fitted, half = dense_trend(position, a[:, j], at)
+        for k, p in enumerate(at):
+            r = rows[f"m{j}", round(p, 9)]
+            assert (r.fitted, r.upper - r.fitted, r.fitted - r.lower) == pytest.approx((fitted[k], half[k], half[k]), abs=1e-6)
+    assert all(r.fitted == r.upper == 0 for r in tr.feature_trends(whole, ["m0"], 3).collect())
+    with pytest.raises(IonweaveError):
+        tr.feature_trends(whole, layer="none")
+    with pytest.raises(AnalysisError):
+        tr.feature_trends(MatrixBundle(whole.obs.withColumn("trajectory_position", F.when(F.col("obs_ord") > 3, F.col("trajectory_position"))), b.var, b.x))
+
+
 def test_trends(spark):
     n = 60
     b = bundle(spark, [[i / n * 4 + 1, 1.0] for i in range(n)])
@@ -396,10 +430,3 @@ def test_clusters_are_the_same_rule_at_every_size(spark, monkeypatch):
 
     assert found(resolution=0.1) == ["1"] * 15 + ["0"] * 20
     assert len(set(found(resolution=4))) > 2
-
-
-def test_communities_of_repeated_and_looped_edges():
-    """Pairs given twice or in both directions add up; self-loops only add strength."""
-    a, b = np.array([0, 1, 1, 2, 3, 4, 3, 2, 2]), np.array([1, 0, 2, 0, 4, 5, 5, 3, 2])
-    found = an.modularity_communities(6, a, b, np.array([1, 1, 1, 1, 1, 1, 1, 0.1, 0.5]), 1.0, 0)
-    assert found.tolist() == [found[0]] * 3 + [found[3]] * 3 and found[0] != found[3]
