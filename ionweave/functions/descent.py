@@ -26,7 +26,7 @@ from ..model import whole
 from ..session import cut
 
 #: Points compared pair by pair; points of the sample a tree is built on; points of a block in the descent.
-BUCKET, SAMPLE, BLOCK = 1024, 65_536, 8192
+BUCKET, SAMPLE, BLOCK = 1024, 32_768, 8192
 TREES, ROUNDS = 4, 3
 #: Lists are as wide as this at least while they are refined.
 WIDTH = 15
@@ -217,8 +217,9 @@ def _prepared(points: DataFrame, n: int, trees: int, seed: int) -> DataFrame:
     """(node, vec, leaf array, block): float32 vectors, a leaf per tree, and the block of the first tree."""
     limit = (1 << 63) - 1 if n <= SAMPLE else SAMPLE * ((1 << 63) - 1) // n
     drawn = F.shiftrightunsigned(F.xxhash64(F.col("obs_ord").cast("long"), F.lit(seed)), 1) <= F.lit(limit)
-    sample = points.where(drawn).select(F.col("obs_ord").cast("long").alias("node"), "vec").toPandas().sort_values("node")
-    x = np.array(sample.vec.tolist(), np.float64).reshape(len(sample), -1)
+    sample = points.where(drawn).select(F.col("obs_ord").cast("long").alias("node"), "vec").toArrow().sort_by("node")
+    x = sample["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(sample.num_rows, -1)
+    del sample
     depth = max(0, math.ceil(math.log2(n / BUCKET)))
     rng = np.random.default_rng(seed)
     forest = [Tree(x, depth, rng) for _ in range(trees if depth else 1)]
@@ -227,7 +228,7 @@ def _prepared(points: DataFrame, n: int, trees: int, seed: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            v = np.array(batch.column(1).to_pylist(), np.float64).reshape(batch.num_rows, -1)
+            v = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
             leaves = np.stack([tree.leaf(v) for tree in sent.value], 1)
             offsets = pa.array(np.arange(len(v) + 1) * leaves.shape[1], pa.int32())
             rows = [r.tobytes() for r in v.astype(np.float32)]

@@ -1,4 +1,4 @@
-"""Feature variance, clustering, marker ranking, COSG and consensus factorisation.
+"""Clustering, marker ranking and COSG; feature variance and consensus factorisation under their names here.
 
 Statistics are sums over non-zero values with the group sizes supplied, so
 implicit zeros cost nothing.
@@ -6,8 +6,6 @@ implicit zeros cost nothing.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import PCA
@@ -23,26 +21,12 @@ from ..functions.stats import benjamini_hochberg, normal_two_sided, student_p
 from ..model import MatrixBundle, check_rows, choice, number, require, whole
 from ..session import cut
 from .communities import leiden
+from .factorisation import PreparedCnmf, consensus_usage, factorize, factorize_prepared, load_prepared, load_usage, prepare_cnmf, prepared_spectra, run_cnmf, select_k  # noqa: F401
+from .variance import feature_variance, top_features  # noqa: F401
 
 RANKINGS = ("t-test", "t-test_overestim_var", "wilcoxon")
 
 
-def feature_variance(x: DataFrame, var: DataFrame, n_obs: int) -> DataFrame:
-    """(feature_id, feature_ord, mean, variance): population variance, zeros included."""
-    sums = x.groupBy("feature_id").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))
-    n = F.lit(float(n_obs))
-    mean = F.coalesce(F.col("s") / n, F.lit(0.0))
-    out = var.select("feature_id", "feature_ord").join(sums, "feature_id", "left")
-    return out.select("feature_id", "feature_ord", mean.alias("mean"), F.greatest(F.coalesce(F.col("q") / n, F.lit(0.0)) - mean * mean, F.lit(0.0)).alias("variance"))
-
-
-def top_features(x: DataFrame, var: DataFrame, n_obs: int, n: int) -> DataFrame:
-    """The ``n`` most variable features; ties in feature order."""
-    whole("n", n, AnalysisError)
-    ranked = feature_variance(x, var, n_obs).orderBy(F.desc("variance"), "feature_ord").limit(n)
-    return ranked
-
-
 # --------------------------------------------------------------------------
 # clustering
 
@@ -259,146 +243,3 @@ def run_cosg(x: DataFrame, var: DataFrame, groups: DataFrame, n_genes: int = 20,
     scored = cosg_scores(x, var, groups, mu, expressed_pct, remove_lowly_expressed).join(var.select("feature_id", "feature_ord"), "feature_id")
     rank = F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("score"), "feature_ord"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= n_genes).groupBy("rank").pivot("grp", order).agg(F.first("feature_id"))
-
-
-# --------------------------------------------------------------------------
-# consensus factorisation
-
-
-def _nmf(m: np.ndarray, k: int, seed: int, iterations: int = 200) -> tuple[np.ndarray, np.ndarray]:
-    """Multiplicative updates for the squared error."""
-    rng = np.random.default_rng(seed)
-    scale = math.sqrt(max(m.mean(), 1e-12) / k)
-    w, h = rng.random((m.shape[0], k)) * scale + 1e-6, rng.random((k, m.shape[1])) * scale + 1e-6
-    for _ in range(iterations):
-        h *= (w.T @ m) / (w.T @ w @ h + 1e-12)
-        w *= (m @ h.T) / (w @ h @ h.T + 1e-12)
-    return w, h
-
-
-def factorize(bundle: MatrixBundle, components: list[int], n_iter: int = 10, seed: int = 14, n_features: int = 300, worker_index: int = 0, total_workers: int = 1) -> DataFrame:
-    """(k, replicate, component, spectrum, error): one NMF per (k, replicate), each in a task of its own.
-
-    Of several workers, each takes every ``total_workers``-th replicate of the grid.
-
-    The matrix of the ``n_features`` most variable features is broadcast; its
-    cells are limited, as every replicate holds it densely.
-    """
-    for k in components:
-        whole("components", k, AnalysisError, low=2)
-    whole("n_iter", n_iter, AnalysisError)
-    whole("total_workers", total_workers, AnalysisError)
-    whole("worker_index", worker_index, AnalysisError, low=0, high=total_workers - 1)
-    whole("seed", seed, AnalysisError, low=0, high=2**32 - 1)
-    check_rows(bundle.x, {"factorisation needs non-negative values": F.col("value") < 0}, AnalysisError)
-    n = bundle.obs.count()
-    if n * n_features > 50_000_000:
-        raise AnalysisError("the matrix is too large for dense factorisation; choose fewer features")
-    keep = top_features(bundle.x, bundle.var, n, n_features).where("variance > 0")
-    var = keep.select("feature_id", (F.row_number().over(Window.orderBy("feature_ord")) - 1).alias("feature_ord"))  # n_features rows
-    rows = blocks.vectors(bundle.x.join(var, "feature_id", "left_semi"), bundle.obs, var).orderBy("obs_ord").toPandas()
-    m = blocks.matrix(rows)
-    m = m / np.where(m.std(0) == 0, 1, m.std(0))
-    spark = bundle.obs.sparkSession
-    held = spark.sparkContext.broadcast(m)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for k, r in zip(pdf.k, pdf.replicate):
-            w, h = _nmf(held.value, int(k), seed + 1000 * int(k) + int(r))
-            error = float(((held.value - w @ h) ** 2).sum())
-            out += [(int(k), int(r), c, (row / max(np.linalg.norm(row), 1e-300)).tolist(), error) for c, row in enumerate(h)]
-        return pd.DataFrame(out, columns=["k", "replicate", "component", "spectrum", "error"])
-
-    cells = [(k, r) for k in components for r in range(n_iter)][worker_index::total_workers]
-    grid = spark.createDataFrame(cells, "k int, replicate int")
-    return grid.groupBy("k", "replicate").applyInPandas(run, "k int, replicate int, component int, spectrum array<double>, error double")
-
-
-def select_k(spectra: DataFrame) -> DataFrame:
-    """(k, stability, error): how well replicates' spectra of a k form k groups (mean silhouette), and the mean squared error."""
-
-    def judge(pdf: pd.DataFrame) -> pd.DataFrame:
-        k = int(pdf.k.iloc[0])
-        s = np.array(pdf.sort_values(["replicate", "component"]).spectrum.tolist())
-        own = _kmeans(s, k, 0)[1]
-        d = np.sqrt(np.maximum(2 - 2 * s @ s.T, 0))
-        values = []
-        for i in range(len(s)):
-            same = (own == own[i]) & (np.arange(len(s)) != i)
-            others = [d[i, own == c].mean() for c in set(own.tolist()) - {own[i]}]
-            if same.any() and others:
-                a, b = d[i, same].mean(), min(others)
-                values.append((b - a) / max(a, b, 1e-300))
-            else:
-                values.append(0.0)
-        return pd.DataFrame({"k": [k], "stability": [float(np.mean(values))], "error": [float(pdf.groupby("replicate").error.first().mean())]})
-
-    return spectra.groupBy("k").applyInPandas(judge, "k int, stability double, error double")
-
-
-def _kmeans(s: np.ndarray, k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Centres and labels; starts from the points farthest apart."""
-    rng = np.random.default_rng(seed)
-    centers = s[[0]]
-    while len(centers) < k:
-        far = np.min(((s[:, None] - centers[None]) ** 2).sum(2), axis=1)
-        centers = np.vstack([centers, s[int(far.argmax())]])
-    for _ in range(100):
-        own = ((s[:, None] - centers[None]) ** 2).sum(2).argmin(1)
-        new = np.stack([s[own == c].mean(0) if (own == c).any() else s[int(rng.integers(len(s)))] for c in range(k)])
-        if np.allclose(new, centers):
-            break
-        centers = new
-    return centers, own
-
-
-def consensus_usage(bundle: MatrixBundle, spectra: DataFrame, k: int, density_threshold: float = 0.5, n_features: int = 300, seed: int = 14) -> pd.DataFrame:
-    """obs_id, Usage_1..k: replicates' spectra clustered, outliers dropped, medians refitted."""
-    number("density_threshold", density_threshold, AnalysisError, low=0)
-    s = np.array(spectra.where(F.col("k") == k).orderBy("replicate", "component").toPandas().spectrum.tolist())
-    if not len(s):
-        raise AnalysisError(f"no replicate has k = {k}")
-    d = np.sqrt(np.maximum(2 - 2 * s @ s.T, 0))
-    near = max(1, int(0.3 * len(s) / k))
-    s = s[np.sort(d, axis=1)[:, 1 : near + 1].mean(1) < density_threshold] if len(s) > k else s
-    if len(s) < k:
-        raise AnalysisError("the density threshold leaves too few spectra")
-    centers, own = _kmeans(s, k, seed)
-    h = np.stack([np.median(s[own == c], axis=0) if (own == c).any() else centers[c] for c in range(k)])
-    n = bundle.obs.count()
-    keep = top_features(bundle.x, bundle.var, n, n_features).where("variance > 0")
-    var = keep.select("feature_id", (F.row_number().over(Window.orderBy("feature_ord")) - 1).alias("feature_ord"))  # n_features rows
-    rows = blocks.vectors(bundle.x.join(var, "feature_id", "left_semi"), bundle.obs, var).orderBy("obs_ord").toPandas()
-    m = blocks.matrix(rows)
-    m = m / np.where(m.std(0) == 0, 1, m.std(0))
-    w = np.full((n, k), 1.0)
-    for _ in range(200):
-        w *= (m @ h.T) / (w @ h @ h.T + 1e-12)
-    w = w / np.where(w.sum(1) == 0, 1, w.sum(1))[:, None]
-    order = np.argsort(-w.sum(0), kind="stable")
-    return pd.DataFrame(w[:, order], columns=[f"Usage_{i + 1}" for i in range(k)]).assign(obs_id=rows.obs_id.to_numpy())
-
-
-def run_cnmf(bundle: MatrixBundle, components: list[int], k: int, n_iter: int = 10, seed: int = 14, n_features: int = 300, density_threshold: float = 0.5) -> tuple[MatrixBundle, DataFrame]:
-    """(bundle whose obs carry the usage of ``k`` programmes, table of stability and error per k)."""
-    if k not in components:
-        raise AnalysisError("k must be among the components")
-    spectra = cut(factorize(bundle, components, n_iter, seed, n_features))
-    usage = bundle.obs.sparkSession.createDataFrame(consensus_usage(bundle, spectra, k, density_threshold, n_features, seed))
-    return MatrixBundle(load_usage(bundle.obs, usage), bundle.var, bundle.x, dict(bundle.layers), dict(bundle.meta)), select_k(spectra)
-
-
-def load_usage(obs: DataFrame, usage: DataFrame) -> DataFrame:
-    """``obs`` with the usage columns, aligned by id; ids must match exactly, values be finite and >= 0."""
-    columns = [c for c in usage.columns if c != "obs_id"]
-    clash = sorted(set(columns) & set(obs.columns))
-    if not columns or clash:
-        raise AnalysisError(f"usage columns are missing or collide: {clash}")
-    typed = usage.select("obs_id", *[F.col(f"`{c}`").try_cast("double").alias(c) for c in columns])
-    bad = [F.col(f"`{c}`").isNull() | F.isnan(f"`{c}`") | (F.col(f"`{c}`") < 0) | (F.col(f"`{c}`") == float("inf")) for c in columns]
-    check_rows(typed, {"usage values must be finite and non-negative": F.array_contains(F.array(*bad), True)}, AnalysisError)
-    check_rows(typed.groupBy("obs_id").count(), {"usage identifiers must be unique": F.col("count") > 1}, AnalysisError)
-    both = obs.select("obs_id", F.lit(1).alias("_o")).join(typed.select("obs_id", F.lit(1).alias("_u")), "obs_id", "full")
-    check_rows(both, {"usage identifiers must match the observations exactly": F.col("_o").isNull() | F.col("_u").isNull()}, AnalysisError)
-    return obs.join(typed, "obs_id")

@@ -226,7 +226,7 @@ class Pipeline:
                 n = a["cnmf"]
                 spectra = analysis.factorize(cells, n["components"], seed=n["seed"], n_features=n["num_highvar_genes"])
                 usage = analysis.consensus_usage(cells, spectra, n["selected_k"], n_features=n["num_highvar_genes"], seed=n["seed"])
-                cells = dataclasses.replace(cells, obs=analysis.load_usage(cells.obs, self.spark.createDataFrame(usage)))
+                cells = dataclasses.replace(cells, obs=analysis.load_usage(cells.obs, usage))
                 more["cnmf_spectra"] = spectra
             return {**bundle_tables(cells), **more}, cells.meta
 

@@ -289,7 +289,7 @@ def test_factorisation(spark):
     b = bundle(spark, w @ h + rng.random((30, 5)) * 0.01)
     spectra = an.factorize(b, [2], n_iter=4, n_features=5)
     assert spectra.count() == 8
-    usage = an.consensus_usage(b, spectra, 2, n_features=5)
+    usage = an.consensus_usage(b, spectra, 2, n_features=5).orderBy("obs_id").toPandas()
     loaded = an.load_usage(b.obs, spark.createDataFrame(usage.iloc[::-1])).orderBy("obs_ord").toPandas()
     assert max(abs(np.corrcoef(loaded.Usage_1, w[:, k])[0, 1]) for k in (0, 1)) > 0.95
     with pytest.raises(AnalysisError):
