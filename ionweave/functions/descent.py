@@ -23,11 +23,11 @@ from pyspark.sql import functions as F
 
 from ..errors import AnalysisError
 from ..model import whole
-from ..session import cut
+from ..session import Scratch, cut
 
 #: Points compared pair by pair; points of the sample a tree is built on; points of a block in the descent.
 BUCKET, SAMPLE, BLOCK = 1024, 32_768, 8192
-TREES, ROUNDS = 4, 3
+TREES, ROUNDS = 4, 2
 #: Lists are as wide as this at least while they are refined.
 WIDTH = 15
 #: Points merged in one group, and the share of changed entries at which the descent ends.
@@ -288,17 +288,18 @@ def neighbors(points: DataFrame, k: int, seed: int = 0, trees: int = TREES, roun
     empty = F.array().cast("array<long>"), F.array().cast("array<double>")
     own = blocked.select("node", "block", empty[0].alias("near"), empty[1].alias("away"))
     merged = f"{_LISTS}, changed long"
-    lists = cut(_grouped(seeds.union(own), groups).groupBy("grp").applyInArrow(lambda t: _merge(t, width), merged))
+    scratch = Scratch(points.sparkSession, "descent")
+    lists = scratch.keep("lists", _grouped(seeds.union(own), groups).groupBy("grp").applyInArrow(lambda t: _merge(t, width), merged))
 
     vectors = made.select(F.col("node").alias("member"), "vec")
     for _ in range(rounds if n > BUCKET else 0):
         links = lists.select("node", F.posexplode("near").alias("at", "other"), "away")
         back = links.select(F.col("other").alias("node"), F.lit(-1).cast("long").alias("block"), F.array("node").alias("near"), F.array(F.get("away", F.col("at"))).alias("away"))
         around = _grouped(lists.drop("changed").union(_nearest_links(back, width)), groups)
-        centers = cut(around.groupBy("grp").applyInArrow(lambda t: _neighbourhoods(t, width), "node long, block long, members array<long>"))
+        centers = scratch.keep("centers", around.groupBy("grp").applyInArrow(lambda t: _neighbourhoods(t, width), "node long, block long, members array<long>"))
         needed = centers.select(F.col("block").alias("place"), F.explode("members").alias("member")).distinct().join(vectors, "member")
         found = centers.groupBy("block").cogroup(needed.groupBy("place")).applyInArrow(lambda c, v: _join(c, v, width), _LISTS)
-        lists = cut(_grouped(lists.drop("changed").union(found), groups).groupBy("grp").applyInArrow(lambda t: _merge(t, width), merged))
+        lists = scratch.keep("lists", _grouped(lists.drop("changed").union(found), groups).groupBy("grp").applyInArrow(lambda t: _merge(t, width), merged))
         if (lists.agg(F.sum("changed")).first()[0] or 0) <= _FEW * n * width:
             break
 

@@ -4,8 +4,8 @@ A level has three phases.  Local moving: nodes go to the neighbouring community
 that raises modularity most; each block of nodes is worked by one task in turn,
 seeing the labels of other blocks as they were when the round began, and of the
 nodes with links to other blocks about half may move in a round, so neighbours
-seldom pass each other.  Refinement: within a block and a community single nodes
-join well-connected groups they are linked to, which are therefore connected.
+seldom pass each other.  Refinement: communities are gathered into blocks, and in each single nodes join
+well-connected groups they are linked to, which are therefore connected.
 Aggregation: groups become the nodes of the next level and start in their
 community.  As levels shrink, neighbouring blocks are merged; once one block is
 left, a task finishes the hierarchy.
@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 
 from ..errors import AnalysisError
 from ..model import number, whole
-from ..session import cut
+from ..session import Scratch, cut
 
 #: Links, counted from both ends, that a merged block may have; moving rounds of a level; share of nodes whose moves end them.
-BLOCK_LINKS, ROUNDS, _STILL = 400_000, 8, 0.005
+BLOCK_LINKS, ROUNDS, _STILL = 400_000, 4, 0.02
 #: Weights are multiples of this part.
 UNIT = 1 << 20
 
@@ -224,6 +224,20 @@ def _merged(nodes: DataFrame, links: DataFrame, most: int) -> tuple[DataFrame, i
     return nodes.join(table, "block").withColumn("block", F.col("_new")).drop("_new"), number + 1
 
 
+def _gathered(nodes: DataFrame, links: DataFrame, most: int) -> DataFrame:
+    """Nodes in the block of one of their community's nodes, so that whole communities are refined.
+
+    Where that would fill a block to four times its size, its newcomers stay where they are.
+    """
+    homes = nodes.groupBy("comm").agg(F.min_by("block", F.xxhash64("node")).alias("home"))
+    moved = nodes.join(homes, "comm")
+    degrees = links.groupBy("node").agg(F.count("*").alias("n"))
+    sizes = moved.join(degrees, "node").groupBy("home").agg(F.sum("n").alias("n")).collect()  # a line per block
+    full = [r.home for r in sizes if r.n > 4 * most]
+    home = F.when(F.col("home").isin(full), F.col("block")).otherwise(F.col("home")) if full else F.col("home")
+    return moved.select("node", home.alias("block"), "comm", "strength")
+
+
 def _whole_graph(state: pa.Table, links: pa.Table, resolution: float, seed: int) -> pa.Table:
     state = state.sort_by("node")
     node, comm, strength = (state[c].to_numpy() for c in ("node", "comm", "strength"))
@@ -234,17 +248,18 @@ def _whole_graph(state: pa.Table, links: pa.Table, resolution: float, seed: int)
 
 def _split(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(node, comm) with communities split into their connected parts, named by their smallest node."""
+    scratch = Scratch(nodes.sparkSession, "split")
     comm = nodes.select("node", "comm")
     same = links.join(comm, "node").join(comm.toDF("other", "_c"), "other").where("comm = _c").select("node", "other")
-    same, now = cut(same), cut(nodes.select("node", F.col("node").alias("comm")))
+    same, now = scratch.keep("same", same), scratch.keep("now", nodes.select("node", F.col("node").alias("comm")))
     while True:
         least = same.join(now.toDF("other", "m"), "other").groupBy("node").agg(F.min("m").alias("m"))
         low = now.join(least, "node", "left").select("node", F.least("comm", "m").alias("up"), F.col("comm").alias("was"))
         # one hop through the label found, too
-        low = low.join(now.toDF("up", "far"), "up").select("node", F.least("up", "far").alias("comm"), "was")
-        low = cut(low)
-        moved = low.where("comm <> was").limit(1).count()
-        now = low.select("node", "comm")
+        far = now.toDF("up", "far")
+        now = scratch.keep("now", low.join(far, "up").select("node", F.least("up", "far").alias("comm"), "was"))
+        moved = now.where("comm <> was").limit(1).count()
+        now = now.select("node", "comm")
         if not moved:
             return now
 
@@ -260,39 +275,43 @@ def leiden(edges: DataFrame, nodes: DataFrame, resolution: float = 1.0, seed: in
     whole("seed", seed, AnalysisError, low=0, high=2**32 - 1)
     heavy = F.round(F.col("weight") * F.lit(UNIT)).cast("long")
     once = edges.where("a <> b").select("a", "b", heavy.alias("weight"))
-    links = cut(once.union(once.select("b", "a", "weight")).groupBy(F.col("a").alias("node"), F.col("b").alias("other")).agg(F.sum("weight").alias("weight")).where("weight > 0"))
+    scratch = Scratch(edges.sparkSession, "leiden")
+    links = scratch.keep("links", once.union(once.select("b", "a", "weight")).groupBy(F.col("a").alias("node"), F.col("b").alias("other")).agg(F.sum("weight").alias("weight")).where("weight > 0"))
     strength = links.groupBy("node").agg(F.sum("weight").alias("strength"))
     nodes = nodes.select("node", "block").join(strength, "node", "left").select("node", "block", F.col("node").alias("comm"), F.coalesce("strength", F.lit(0)).alias("strength"))
     total = int(links.agg(F.sum("weight")).first()[0] or 0)
-    lone, nodes = nodes.where("strength = 0").select("node", F.col("node").alias("community")), cut(nodes.where("strength > 0"))
+    nodes = cut(nodes)
+    lone, nodes = nodes.where("strength = 0").select("node", F.col("node").alias("community")), scratch.keep("nodes", nodes.where("strength > 0"))
     if not total:
         return lone
-    places = nodes.select("node", F.col("node").alias("now"))
-    links, count, level = links.join(nodes.select("node", "block"), "node"), nodes.count(), 0
+    places = scratch.keep("places", nodes.select("node", F.col("node").alias("now")))
+    links, count, level = scratch.keep("links", links.join(nodes.select("node", "block"), "node")), nodes.count(), 0
     while True:
         nodes, blocks = _merged(nodes, links, BLOCK_LINKS)
-        nodes = cut(nodes)
-        links = cut(links.drop("block").join(nodes.select("node", "block"), "node"))
+        nodes = scratch.keep("nodes", nodes)
+        links = scratch.keep("links", links.drop("block").join(nodes.select("node", "block"), "node"))
         if blocks == 1:
             whole_graph = nodes.groupBy("block").cogroup(_apart(links).groupBy("place")).applyInArrow(lambda n, e: _whole_graph(n, e, resolution, seed), "node long, comm long")
             break
         for turn in range(ROUNDS):
             state, seen = _seen(nodes, links)
             turned = level * ROUNDS + turn
-            nodes = cut(state.groupBy("block").cogroup(seen.groupBy("place")).applyInArrow(lambda n, e: _moved_block(n, e, total, resolution, seed, turned), _STATE))
+            nodes = scratch.keep("nodes", state.groupBy("block").cogroup(seen.groupBy("place")).applyInArrow(lambda n, e: _moved_block(n, e, total, resolution, seed, turned), _STATE))
             if nodes.where("moved").count() <= _STILL * count:
                 break
+        nodes = scratch.keep("nodes", _gathered(nodes, links, BLOCK_LINKS))
+        links = scratch.keep("links", links.drop("block").join(nodes.select("node", "block"), "node"))
         state, seen = _seen(nodes, links)
-        groups = cut(state.groupBy("block").cogroup(seen.groupBy("place")).applyInArrow(lambda n, e: _refined_block(n, e, total, resolution, seed), "node long, grp long"))
+        groups = scratch.keep("groups", state.groupBy("block").cogroup(seen.groupBy("place")).applyInArrow(lambda n, e: _refined_block(n, e, total, resolution, seed), "node long, grp long"))
         shrunk = groups.select("grp").distinct().count()
         if shrunk > 0.98 * count:
             whole_graph = _split(nodes, links)
             break
         ends = groups.toDF("other", "_to")
         links = links.join(groups, "node").join(ends, "other").where("grp <> _to").groupBy(F.col("grp").alias("node"), F.col("_to").alias("other")).agg(F.sum("weight").alias("weight"))
-        nodes = cut(nodes.join(groups, "node").groupBy(F.col("grp").alias("node")).agg(F.min("block").alias("block"), F.min("comm").alias("comm"), F.sum("strength").alias("strength")))
-        links = cut(links.join(nodes.select("node", "block"), "node"))
-        places = cut(places.join(groups.toDF("now", "grp"), "now").select("node", F.col("grp").alias("now")))
+        nodes = scratch.keep("nodes", nodes.join(groups, "node").groupBy(F.col("grp").alias("node")).agg(F.min("block").alias("block"), F.min("comm").alias("comm"), F.sum("strength").alias("strength")))
+        links = scratch.keep("links", links.join(nodes.select("node", "block"), "node"))
+        places = scratch.keep("places", places.join(groups.toDF("now", "grp"), "now").select("node", F.col("grp").alias("now")))
         count, level = shrunk, level + 1
     named = whole_graph.select(F.col("node").alias("now"), F.col("comm").alias("community"))
     return places.join(named, "now").select("node", "community").union(lone)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,3 +39,25 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+class Scratch:
+    """Tables of an iterative job in a folder of the shared directory; a new version of a table replaces the last.
+
+    Unlike a checkpoint, a table read back carries no size estimate of the plan that
+    made it; over many rounds of joins these estimates, each a product of the ones
+    before, grow until planning takes longer than the work.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root, self.paths = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", {}
+
+    def keep(self, name: str, df: DataFrame) -> DataFrame:
+        """``df`` written as the table ``name`` and read back; the version before is deleted then."""
+        path = f"{self.root}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        if before := self.paths.get(name):
+            place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(before)
+            place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        self.paths[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
