@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ..session import cut
+from .ordering import ranged
+
 
 def tied_rank(partition: list, order: str) -> Column:
     """Average rank of ties: rank + (ties - 1) / 2."""
@@ -19,12 +23,38 @@ def tied_rank(partition: list, order: str) -> Column:
 
 
 def benjamini_hochberg(df: DataFrame, partition: list[str], p: str, out: str) -> DataFrame:
-    """Adds adjusted p-values: running minimum of p n / rank from the largest p down."""
-    up = Window.partitionBy(*partition).orderBy(p)
-    everything = Window.partitionBy(*partition)
-    ranked = df.withColumn("_k", F.row_number().over(up)).withColumn("_n", F.count("*").over(everything))
-    down = Window.partitionBy(*partition).orderBy(F.desc("_k")).rowsBetween(Window.unboundedPreceding, 0)
-    return ranked.withColumn(out, F.least(F.lit(1.0), F.min(F.col(p) * F.col("_n") / F.col("_k")).over(down))).drop("_k", "_n")
+    """Adds adjusted p-values: running minimum of p n / rank from the largest p down, within each group.
+
+    Equal p-values of a group share their result, so distinct values with their
+    counts are what is ordered.  They lie in range partitions of (group, p), each
+    with windows of its own; counts and minima of the other partitions of a group
+    are carried over their bounds, so a large group is no single task.
+    """
+    keys, df = [*partition, p], cut(df)  # p must be the same number when it is joined back
+    values, _ = ranged(df.groupBy(*keys).agg(F.count("*").alias("_c")), keys)
+    in_order, in_part = Window.partitionBy(*partition).orderBy("_part"), Window.partitionBy(*partition, "_part")
+
+    def carried(rows: DataFrame, value, name: str, window) -> DataFrame:
+        """``rows`` with ``name``: ``value`` per partition of a group, combined over the window of partitions."""
+        return same_join(rows, rows.groupBy(*partition, "_part").agg(value.alias(name)).withColumn(name, window(F.col(name))), [*partition, "_part"])
+
+    before, after = in_order.rowsBetween(Window.unboundedPreceding, -1), in_order.rowsBetween(1, Window.unboundedFollowing)
+    ranked = carried(values, F.sum("_c"), "_below", lambda c: F.coalesce(F.sum(c).over(before), F.lit(0)))
+    ranked = carried(ranked, F.sum("_c"), "_n", lambda c: F.sum(c).over(Window.partitionBy(*partition)))
+    rank = F.col("_below") + F.sum("_c").over(in_part.orderBy(p).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = ranked.withColumn("_q", F.col(p) * F.col("_n") / rank)
+    ranked = carried(ranked, F.min("_q"), "_later", lambda c: F.min(c).over(after))
+    least = F.min("_q").over(in_part.orderBy(p).rowsBetween(0, Window.unboundedFollowing))
+    adjusted = ranked.select(*keys, F.least(F.lit(1.0), least, F.col("_later")).alias(out))
+    return same_join(df, adjusted, keys)
+
+
+def same_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """``left`` with the further columns of ``right``, nulls of a key being equal."""
+    names = {k: f"_key{i}" for i, k in enumerate(keys)}
+    renamed = right.withColumnsRenamed(names)
+    on = reduce(lambda a, b: a & b, [left[k].eqNullSafe(renamed[names[k]]) for k in keys])
+    return left.join(renamed, on).drop(*names.values())
 
 
 @F.pandas_udf(DoubleType())

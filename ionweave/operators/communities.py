@@ -29,7 +29,7 @@ from ..model import number, whole
 from ..session import Scratch, cut
 
 #: Links, counted from both ends, that a merged block may have; moving rounds of a level; share of nodes whose moves end them.
-BLOCK_LINKS, ROUNDS, _STILL = 400_000, 4, 0.02
+BLOCK_LINKS, ROUNDS, _STILL = 100_000, 4, 0.02
 #: Weights are multiples of this part.
 UNIT = 1 << 20
 
@@ -209,19 +209,18 @@ def _seen(nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     return state, _apart(links.join(ends, "other"))
 
 
-def _merged(nodes: DataFrame, links: DataFrame, most: int) -> tuple[DataFrame, int]:
-    """``nodes`` with neighbouring blocks merged while their links fit, and the number of blocks."""
-    spread = links.groupBy("block").agg(F.count("*").alias("n"))
-    rows = nodes.select("block").distinct().join(spread, "block", "left").orderBy("block").collect()  # a line per block
+def _merged(nodes: DataFrame, links: DataFrame, most: int) -> tuple[DataFrame, DataFrame, int]:
+    """``nodes`` and ``links`` with neighbouring blocks merged while their links fit, and the number of blocks."""
+    rows = links.select("block").union(nodes.select("block")).groupBy("block").agg(F.count("*").alias("n")).orderBy("block").collect()  # a line per block
     number, size, names = 0, 0, []
     for r in rows:
-        n = r.n or 0
-        if size and size + n > most:
+        if size and size + r.n > most:
             number, size = number + 1, 0
-        size += max(1, n)
+        size += r.n
         names.append((r.block, number))
     table = F.broadcast(nodes.sparkSession.createDataFrame(names, "block long, _new long"))  # a line per block
-    return nodes.join(table, "block").withColumn("block", F.col("_new")).drop("_new"), number + 1
+    nodes, links = (t.join(table, "block").withColumn("block", F.col("_new")).drop("_new") for t in (nodes, links))
+    return nodes, links, number + 1
 
 
 def _gathered(nodes: DataFrame, links: DataFrame, most: int) -> DataFrame:
@@ -287,9 +286,7 @@ def leiden(edges: DataFrame, nodes: DataFrame, resolution: float = 1.0, seed: in
     places = scratch.keep("places", nodes.select("node", F.col("node").alias("now")))
     links, count, level = scratch.keep("links", links.join(nodes.select("node", "block"), "node")), nodes.count(), 0
     while True:
-        nodes, blocks = _merged(nodes, links, BLOCK_LINKS)
-        nodes = scratch.keep("nodes", nodes)
-        links = scratch.keep("links", links.drop("block").join(nodes.select("node", "block"), "node"))
+        nodes, links, blocks = _merged(nodes, links, BLOCK_LINKS)
         if blocks == 1:
             whole_graph = nodes.groupBy("block").cogroup(_apart(links).groupBy("place")).applyInArrow(lambda n, e: _whole_graph(n, e, resolution, seed), "node long, comm long")
             break
@@ -308,9 +305,11 @@ def leiden(edges: DataFrame, nodes: DataFrame, resolution: float = 1.0, seed: in
             whole_graph = _split(nodes, links)
             break
         ends = groups.toDF("other", "_to")
-        links = links.join(groups, "node").join(ends, "other").where("grp <> _to").groupBy(F.col("grp").alias("node"), F.col("_to").alias("other")).agg(F.sum("weight").alias("weight"))
-        nodes = scratch.keep("nodes", nodes.join(groups, "node").groupBy(F.col("grp").alias("node")).agg(F.min("block").alias("block"), F.min("comm").alias("comm"), F.sum("strength").alias("strength")))
-        links = scratch.keep("links", links.join(nodes.select("node", "block"), "node"))
+        # the nodes of a group share their block, so links keep theirs
+        joined = links.join(groups, "node").join(ends, "other").where("grp <> _to")
+        links = scratch.keep("links", joined.groupBy(F.col("grp").alias("node"), F.col("_to").alias("other")).agg(F.sum("weight").alias("weight"), F.min("block").alias("block")))
+        nodes = nodes.join(groups, "node").groupBy(F.col("grp").alias("node")).agg(F.min("block").alias("block"), F.min("comm").alias("comm"), F.sum("strength").alias("strength"))
+        nodes = scratch.keep("nodes", nodes)
         places = scratch.keep("places", places.join(groups.toDF("now", "grp"), "now").select("node", F.col("grp").alias("now")))
         count, level = shrunk, level + 1
     named = whole_graph.select(F.col("node").alias("now"), F.col("comm").alias("community"))

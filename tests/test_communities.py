@@ -229,6 +229,14 @@ def test_disconnected_communities_are_split(spark):
     assert co._connected(8, a, b, np.array([0, 0, 1, 1, 0, 0, 0, 2])).tolist() == [0, 0, 2, 2, 4, 4, 6, 7]
 
 
+def test_components_that_become_single_nodes_are_kept(spark, monkeypatch):
+    """Cliques apart from each other lose all links when they are aggregated, in blocks of their own."""
+    monkeypatch.setattr(co, "BLOCK_LINKS", 20)
+    a, b = zip(*[(5 * c + i, 5 * c + j) for c in range(12) for i in range(5) for j in range(i)])
+    edges, nodes = tables(spark, 60, np.array(a), np.array(b), np.ones(len(a)), np.arange(60) // 5)
+    assert found(co.leiden(edges, nodes), 60).tolist() == [i // 5 for i in range(60)]
+
+
 def test_a_graph_that_does_not_shrink_ends_with_its_moves(spark, monkeypatch):
     """Blocks that cut every link leave nothing to refine; the moves still stand."""
     monkeypatch.setattr(co, "BLOCK_LINKS", 1)

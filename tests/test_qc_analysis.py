@@ -234,6 +234,24 @@ def test_ranked_table(spark):
         an.rank_metabolites(b.x, b.var, groups.where("grp = 'a'"))
 
 
+def test_adjusted_p_values_over_partitions(spark):
+    """One group with most rows, ties, nulls in group and p, single rows: as the textbook gives it per group."""
+    rng = np.random.default_rng(9)
+    groups = ["big"] * 700 + [f"g{i % 5}" for i in range(60)] + [None] * 20 + ["one"]
+    p = np.round(rng.uniform(0, 1, len(groups)) ** 2, 3)
+    rows = [(i, g, float(v)) for i, (g, v) in enumerate(zip(groups, p))]
+    df = spark.createDataFrame(rows, "id int, grp string, p double").repartition(5)
+    got = {r.id: r.q for r in stats.benjamini_hochberg(df, ["grp"], "p", "q").collect()}
+    assert len(got) == len(rows)
+    for name in {g or "" for g in groups}:
+        own = [(i, v) for i, g, v in rows if (g or "") == name]
+        v = np.array([x for _, x in own])
+        order = np.argsort(v, kind="stable")
+        raw = v[order] * len(v) / np.arange(1, len(v) + 1)
+        want = np.minimum(np.minimum.accumulate(raw[::-1])[::-1], 1)
+        assert [got[own[k][0]] for k in order] == pytest.approx(want.tolist(), abs=1e-12)
+
+
 @pytest.mark.parametrize("t, dof, p", [(0, 5, 1.0), (2.0, 10, 0.07338803477074), (-3.5, 4.2, 0.02305), (1.96, 1e7, 0.04999579), (12.706204736, 1, 0.05)])
 def test_student_tail(t, dof, p):
     assert stats.student_two_sided(t, dof) == pytest.approx(p, rel=2e-2 if t == -3.5 else 1e-6)
