@@ -15,8 +15,8 @@ shuffle; the model is 2^17 floats.
 Cases: null and empty texts have no trigrams and score by the intercept and
 repetition bins; rows without doc_id are scored (held_out is null); labels that
 are null or other than 0 and 1, or of absent documents, are skipped, and the
-smallest of several labels of a document counts; repeated documents are learned
-from and scored each; further columns are ignored; without labels of both classes
+smallest of several labels of a document counts; repeated documents are scored
+each and learned from once where their indicators are equal; further columns are ignored; without labels of both classes
 every score is the share of label 1 (0.5 without any); an empty table gives an
 empty result.
 """
@@ -31,7 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_training, read_table, sample_hash, sample_limit, sized, slices
+from ..session import cut
+from .common import MOST_HASH, in_training, read_table, sample_hash, sample_limit, sized, slices
 
 BITS = 17
 HASHED = 1 << BITS
@@ -172,7 +173,13 @@ def fit(rows: list[np.ndarray], y: np.ndarray, share: float) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on about ``sample`` labelled rows of each class."""
+    """Fit on about ``sample`` labelled rows of each class.
+
+    Documents are drawn by id.  Rows that share an id and all indicators count
+    once, and where a class still has more rows than ``sample`` allows (an id may
+    have many texts), rows are drawn once more, by id and indicators: what reaches
+    the driver is bounded by ``sample``, however often an id repeats.
+    """
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & in_training(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     counts = {r.quality: r.n for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
@@ -191,7 +198,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(chosen, "doc_id")
     rows = rows.select(F.col("doc_id").cast("long"), F.col("quality").cast("int"), "text").mapInArrow(features, "doc_id long, quality int, ids binary")
-    got = sorted(rows.collect(), key=lambda r: (r.doc_id, bytes(r.ids)))
+    rows = cut(rows.dropDuplicates(["doc_id", "quality", "ids"]))
+    drawn = {r.quality: r.n for r in rows.groupBy("quality").agg(F.count("*").alias("n")).collect()}
+    few = F.lit(False)
+    for label, n in drawn.items():
+        most = MOST_HASH if n <= 2 * sample else sample_limit(n, sample)
+        few = few | ((F.col("quality") == label) & (F.shiftrightunsigned(F.xxhash64("ids", "doc_id"), 1) <= F.lit(most)))
+    got = sorted(rows.where(few).collect(), key=lambda r: (r.doc_id, bytes(r.ids)))
     return fit([np.frombuffer(r.ids, "<i4").astype(np.int64) for r in got], np.array([1 if r.quality else -1 for r in got]), share)
 
 

@@ -50,6 +50,28 @@ def test_quality_held_out(spark):
     assert {r.doc_id for r in stay.collect()} == {i for i, s in scores.items() if s >= q.THRESHOLD}
 
 
+def test_quality_rows_of_one_id_are_bounded(spark, monkeypatch):
+    """An id with thousands of texts, or of copies, brings no more rows to the driver than the sample allows."""
+    texts, labels = corpus(160)
+    busy = next(i for i in range(160) if zlib.crc32(str(i).encode()) % 5 and labels[i][1] == 1)
+    docs = h.documents(spark, texts)
+    many = spark.range(3000).selectExpr(f"{busy}L AS doc_id", "concat('text ', id, ' of one id ', uuid()) AS text", "'en' AS lang", "'s' AS source", "1L AS n_chars")
+    copies = spark.range(3000).selectExpr(f"{busy}L AS doc_id", "'the same text' AS text", "'en' AS lang", "'s' AS source", "1L AS n_chars")
+    sizes, fit = [], q.fit
+
+    def counted(rows, y, share):
+        sizes.append((len(rows), int((y > 0).sum())))
+        return fit(rows, y, share)
+
+    monkeypatch.setattr(q, "fit", counted)
+    q.train(docs, labelled(spark, labels), 50)
+    q.train(docs.union(copies), labelled(spark, labels), 5000)
+    q.train(docs.union(many), labelled(spark, labels), 50)
+    q.train(docs.union(many), labelled(spark, labels), 5000)
+    assert sizes[1][0] <= 161 and sizes[2][0] <= 200 and sizes[3][0] > 3000
+    assert all(good > 0 for _, good in sizes)
+
+
 def test_quality_labels_of_held_out_rows_do_not_count(spark):
     texts, labels = corpus(120)
     docs = h.documents(spark, texts)
