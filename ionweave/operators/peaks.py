@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import PreprocessError
 from ..functions.joins import UNITS, distance_limit, nearest
-from ..functions.ordering import global_row_number, islands
+from ..functions.ordering import ranged
 from ..model import MatrixBundle, check_rows, choice, not_finite, number, require
 from ..session import cut
 
@@ -28,49 +29,104 @@ def explode_spectra(spectra: DataFrame) -> DataFrame:
     return spectra.select("pixel_ord", F.posexplode(pairs).alias("peak_ord", "p")).select("pixel_ord", "peak_ord", "p.mz", "p.intensity")
 
 
+def _fold(mz: list[float], n: list[int], span, state: tuple | None = None, known: dict | None = None):
+    """Fold sorted distinct values, each ``n`` times: ([value, group, times], starts, end state, met).
+
+    Group -1 is the one that ``state`` (first, total, count) carries in.  A start is
+    (value, repeats left); where one is ``known``, the fold goes on as the known one
+    did, and it ends there: ``met`` is that start.
+    """
+    first, total, count = state or (0.0, 0.0, 0)
+    group, opened, rows, starts = -1, state is not None, [], {}
+    for i, (value, left) in enumerate(zip(mz, n)):
+        while left:
+            center = (total + value) / (count + 1)
+            if not opened or abs(first - center) > span(first) or abs(value - center) > span(value):
+                if known is not None and (i, left) in known:
+                    return rows, starts, None, (i, left)
+                group += 1
+                starts[i, left] = group
+                first, total, count, opened = value, 0.0, 0, True
+            # each repeat draws the centre nearer to the value: all join if the first value bears even that
+            take = left if value - first <= span(first) * (1 - 1e-9) else 1
+            total, count, left = total + take * value, count + take, left - take
+            if rows and rows[-1][0] == i and rows[-1][1] == group:
+                rows[-1][2] += take
+            else:
+                rows.append([i, group, take])
+    return rows, starts, (first, total, count), None
+
+
+def _fold_part(mz: list[float], n: list[int], span, state: tuple | None):
+    """(rows, new groups, end state) of a partition into which ``state`` is carried.
+
+    The partition's own fold, from its first value, is followed by the carried one
+    only until both start a group at the same value.
+    """
+    rows, starts, end, _ = _fold(mz, n, span)
+    if state is None:
+        return rows, len(starts), end
+    ahead, opened, own_end, met = _fold(mz, n, span, state, starts)
+    if met is None:
+        return ahead, len(opened), own_end
+    shift = len(opened) - starts[met]
+    # a value whose repeats straddle the meeting point has rows of both folds
+    tail = [[i, group + shift, take] for i, group, take in rows if group >= starts[met]]
+    return ahead + tail, len(starts) + shift, end
+
+
 def consensus_groups(values: DataFrame, tolerance: float = 10, unit: str = "ppm") -> DataFrame:
-    """(mz, group_id, center) per row of ``values(mz)``.
+    """(mz, n, group_id, center) per value of ``values(mz)`` and group it is in.
 
     Values are folded upwards: the centre of a group with one more value is the
     mean, and the value joins if it and the group's first member are both within their own limits of it.
-    Where a gap exceeds the sum of both neighbours' limits no group can cross,
-    so the sorted values are cut into islands there and folded independently.
-    Distinct values with their multiplicity go through the fold, one island at a time;
-    repeats are taken at once wherever that equals taking them in turn.
+    Distinct values with their multiplicity lie in range partitions, each folded by
+    a task of its own, first as if it began a group.  The fold carried in from the
+    partition before soon starts a group where that fold did, and from there on both are
+    the same; only where they never meet does the end of a partition depend on the one
+    before, and the partition after it is folded once more.  The driver holds one line per partition.
     """
     number("tolerance", tolerance, PreprocessError, low=0)
     choice("unit", unit, UNITS, PreprocessError)
-    distinct = values.groupBy("mz").agg(F.count("*").alias("n"))
-    limit = lambda c: distance_limit(c, tolerance, unit)
-    marked = islands(distinct, "mz", lambda before, mz: (mz - before) > (limit(mz) + limit(before)) * (1 + 1e-9))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("mz")
-        span = (lambda v: tolerance) if unit == "da" else (lambda v: v * tolerance / 1e6)
-        group, first, total, count, out = -1, 0.0, 0.0, 0, []
-        for mz, n in zip(pdf.mz, pdf.n):
-            left = int(n)
-            while left:
-                center = (total + mz) / (count + 1)
-                if group < 0 or abs(first - center) > span(first) or abs(mz - center) > span(mz):
-                    group, first, total, count = group + 1, mz, 0.0, 0
-                # each repeat draws the centre nearer to mz: all join if the first value bears even that
-                take = left if mz - first <= span(first) * (1 - 1e-9) else 1
-                total, count, left = total + take * mz, count + take, left - take
-                if out and out[-1][:2] == (mz, group):
-                    take += out.pop()[2]
-                out.append((mz, group, take))
-        table = pd.DataFrame(out, columns=["mz", "local", "n"])
-        weighed = (table.mz * table.n).groupby(table.local).transform("sum")
-        table["center"] = weighed / table.n.groupby(table.local).transform("sum")
-        table["island"] = int(pdf.island.iloc[0])
-        return table
-
-    folded = marked.select("mz", "n", "island").groupBy("island").applyInPandas(fold, "mz double, local int, n long, center double, island long")
-    groups = cut(folded)
-    axis = groups.select("island", "local", "center").distinct()
-    axis = global_row_number(axis, ["center"], "group_id").withColumn("group_id", F.col("group_id").cast("int"))
-    return groups.join(axis.drop("center"), ["island", "local"]).select("mz", "n", "group_id", "center")
+    parts, ends = ranged(values.groupBy("mz").agg(F.count("*").alias("n")), ["mz"])
+    order = [e["_part"] for e in ends]
+
+    def folded(carried: dict[int, tuple | None], offsets: dict[int, int] | None = None, opened: dict[int, int] | None = None):
+        """Per partition its end and number of new groups, or with ``offsets`` its rows."""
+
+        def run(batches):
+            frames = [b for b in batches if len(b)]
+            if not frames:
+                return
+            pdf = pd.concat(frames).sort_values("mz")
+            part = int(pdf["_part"].iloc[0])
+            span = (lambda v: tolerance) if unit == "da" else (lambda v: v * tolerance / 1e6)
+            mz = pdf.mz.tolist()
+            rows, new, end = _fold_part(mz, pdf.n.tolist(), span, carried.get(part))
+            if offsets is None:
+                yield pd.DataFrame([(part, new, *end)], columns=["part", "new", "first", "total", "count"])
+                return
+            ids = [opened[part] if group < 0 else offsets[part] + group for _, group, _ in rows]
+            yield pd.DataFrame({"mz": [mz[i] for i, _, _ in rows], "n": [take for _, _, take in rows], "group_id": np.array(ids, np.int32)})
+
+        schema = "part int, new long, first double, total double, count long" if offsets is None else "mz double, n long, group_id int"
+        return parts.mapInPandas(run, schema)
+
+    state, lines = {part: None for part in order}, {}
+    while order:
+        lines = {r.part: r for r in folded(state).collect()}  # one line per partition
+        now = {part: tuple(lines[before][2:5]) if before is not None else None for before, part in zip([None, *order], order)}
+        if now == state:
+            break
+        state = now
+    offsets, opened, total, last = {}, {}, 0, -1
+    for part in order:
+        offsets[part], opened[part] = total, last
+        total += lines[part].new
+        last = total - 1 if lines[part].new else last
+    groups = cut(folded(state, offsets, opened))
+    centers = groups.groupBy("group_id").agg((F.sum(F.col("mz") * F.col("n")) / F.sum("n")).alias("center"))
+    return groups.join(centers, "group_id").select("mz", "n", "group_id", "center")
 
 
 def consensus_axis(values: DataFrame, tolerance: float = 10, unit: str = "ppm") -> DataFrame:

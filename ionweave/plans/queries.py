@@ -538,7 +538,11 @@ def cosg_scores(spark, d):
     return rounded(analysis.cosg_scores(b.x, b.var, groups), "score")
 
 
-@query("cosg_table")
+@query("cosg_table", f"""WITH {_X}, gg AS (SELECT s_suppkey AS obs_id, s_suppkey % 2 AS grp FROM supplier), z AS (SELECT grp, count(*) AS n FROM gg GROUP BY 1),
+c AS (SELECT feature_id, grp, sum(value) AS s, sum(value * value) AS q FROM x JOIN gg USING (obs_id) GROUP BY ALL),
+c1 AS (SELECT feature_id, c.grp, s / (sqrt(sum(q) OVER (PARTITION BY feature_id)) * sqrt(n)) AS c FROM c JOIN z ON z.grp = c.grp),
+r AS (SELECT grp, feature_id, row_number() OVER (PARTITION BY grp ORDER BY c * (c * c / total) DESC, feature_id) AS rank FROM (SELECT *, sum(c * c) OVER (PARTITION BY feature_id) AS total FROM c1))
+SELECT rank::INTEGER AS rank, max(feature_id) FILTER (grp = 0) AS "0", max(feature_id) FILTER (grp = 1) AS "1" FROM r WHERE rank <= 20 GROUP BY rank""")
 def cosg_table(spark, d):
     b = sparse_bundle(spark, d)
     groups = table(spark, d, "supplier").select(F.col("s_suppkey").alias("obs_id"), F.col("s_suppkey").alias("obs_ord"), (F.col("s_suppkey") % 2).cast("string").alias("grp"))

@@ -48,6 +48,48 @@ def test_consensus_equals_naive_fold(spark, unit, tolerance, width):
     assert found == pytest.approx(naive_groups(mz, tolerance, unit), rel=1e-12)
 
 
+def test_consensus_over_many_partitions(spark):
+    """One continuous run of values, cut at range bounds: groups and centres are those of a single fold."""
+    rng = np.random.default_rng(6)
+    runs = {
+        "dense": (rng.uniform(100, 101, 3000).round(4), 25, "ppm"),
+        "grid": (np.arange(100, 104, 0.002).round(3), 0.0031, "da"),
+        "repeats": (rng.choice(np.arange(100, 100.2, 0.001).round(3), 2000), 15, "ppm"),
+        "one group": (rng.uniform(100, 101, 500).round(4), 5, "da"),
+        "no tolerance": (np.unique(rng.uniform(100, 101, 300).round(3)), 0, "da"),
+    }
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for name, (mz, tolerance, unit) in runs.items():
+            groups = p.consensus_groups(values(spark, mz), tolerance, unit).collect()
+            want = naive_groups(mz, tolerance, unit)
+            centers = {r.group_id: r.center for r in groups}
+            assert [centers[i] for i in sorted(centers)] == pytest.approx(want, rel=1e-12), name
+            assert sorted(centers) == list(range(len(want))) and sum(r.n for r in groups) == len(mz)
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    assert p.consensus_groups(values(spark, [1.0]).where("mz < 0"), 1).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(25))
+def test_partitions_meet_the_carried_fold(seed):
+    rng = np.random.default_rng(seed)
+    mz = np.unique(rng.uniform(100, 100.5, 300).round(3))
+    n = rng.integers(1, 4, len(mz))
+    span = lambda v: v * 18e-6
+    whole, _, end, _ = p._fold(mz.tolist(), n.tolist(), span)
+    cuts = [0, *sorted(rng.choice(np.arange(1, len(mz)), 5, replace=False).tolist()), len(mz)]
+    state, rows, total = None, [], 0
+    for a, b in zip(cuts, cuts[1:]):
+        part, new, state = p._fold_part(mz[a:b].tolist(), n[a:b].tolist(), span, state)
+        rows += [[a + i, total + g, take] for i, g, take in part]
+        total += new
+    assert rows == whole and state == pytest.approx(end)
+
+
 def test_projection_literal(spark):
     axis = spark.createDataFrame([(0, 100.0), (1, 200.0)], "col_ord int, mz double")
     found = p.project(peak_table(spark, [[(99.999, 2), (100.001, 3), (200, 7)], [(100, 11)]]), axis, 0.01, "da")
