@@ -17,7 +17,8 @@ found in, the month's pixels, and the total and largest intensity of a pixel.
 The file stream's checkpoint is the mark of what was taken.  A batch that is run
 again after a failure overwrites its own folders and writes its months anew from
 all values, so nothing is counted twice; a run without new files changes nothing.
-Other months are neither read nor written.
+Other months are neither read nor written.  Output and checkpoint belong together:
+a new checkpoint needs a new output.
 
 Every row is a peak; those without pixel, known channel, time or finite intensity
 are dropped and counted in the log.  A channel listed twice counts once, with its
