@@ -7,6 +7,7 @@ import random
 import numpy as np
 import pytest
 
+from ionweave.llm import common
 from ionweave.llm import product_quantizer as pq
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
@@ -101,6 +102,19 @@ def test_cases(spark, tmp_path):
     assert got == {1: ("00" * 4, 0, 0), 2: ("01" * 4, 0, 0), None: ("02" * 4, 0, 0)}
 
 
+def test_label_errors_without_broadcast(spark, monkeypatch):
+    """Many labels, one of them with most rows, and nulls: the joined sums are those of the groups."""
+    rows = [(i, bytes([i % 7]), i % 11, None if i % 5 == 0 else 1 if i % 3 else i) for i in range(900)]
+    df = spark.createDataFrame(rows, "vec_id long, code binary, error long, label int")
+    want = {}
+    for _, _, e, l in rows:
+        want[l] = want.get(l, 0) + e
+    for most in (common.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(common, "BROADCAST_ROWS", most)
+        got = pq.label_errors(df).collect()
+        assert len(got) == 900 and all(r.label_error == want[r.label] for r in got)
+
+
 def test_decoding_gives_the_coded_entries(spark):
     rows = random_rows(4, 300, 8, odd=False)
     fitted = pq.fit(spark.createDataFrame(rows, SCHEMA), entries=64)
