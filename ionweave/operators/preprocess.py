@@ -50,9 +50,10 @@ def normalised(x: DataFrame, method: str = "rms", n_vars: int | None = None) ->
     if method == "none":
         return x.select("obs_id", "feature_id", "value")
     if method == "rms":
-        if not n_vars:
+        if n_vars is None:
             raise PreprocessError("rms needs the number of features")
-        size = F.sqrt(F.sum(F.col("value") * F.col("value")) / F.lit(float(n_vars)))
+        # without features, as after a filter that keeps none, there is no row to divide
+        size = F.sqrt(F.sum(F.col("value") * F.col("value")) / F.lit(float(max(n_vars, 1))))
     else:
         size = F.sum(F.abs("value"))
     factor = x.groupBy("obs_id").agg(size.alias("_f"))

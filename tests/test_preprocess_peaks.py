@@ -186,3 +186,14 @@ def test_range_join_equals_nested_loop(spark):
         assert {(x.i, x.j) for x in candidate_pairs(left, right, "a", "b", t, unit).collect()} == naive
     plan = candidate_pairs(left, right, "a", "b", 5.0, "ppm")._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_preprocess_without_frequent_features(spark):
+    """A filter that keeps no feature leaves an empty matrix, not an error."""
+    obs = spark.range(40).select(F.col("id").alias("obs_id"), F.col("id").alias("obs_ord"))
+    var = spark.range(40).select(F.col("id").alias("feature_id"), F.col("id").alias("feature_ord"), (F.col("id") + 100.0).alias("mz"))
+    x = spark.range(40).select(F.col("id").alias("obs_id"), F.col("id").alias("feature_id"), F.lit(2.0).alias("value"))
+    out = pp.preprocess(MatrixBundle(obs, var, x))
+    assert out.layers["normalized"].count() == out.var.count() == 0 and out.obs.count() == 40
+    with pytest.raises(PreprocessError):
+        pp.normalised(x, "rms")
