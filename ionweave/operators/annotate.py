@@ -38,13 +38,17 @@ def annotate(var: DataFrame, reference: DataFrame, fields: dict[str, Column], pp
     """``var`` with one JSON list per field: all matches in reference order, ``[]`` without any.
 
     The order is ``ref_ord``, of any type that sorts; tables from files carry it.
+    Masses meet, not rows: references of equal mass are one list, and features of
+    equal mass share one text, so pairs grow with the distinct masses.
     """
-    found = matches(var, reference, ppm)
     row = F.struct("ref_ord", *[c.alias(n) for n, c in fields.items()])
-    lists = found.groupBy("feature_id").agg(F.array_sort(F.collect_list(row)).alias("_m"))
-    out = var.join(lists, "feature_id", "left")
-    texts = {n: F.coalesce(F.to_json(F.col(f"_m.{n}")), F.lit("[]")) for n in fields}
-    return out.withColumns(texts).drop("_m")
+    listed = reference.groupBy("ref_mz").agg(F.collect_list(row).alias("_r"))
+    masses = var.select("mz").distinct().select(F.col("mz").alias("feature_id"), "mz")
+    lists = matches(masses, listed, ppm).groupBy("mz").agg(F.array_sort(F.flatten(F.collect_list("_r"))).alias("_m"))
+    names = {n: f"_text{i}" for i, n in enumerate(fields)}
+    texts = lists.select(F.col("mz").alias("_mz"), *[F.to_json(F.col(f"_m.{n}")).alias(t) for n, t in names.items()])
+    out = var.join(texts, F.col("mz") == F.col("_mz"), "left")
+    return out.withColumns({n: F.coalesce(t, F.lit("[]")) for n, t in names.items()}).drop("_mz", *names.values())
 
 
 def annotate_hmdb(var: DataFrame, reference: DataFrame, mode: str, ppm: float = 5) -> DataFrame:

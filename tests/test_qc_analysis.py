@@ -448,3 +448,25 @@ def test_clusters_are_the_same_rule_at_every_size(spark, monkeypatch):
 
     assert found(resolution=0.1) == ["1"] * 15 + ["0"] * 20
     assert len(set(found(resolution=4))) > 2
+
+
+def test_annotation_joins_masses_not_rows(spark):
+    """Copies of a mass meet once: no operator of the plan returns the pairs of rows."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        var = spark.range(600).select(F.col("id").alias("feature_id"), (F.col("id") % 3 + 100.0).alias("mz"), F.lit("old").alias("hits"))
+        reference = spark.range(600).select(F.col("id").alias("ref_ord"), F.col("id").cast("string").alias("name"), (F.col("id") % 3 + 100.0).alias("ref_mz"))
+        for ppm in (0, 5):
+            out = ann.annotate(var, reference, {"hits": F.col("name")}, ppm)
+            rows = {r.feature_id: r.hits for r in out.collect()}
+            assert len(rows) == 600 and rows[4] == "[" + ",".join(f'"{i}"' for i in range(1, 600, 3)) + "]"
+            plan = out._jdf.queryExecution().executedPlan()
+            most, nodes = 0, [plan]
+            while nodes:
+                node = nodes.pop()
+                metric = node.metrics().get("numOutputRows")
+                most = max(most, metric.get().value()) if metric.isDefined() else most
+                nodes += [node.children().apply(i) for i in range(node.children().size())]
+            assert most <= 600
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
