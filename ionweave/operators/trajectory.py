@@ -110,21 +110,27 @@ def fit_sums(bb: np.ndarray, by: np.ndarray, yy: float, n: int, grid: np.ndarray
     Fit and 95 % prediction band on ``grid``.  The effective degrees of freedom are
     the trace of (B'B + lP)^-1 B'B, so nothing has the length of the data.
     """
-    penalty = np.diff(np.eye(len(by)), 2, axis=0)
+    fitted, low, high = fit_many(bb, np.asarray(by, float)[None, :], np.array([yy], float), n, grid)
+    return fitted[0], low[0], high[0]
+
+
+def fit_many(bb: np.ndarray, by: np.ndarray, yy: np.ndarray, n: int, grid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``fit_sums`` of one feature per row of ``by``: each smoothing is inverted once for all of them."""
+    penalty = np.diff(np.eye(len(bb)), 2, axis=0)
     penalty = penalty.T @ penalty
-    best = None
-    for lam in SMOOTHING:
+    g = _basis(grid, _knots())
+    best = np.full(len(by), np.inf)
+    fitted, sigma2, spread = np.zeros((len(by), len(grid))), np.zeros(len(by)), np.zeros((len(by), len(grid)))
+    for k, lam in enumerate(SMOOTHING):
         inverse = np.linalg.pinv(bb + lam * penalty)
-        beta = inverse @ by
+        beta = by @ inverse.T
         free = max(n - np.trace(inverse @ bb), 1e-6)
-        rss = max(float(yy - 2 * beta @ by + beta @ bb @ beta), 0.0)
+        rss = np.maximum(yy - 2 * (beta * by).sum(1) + ((beta @ bb) * beta).sum(1), 0.0)
         score = n * rss / free**2
-        if best is None or score < best[0]:
-            best = (score, beta, inverse, rss / free)
-    _, beta, inverse, sigma2 = best
-    g = _basis(grid, _knots())
-    fitted = g @ beta
-    half = 1.959963984540054 * np.sqrt(np.maximum(sigma2 * (1 + np.einsum("ij,jk,ik->i", g, inverse, g)), 0))
+        better = score < best if k else np.ones(len(by), bool)
+        best[better], sigma2[better] = score[better], rss[better] / free
+        fitted[better], spread[better] = beta[better] @ g.T, np.einsum("ij,jk,ik->i", g, inverse, g)
+    half = 1.959963984540054 * np.sqrt(np.maximum(sigma2[:, None] * (1 + spread), 0))
     return fitted, fitted - half, fitted + half
 
 
@@ -184,9 +190,10 @@ def feature_trends(bundle: MatrixBundle, features: list[str] | None = None, poin
     def fit(parts):
         at = np.linspace(0, 1, points)
         for pdf in parts:
-            for feature, by, yy in zip(pdf.feature_id, pdf.by, pdf.yy):
-                none = by is None
-                fitted, low, high = fit_sums(bb, np.zeros(len(bb)) if none else np.asarray(by, float), 0.0 if none else yy, n, at)
-                yield pd.DataFrame({"feature": str(feature), "position": at, "fitted": fitted, "lower": low, "upper": high})
+            if pdf.empty:
+                continue
+            by = np.array([np.zeros(len(bb)) if b is None else b for b in pdf.by], float)
+            fitted, low, high = fit_many(bb, by, pdf.yy.fillna(0.0).to_numpy(float), n, at)
+            yield pd.DataFrame({"feature": np.repeat(pdf.feature_id.astype(str).to_numpy(), points), "position": np.tile(at, len(pdf)), "fitted": fitted.ravel(), "lower": low.ravel(), "upper": high.ravel()})
 
     return every.mapInPandas(fit, "feature string, position double, fitted double, lower double, upper double")

@@ -470,3 +470,14 @@ def test_annotation_joins_masses_not_rows(spark):
             assert most <= 600
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_trends_of_many_features_equal_single_fits(spark):
+    rng = np.random.default_rng(3)
+    at, grid = rng.uniform(0, 1, 60), np.linspace(0, 1, 9)
+    b = tr._basis(at, tr._knots())
+    y = np.column_stack([np.sin(5 * at) * 4, rng.normal(size=60), np.zeros(60)]).T
+    many = tr.fit_many(b.T @ b, y @ b, (y * y).sum(1), 60, grid)
+    for k in range(3):
+        for found, one in zip(many, tr.smooth_trend(at, y[k], grid)):
+            assert found[k] == pytest.approx(one, abs=1e-9)
