@@ -481,3 +481,31 @@ def test_trends_of_many_features_equal_single_fits(spark):
     for k in range(3):
         for found, one in zip(many, tr.smooth_trend(at, y[k], grid)):
             assert found[k] == pytest.approx(one, abs=1e-9)
+
+
+def test_units_of_block_pairs_are_tiles(spark, monkeypatch):
+    """200 vectors in blocks of 5: ten tiles of four blocks meet, not forty blocks."""
+    monkeypatch.setattr(blocks, "BLOCK", 5)
+    monkeypatch.setattr(blocks, "WIDE", 4)
+    points = spark.range(200).select(F.col("id").alias("obs_id"), F.array(F.col("id").cast("double")).alias("vec"))
+    seen = blocks.block_pairs(points, lambda left, right: iter([left.head(1)[["obs_id"]].assign(n=len(left) * len(right))]), "obs_id long, n long").collect()
+    assert len(seen) == 100 and sum(r.n for r in seen) == 200 * 200
+
+
+def test_neighbours_and_silhouettes_of_close_points_and_copies(spark, monkeypatch):
+    """Inner products only screen: far from the origin, distances and ties are those of the definition."""
+    monkeypatch.setattr(blocks, "BLOCK", 7)
+    monkeypatch.setattr(blocks, "WIDE", 2)
+    rng = np.random.default_rng(8)
+    a = 1e4 + np.concatenate([rng.normal(size=(30, 6)) * 1e-3] * 2 + [rng.normal(size=(20, 6))])
+    points = spark.createDataFrame([(i, i, row.tolist()) for i, row in enumerate(a)], "obs_id int, obs_ord int, vec array<double>")
+    d = np.sqrt(((a[:, None] - a[None]) ** 2).sum(2))
+    cluster = [str(i % 3) for i in range(80)]
+    labels = spark.createDataFrame(list(enumerate(cluster)), "obs_id int, cluster string")
+    for i, s in ((r.obs_id, r.silhouette) for r in qc.silhouette(points, labels).collect()):
+        mean = {c: d[i, [j for j in range(80) if cluster[j] == c and j != i]].mean() for c in "012"}
+        inside, outside = mean[cluster[i]], min(m for c, m in mean.items() if c != cluster[i])
+        assert s == pytest.approx((outside - inside) / max(inside, outside), abs=1e-9)
+    np.fill_diagonal(d, np.inf)
+    got = {(r.obs_id, r.rank): (r.neighbor, r.distance) for r in an.knn(points, 4).collect()}
+    assert got == {(i, k + 1): (j, d[i, j]) for i in range(80) for k, j in enumerate(np.argsort(d[i], kind="stable")[:4])}
