@@ -25,7 +25,7 @@ from ionweave.errors import AnalysisError
 from ionweave.model import number, require, whole
 from ionweave.operators.analysis import cosg_scores
 from ionweave.operators.preprocess import frequent_features, normalised
-from ionweave.session import cut
+from ionweave.session import Scratch, cut
 
 from .common import log, main
 
@@ -35,6 +35,8 @@ DEFAULTS = {
     "min_occurrence": 0.01, "mu": 1.0, "expressed_pct": 0.02, "terms": 25,
 }
 DIGITS = 6
+#: Terms that are joined by a broadcast at most.
+BROADCAST_TERMS = 100_000
 OUTPUT = "rank INT, term STRING, score DOUBLE, documents BIGINT, collection STRING"
 
 
@@ -60,13 +62,15 @@ def marker_terms(spark: SparkSession, documents: str, output: str, config: dict
     usable = F.col(config["id"]).isNotNull() & F.col(config["collection"]).isNotNull()
     counts = table.agg(F.count("*").alias("rows"), F.count_if(~usable).alias("unusable")).first()
     groups, x = term_matrix(table.where(usable), config)
-    x = cut(x)  # used by several passes; texts are read and split once
-    groups = cut(groups)
+    scratch = Scratch(spark, "marker-terms")  # Parquet keeps repeated terms and identifiers once; rows of a checkpoint do not
+    x = scratch.keep("x", x)  # used by several passes; texts are read and split once
+    groups = scratch.keep("groups", groups)
     texts = groups.count()
     log.info("read %s: %d rows, %d without identifier or collection, %d texts", documents, counts["rows"], counts["unusable"], texts)
 
     kept = cut(frequent_features(x, texts, config["min_occurrence"]))
-    frequent = cut(x.join(kept, "feature_id", "left_semi"))
+    # the terms kept are few, each being in a share of the texts
+    frequent = scratch.keep("frequent", x.join(F.broadcast(kept) if kept.count() <= BROADCAST_TERMS else kept, "feature_id", "left_semi"))
     scores = cosg_scores(normalised(frequent, "tic"), kept, groups, config["mu"], config["expressed_pct"], True)
     found = frequent.join(groups, "obs_id").groupBy("grp", "feature_id").agg(F.count("*").alias("documents"))
     best = scores.select("grp", "feature_id", F.round("score", DIGITS).alias("score"))
