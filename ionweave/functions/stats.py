@@ -22,6 +22,20 @@ def tied_rank(partition: list, order: str) -> Column:
     return F.rank().over(w) + (F.count("*").over(ties) - 1) / F.lit(2.0)
 
 
+#: Rows of one task of a window or a set operation over a whole table.
+TASK_ROWS = 500_000
+
+
+def spread(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """``df`` of about ``rows`` rows dealt by ``keys`` into partitions of at most about ``TASK_ROWS``.
+
+    A window over the keys needs no other shuffle then, and what a task sorts stays
+    bounded whatever the number of shuffle partitions set.
+    """
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, math.ceil(rows / TASK_ROWS)), *keys)
+
+
 def benjamini_hochberg(df: DataFrame, partition: list[str], p: str, out: str) -> DataFrame:
     """Adds adjusted p-values: running minimum of p n / rank from the largest p down, within each group.
 

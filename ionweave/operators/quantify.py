@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import QuantifyError
+from ..functions.stats import spread
 from ..model import MatrixBundle, QuantificationResult, check_rows, choice, not_finite, number, require
 from ..session import cut
 
@@ -137,10 +138,15 @@ def mapping_text(cells: DataFrame, accepted: DataFrame) -> DataFrame:
 
 
 def partition_difference(overlaps: DataFrame, accepted: DataFrame, rejected: DataFrame) -> DataFrame:
-    """Rows by which accepted and rejected together differ from the overlaps as multisets; empty if sound."""
+    """Rows by which accepted and rejected together differ from the overlaps as multisets; empty if sound.
+
+    Rows are counted with a sign, once for all three tables, in partitions of a bounded number of rows.
+    """
     columns = list(overlaps.columns)
-    parts = accepted.select(columns).unionByName(rejected.select(columns))
-    return overlaps.exceptAll(parts).unionByName(parts.exceptAll(overlaps))
+    signed = [t.select(*columns, F.lit(sign).alias("_sign")) for t, sign in ((overlaps, 1), (accepted, -1), (rejected, -1))]
+    every = spread(reduce(DataFrame.unionByName, signed), ["laser_label"], 2 * overlaps.count())
+    odd = every.groupBy(*columns).agg(F.sum("_sign").alias("_odd")).where("_odd <> 0")
+    return odd.select(*columns, F.explode(F.array_repeat(F.lit(True), F.abs("_odd").cast("int"))).alias("_each")).select(columns)
 
 
 def quantify_cells(bundle: MatrixBundle, cell_pixels: DataFrame, laser_pixels: DataFrame, method: str = "specificity_filtered", boundary_margin: float = 20.0, unique_min: float = 0.10, dominant_min: float = 0.60, secondary_max: float = 0.15, layer: str | None = None) -> QuantificationResult:

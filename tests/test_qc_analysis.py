@@ -509,3 +509,14 @@ def test_neighbours_and_silhouettes_of_close_points_and_copies(spark, monkeypatc
     np.fill_diagonal(d, np.inf)
     got = {(r.obs_id, r.rank): (r.neighbor, r.distance) for r in an.knn(points, 4).collect()}
     assert got == {(i, k + 1): (j, d[i, j]) for i in range(80) for k, j in enumerate(np.argsort(d[i], kind="stable")[:4])}
+
+
+def test_spread_bounds_the_rows_of_a_task(spark, monkeypatch):
+    """The number of partitions follows the rows, and a window over the keys adds no shuffle."""
+    monkeypatch.setattr(stats, "TASK_ROWS", 100)
+    lines = spark.range(2000).select((F.col("id") % 97).alias("k"), (F.col("id") % 7).alias("v"))
+    dealt = stats.spread(lines, ["k"], 2000)
+    assert dealt.rdd.getNumPartitions() == 20
+    ranked = dealt.select("k", "v", stats.tied_rank(["k"], "v").alias("r"))
+    assert ranked._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert stats.spread(lines, ["k"], 10).rdd.getNumPartitions() == 4

@@ -162,3 +162,12 @@ def test_empty_rasters(spark):
 def test_bad_thresholds(spark, value):
     with pytest.raises(QuantifyError):
         q.select_specific(overlaps(spark, [("c", 1, 0.5)]), unique_min=value)
+
+
+def test_partition_difference_counts_copies_in_one_pass(spark):
+    row = "cell_id string, laser_label long, n int"
+    table = spark.createDataFrame([("a", 1, None)] * 3 + [("b", 2, 5)], row)
+    accepted, rejected = spark.createDataFrame([("a", 1, None)], row), spark.createDataFrame([("b", 2, 5), ("b", 2, 5), ("c", 3, 1)], row)
+    found = q.partition_difference(table, accepted, rejected)
+    assert sorted(map(str, (tuple(r) for r in found.collect()))) == sorted(map(str, [("a", 1, None)] * 2 + [("b", 2, 5), ("c", 3, 1)]))
+    assert "EXCEPT" not in found._jdf.queryExecution().toString().upper() and found.columns == table.columns
