@@ -53,9 +53,11 @@ def cells_inside(cells: DataFrame, marks: DataFrame, boundary_margin: float) ->
     return cells.join(F.broadcast(box), inside).select(cells.columns)
 
 
-def overlap_table(cell_pixels: DataFrame, laser_pixels: DataFrame, marks: DataFrame, boundary_margin: float = 20.0) -> tuple[DataFrame, DataFrame]:
+def overlap_table(cell_pixels: DataFrame, laser_pixels: DataFrame, marks: DataFrame, boundary_margin: float = 20.0, pixels: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(overlaps, cells): pixels shared by each cell and registered mark, and the cells inside the boundary.
 
+    With the number of ``pixels`` known, they are dealt by mark into partitions of a bounded number of rows.
+
     Both rasters are joined on (row, col) without background, so the shuffle
     carries foreground pixels only, and counts combine before the second one.
     """
@@ -69,8 +71,11 @@ def overlap_table(cell_pixels: DataFrame, laser_pixels: DataFrame, marks: DataFr
     shared = (
         cell_pixels.where("label <> 0").select("row", "col", F.col("label").alias("cell_label"))
         .join(laser_pixels.where("label <> 0").select("row", "col", F.col("label").alias("laser_label")), ["row", "col"])
-        .groupBy("cell_label", "laser_label").agg(F.count("*").alias("occupied_pixels"))
+        .select("cell_label", "laser_label")
     )
+    if pixels is not None:
+        shared = spread(shared, ["laser_label"], pixels)
+    shared = shared.groupBy("cell_label", "laser_label").agg(F.count("*").alias("occupied_pixels"))
     named = shared.join(mark_labels(marks), "laser_label").join(areas, "laser_label")
     named = named.join(cells.select(F.col("label").alias("cell_label"), "cell_id"), "cell_label")
     overlaps = named.select(
