@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ionweave.errors import AnalysisError, IonweaveError
-from ionweave.functions import blocks, stats
+from ionweave.functions import blocks, spectral, stats
 from ionweave.model import MatrixBundle
 from ionweave.operators import analysis as an
 from ionweave.operators import annotate as ann
@@ -109,6 +109,44 @@ def test_pcoa(spark):
             qc.pcoa(bundle(spark, [[1, 0], [0, 1]]), **bad)
 
 
+@pytest.mark.parametrize("metric", ["braycurtis", "euclidean", "canberra"])
+def test_leading_coordinates_of_many_observations(spark, monkeypatch, metric):
+    """More observations than the driver decomposes: as the whole decomposition, empty rows and several blocks included."""
+    rng = np.random.default_rng(11)
+    a = rng.poisson(0.3 + 2 * (np.arange(60)[:, None] % 3 == np.arange(12) % 3), (60, 12)).astype(float) * (rng.random((60, 1)) + 0.5)
+    a[[3, 17, 40, 41]] = 0
+    b = bundle(spark, a)
+    want, spectrum = qc.pcoa(b, 3, metric)
+    monkeypatch.setattr(qc, "PCOA_ROWS", 20)
+    monkeypatch.setattr(qc, "DIRECT", 20, raising=False)
+    monkeypatch.setattr(blocks, "BLOCK", 16)
+    coords, values = qc.leading_coordinates(b, 3, metric)
+    assert coords.columns == ["PC1", "PC2", "PC3", "obs_id"]
+    got = coords.toPandas().set_index("obs_id").loc[want.obs_id, ["PC1", "PC2", "PC3"]].to_numpy()
+    assert values == pytest.approx(spectrum.eigenvalue[:3].to_numpy(), rel=1e-8)
+    assert got == pytest.approx(want[["PC1", "PC2", "PC3"]].to_numpy(), abs=1e-4)
+    with pytest.raises(AnalysisError):
+        qc.leading_coordinates(b, 61, metric)
+
+
+def test_leading_coordinates_restart_and_end(spark, monkeypatch):
+    """A basis that is restarted often, and tables of equal or of empty rows."""
+    monkeypatch.setattr(qc, "DIRECT", 1)
+    monkeypatch.setattr(spectral, "BASIS", 1)
+    monkeypatch.setattr(blocks, "BLOCK", 50)
+    monkeypatch.setattr(spectral, "MORE", 2)
+    a = np.random.default_rng(3).poisson(0.7 + (np.arange(80)[:, None] % 3 == np.arange(40) % 3), (80, 40)).astype(float)
+    b = bundle(spark, a)
+    want, spectrum = qc.pcoa(b)
+    coords, values = qc.leading_coordinates(b)
+    assert values == pytest.approx(spectrum.eigenvalue[:2].to_numpy(), rel=1e-8)
+    assert coords.toPandas().set_index("obs_id").loc[want.obs_id, ["PC1", "PC2"]].to_numpy() == pytest.approx(want[["PC1", "PC2"]].to_numpy(), abs=1e-3)
+    for rows in (np.ones((5, 2)), np.vstack([np.zeros((4, 2)), np.ones((1, 2))])):
+        want, _ = qc.pcoa(bundle(spark, rows), 1)
+        got = qc.leading_coordinates(bundle(spark, rows), 1)[0].toPandas().set_index("obs_id").loc[want.obs_id, "PC1"].to_numpy()
+        assert got == pytest.approx(want.PC1.to_numpy(), abs=1e-6)
+
+
 @pytest.mark.parametrize("block", [2000, 4])
 def test_silhouettes(spark, monkeypatch, block):
     monkeypatch.setattr(blocks, "BLOCK", block)
