@@ -476,6 +476,20 @@ def test_plot_tables(spark):
     assert pl.usage_plot(MatrixBundle(obs.withColumn("Usage_1", F.lit(0.5)), b.var, b.x), "Usage_1").count() == 3
 
 
+def test_clusters_fill_their_rows_once(spark, monkeypatch):
+    """The passes of the components and neighbours read stored rows; rows without values, in pieces too, are zeros."""
+    monkeypatch.setattr(blocks, "CELLS", 8, raising=False)
+    a = np.array([[0, 2, 0], [0, 0, 0], [5, 0, -1], [0, 0, 3.5]])
+    b = bundle(spark, a)
+    rows = {r.obs_id: r.vec for r in blocks.vectors(b.x, b.obs, b.var).collect()}
+    assert [rows[f"o{i:03d}"] for i in range(4)] == a.tolist()
+    seen, count = [], an.principal_components
+    monkeypatch.setattr(an, "principal_components", lambda points, *more: seen.append(points) or count(points, *more))
+    an.cluster_cells(b, n_neighbors=2)
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "ArrowEvalPython" not in plan
+
+
 def test_clusters_are_the_same_rule_at_every_size(spark, monkeypatch):
     monkeypatch.setattr(an, "DRIVER_NODES", 10, raising=False)  # once the size at which the algorithm changed
     rng = np.random.default_rng(6)
