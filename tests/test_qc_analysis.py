@@ -96,6 +96,21 @@ def test_pairs_are_stored_in_about_half_the_bytes(spark, tmp_path):
     assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 5.5 * 2100 * 2099
 
 
+def test_shuffle_of_pairs_grows_with_the_vectors(spark, monkeypatch):
+    """As many tiles for ten times the vectors, sent in single precision where they have no more (before: twelve and 101 tiles, doubles)."""
+    seen = []
+    whole = blocks.block_pairs
+    monkeypatch.setattr(blocks, "block_pairs", lambda points, *a, **k: seen.append((dict(points.dtypes)["vec"], a[3][1])) or whole(points, *a, **k))
+    wide = spark.range(0, 405_000, 1, 4).selectExpr("id AS obs_id", "array(double(id % 7), 0.5D) AS vec")
+    for points in (wide.where("obs_id < 45000"), wide, wide.selectExpr("obs_id", "transform(vec, v -> v / 3) AS vec")):
+        blocks.pairwise(points)
+    assert [kind for kind, _ in seen] == ["array<float>", "array<float>", "array<double>"]
+    assert len({tiles for _, tiles in seen}) == 1
+    some = [(i, [i / 3, 1e300, -0.0]) for i in range(4)]
+    got = {(r.i, r.j): r.distance for r in blocks.pairwise(spark.createDataFrame(some, "obs_id long, vec array<double>"), "manhattan").collect()}
+    assert len(got) == 12 and got[0, 1] == 1 / 3
+
+
 def test_distances_are_rounded_as_the_sql_rounds():
     """Scaled, rounded half up, scaled back; Spark's round goes by the shortest decimal instead."""
     x = np.concatenate([np.arange(20_000) / 1e7 + 5e-7, np.random.default_rng(2).exponential(3, 20_000), [0, 1e300, math.inf, math.nan]])
