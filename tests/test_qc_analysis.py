@@ -15,6 +15,7 @@ from ionweave.operators import analysis as an
 from ionweave.operators import annotate as ann
 from ionweave.operators import qc
 from ionweave.operators import trajectory as tr
+from ionweave.plans import queries as queries_
 
 
 def bundle(spark, rows, ids=None):
@@ -139,6 +140,69 @@ def test_bray_curtis_blocks(spark, monkeypatch):
         assert got == pytest.approx(want)
 
 
+def test_bray_curtis_values_leave_their_feature_packed(spark, monkeypatch, tmp_path):
+    """A row of many values for a pair of blocks (before: a row a value, three shuffles of all); lines grouped by feature are shuffled once."""
+    a = np.random.default_rng(6).poisson(1.0, (60, 50)).astype(float)
+    monkeypatch.setattr(blocks, "BLOCK", 20)
+    b = bundle(spark, a)
+    met = qc._met(b.x)[0]
+    assert met.count() * 20 < 3 * np.count_nonzero(a)
+    spark.sql("SELECT 1L AS l_suppkey, 2L AS l_partkey, 3.5D AS l_extendedprice").write.parquet(f"{tmp_path}/lineitem.parquet")
+    once = queries_.sparse(spark, str(tmp_path), by_feature=True).groupBy("feature_id").agg(F.collect_list("obs_id"))
+    assert once._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    for few in (1, 7, 90):
+        monkeypatch.setattr(qc, "PAIRS", few)
+        monkeypatch.setattr(qc, "DEALT", few)
+        got = {(r.i, r.j): r.distance for r in qc.bray_curtis(b.x).collect()}
+        assert got == pytest.approx({(f"o{i:03d}", f"o{j:03d}"): METRIC["braycurtis"](a[i], a[j]) for i in range(60) for j in range(i + 1, 60) if np.minimum(a[i], a[j]).any()})
+
+
+def test_similar_tiles_are_kept_once(spark, monkeypatch):
+    """Of a pair of blocks one tile (before: both orders); values of other observations and features, and one empty row."""
+    monkeypatch.setattr(qc, "DIRECT", 5)
+    monkeypatch.setattr(blocks, "BLOCK", 10)
+    a = np.random.default_rng(8).poisson(0.4 + (np.arange(35)[:, None] % 3 == np.arange(20) % 3), (35, 20)).astype(float)
+    a[12] = 0
+    b = bundle(spark, a)
+    want, spectrum = qc.pcoa(b)
+    more = b.x.union(spark.createDataFrame([("a", "m1", 2.0), ("o011x", "m2", 3.0), ("z", "m3", 1.0), ("o005", "none", 9.0)], b.x.schema))
+    strange = MatrixBundle(b.obs, b.var, more)
+    tiles, numbered, sized, empty, _ = qc._similar(strange)
+    assert (numbered.count(), empty, [rows for _, rows, _ in sized]) == (34, 1, [10, 10, 10, 4, 1])
+    held = [(r.bi, r.bj) for r in tiles.collect()]
+    assert sorted(held) == sorted(set(held)) and all(i <= j for i, j in held)
+    coords, values = qc.leading_coordinates(strange)
+    assert values == pytest.approx(spectrum.eigenvalue[:2].to_numpy(), rel=1e-8)
+    assert coords.toPandas().set_index("obs_id").loc[want.obs_id, ["PC1", "PC2"]].to_numpy() == pytest.approx(want[["PC1", "PC2"]].to_numpy(), abs=1e-3)
+    assert all(r.bi <= r.bj for r in qc._squares(b, "euclidean")[0].collect())
+
+
+def test_leading_pairs_that_take_many_steps(spark, monkeypatch):
+    """Close eigenvalues beside a large one along the weight, which is centred away (before: the basis took it up again, step by step)."""
+    monkeypatch.setattr(spectral, "MORE", 2)
+    monkeypatch.setattr(spectral, "BASIS", 12)
+    q = np.linalg.qr(np.random.default_rng(1).normal(size=(60, 60)))[0]
+    a = (q * np.r_[1.1, np.linspace(1.05, 0.9, 59)]) @ q.T + 4
+    held = np.triu(a) - np.diag(np.diag(a)) / 2
+    parts = [held[i : i + 20, j : j + 20] for i in (0, 20, 40) for j in (0, 20, 40)]
+    tiles = [t for k, m in enumerate(parts) if k // 3 <= k % 3 for f in spectral.strips(k // 3, k % 3, m) for t in f.to_dict("records")]
+    sums, along = spectral._sums, []
+
+    def seen(state, size):
+        s, m = sums(state, size), (size - 1) // 2
+        along.append(np.abs(s[0, 1 : 1 + m]).max() if size % 2 and len(along) else 0)
+        return s
+
+    monkeypatch.setattr(spectral, "_sums", seen)
+    values, vectors = spectral.leading(spark.createDataFrame(tiles, spectral.STRIPS), spectral.block_sizes(60, 20), 1)
+    assert len(along) > 8 and max(along) < 1e-12
+    c = np.eye(60) - 1 / 60
+    want, axes = np.linalg.eigh(c @ a @ c)
+    assert values[0] == pytest.approx(want[-1], rel=1e-10)
+    got = np.array([r.value[0] for r in vectors.orderBy("b", "row").collect()])
+    assert abs(got @ axes[:, -1]) == pytest.approx(1, abs=1e-9)
+
+
 def test_pcoa(spark):
     coords, spectrum = qc.pcoa(bundle(spark, [[0, 0], [0, 0], [2, 0], [2, 1]]))
     assert np.isfinite(coords[["PC1", "PC2"]]).all().all() and len(spectrum) == 4
